@@ -34,3 +34,33 @@ def op10_simhash(spark, sf_dir):
 
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    from ravelin.llm import suffix_dedup
+
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_dedup(spark, sf_dir):
+    from ravelin.llm import line_dedup
+
+    found = line_dedup.apply(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_boilerplate", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def op6_mixing(spark, sf_dir):
+    from ravelin.llm import mixing
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs)
+
+
+@query
+def op7_quality(spark, sf_dir):
+    from ravelin.llm import quality
+
+    return quality.judge(table(spark, sf_dir, "documents"))
