@@ -64,3 +64,44 @@ def op7_quality(spark, sf_dir):
     from ravelin.llm import quality
 
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_hamming_topk(spark, sf_dir):
+    from ravelin.llm import hamming_topk as h
+
+    rows = h.codes(table(spark, sf_dir, "embeddings"))
+    return h.search(rows, rows.where(F.col("id") % h.QUERY_EVERY == 0)).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op3_pii(spark, sf_dir):
+    from ravelin.llm import pii
+
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    from ravelin.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", *[f"p_{c}" for c in toxicity.CATEGORIES], "is_toxic")
+
+
+@query
+def op9_ngram_lm(spark, sf_dir):
+    from ravelin.llm import ngram_lm
+
+    docs = ngram_lm.folded(table(spark, sf_dir, "documents"))
+    return ngram_lm.score(docs, ngram_lm.train(docs.where(~F.col("held_out"))))
+
+
+def _sql():
+    from ravelin.llm import hamming_topk, line_dedup
+
+    return {"op2_hamming_topk": hamming_topk.SQL, "op5_line_dedup": line_dedup.SQL}
+
+
+SQL |= _sql()
