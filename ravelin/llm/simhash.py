@@ -171,3 +171,147 @@ def groups(df: DataFrame, words: int = 3, max_diff: int = MAX_DIFF, id_col: str
     named = stored(of, "roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return docs.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+# ---- near-duplicates by shingle similarity --------------------------------------------------------
+
+#: Words of a shingle, similarity from which two texts are near-duplicates, 64-bit words of the wide fingerprint.
+SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 13
+#: Bits of the wide fingerprint's first 128 that may differ in a candidate pair, about five deviations
+#: above the mean at SIMILARITY, and the segments of its ring.
+CHECK_DIFF, CHECK_SEGMENTS = 38, 8
+
+
+def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, k1, k2, n, code): digest of the word sequence, number of distinct shingles, wide fingerprint."""
+    import xxhash
+
+    bounded_batches(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            keys, n, code = [], [], []
+            for t in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t, SHINGLE))
+                keys.append(xxhash.xxh128_digest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())))
+                n.append(len(h))
+                code.append(fingerprint(h, WIDTH).view(np.int64))
+            k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            flat = np.concatenate([np.empty(0, np.int64), *code])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * WIDTH, pa.int32()), pa.array(flat))], ["doc_id", "k1", "k2", "n", "code"])
+
+    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, k1 long, k2 long, n int, code array<long>")
+
+
+def ring_mask(x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """Which 128-bit differences pass: from some segment on all chains keep their share, then the full count."""
+    per = CHECK_SEGMENTS // 2
+    width, ones = 64 // per, np.uint64((1 << (64 // per)) - 1)
+    d = np.stack([np.bitwise_count((x >> np.uint64(width * i)) & ones) for x in (x1, x2) for i in range(per)]).astype(np.int64)
+    chain, total = np.ones(d.shape, bool), np.zeros(d.shape, np.int64)
+    for k in range(CHECK_SEGMENTS):
+        total += np.roll(d, -k, axis=0)
+        chain &= total * CHECK_SEGMENTS <= (k + 1) * CHECK_DIFF
+    return chain.any(axis=0)
+
+
+def _run_pairs(key, ids, n, c1, c2):
+    """Candidate pairs among rows of equal key (sorted): all in small runs, a spanning forest in large ones."""
+    left, right = [], []
+    alike = lambda i, j: (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j])) & ring_mask(c1[i] ^ c1[j], c2[i] ^ c2[j])
+    edge = np.flatnonzero(np.diff(key)) + 1
+    starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
+    size = np.repeat(ends - starts, ends - starts)
+    small = np.flatnonzero((size > 1) & (size <= SMALL_RUN))
+    for s in range(1, SMALL_RUN):
+        i = small[: -s or None][key[small[s:]] == key[small[: -s or None]]] if s < len(small) else small[:0]
+        if not len(i):
+            break
+        i = i[alike(i, i + s)]
+        left.append(ids[i])
+        right.append(ids[i + s])
+    for a, b in zip(starts.tolist(), ends.tolist()) if (size > SMALL_RUN).any() else ():
+        if b - a <= SMALL_RUN:
+            continue
+        rest = np.arange(a, b)
+        while len(rest):
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                at = queue.pop()
+                hit = alike(np.full(len(rest), at), rest)
+                if hit.any():
+                    found, rest = rest[hit], rest[~hit]
+                    queue += found.tolist()
+                    left.append(np.full(len(found), ids[at]))
+                    right.append(ids[found])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def candidate_pairs(reps: DataFrame) -> DataFrame:
+    """(a, b) of reps(doc_id, n, code): pairs that share a 16-bit segment and pass the ring filter."""
+    seg = lambda i: (F.shiftright(F.get("code", F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF)) + F.lit(i << 16)).cast("int")
+    rows = reps.select(F.explode(F.array(*[seg(i) for i in range(4 * WIDTH)])).alias("key"), "doc_id", "n", F.get("code", F.lit(0)).alias("c1"), F.get("code", F.lit(1)).alias("c2"))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            new = [new[0], new[1], new[2].astype(np.float64), new[3].view(np.uint64), new[4].view(np.uint64)]
+            cols = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            held = [c[cut:] for c in cols]
+            if cut:
+                yield out(_run_pairs(*[c[:cut] for c in cols]))
+        if held is not None and len(held[0]):
+            yield out(_run_pairs(*held))
+
+    def out(pair):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*pair)), pa.array(np.maximum(*pair))], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_pairs(df: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILARITY or more."""
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, SHINGLE)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "s"])
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+    own = stored(texts(df, id_col, text_col).join(named, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary").dropDuplicates(["doc_id"]), "sets")
+    with_a = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+    both = with_a.join(own.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, root): every document that is not its group's smallest id, with that id.
+
+    Groups are the connected components of near-duplicate texts: equal word sequences, or Jaccard
+    similarity of SIMILARITY or more over SHINGLE-word shingles. At that similarity about 15 % of
+    SimHash bits differ, too many for an exact search by segments, so candidates share one of the
+    4 * WIDTH segments of a wide fingerprint (98 % of pairs at 0.8, more above) and pass the ring
+    filter on its first 128 bits; each candidate is then compared by its shingles. Rows without an id
+    are in no group; rows that repeat an id are one document.
+    """
+    found = stored(sketches(df, id_col, text_col).where("doc_id is not null"), "sketches")
+    classes = stored(found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "code")).alias("r")).select("k1", "k2", "r.*"), "classes")
+    copies = found.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", F.col("doc_id").alias("rep")), ["k1", "k2"])
+    pairs = stored(candidate_pairs(classes.where("n > 0").select("doc_id", "n", "code")), "pairs")
+    roots = components(similar_pairs(df, pairs, id_col, text_col)).withColumnRenamed("node", "rep")
+    named = copies.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
+    return named.where("doc_id <> root").distinct()
