@@ -1,6 +1,470 @@
-"""Registered queries of the reference's own operators, and their SQL."""
+"""Registered queries of the retrieval pipeline's operators, each with SQL for an independent engine where it can say it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ravelin.functions import text as T
+from ravelin.operators import chunking as C
+from ravelin.operators import evaluation as V
+from ravelin.operators import extraction as E
+from ravelin.operators import faq as Q
+from ravelin.operators import generation as G
+from ravelin.operators import retrieval as R
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("pos"), "text", F.col("source").alias("source_type"))
+
+
+def questions(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def relevant(spark, sf_dir) -> DataFrame:
+    """Chunks that hold a question's passage: they share its first eight words, then hold it whole."""
+    head = lambda c: F.slice(T.tokens(c), 1, 8)
+    q = questions(spark, sf_dir).select("query_id", F.col("text").alias("passage"), F.xxhash64(head(F.col("text"))).alias("key"))
+    w = corpus(spark, sf_dir).select("chunk_id", "text", T.tokens(F.col("text")).alias("w"))
+    n = F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1)))
+    keys = w.select("chunk_id", "text", F.explode(F.array_distinct(F.transform(n, lambda i: F.xxhash64(F.slice("w", i, 8))))).alias("key"))
+    return keys.join(q, "key").where(F.contains("text", "passage")).select("query_id", "chunk_id").distinct()
+
+
+# ---- tokens, statistics and sparse retrieval ------------------------------------------------------
+
+WORDS = "list_filter(string_split_regex(lower({c}), '\\s+'), lambda x: x <> '')"
+SPLIT = f"toks AS (SELECT doc_id, source, {WORDS.format(c='text')} AS w FROM documents)"
+POST = f"{SPLIT}, dl AS (SELECT doc_id, source, len(w) AS dl FROM toks), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM toks) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st), idf AS (SELECT term, df, CASE WHEN r >= 0 THEN r ELSE 0.25 * (SELECT avg(r) FROM raw) END AS idf FROM raw)"
+ASKED = f"q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({WORDS.format(c='text')}) AS term FROM benchmark) GROUP BY ALL)"
+SCORED = f"{POST}, {ASKED}, s AS (SELECT q.item_id AS query_id, p.doc_id AS chunk_id, any_value(dl.source) AS source_type, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN idf USING (term) JOIN p USING (term) JOIN dl ON dl.doc_id = p.doc_id, st GROUP BY ALL)"
+TOP = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s WHERE round(score, 12) > 0"
+
+
+@query(f"WITH {SPLIT} SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM toks")
+def tokenize_ws(spark, sf_dir):
+    w = T.tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.md5(F.array_join(w, " ").cast("binary")).alias("tokens_md5"))
+
+
+STOP = ", ".join(f"'{w}'" for w in T.GERMAN_STOPWORDS)
+GERMAN = "list_filter(regexp_extract_all(lower(regexp_replace(text, '§\\s*([0-9]+[a-zA-Z]?)', ' paragraf \\1 ', 'g')), '[A-Za-z0-9ÄÖÜäöüß]+'), lambda x: regexp_matches(x, '^[0-9]+$') OR (length(x) >= 2 AND NOT list_contains([" + STOP + "], x)))"
+
+
+@query(f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, {GERMAN} AS w FROM documents)")
+def tokenize_regex_stop(spark, sf_dir):
+    w = T.tokens_german(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("tokens_md5"))
+
+
+@query(f"WITH {POST} SELECT doc_id AS chunk_id, term, tf FROM p")
+def bm25_term_stats(spark, sf_dir):
+    return R.index(corpus(spark, sf_dir)).postings.select("chunk_id", "term", "tf")
+
+
+@query(f"WITH {POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_idf(spark, sf_dir):
+    return R.index(corpus(spark, sf_dir)).df.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {POST} SELECT n, round(avgdl, 6) AS avgdl, (SELECT round(avg(r), 6) FROM raw) AS mean_idf FROM st")
+def bm25_corpus_stats(spark, sf_dir):
+    return R.index(corpus(spark, sf_dir)).stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
+
+
+def _sparse(spark, sf_dir, k):
+    return R.bm25(questions(spark, sf_dir), R.index(corpus(spark, sf_dir)), k)
+
+
+@query(f"WITH {SCORED} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ({TOP}) WHERE rank <= 5")
+def bm25_topk(spark, sf_dir):
+    return _sparse(spark, sf_dir, 5).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {SCORED} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s WHERE round(score, 12) > 0 AND source_type IN ('src0', 'src1')) WHERE rank <= 5")
+def bm25_topk_source_filter(spark, sf_dir):
+    hits = R.bm25(questions(spark, sf_dir), R.index(corpus(spark, sf_dir)), 5, F.col("source_type").isin("src0", "src1"))
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT source AS source_type, count(*) AS n_chunks FROM documents GROUP BY source")
+def chunks_by_source(spark, sf_dir):
+    return corpus(spark, sf_dir).groupBy("source_type").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query(f"WITH d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), t AS (SELECT id, unnest({WORDS.format(c='text')}) AS term FROM d) SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term")
+def bm25_combined_corpus(spark, sf_dir):
+    more = questions(spark, sf_dir).select((-1 - F.col("query_id")).alias("chunk_id"), (-1 - F.col("query_id")).alias("pos"), "text")
+    return R.index(corpus(spark, sf_dir).drop("source_type").unionByName(more)).df.select("term", "df")
+
+
+# ---- dense and hybrid -----------------------------------------------------------------------------
+
+DOT = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
+NORM = "sqrt(list_sum(list_transform({c}, lambda x: x::DOUBLE * x::DOUBLE)))"
+NEAR = f"n AS (SELECT vec_id, label, embedding, {NORM.format(c='embedding')} AS nn FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, b.label, {DOT} / (a.nn * b.nn) AS score FROM n a JOIN n b ON a.vec_id < 20)"
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("pos"), "embedding", "label")
+
+
+def _vector_queries(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {NEAR} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 5")
+def vector_topk(spark, sf_dir):
+    hits = R.dense(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir), 5)
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {NEAR} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s WHERE label = 3) WHERE rank <= 5")
+def vector_topk_filter(spark, sf_dir):
+    hits = R.dense(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir), 5, F.col("label") == 3)
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {NEAR} SELECT query_id, chunk_id, rank, round(1 / (1 + (1 - score)), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 5")
+def vector_score_proto(spark, sf_dir):
+    hits = R.dense(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir), 5)
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round(1 / (1 + F.col("distance")), 6).alias("score"))
+
+
+GSPLIT = f"gt AS (SELECT doc_id, {GERMAN} AS w FROM documents)"
+GSCORED = f"{GSPLIT}, gdl AS (SELECT doc_id, len(w) AS dl FROM gt), gp AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM gt) GROUP BY ALL), gdf AS (SELECT term, count(*) AS df FROM gp GROUP BY term), gst AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM gdl), graw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM gdf, gst), gidf AS (SELECT term, CASE WHEN r >= 0 THEN r ELSE 0.25 * (SELECT avg(r) FROM graw) END AS idf FROM graw), gq AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({GERMAN}) AS term FROM benchmark) GROUP BY ALL), gs AS (SELECT gq.item_id AS query_id, gp.doc_id AS chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM gq JOIN gidf USING (term) JOIN gp USING (term) JOIN gdl ON gdl.doc_id = gp.doc_id, gst GROUP BY ALL)"
+
+
+def _two_lists(spark, sf_dir, k):
+    docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
+    return R.bm25(asked, R.index(docs), k), R.bm25(asked, R.index(docs, T.tokens_german), k)
+
+
+TWO = f"{SCORED}, {GSCORED}, l1 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, score FROM s WHERE round(score, 12) > 0), l2 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, score FROM gs WHERE round(score, 12) > 0)"
+
+
+@query(f"WITH {TWO}, u AS (SELECT *, 0 AS list FROM l1 WHERE rank <= 5 UNION ALL SELECT *, 1 AS list FROM l2 WHERE rank <= 5), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000 + rank) AS seen FROM u GROUP BY ALL) SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) AS rank FROM f) WHERE rank <= 5")
+def hybrid_rrf(spark, sf_dir):
+    fused = R.rrf(list(_two_lists(spark, sf_dir, 5)), 5)
+    return fused.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+WEIGHTED = f"{TWO}, b AS (SELECT query_id, chunk_id, x.rank AS sparse_rank, y.rank AS vector_rank FROM (SELECT * FROM l1 WHERE rank <= 50) x FULL JOIN (SELECT * FROM l2 WHERE rank <= 50) y USING (query_id, chunk_id)), f AS (SELECT *, coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) + coalesce(0.5::DOUBLE / (60 + vector_rank), 0) AS rrf FROM b), w AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, least(sparse_rank, vector_rank), source, chunk_id) AS rank FROM f JOIN documents d ON d.doc_id = f.chunk_id)"
+
+
+def _weighted(spark, sf_dir):
+    a, b = _two_lists(spark, sf_dir, R.WINDOW)
+    return R.weighted_rrf(a, b, 10, (1.0, 0.5))
+
+
+@query(f"WITH {WEIGHTED} SELECT query_id, chunk_id, rank, round(rrf, 6) AS rrf_score, coalesce(sparse_rank, 0) AS sparse_rank, coalesce(vector_rank, 0) AS vector_rank FROM w WHERE rank <= 10")
+def hybrid_weighted_rrf(spark, sf_dir):
+    n = lambda c: F.col(c).cast("long").alias(c)
+    return _weighted(spark, sf_dir).select("query_id", "chunk_id", n("rank"), F.round("rrf_score", 6).alias("rrf_score"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sparse_rank", "vector_rank")])
+
+
+@query(f"WITH {WEIGHTED}, k AS (SELECT query_id, count(sparse_rank) AS s, count(vector_rank) AS v, count(*) FILTER (sparse_rank IS NOT NULL AND vector_rank IS NOT NULL) AS both_ FROM w WHERE rank <= 10 GROUP BY ALL), a AS (SELECT item_id AS query_id, coalesce(s, 0) AS s, coalesce(v, 0) AS v, coalesce(both_, 0) AS both_ FROM benchmark LEFT JOIN k ON k.query_id = item_id) SELECT query_id, 'SPARSE_NO_HITS' AS code, 'info' AS severity FROM a WHERE s = 0 UNION ALL SELECT query_id, 'VECTOR_NO_HITS', 'info' FROM a WHERE v = 0 UNION ALL SELECT query_id, 'HYBRID_NO_HITS', 'warning' FROM a WHERE s + v = 0 UNION ALL SELECT query_id, 'HYBRID_SINGLE_BACKEND_EVIDENCE', 'info' FROM a WHERE s + v > 0 AND both_ = 0")
+def hybrid_flags(spark, sf_dir):
+    return R.retrieval_flags(_weighted(spark, sf_dir), questions(spark, sf_dir))
+
+
+@query("SELECT vec_id, coalesce(array_to_string(list_transform(embedding[1:3], lambda x: round(x::DOUBLE, 3)::DECIMAL(9,3)::VARCHAR), ' > '), '') AS vector_head, coalesce(label::VARCHAR, '') AS label FROM embeddings")
+def metadata_flatten(spark, sf_dir):
+    head = F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 3).cast("decimal(9,3)").cast("string"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", T.flat_metadata(head, "array<string>").alias("vector_head"), T.flat_metadata(F.col("label"), "int").alias("label"))
+
+
+@query("SELECT sha256('b=0.75' || chr(10) || 'k1=1.5' || chr(10) || string_agg(line, chr(10) ORDER BY line)) AS signature FROM (SELECT DISTINCT source || '|' || lang || '|' || count(*)::VARCHAR AS line FROM documents GROUP BY source, lang)")
+def index_signature(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_type"), F.col("lang").alias("file")).agg(F.count(F.lit(1)).alias("modified"))
+    return R.index_signature(files, {"k1": 1.5, "b": 0.75})
+
+
+@query("WITH r AS (SELECT source AS source_type, doc_id AS pos, CASE WHEN doc_id % 7 = 0 THEN '' ELSE (doc_id // 2)::VARCHAR END AS chunk_id, CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE text END AS text FROM documents), c AS (SELECT *, CASE WHEN trim(chunk_id) = '' THEN 'CHUNK_ID_MISSING' WHEN trim(text) = '' THEN 'CHUNK_TEXT_EMPTY' END AS code FROM r), d AS (SELECT *, row_number() OVER (PARTITION BY source_type, chunk_id, code IS NULL ORDER BY pos) AS n FROM c) SELECT source_type, coalesce(code, CASE WHEN n > 1 THEN 'CHUNK_ID_DUPLICATE' END) AS code, count(*) AS n_rows FROM d WHERE code IS NOT NULL OR n > 1 GROUP BY ALL")
+def chunk_validation_flags(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    raw = d.select(F.lit("x").alias("_"), F.col("source").alias("source_type"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.floor(F.col("doc_id") / 2).cast("string")).alias("chunk_id"), F.when(F.col("doc_id") % 11 == 0, "  ").otherwise(F.col("text")).alias("text")).drop("_")
+    return R.valid_chunks(raw)[1].groupBy("source_type", "code").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---- evaluation -----------------------------------------------------------------------------------
+
+REL = "rel AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+JUDGED = f"WITH {SCORED}, {REL}, h AS (SELECT * FROM ({TOP}) WHERE rank <= 10), w AS (SELECT query_id, count(*) AS want FROM rel GROUP BY 1), j AS (SELECT h.query_id, count(*) FILTER (rel.chunk_id IS NOT NULL AND rank <= 5) AS hit, min(rank) FILTER (rel.chunk_id IS NOT NULL) AS first FROM h LEFT JOIN rel ON rel.query_id = h.query_id AND rel.chunk_id = h.chunk_id GROUP BY 1), m AS (SELECT w.query_id, coalesce(hit, 0) / 5.0::DOUBLE AS p, coalesce(hit, 0)::DOUBLE / want AS r, coalesce(1.0::DOUBLE / first, 0) AS rr FROM w LEFT JOIN j USING (query_id))"
+
+
+def _judged(spark, sf_dir):
+    return V.per_query(questions(spark, sf_dir), _sparse(spark, sf_dir, 10), relevant(spark, sf_dir), 5)
+
+
+@query(f"{JUDGED} SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(rr, 6) AS rr FROM m")
+def precision_recall_mrr(spark, sf_dir):
+    return _judged(spark, sf_dir).select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "rr")])
+
+
+@query(f"{JUDGED} SELECT count(*) AS num_queries, round(coalesce(avg(p), 0), 6) AS precision_at_k, round(coalesce(avg(r), 0), 6) AS recall_at_k, round(coalesce(avg(rr), 0), 6) AS mrr, 5 AS k FROM m")
+def retrieval_macro_metrics(spark, sf_dir):
+    return V.macro(_judged(spark, sf_dir), 5).select("num_queries", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "recall_at_k", "mrr")], "k")
+
+
+NOISE = f"WITH {SCORED}, {REL}, n AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s WHERE round(score, 12) > 0 AND query_id IN (SELECT query_id FROM rel) AND NOT EXISTS (SELECT 1 FROM rel WHERE rel.query_id = s.query_id AND rel.chunk_id = s.chunk_id))"
+
+
+def _noise(spark, sf_dir, n=10):
+    rel = relevant(spark, sf_dir)
+    hits = _sparse(spark, sf_dir, 1_000_000_000).join(rel.select("query_id").distinct(), "query_id", "left_semi")
+    return V.distractors(hits, rel, n)
+
+
+@query(f"{NOISE} SELECT query_id, chunk_id, rank FROM n WHERE rank <= 10")
+def distractors_topn(spark, sf_dir):
+    return _noise(spark, sf_dir).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"{NOISE}, lv AS (SELECT unnest([0, 2, 5]) AS level), g AS (SELECT query_id, level, chunk_id FROM rel, lv UNION ALL SELECT query_id, level, chunk_id FROM n, lv WHERE rank <= level) SELECT query_id, level, row_number() OVER (PARTITION BY query_id, level ORDER BY md5(concat_ws('|', query_id, level, chunk_id))) AS place, chunk_id FROM g")
+def distractor_context_grid(spark, sf_dir):
+    grid = V.context_grid(relevant(spark, sf_dir), _noise(spark, sf_dir), [0, 2, 5])
+    return grid.select("query_id", "level", F.col("place").cast("long").alias("place"), "chunk_id")
+
+
+@query("SELECT coalesce(level::VARCHAR, 'all') AS level, round(avg(correct::INT), 6) AS accuracy, count(DISTINCT query_id) AS questions FROM (SELECT doc_id AS query_id, (doc_id % 11)::INT AS level, quality = 1 AS correct FROM labels) GROUP BY ROLLUP (level)")
+def generation_metrics_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 11).cast("int").alias("level"), (F.col("quality") == 1).alias("correct"))
+    return V.accuracy(rows).select(F.coalesce(F.col("level").cast("string"), F.lit("all")).alias("level"), F.round("accuracy", 6).alias("accuracy"), "questions")
+
+
+REPLIES = ['{"correct": true, "confidence": 0.9, "reasoning": "ok"}', '```json\n{"correct": false, "confidence": 0.25, "reasoning": "no"}\n```', 'I think "correct": true here', "no verdict", '{"correct": true}', "[1]"]
+
+
+@query("SELECT * FROM (VALUES (0, true, 0.9::DOUBLE, 'ok'), (1, false, 0.25, 'no'), (2, true, 0.5, 'I think \"correct\": true here'), (3, false, 0.5, 'no verdict'), (4, true, 0.5, ''), (5, false, 0.5, '[1]')) t(id, correct, confidence, reasoning)")
+def judge_parse(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(REPLIES)), "id int, reply string")
+    return rows.select("id", V.judgement(F.col("reply")).alias("j")).select("id", "j.*")
+
+
+# ---- extraction -----------------------------------------------------------------------------------
+
+PAGES = [("d", 1, "Regulations"), ("d", 2, "2\nTable of Contents\n§ 1 Scope"), ("d", 3, "3\nI.\nGeneral\n§ 1\nScope\ntext of one  \n\n\n\nmore\n§ 2\nGoals"), ("d", 4, "4\ngoal text\nII.\nExams\n§ 3\n\n5\nForm\nbody"), ("d", 5, "Appendix 1: Plan\nplan text\nAppendix 2:\nModules\n§ 3\nagain")]
+
+
+def _pages(spark):
+    return spark.createDataFrame(PAGES, "doc_id string, page int, text string")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN md5(regexp_replace('7' || chr(10) || text, '\\A[ \\t]*\\d{1,2}[ \\t]*(\\n|\\z)', '')) ELSE md5('7' || chr(10) || text) END AS text_md5 FROM documents")
+def strip_page_number(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("t", F.concat(F.lit("7\n"), "text"))
+    return d.select("doc_id", F.md5(T.without_page_number(F.col("t"), 1 + F.col("doc_id") % 2).cast("binary")).alias("text_md5"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '.  ' || chr(10) || chr(10) || chr(10)), '[ \\t\\r\\f\\x0B]+(\\n|\\z)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '\\A\\s+|\\s+\\z', '', 'g')) AS text_md5 FROM documents")
+def normalize_whitespace(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.tidy(F.replace("text", F.lit(". "), F.lit(".  \n\n\n"))).cast("binary")).alias("text_md5"))
+
+
+@query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(replace(text, 'e', 'e-' || chr(10)), '([0-9A-Za-z_])-\\n([0-9A-Za-z_])', '\\1\\2', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS text_md5 FROM documents")
+def dehyphenate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.dehyphenated(F.replace("text", F.lit("e"), F.lit("e-\n"))).cast("binary")).alias("text_md5"))
+
+
+@query("SELECT * FROM (VALUES (1, 'preamble', 'Preamble', '', 1, 0), (2, 'toc', 'Table of Contents', '', 2, 0), (3, 'part', 'I.', 'General', 3, 1), (4, 'paragraph', '§1', 'Scope', 3, 3), (5, 'paragraph', '§2', 'Goals', 3, 10), (6, 'part', 'II.', 'Exams', 4, 2), (7, 'paragraph', '§3', 'Form', 4, 4), (8, 'appendix', 'Appendix 1', 'Plan', 5, 0), (9, 'appendix', 'Appendix 2', 'Modules', 5, 2)) t(seq, kind, label, title, page, line)")
+def markers(spark, sf_dir):
+    return E.markers(_pages(spark)).select("seq", "kind", "label", "title", "page", "line")
+
+
+@query("SELECT * FROM (VALUES (1, 'preamble', NULL), (2, 'toc', NULL), (3, 'part-I', NULL), (4, 'par-1', 'part-I'), (5, 'par-2', 'part-I'), (6, 'part-II', NULL), (7, 'par-3', 'part-II'), (8, 'appendix-1', NULL), (9, 'appendix-2', NULL)) t(seq, section_id, parent_section_id)")
+def section_parents(spark, sf_dir):
+    return E.parents(E.markers(_pages(spark))).select("seq", "section_id", "parent_section_id")
+
+
+@query("SELECT * FROM (VALUES ('preamble', 1, 1, 'Regulations'), ('toc', 2, 3, '2' || chr(10) || 'Table of Contents' || chr(10) || '§ 1 Scope' || chr(10) || '3'), ('part-I', 3, 3, 'I.' || chr(10) || 'General'), ('par-3', 4, 4, '§ 3' || chr(10) || chr(10) || '5' || chr(10) || 'Form' || chr(10) || 'body'), ('appendix-1', 5, 5, 'Appendix 1: Plan' || chr(10) || 'plan text')) t(section_id, start_page, end_page, text)")
+def sections(spark, sf_dir):
+    s = E.sections(_pages(spark)).where(F.col("section_id").isin("preamble", "toc", "part-I", "par-3", "appendix-1"))
+    return s.select("section_id", "start_page", "end_page", "text")
+
+
+TABLE = [("d", 1, ["Name of module", "LP", "x"]), ("d", 2, ["CS 624", "9", "a"]), ("d", 3, ["ov", "", "b"]), ("d", 4, ["CS 561", "9", None]), ("d", 5, ["", "", ""]), ("d", 6, ["Compulsory Elective Modules", "", ""])]
+
+
+@query("SELECT * FROM (VALUES (2, 'CS 624 ov|9|a b'), (4, 'CS 561|9|')) t(pos, cells)")
+def table_continuation_merge(spark, sf_dir):
+    raw = spark.createDataFrame(TABLE, "doc_id string, pos int, cells array<string>")
+    kept = raw.where(~E.is_header("cells") & ~E.is_label("cells")).withColumn("cells", E.clean_cells("cells")).where(F.exists("cells", lambda c: c != ""))
+    return E.continued(kept, 3).select("pos", F.array_join("cells", "|").alias("cells"))
+
+
+@query("SELECT p_partkey // 10 AS table_id, 'name|brand|size' AS headers, count(*) AS n_rows, md5(string_agg(concat_ws('|', trim(p_name), p_brand, p_size), chr(10) ORDER BY p_partkey)) AS rows_md5 FROM part GROUP BY ALL")
+def generic_table_clean(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("t", F.floor(F.col("p_partkey") / 10))
+    body = p.select(F.lit("d").alias("doc_id"), F.col("t").alias("table_id"), F.col("p_partkey").alias("pos"), F.array("p_name", F.lit(None).cast("string"), "p_brand", F.col("p_size").cast("string")).alias("cells"))
+    head = p.select(F.lit("d").alias("doc_id"), F.col("t").alias("table_id"), F.lit(-2).cast("long").alias("pos"), F.array(F.lit("name"), F.lit(""), F.lit("brand"), F.lit("size")).alias("cells")).distinct()
+    made = E.generic_table(body.unionByName(head).unionByName(head.withColumns({"pos": F.lit(-1).cast("long"), "cells": F.array(F.lit(" "), F.lit(None).cast("string"), F.lit(""), F.lit(""))})))
+    return made.select("table_id", F.array_join("headers", "|").alias("headers"), F.size("rows").cast("long").alias("n_rows"), F.md5(F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").cast("binary")).alias("rows_md5"))
+
+
+
+
+ASSIGN = "t AS (SELECT e.event_id AS table_seq, (e.event_id % 40)::INT AS page FROM events e), s AS (SELECT n_nationkey AS seq, 's-' || n_nationkey::VARCHAR AS section_id, CASE WHEN n_nationkey % 5 = 0 THEN 'part' WHEN n_nationkey % 5 = 1 THEN 'appendix' ELSE 'paragraph' END AS kind, n_nationkey AS a, n_nationkey + n_nationkey % 7 AS b FROM nation)"
+
+
+def _tables_and_sections(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select(F.lit("d").alias("doc_id"), F.col("event_id").alias("table_seq"), (F.col("event_id") % 40).cast("int").alias("page"))
+    n = F.col("n_nationkey")
+    s = table(spark, sf_dir, "nation").select(F.lit("d").alias("doc_id"), n.alias("seq"), F.concat(F.lit("s-"), n.cast("string")).alias("section_id"), F.when(n % 5 == 0, "part").when(n % 5 == 1, "appendix").otherwise("paragraph").alias("kind"), n.alias("start_page"), (n + n % 7).alias("end_page"))
+    return t, s
+
+
+@query(f"WITH {ASSIGN}, p AS (SELECT table_seq, page, section_id, row_number() OVER (PARTITION BY table_seq ORDER BY seq DESC) AS k FROM t JOIN s ON page BETWEEN a AND b) SELECT table_seq, page, section_id, section_id || '-tbl-' || row_number() OVER (PARTITION BY section_id ORDER BY table_seq)::VARCHAR AS table_id FROM p WHERE k = 1")
+def assign_tables(spark, sf_dir):
+    return E.assign_tables(*_tables_and_sections(spark, sf_dir)).drop("doc_id")
+
+
+@query(f"WITH {ASSIGN}, p AS (SELECT table_seq, page, section_id, row_number() OVER (PARTITION BY table_seq ORDER BY b - a, CASE kind WHEN 'paragraph' THEN 0 WHEN 'appendix' THEN 1 WHEN 'part' THEN 2 ELSE 3 END, section_id) AS k FROM t JOIN s ON page BETWEEN a AND b) SELECT table_seq, page, section_id, section_id || '-tbl-' || row_number() OVER (PARTITION BY section_id ORDER BY table_seq)::VARCHAR AS table_id FROM p WHERE k = 1")
+def assign_tables_smallest(spark, sf_dir):
+    return E.assign_tables(*_tables_and_sections(spark, sf_dir), smallest=True).drop("doc_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE::VARCHAR END AS version_date FROM orders")
+def german_dates(spark, sf_dir):
+    d = F.col("o_orderdate")
+    months = F.array(*[F.lit(m) for m in ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")])
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(d, "'Fassung vom 'd.M.yyyy")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.date_format(d, "d. "), F.get(months, F.month(d) - 1), F.date_format(d, " yyyy"))).otherwise(F.lit("31.2.2020"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.german_date(text).cast("string").alias("version_date"))
+
+
+@query("SELECT * FROM (VALUES ('I', 1), ('IV', 4), ('IX', 9), ('XIV', 14), ('XL', 40), ('MCMXCIV', 1994), ('abc', -1)) t(numeral, value)")
+def roman_numerals(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in ("I", "IV", "IX", "XIV", "XL", "MCMXCIV", "abc")], "numeral string").select("numeral", F.coalesce(T.roman(F.col("numeral")), F.lit(-1)).alias("value"))
+
+
+@query("SELECT * FROM (VALUES (2), (3)) t(page)")
+def toc_pages(spark, sf_dir):
+    like = "\n".join(f"§ {i} x" for i in range(14))
+    pages = spark.createDataFrame([("d", 1, "title"), ("d", 2, "Inhaltsverzeichnis\n" + like), ("d", 3, like), ("d", 4, "prose " * 30), ("d", 5, like)], "doc_id string, page int, text string")
+    return E.toc_pages(pages).select("page")
+
+
+# ---- chunking and FAQ -----------------------------------------------------------------------------
+
+SENT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g')), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, chr(1))) AS sentences_md5 FROM (SELECT doc_id, {SENT} AS s FROM documents)")
+def sentence_split(spark, sf_dir):
+    s = T.sentences(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "\u0001").cast("binary")).alias("sentences_md5"))
+
+
+@query()
+def window_chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("section_id"), F.concat_ws(" > ", "source", "lang").alias("heading"), "text")
+    return C.chunk_sections(d)
+
+
+@query()
+def chunk_token_stats(spark, sf_dir):
+    return C.token_stats(window_chunks(spark, sf_dir))
+
+
+@query("SELECT p_partkey, concat_ws(' | ', nullif(trim(p_name), ''), nullif(trim(p_brand), ''), p_size::VARCHAR) AS line FROM part")
+def table_rows_serialized(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", C.serialized_row(F.array("p_name", F.lit("  "), "p_brand", F.lit(None).cast("string"), F.col("p_size").cast("string"))).alias("line"))
+
+
+@query()
+def table_chunks(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("t", F.floor(F.col("p_partkey") / 500).cast("string"))
+    rows = p.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.array("p_name", "p_brand", F.col("p_size").cast("string")).alias("c")))), lambda x: x["c"]).alias("rows"))
+    one = F.struct(F.concat(F.lit("part-"), "t").alias("table_id"), F.array(F.lit("name"), F.lit("brand"), F.lit("size")).alias("headers"), "rows")
+    return C.chunk_sections(rows.select(F.lit("parts").alias("doc_id"), F.col("t").alias("section_id"), F.lit("Parts").alias("heading"), F.lit("").alias("text"), F.array(one).alias("tables")), 128, 16, 8)
+
+
+def _heading_sections(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    top = r.select(F.lit("d").alias("doc_id"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("section_id"), F.lit(None).cast("string").alias("parent_section_id"), F.concat(F.col("r_regionkey").cast("string"), F.lit(".")).alias("label"), F.col("r_name").alias("title"))
+    low = n.select(F.lit("d").alias("doc_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("section_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_section_id"), F.concat(F.lit("§"), F.col("n_nationkey").cast("string")).alias("label"), F.col("n_name").alias("title"))
+    return top.unionByName(low)
+
+
+@query("SELECT 'n' || n_nationkey::VARCHAR AS section_id, r_regionkey::VARCHAR || '. ' || r_name || ' > §' || n_nationkey::VARCHAR || ' ' || n_name AS heading FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'r' || r_regionkey::VARCHAR, r_regionkey::VARCHAR || '. ' || r_name FROM region")
+def heading_path(spark, sf_dir):
+    return C.headings(_heading_sections(spark, sf_dir)).select("section_id", "heading")
+
+
+PAIRS = "pairs AS (SELECT conv_id, turn, text AS question, lead(text) OVER w AS answer, role, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), e AS (SELECT 'f' || (conv_id % 3)::VARCHAR AS faq_source, conv_id * 1000 + turn AS pos, CASE WHEN conv_id % 13 = 0 THEN '' ELSE (conv_id // 2)::VARCHAR END AS id, trim(question) AS question, CASE WHEN conv_id % 17 = 0 THEN '' ELSE trim(answer) END AS answer FROM pairs WHERE role = 'user' AND next_role = 'assistant'), v AS (SELECT *, min(CASE WHEN id <> '' AND question <> '' AND answer <> '' THEN pos END) OVER (PARTITION BY faq_source, id) AS first FROM e), c AS (SELECT *, CASE WHEN id = '' THEN 'FAQ_ENTRY_INVALID' WHEN first < pos THEN 'FAQ_ID_DUPLICATE' WHEN question = '' THEN 'FAQ_EMPTY_QUESTION' WHEN answer = '' THEN 'FAQ_EMPTY_ANSWER' END AS code FROM v)"
+
+
+def _entries(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    p = table(spark, sf_dir, "conversations").withColumns({"answer": F.lead("text").over(w), "next_role": F.lead("role").over(w)}).where("role = 'user' and next_role = 'assistant'")
+    return p.select(F.concat(F.lit("f"), (F.col("conv_id") % 3).cast("string")).alias("faq_source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.when(F.col("conv_id") % 13 == 0, "").otherwise(F.floor(F.col("conv_id") / 2).cast("string")).alias("id"), F.col("text").alias("question"), F.when(F.col("conv_id") % 17 == 0, "").otherwise(F.col("answer")).alias("answer"))
+
+
+@query(f"WITH {PAIRS} SELECT faq_source, pos, faq_source || '-' || id AS chunk_id, 'Question: ' || question || chr(10) || 'Answer: ' || answer AS text FROM c WHERE code IS NULL")
+def faq_chunks(spark, sf_dir):
+    return Q.chunks(_entries(spark, sf_dir)).select("faq_source", "pos", "chunk_id", "text")
+
+
+@query(f"WITH {PAIRS} SELECT faq_source, pos, code, 'warning' AS severity FROM c WHERE code IS NOT NULL UNION ALL SELECT faq_source, pos, 'FAQ_OVERSIZED_ENTRY', 'info' FROM c WHERE code IS NULL AND len(string_split_regex('Question: ' || question || chr(10) || 'Answer: ' || answer, '\\s+')) > 512")
+def faq_quality_flags(spark, sf_dir):
+    return Q.flags(_entries(spark, sf_dir))
+
+
+@query(f"WITH {PAIRS}, k AS (SELECT faq_source, pos, 'faq_' || faq_source || '_' || CASE WHEN length(id) < 4 THEN lpad(id, 4, '0') ELSE id END AS chunk_id FROM c WHERE code IS NULL) SELECT faq_source, pos, chunk_id, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM k WINDOW w AS (PARTITION BY faq_source ORDER BY pos)")
+def faq_prev_next(spark, sf_dir):
+    return Q.neighbours(_entries(spark, sf_dir)).drop("id")
+
+
+# ---- generation -----------------------------------------------------------------------------------
+
+
+def _contexts(spark, sf_dir):
+    hits = _sparse(spark, sf_dir, 3).join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    own = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("ctx"))
+    return questions(spark, sf_dir).join(own, "query_id", "left").withColumn("ctx", F.coalesce("ctx", F.array().cast("array<string>")))
+
+
+@query(f"WITH {SCORED}, h AS (SELECT t.query_id, string_agg('[' || t.rank::VARCHAR || '] ' || d.text, chr(10) || chr(10) ORDER BY t.rank) AS ctx FROM ({TOP}) t JOIN documents d ON d.doc_id = t.chunk_id WHERE t.rank <= 3 GROUP BY 1) SELECT item_id AS query_id, md5('Context:' || chr(10) || coalesce(ctx, '{G.NO_CONTEXT}') || chr(10) || chr(10) || 'Question: ' || text) AS user_md5 FROM benchmark LEFT JOIN h ON h.query_id = item_id")
+def prompt_messages(spark, sf_dir):
+    m = _contexts(spark, sf_dir).select("query_id", G.messages(F.col("text"), F.col("ctx")).alias("m"))
+    return m.select("query_id", F.md5(F.get("m", F.lit(1))["content"].cast("binary")).alias("user_md5"))
+
+
+@query()
+def context_budget(spark, sf_dir):
+    hits = _sparse(spark, sf_dir, 10).join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    return G.budgeted(hits.select("query_id", "rank", G.preview(F.col("source_type"), F.col("chunk_id"), F.col("rank")).alias("head"), "text"))
+
+
+@query(f"WITH {WEIGHTED}, k AS (SELECT query_id, count(*) AS n, max(rrf) AS best, count(*) FILTER (sparse_rank IS NOT NULL AND vector_rank IS NOT NULL) AS dual FROM w WHERE rank <= 10 GROUP BY 1), r AS (SELECT item_id AS query_id, CASE WHEN n IS NULL THEN 'NO_RETRIEVAL_HITS' WHEN n < 2 THEN 'NOT_ENOUGH_HITS' WHEN best < 0.015 THEN 'LOW_RELEVANCE_SCORE' WHEN dual < 1 THEN 'INSUFFICIENT_DUAL_BACKEND_EVIDENCE' END AS reason FROM benchmark LEFT JOIN k ON k.query_id = item_id) SELECT query_id, reason IS NOT NULL AS abstain, reason FROM r")
+def abstention_decision(spark, sf_dir):
+    return G.abstention(questions(spark, sf_dir), _weighted(spark, sf_dir))
+
+
+@query("SELECT event_id, props AS found FROM events")
+def llm_json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", G.json_object(F.concat(F.lit("Sure:\n"), "props", F.lit("\nDone."))).alias("found"))
+
+
+@query()
+def generated_answers(spark, sf_dir):
+    return G.generate(_contexts(spark, sf_dir).select("query_id", G.messages(F.col("text"), F.col("ctx")).alias("messages")))
