@@ -61,14 +61,16 @@ def apply(df: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHAR
         .groupBy("_id")
         .agg(F.collect_set(F.struct("k1", "k2")).alias("_bad"))
     )
-    rows = df.join(marks, df[id_col].eqNullSafe(marks["_id"]), "left").select(*[df[c] for c in names], "_bad", F.split(F.coalesce(df[text_col], F.lit("")), "\n", -1).alias("_lines"))
+    held = df.select(F.struct(*names).alias("_row"))  # so that no column of df can clash with those made here
+    text = F.col("_row")[text_col]
+    rows = held.join(marks, F.col("_row")[id_col].eqNullSafe(F.col("_id")), "left").select("_row", "_bad", F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("_lines"))
     is_bad = lambda x: F.array_contains("_bad", F.struct(*key(trimmed(x))))
     rows = rows.withColumn("_cut", F.when(F.col("_bad").isNotNull(), F.filter("_lines", lambda x: ~is_bad(x))).otherwise(F.col("_lines")))
     size = lambda c: F.length(F.array_join(c, ""))
     whole = F.col("_bad").isNull() | (size("_lines") - size("_cut") > F.lit(max_share) * size("_lines"))
     n, cut = F.size("_lines").cast("long"), F.size("_cut").cast("long")
     return rows.select(
-        *[F.when(whole, F.col(c)).otherwise(F.array_join("_cut", "\n")).alias(c) if c == text_col else F.col(c) for c in names],
+        *[F.when(whole, text).otherwise(F.array_join("_cut", "\n")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names],
         n.alias("n_lines"), (n - cut).alias("n_boilerplate"), F.when(whole, F.lit(0)).otherwise(n - cut).cast("long").alias("n_removed"),
     )
 

@@ -71,15 +71,15 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, block: int = BLO
     plan = stored(schedule(shares(counts, weights, period), period), "schedule").select(F.col("source").alias("_source"), "slots")
     digits = max(1, math.ceil(math.log(max(total.n / RANGE_ROWS, 1), 16)))
     code = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = df.drop("mix_slot", "mix_place", "mix_block").withColumns({"_source": source, "_code": code}).withColumn("_range", F.substring("_code", 1, digits))
+    keep = [c for c in df.columns if c not in ("mix_slot", "mix_place", "mix_block")]
+    rows = df.select(F.struct(*keep).alias("_row"), F.col(id_col).alias("_id"), source.alias("_source"), code.alias("_code")).withColumn("_range", F.substring("_code", 1, digits))
     ranges = df.select(source.alias("_source"), F.substring(code, 1, digits).alias("_range")).groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("n"))
     before = ranges.select("_source", "_range", (F.sum("n").over(Window.partitionBy("_source").orderBy("_range")) - F.col("n")).alias("_before"))
-    within = Window.partitionBy("_source", "_range").orderBy("_code", id_col)
+    within = Window.partitionBy("_source", "_range").orderBy("_code", "_id")
     known = before.join(plan, "_source")
     put = rows.withColumn("_place", F.row_number().over(within) - 1).join(known, ["_source", "_range"])
     place = F.col("_before") + F.col("_place")
     b = F.floor(place / block)
     w = F.size("slots")
     slot = F.floor(b / w) * period + F.get("slots", (b % w).cast("int"))
-    keep = [c for c in df.columns if c not in ("mix_slot", "mix_place", "mix_block")]
-    return put.select(*keep, slot.cast("long").alias("mix_slot"), (place % block).cast("long").alias("mix_place"), b.cast("long").alias("mix_block"))
+    return put.select(*[F.col("_row")[c].alias(c) for c in keep], slot.cast("long").alias("mix_slot"), (place % block).cast("long").alias("mix_place"), b.cast("long").alias("mix_block"))

@@ -1,10 +1,10 @@
 """Removal of repeated passages: distributed prefix doubling over sampled positions.
 
-Every THRESHOLD-byte string has one anchor, its leftmost K-byte prefix of least hash. Equal strings
+Every THRESHOLD-byte string has one anchor, its leftmost K-byte substring of least hash. Equal strings
 have equal anchors at equal places, so the first round ranks anchors only (about one position in
-sixteen) and drops those that no second text holds. Consecutive strings of one anchor travel as one
-run of bytes. Spark then sorts the runs by anchor rank, and within an anchor the ranks of 8-byte
-prefixes double by sorting pairs of ranks at growing offsets (8, 16, 32, then the threshold), each
+eighteen) and drops those that no second text holds. Consecutive strings of one anchor form one
+run. An anchor whose runs are all alike is settled by its smallest document. The others travel as
+bytes: Spark sorts them by anchor rank, and within an anchor the ranks of 8-byte prefixes double by sorting pairs of ranks at growing offsets (8, 16, 32, then the threshold), each
 position leaving once its rank is unique. A class that is left at the threshold is one string; it is
 removed in every document but the smallest that holds it.
 
@@ -30,13 +30,17 @@ from ravelin.llm.common import bounded_batches, stored, texts
 
 THRESHOLD = 50
 #: Bytes of an anchor; hashes are cut to 40 bits, as a false match only costs a later round.
-K = 20
+K = 16
 PLACE_BITS = 24
 SLICE = 1 << 22
+#: A run's first place and count travel as one number, first * RUN + count.
+RUN = 1 << 16
 #: Rows of the corpus for each bucket of anchors in the first round.
-ROWS_PER_BUCKET = 8_000
+ROWS_PER_BUCKET = 32_000
 #: Bytes of runs that a task doubles at a time; an anchor is never split.
 DOUBLING_BYTES = 4 << 20
+#: Contents that a task remembers to merge equal ones before they are shuffled.
+FIRST_SEEN = 200_000
 
 
 def _loads(raw: np.ndarray, dtype: str, n: int, at: int) -> np.ndarray:
@@ -53,7 +57,6 @@ def runs(raw: bytes, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray
         n = len(part) - K + 1
         h = _loads(part, "<u8", n, 0) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29))) + _loads(part, "<u8", n, 8) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(32))) + _loads(part, "<u4", n, 16).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         least = (h & ~np.uint64((1 << PLACE_BITS) - 1)) | np.arange(n, dtype=np.uint64)
         width, have = threshold - K + 1, 1
@@ -79,6 +82,26 @@ def unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _compressed(docs: DataFrame) -> DataFrame:
+    """docs with the text's bytes compressed."""
+
+    def squeeze(batches):
+        for batch in batches:
+            z = zstandard.ZstdCompressor(level=3, write_content_size=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
+
+    import zstandard
+
+    return docs.mapInArrow(squeeze, "doc_id long, text binary")
+
+
+def _restored(column: pa.Array) -> list[bytes]:
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(x) if x else b"" for x in column.to_pylist()]
+
+
 def _shared_anchors(docs: DataFrame, threshold: int, buckets: int) -> DataFrame:
     """(doc_id, anchors): the packed anchors of each document that a different text holds too."""
 
@@ -122,58 +145,107 @@ def _shared_anchors(docs: DataFrame, threshold: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(emit, "bucket int, ids binary, texts binary, n binary, anchors binary").groupBy("bucket").applyInArrow(rank, "doc_id long, anchors binary")
 
 
-def _shared_runs(docs: DataFrame, anchors: DataFrame, threshold: int) -> DataFrame:
-    """(doc_id, first, anchor, content): the runs of documents whose anchors are shared."""
-    lists = anchors.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
+def _shared_runs(docs: DataFrame, lists: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, first, n, anchor, c): the runs of documents whose anchors are shared, with a digest of their bytes."""
 
     def cut(batches):
         for batch in batches:
-            ids, firsts, marks, contents = [], [], [], []
-            for i, t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw = t.encode()
+            ids, parts, digests = [], [[], [], []], []
+            for i, raw, own in zip(batch.column(0).to_pylist(), _restored(batch.column(1)), batch.column(2).to_pylist()):
                 first, n, h = runs(raw, threshold)
                 keep = np.isin(h, unpacked(b"".join(own)))
-                first, n, h = first[keep], n[keep], h[keep]
+                for p, x in zip(parts, (first[keep], n[keep], h[keep].astype(np.int64))):
+                    p.append(x)
+                ids.append(np.full(int(keep.sum()), i))
+                digests += [xxhash.xxh3_64_intdigest(raw[a : a + k + threshold - 1]) for a, k in zip(first[keep].tolist(), n[keep].tolist())]
+            none = [np.empty(0, np.int64)]
+            c = np.array(digests, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + x)) for x in (ids, *parts)] + [pa.array(c)], ["doc_id", "first", "n", "anchor", "c"])
+
+    import xxhash
+
+    return docs.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(cut, "doc_id long, first long, n long, anchor long, c long")
+
+
+def _contents(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, first, anchor, content, ahead) of wanted(doc_id, first, n, anchor).
+
+    ahead marks a row unless its task has had the same content from a document of no larger id: the
+    only rows that can hold the smallest document (FIRST_SEEN contents are remembered at a time).
+    """
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("r")).select("doc_id", "r.first", "r.n", "r.anchor")
+
+    def cut(batches):
+        seen: dict[bytes, int] = {}
+        for batch in batches:
+            ids, firsts, marks, contents, ahead = [], [], [], [], []
+            for i, raw, first, n, h in zip(batch.column(0).to_pylist(), _restored(batch.column(1)), *(batch.column(k).to_pylist() for k in range(2, 5))):
                 ids += [i] * len(h)
-                firsts.append(first)
-                marks.append(h.astype(np.int64))
-                contents += [raw[a : a + k + threshold - 1] for a, k in zip(first.tolist(), n.tolist())]
-            none = np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([none, *firsts]), pa.int64()), pa.array(np.concatenate([none, *marks]), pa.int64()), pa.array(contents, pa.binary())], ["doc_id", "first", "anchor", "content"])
+                firsts += first
+                marks += h
+                own = [raw[a : a + k + threshold - 1] for a, k in zip(first, n)]
+                contents += own
+                for c in own:
+                    had = seen.get(key := xxhash.xxh128_digest(c))
+                    ahead.append(had is None or had > i)
+                    if had is None or had > i:
+                        seen[key] = i
+                if len(seen) > FIRST_SEEN:
+                    seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, firsts, marks)] + [pa.array(contents, pa.binary()), pa.array(ahead, pa.bool_())], ["doc_id", "first", "anchor", "content", "ahead"])
+
+    import xxhash
+
+    return docs.join(lists, "doc_id").select("doc_id", "text", "first", "n", "anchor").mapInArrow(cut, "doc_id long, first long, anchor long, content binary, ahead boolean")
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(cut, "doc_id long, first long, anchor long, content binary")
 
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each pair of names."""
+    h = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (b ^ (b >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-def doubled(buf: np.ndarray, start: np.ndarray, threshold: int) -> np.ndarray:
-    """Class of the threshold-byte string at each start: -1 where it is the only one of its kind."""
+
+def doubled(buf: np.ndarray, start: np.ndarray, group: np.ndarray, threshold: int) -> np.ndarray:
+    """Class of the threshold-byte string at each start: -1 where it is the only one of its kind in its group.
+
+    The name of a prefix is that of its two halves' names; at each length the positions left are sorted
+    by group and name, and those alone with theirs leave.
+    """
     klass = np.full(len(start), -1, np.int64)
-    n = len(buf) - 7
-    reach = 8
-    rank = np.unique(_loads(buf, "<u8", n, 0), return_inverse=True)[1].astype(np.int64)
     alive = np.arange(len(start))
+    name, reach = _loads(buf, "<u8", len(buf) - 7, 0).copy(), 8
     while True:
-        seen = rank[start[alive]]
-        more = np.bincount(seen, minlength=1)[seen] > 1
-        alive = alive[more]
-        if not len(alive) or reach == threshold:
-            klass[alive] = seen[more]
-            return klass
         step = min(reach, threshold - reach)
-        pair = rank[:-step] * (int(rank.max()) + 1) + rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        reach += step
+        name, reach = _paired(name[:-step], name[step:]), reach + step
+        key = _paired(name[start[alive]], group[alive])
+        order = np.argsort(key)
+        k = key[order]
+        first = np.concatenate([[True], k[1:] != k[:-1]])
+        last = np.concatenate([first[1:], [True]])
+        more = ~(first & last)
+        if reach == threshold:
+            klass[alive[order]] = np.where(more, np.cumsum(first), -1)
+            return klass
+        alive = alive[order[more]]
+        if not len(alive):
+            return klass
 
 
 def _least_documents(contents: DataFrame, threshold: int) -> DataFrame:
-    """(anchor, content, least): for each string of a run, the smallest document that holds it, in eight bytes."""
+    """(anchor, content, least): for each string of a run, the smallest document that holds it, in eight bytes; once if all are the same."""
 
     def settle(anchor, content, least):
+        place: dict[tuple, int] = {}
+        same = np.fromiter((place.setdefault(x, len(place)) for x in zip(anchor.tolist(), content)), np.int64, len(content))
+        smallest = np.full(len(place), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, same, least)
+        anchor, content, least = np.fromiter((a for a, _ in place), np.int64, len(place)), [c for _, c in place], smallest
         size = np.fromiter(map(len, content), np.int64, len(content))
         base = np.cumsum(size) - size
         n = size - threshold + 1
         row = np.repeat(np.arange(len(content)), n)
         start = base[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        klass = doubled(np.frombuffer(b"".join(content), np.uint8), start, threshold)
+        klass = doubled(np.frombuffer(b"".join(content), np.uint8), start, anchor[row].view(np.uint64), threshold)
         best = least[row].copy()
         twice = np.flatnonzero(klass >= 0)
         if len(twice):
@@ -183,7 +255,8 @@ def _least_documents(contents: DataFrame, threshold: int) -> DataFrame:
             best[order] = np.repeat(np.minimum.reduceat(best[order], starts), np.diff(starts, append=len(k)))
         ends = np.cumsum(n).tolist()
         raw = best.astype("<i8").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.binary()), pa.array([raw[8 * a : 8 * b] for a, b in zip([0, *ends], ends)], pa.binary())], ["anchor", "content", "least"])
+        even = (np.minimum.reduceat(best, np.cumsum(n) - n) == np.maximum.reduceat(best, np.cumsum(n) - n)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.binary()), pa.array([raw[8 * a : 8 * (a + 1 if e else b)] for a, b, e in zip([0, *ends], ends, even)], pa.binary())], ["anchor", "content", "least"])
 
     def run(batches):
         anchor, content, least, size = np.empty(0, np.int64), [], np.empty(0, np.int64), 0
@@ -209,10 +282,10 @@ def _removed_ranges(occurrences: DataFrame, least: DataFrame, threshold: int) ->
     def ranges(batches):
         for batch in batches:
             ids, froms, tos = [], [], []
-            for doc, first, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for doc, first, n, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 gone = np.frombuffer(raw, "<i8") < doc
                 if gone.all():
-                    a, b = [0], [len(gone)]
+                    a, b = [0], [n]
                 elif gone.any():
                     turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                     a, b = turn[::2].tolist(), turn[1::2].tolist()
@@ -223,10 +296,10 @@ def _removed_ranges(occurrences: DataFrame, least: DataFrame, threshold: int) ->
                 tos += [first + x + threshold - 1 for x in b]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, froms, tos)], ["doc_id", "a", "b"])
 
-    digest = lambda c: [F.xxhash64(c).alias("c1"), F.xxhash64(c, F.lit(1)).alias("c2")]
-    left = occurrences.select("doc_id", "first", "anchor", *digest("content"))
+    digest = lambda c: [F.xxhash64(c).alias("c")]
+    left = occurrences.select("doc_id", (F.col("first") * RUN + F.octet_length("content") - (threshold - 1)).alias("at"), "anchor", *digest("content"))
     right = least.select("anchor", *digest("content"), "least")
-    return left.join(right, ["anchor", "c1", "c2"]).select("doc_id", "first", "least").mapInArrow(ranges, "doc_id long, a long, b long")
+    return left.join(right, ["anchor", "c"]).select("doc_id", F.floor(F.col("at") / RUN).cast("long").alias("first"), (F.col("at") % RUN).alias("n"), "least").mapInArrow(ranges, "doc_id long, a long, b long")
 
 
 def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -241,18 +314,25 @@ def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", tex
     groups = keys.where(F.col("n") >= threshold).groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     copies = stored(keys.join(groups.where("rows > 1"), ["t1", "t2"]).where("doc_id > least").select("doc_id", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b")), "copies")
     rows = df.count()
-    anchors = _shared_anchors(named, threshold, max(16, -(-rows // ROWS_PER_BUCKET)))
-    originals = anchors.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    occurrences = stored(_shared_runs(named, originals, threshold), "runs")
-    contents = occurrences.groupBy("anchor", "content").agg(F.min("doc_id").alias("least"))
-    removed = _removed_ranges(occurrences, _least_documents(contents, threshold), threshold).unionByName(copies)
+    # What follows is one query: the text is dealt out by doc_id once, compressed, and that exchange serves every later step.
+    anchors = _shared_anchors(named, threshold, max(8, -(-rows // ROWS_PER_BUCKET))).join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    named = _compressed(named).where("doc_id is not null")  # as every join below has it, so that the exchange is one
+    lists = anchors.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
+    found = _shared_runs(named, lists, threshold)
+    ranks = found.groupBy("anchor").agg(F.when(F.min("c") == F.max("c"), F.min("doc_id")).alias("least"))  # null: runs of several kinds
+    known = found.select("doc_id", (F.col("first") * RUN + F.col("n")).alias("at"), "anchor").join(ranks, "anchor")
+    known = known.select("doc_id", F.floor(F.col("at") / RUN).cast("long").alias("first"), (F.col("at") % RUN).alias("n"), "anchor", "least")
+    # an anchor with runs of one kind is settled by their smallest document; the others are doubled
+    settled = known.where(F.col("doc_id") > F.col("least")).select("doc_id", F.col("first").alias("a"), (F.col("first") + F.col("n") + (threshold - 1)).alias("b"))
+    occurrences = _contents(named, known.where("least is null").select("doc_id", "first", "n", "anchor"), threshold)
+    contents = occurrences.where("ahead").select("anchor", "content", F.col("doc_id").alias("least"))
+    removed = settled.unionByName(_removed_ranges(occurrences, _least_documents(contents, threshold), threshold)).unionByName(copies)
     spans = removed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")).select("doc_id", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
 
     def cut(batches):
         for batch in batches:
             out = []
-            for text, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                raw = text.encode()
+            for raw, a, b in zip(_restored(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 merged: list[list[int]] = []
                 for x, y in zip(a or (), b or ()):
                     y = min(y, len(raw))
@@ -268,4 +348,7 @@ def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))][: 5 + keep_text], names[: 5 + keep_text])
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    return docs.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    lost = F.lit(None).cast("array<bigint>")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    unnamed = _compressed(docs.where("doc_id is null")).select("doc_id", "text", lost.alias("a"), lost.alias("b"))
+    return named.join(spans, "doc_id", "left").mapInArrow(cut, schema).unionByName(unnamed.mapInArrow(cut, schema))
