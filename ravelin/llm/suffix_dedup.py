@@ -20,6 +20,7 @@ makes others lose any. Other columns are not read. Empty tables give empty resul
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ PLACE_BITS = 24
 SLICE = 1 << 22
 #: A run's first place and count travel as one number, first * RUN + count.
 RUN = 1 << 16
+#: A range to remove travels as first place * SPAN + length.
+SPAN = 1 << 31
 #: Rows of the corpus for each bucket of anchors in the first round.
 ROWS_PER_BUCKET = 32_000
 #: Bytes of runs that a task doubles at a time; an anchor is never split.
@@ -127,15 +130,17 @@ def _shared_anchors(docs: DataFrame, threshold: int, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, (pa.int32(), *[pa.binary()] * 4))], ["bucket", "ids", "texts", "n", "anchors"])
 
     def rank(t: pa.Table) -> pa.Table:
-        n = np.frombuffer(b"".join(t.column("n").to_pylist()), "<i4")
-        doc = np.repeat(np.frombuffer(b"".join(t.column("ids").to_pylist()), "<i8"), n)
-        text = np.repeat(np.frombuffer(b"".join(t.column("texts").to_pylist()), "<i8"), n)
+        column = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+        n = column("n", "<i4")
         h = unpacked(b"".join(t.column("anchors").to_pylist()))
         order = np.argsort(h)
-        h, doc, text = h[order], doc[order], text[order]
+        h = h[order]
         starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+        text = np.repeat(column("texts", "<i8"), n)[order]
         keep = np.repeat(np.minimum.reduceat(text, starts) != np.maximum.reduceat(text, starts), np.diff(starts, append=len(h)))
-        h, doc = h[keep], doc[keep]
+        del text, starts
+        h, order = h[keep], order[keep]
+        doc = np.repeat(column("ids", "<i8"), n)[order]
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
         ids, first = np.unique(doc, return_index=True)
@@ -277,11 +282,11 @@ def _least_documents(contents: DataFrame, threshold: int) -> DataFrame:
 
 
 def _removed_ranges(occurrences: DataFrame, least: DataFrame, threshold: int) -> DataFrame:
-    """(doc_id, a, b): byte ranges to remove, one or more for each run that has any."""
+    """(doc_id, span): byte ranges to remove, one or more for each run that has any."""
 
     def ranges(batches):
         for batch in batches:
-            ids, froms, tos = [], [], []
+            ids, found = [], []
             for doc, first, n, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 gone = np.frombuffer(raw, "<i8") < doc
                 if gone.all():
@@ -292,14 +297,13 @@ def _removed_ranges(occurrences: DataFrame, least: DataFrame, threshold: int) ->
                 else:
                     continue
                 ids += [doc] * len(a)
-                froms += [first + x for x in a]
-                tos += [first + x + threshold - 1 for x in b]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, froms, tos)], ["doc_id", "a", "b"])
+                found += [(first + x) * SPAN + y - x + threshold - 1 for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, found)], ["doc_id", "span"])
 
     digest = lambda c: [F.xxhash64(c).alias("c")]
     left = occurrences.select("doc_id", (F.col("first") * RUN + F.octet_length("content") - (threshold - 1)).alias("at"), "anchor", *digest("content"))
     right = least.select("anchor", *digest("content"), "least")
-    return left.join(right, ["anchor", "c"]).select("doc_id", F.floor(F.col("at") / RUN).cast("long").alias("first"), (F.col("at") % RUN).alias("n"), "least").mapInArrow(ranges, "doc_id long, a long, b long")
+    return left.join(right, ["anchor", "c"]).select("doc_id", F.floor(F.col("at") / RUN).cast("long").alias("first"), (F.col("at") % RUN).alias("n"), "least").mapInArrow(ranges, "doc_id long, span long")
 
 
 def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -312,7 +316,7 @@ def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", tex
     named = docs.where("doc_id is not null")
     keys = named.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), F.octet_length("text").alias("n"))
     groups = keys.where(F.col("n") >= threshold).groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    copies = stored(keys.join(groups.where("rows > 1"), ["t1", "t2"]).where("doc_id > least").select("doc_id", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b")), "copies")
+    copies = stored(keys.join(groups.where("rows > 1"), ["t1", "t2"]).where("doc_id > least").select("doc_id", F.col("n").cast("long").alias("span")), "copies")
     rows = df.count()
     # What follows is one query: the text is dealt out by doc_id once, compressed, and that exchange serves every later step.
     anchors = _shared_anchors(named, threshold, max(8, -(-rows // ROWS_PER_BUCKET))).join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
@@ -323,19 +327,19 @@ def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", tex
     known = found.select("doc_id", (F.col("first") * RUN + F.col("n")).alias("at"), "anchor").join(ranks, "anchor")
     known = known.select("doc_id", F.floor(F.col("at") / RUN).cast("long").alias("first"), (F.col("at") % RUN).alias("n"), "anchor", "least")
     # an anchor with runs of one kind is settled by their smallest document; the others are doubled
-    settled = known.where(F.col("doc_id") > F.col("least")).select("doc_id", F.col("first").alias("a"), (F.col("first") + F.col("n") + (threshold - 1)).alias("b"))
+    settled = known.where(F.col("doc_id") > F.col("least")).select("doc_id", (F.col("first") * SPAN + F.col("n") + (threshold - 1)).alias("span"))
     occurrences = _contents(named, known.where("least is null").select("doc_id", "first", "n", "anchor"), threshold)
     contents = occurrences.where("ahead").select("anchor", "content", F.col("doc_id").alias("least"))
     removed = settled.unionByName(_removed_ranges(occurrences, _least_documents(contents, threshold), threshold)).unionByName(copies)
-    spans = removed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")).select("doc_id", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    spans = removed.groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
     def cut(batches):
         for batch in batches:
             out = []
-            for raw, a, b in zip(_restored(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for raw, found in zip(_restored(batch.column(1)), batch.column(2).to_pylist()):
                 merged: list[list[int]] = []
-                for x, y in zip(a or (), b or ()):
-                    y = min(y, len(raw))
+                for x, y in map(divmod, found or (), repeat(SPAN)):
+                    y = min(x + y, len(raw))
                     if merged and x <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], y)
                     elif x < y:
@@ -350,5 +354,5 @@ def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", tex
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     lost = F.lit(None).cast("array<bigint>")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    unnamed = _compressed(docs.where("doc_id is null")).select("doc_id", "text", lost.alias("a"), lost.alias("b"))
+    unnamed = _compressed(docs.where("doc_id is null")).select("doc_id", "text", lost.alias("spans"))
     return named.join(spans, "doc_id", "left").mapInArrow(cut, schema).unionByName(unnamed.mapInArrow(cut, schema))
