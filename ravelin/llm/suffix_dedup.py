@@ -106,17 +106,18 @@ def _restored(column: pa.Array) -> list[bytes]:
 
 
 def _shared_anchors(docs: DataFrame, threshold: int, buckets: int) -> DataFrame:
-    """(doc_id, anchors): the packed anchors of each document that a different text holds too."""
+    """(doc_id, anchors): the packed anchors of each document that another document holds too.
+
+    docs has compressed texts, no two documents with the same one.
+    """
 
     def emit(batches):
         for batch in batches:
-            hs, which, of = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                raw = t.encode()
+            hs, which = [], []
+            for i, raw in enumerate(_restored(batch.column(1))):
                 h = np.unique(runs(raw, threshold)[2])
                 hs.append(h)
                 which.append(np.full(len(h), i))
-                of.append(hashlib.blake2b(raw, digest_size=8).digest())
             h, w = np.concatenate([np.empty(0, np.uint64), *hs]), np.concatenate([np.empty(0, np.int64), *which])
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(h % np.uint64(buckets), kind="stable")
@@ -126,8 +127,8 @@ def _shared_anchors(docs: DataFrame, threshold: int, buckets: int) -> DataFrame:
             for b in range(buckets):
                 if cut[b] < cut[b + 1]:
                     here, n = np.unique(w[cut[b] : cut[b + 1]], return_counts=True)
-                    rows.append((b, ids[here].astype("<i8").tobytes(), b"".join(of[i] for i in here.tolist()), n.astype("<i4").tobytes(), packed(h[cut[b] : cut[b + 1]])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, (pa.int32(), *[pa.binary()] * 4))], ["bucket", "ids", "texts", "n", "anchors"])
+                    rows.append((b, ids[here].astype("<i8").tobytes(), n.astype("<i4").tobytes(), packed(h[cut[b] : cut[b + 1]])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, (pa.int32(), *[pa.binary()] * 3))], ["bucket", "ids", "n", "anchors"])
 
     def rank(t: pa.Table) -> pa.Table:
         column = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
@@ -136,18 +137,16 @@ def _shared_anchors(docs: DataFrame, threshold: int, buckets: int) -> DataFrame:
         order = np.argsort(h)
         h = h[order]
         starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-        text = np.repeat(column("texts", "<i8"), n)[order]
-        keep = np.repeat(np.minimum.reduceat(text, starts) != np.maximum.reduceat(text, starts), np.diff(starts, append=len(h)))
-        del text, starts
-        h, order = h[keep], order[keep]
         doc = np.repeat(column("ids", "<i8"), n)[order]
+        keep = np.repeat(np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), np.diff(starts, append=len(h)))
+        h, doc = h[keep], doc[keep]
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
         ids, first = np.unique(doc, return_index=True)
         cut = [*first.tolist(), len(doc)]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "anchors": pa.array([packed(h[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())})
 
-    return docs.mapInArrow(emit, "bucket int, ids binary, texts binary, n binary, anchors binary").groupBy("bucket").applyInArrow(rank, "doc_id long, anchors binary")
+    return docs.mapInArrow(emit, "bucket int, ids binary, n binary, anchors binary").groupBy("bucket").applyInArrow(rank, "doc_id long, anchors binary")
 
 
 def _shared_runs(docs: DataFrame, lists: DataFrame, threshold: int) -> DataFrame:
@@ -319,8 +318,9 @@ def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", tex
     copies = stored(keys.join(groups.where("rows > 1"), ["t1", "t2"]).where("doc_id > least").select("doc_id", F.col("n").cast("long").alias("span")), "copies")
     rows = df.count()
     # What follows is one query: the text is dealt out by doc_id once, compressed, and that exchange serves every later step.
-    anchors = _shared_anchors(named, threshold, max(8, -(-rows // ROWS_PER_BUCKET))).join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
     named = _compressed(named).where("doc_id is not null")  # as every join below has it, so that the exchange is one
+    fresh = named.join(copies.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")  # on that exchange too
+    anchors = _shared_anchors(fresh, threshold, max(8, -(-rows // ROWS_PER_BUCKET)))
     lists = anchors.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
     found = _shared_runs(named, lists, threshold)
     ranks = found.groupBy("anchor").agg(F.when(F.min("c") == F.max("c"), F.min("doc_id")).alias("least"))  # null: runs of several kinds
