@@ -20,6 +20,7 @@ makes others lose any. Other columns are not read. Empty tables give empty resul
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -33,7 +34,7 @@ THRESHOLD = 50
 #: Bytes of an anchor; hashes are cut to 40 bits, as a false match only costs a later round.
 K = 16
 PLACE_BITS = 24
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: A run's first place and count travel as one number, first * RUN + count.
 RUN = 1 << 16
 #: A range to remove travels as first place * SPAN + length.
@@ -91,18 +92,19 @@ def _compressed(docs: DataFrame) -> DataFrame:
     def squeeze(batches):
         for batch in batches:
             z = zstandard.ZstdCompressor(level=3, write_content_size=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t.as_py().encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "text"])
 
     import zstandard
 
     return docs.mapInArrow(squeeze, "doc_id long, text binary")
 
 
-def _restored(column: pa.Array) -> list[bytes]:
+def _restored(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a batch, one at a time."""
     import zstandard
 
     z = zstandard.ZstdDecompressor()
-    return [z.decompress(x) if x else b"" for x in column.to_pylist()]
+    return (z.decompress(x.as_py()) if x.is_valid else b"" for x in column)
 
 
 def _shared_anchors(docs: DataFrame, threshold: int, buckets: int) -> DataFrame:
@@ -310,7 +312,7 @@ def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", tex
     if threshold < K + 12:
         raise ValueError(f"the threshold must be {K + 12} bytes or more")
     spark = df.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, mb=8)
     docs = texts(df, id_col, text_col)
     named = docs.where("doc_id is not null")
     keys = named.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), F.octet_length("text").alias("n"))
@@ -346,10 +348,10 @@ def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", tex
                         merged.append([x, y])
                 edges = [0, *[e for m in merged for e in m], len(raw)]
                 kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
-                out.append((len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-            cols = list(zip(*out)) or [()] * 5
+                out.append((len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), *[kept][:keep_text]))
+            cols = list(zip(*out)) or [()] * (4 + keep_text)
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))][: 5 + keep_text], names[: 5 + keep_text])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names[: 5 + keep_text])
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     lost = F.lit(None).cast("array<bigint>")
