@@ -31,6 +31,8 @@ from ravelin.llm.common import bounded_batches, texts
 MARK = "▁"
 CACHE_CHUNKS = 500_000
 LONG_CHUNK = 48
+#: Words whose pieces are put together at a time.
+GATHERED = 1 << 16
 
 COLUMNS = {
     "ids": ("array<int>", pa.list_(pa.int32())),
@@ -255,9 +257,13 @@ class Encoded:
 
 def gathered(flat: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The pieces ends[p]..ends[p + 1] of flat, one after another."""
-    size = ends[places + 1] - ends[places]
-    to = np.cumsum(size)
-    return flat[np.repeat(ends[places] - to + size, size) + np.arange(to[-1] if len(to) else 0)]
+    parts = [flat[:0]]
+    for at in range(0, len(places), GATHERED):
+        p = places[at : at + GATHERED]
+        size = ends[p + 1] - ends[p]
+        to = np.cumsum(size)
+        parts.append(flat[np.repeat(ends[p] - to + size, size) + np.arange(to[-1])])
+    return np.concatenate(parts)
 
 
 def replaced(run: bytes) -> str:
@@ -279,7 +285,7 @@ def replaced(run: bytes) -> str:
 
 def apply(df: DataFrame, model_path: str, outputs: tuple[str, ...] = ("ids", "decoded"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the wanted outputs (see COLUMNS) of every row, by one narrow pass."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, mb=8)
     types = {k: COLUMNS[k][1] for k in outputs}
 
     def run(batches):
