@@ -31,6 +31,10 @@ from ravelin.llm.common import bounded_batches, texts
 MARK = "▁"
 CACHE_CHUNKS = 500_000
 LONG_CHUNK = 48
+#: Rank of a pair whose union is no piece.
+NO_PIECE = 1 << 62
+#: Ids of remembered words, at most, before a batch.
+MOST_IDS = 12 << 20
 #: Words whose pieces are put together at a time.
 GATHERED = 1 << 16
 
@@ -59,25 +63,28 @@ class Codec:
 
         self.lib = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         n = lib.get_piece_size()
-        self.bytes: dict[int, str] = {}
-        self.id_of: dict[str, str] = {}
+        self.bytes: dict[int, int] = {}
+        self.id_of: dict[str, int] = {}
         score: dict[str, float] = {}
         self.eos = lib.eos_id()
         shown: list[bytes] = []
         for i in range(n):
             p = lib.id_to_piece(i)
             if lib.is_byte(i):
-                self.bytes[int(p[3:5], 16)] = str(i)
+                self.bytes[int(p[3:5], 16)] = i
                 shown.append(bytes([int(p[3:5], 16)]))
             elif lib.is_control(i):
                 shown.append(b"")
             elif lib.is_unknown(i):
                 shown.append(" \u2047 ".encode())
             else:
-                score[p], self.id_of[p] = lib.get_score(i), str(i)
+                score[p], self.id_of[p] = lib.get_score(i), i
                 shown.append(p.replace(MARK, " ").encode())
         self.blob = np.frombuffer(b"".join(shown), np.uint8)
         self.blob_ends = np.concatenate([[0], np.cumsum([len(x) for x in shown])])
+        spelled = [b"%d " % i for i in range(n)]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spelled_ends = np.concatenate([[0], np.cumsum([len(x) for x in spelled])])
         self.silent = np.array([not x for x in shown])
         self.marked = np.array([lib.id_to_piece(i)[:1] == MARK for i in range(n)])
         order = {x: r for r, x in enumerate(sorted(set(score.values()), reverse=True))}
@@ -85,47 +92,62 @@ class Codec:
         #: Characters that stand side by side in some piece; merges cannot cross any other place.
         self.pairs = {p[i : i + 2] for p in score for i in range(len(p) - 1)}
         self.plain = not any("\n" in x or (x[1] == MARK and x[0] != MARK) for x in self.pairs)
-        self.parts: dict[str, list[str]] = {}
+        self.parts: dict[str, list[int]] = {}
         self.words = Known(self)
 
-    def agenda(self, s: str) -> list[str]:
-        """The ids of one chunk, as decimal text. An entry is a pair's rank by score, then its left place."""
+    def agenda(self, s: str) -> list[int]:
+        """The ids of one part. The agenda of a short part stands in text order, that of a longer one is a heap."""
+        sym = self.merged_by_heap(s) if len(s) > LONG_CHUNK else self.merged_in_place(s)
+        try:
+            return [self.id_of[x] for x in sym]
+        except KeyError:
+            return [i for x in sym for i in ([self.id_of[x]] if x in self.id_of else [self.bytes[b] for b in x.encode()])]
+
+    def merged_in_place(self, s: str) -> list[str]:
+        """Symbols of a short part: the agenda holds the rank of the pair at each place; the least, then leftmost, is next."""
+        rank = self.rank.get
+        sym = list(s)
+        agenda = [rank(x + y, NO_PIECE) for x, y in zip(sym, sym[1:])]
+        while agenda and (best := min(agenda)) != NO_PIECE:
+            i = agenda.index(best)
+            p = sym[i] = sym[i] + sym.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(sym[i - 1] + p, NO_PIECE)
+            if i < len(agenda):
+                agenda[i] = rank(p + sym[i + 1], NO_PIECE)
+        return sym
+
+    def merged_by_heap(self, s: str) -> list[str]:
+        """Symbols of a part of any length. An entry is a pair's rank by score, then its left place."""
         rank = self.rank.get
         sym: list[str | None] = list(s)
         n = len(sym)
         shift = n.bit_length()
         left_of = (1 << shift) - 1
         heap = [(r << shift) | i for i, (x, y) in enumerate(zip(sym, sym[1:])) if (r := rank(x + y)) is not None]
-        if heap:
-            heapq.heapify(heap)
-            prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
-            while heap:
-                e = heapq.heappop(heap)
-                a = e & left_of
-                if sym[a] is None or (b := nxt[a]) >= n or rank(p := sym[a] + sym[b]) != e >> shift:
-                    continue  # a symbol of this pair has merged since
-                sym[a], sym[b] = p, None
-                c = nxt[a] = nxt[b]
-                if c < n:
-                    prev[c] = a
-                    if (r := rank(p + sym[c])) is not None:
-                        heapq.heappush(heap, (r << shift) | a)
-                if (c := prev[a]) >= 0 and (r := rank(sym[c] + p)) is not None:
-                    heapq.heappush(heap, (r << shift) | c)
-        out: list[str] = []
-        for x in sym:
-            if x is not None:
-                if (i := self.id_of.get(x)) is not None:
-                    out.append(i)
-                else:
-                    out += [self.bytes[b] for b in x.encode()]
-        return out
-
-    def encode_chunk(self, s: str) -> list[str]:
+        heapq.heapify(heap)
+        prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
+        while heap:
+            e = heapq.heappop(heap)
+            a = e & left_of
+            if sym[a] is None or (b := nxt[a]) >= n or rank(p := sym[a] + sym[b]) != e >> shift:
+                continue  # a symbol of this pair has merged since
+            sym[a], sym[b] = p, None
+            c = nxt[a] = nxt[b]
+            if c < n:
+                prev[c] = a
+                if (r := rank(p + sym[c])) is not None:
+                    heapq.heappush(heap, (r << shift) | a)
+            if (c := prev[a]) >= 0 and (r := rank(sym[c] + p)) is not None:
+                heapq.heappush(heap, (r << shift) | c)
+        return [x for x in sym if x is not None]
+
+    def encode_chunk(self, s: str) -> list[int]:
         """The ids of a text with marks for blanks: cut where nothing can merge, one agenda for each part."""
         pairs, parts = self.pairs, self.parts
-        cuts = [0, *[i + 1 for i in range(len(s) - 1) if s[i : i + 2] not in pairs], len(s)]
-        out: list[str] = []
+        cuts = [0, *[i for i, (x, y) in enumerate(zip(s, s[1:]), 1) if x + y not in pairs], len(s)]
+        out: list[int] = []
         for a, b in zip(cuts, cuts[1:]):
             part = s[a:b]
             ids = parts.get(part)
@@ -138,10 +160,10 @@ class Codec:
             out += ids
         return out
 
-    def check(self, new: list[tuple[str, list[str]]]) -> None:
+    def check(self, new: list[tuple[str, list[int]]]) -> None:
         """Hold newly met words against the library, which adds one mark in front by itself."""
         for (word, out), ids in zip(new, self.lib.encode([w for w, _ in new], num_threads=1)):
-            if ids != [int(x) for x in out]:
+            if ids != out:
                 raise ValueError(f"encoding differs from the library's for {word!r}")
 
     def encode_batch(self, batch: list[str]) -> "Encoded":
@@ -154,7 +176,7 @@ class Codec:
             if text:
                 split = text.replace("\n", " \n").split(" ")
                 if MARK in text or "" in split or not self.plain:
-                    places.append(words.add("", self.encode_chunk(MARK + text.replace(" ", MARK))))
+                    places.append(words.add(self.encode_chunk(MARK + text.replace(" ", MARK))))
                 else:
                     places += [words[w] for w in split]
             places.append(0)
@@ -192,7 +214,7 @@ class Codec:
 
 
 class Known(dict):
-    """Place of each known word in flat arrays of ids and of their decimal text; two generations."""
+    """Place of each known word in a flat array of ids; two generations."""
 
     def __init__(self, codec: Codec):
         super().__init__()
@@ -200,58 +222,57 @@ class Known(dict):
         self.start_over()
 
     def start_over(self) -> None:
-        self.ids, self.spelled = array("i"), bytearray()
-        self.id_ends, self.spelled_ends = array("q", [0]), array("q", [0])
-        self.add("", [str(self.codec.eos)])
+        self.ids, self.id_ends = array("i"), array("q", [0])
+        self.add([self.codec.eos])
 
     def turn(self) -> None:
         """Between batches: with a full young generation, the words go to the old one, which is forgotten."""
-        if len(self) >= CACHE_CHUNKS or len(self.spelled) > 64 << 20:
+        if len(self) >= CACHE_CHUNKS or len(self.ids) > MOST_IDS:
             self.old = {w: self.ids[self.id_ends[k] : self.id_ends[k + 1]] for w, k in self.items()}
             self.clear()
             self.start_over()
 
-    def add(self, word: str, ids: list[str]) -> int:
-        self.ids.extend(map(int, ids))
-        self.spelled += (" ".join(ids) + " ").encode()
+    def add(self, ids: list[int]) -> int:
+        self.ids.extend(ids)
         self.id_ends.append(len(self.ids))
-        self.spelled_ends.append(len(self.spelled))
         return len(self.id_ends) - 2
 
     def __missing__(self, word: str) -> int:
         before = self.old.get(word)
         if before is not None:
-            ids = [str(i) for i in before]
+            ids = before
         else:
             ids = self.codec.encode_chunk(word if word[0] == "\n" else MARK + word)
             if word[0] != "\n":
                 self.unchecked.append((word, ids))
-        k = self.add(word, ids)
+        k = self.add(ids)
         if len(word) <= LONG_CHUNK:
             self[word] = k
         return k
 
 
 class Encoded:
-    """Ids of a batch of texts, held as places in the words' flat arrays."""
+    """Ids of a batch of texts, one text after another."""
 
     def __init__(self, codec: Codec, places: np.ndarray, ends: np.ndarray):
-        self.codec, self.places, self.ends = codec, places, ends
         w = codec.words
-        self.id_ends, self.spelled_ends = np.frombuffer(w.id_ends, np.int64).copy(), np.frombuffer(w.spelled_ends, np.int64).copy()
-        self.all_ids, self.all_spelled = np.frombuffer(w.ids, np.int32).copy(), np.frombuffer(bytes(w.spelled), np.uint8)
+        id_ends = np.frombuffer(w.id_ends, np.int64)
+        self.codec = codec
+        self._ids = gathered(np.frombuffer(w.ids, np.int32), id_ends, places)
+        self._bounds = np.cumsum(id_ends[places + 1] - id_ends[places])[ends - 1]
 
     def ids(self) -> np.ndarray:
-        return gathered(self.all_ids, self.id_ends, self.places)
+        return self._ids
 
     def id_bounds(self) -> np.ndarray:
         """End of each text in ids()."""
-        return np.cumsum(self.id_ends[self.places + 1] - self.id_ends[self.places])[self.ends - 1]
+        return self._bounds
 
     def spelled(self) -> list[bytes]:
         """The decimal ids of each text, joined by blanks."""
-        flat = gathered(self.all_spelled, self.spelled_ends, self.places).tobytes()
-        ends = np.cumsum(self.spelled_ends[self.places + 1] - self.spelled_ends[self.places])[self.ends - 1].tolist()
+        to = np.cumsum(np.diff(self.codec.spelled_ends)[self._ids])
+        flat = gathered(self.codec.spelled, self.codec.spelled_ends, self._ids).tobytes()
+        ends = to[self._bounds - 1].tolist()
         return [flat[a : b - 1] for a, b in zip([0, *ends], ends)]
 
 
