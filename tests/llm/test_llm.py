@@ -70,6 +70,14 @@ def test_sentencepiece_random():
     assert codec.decode_batch(encoded.ids(), encoded.id_bounds()) == codec.lib.decode(ids)
 
 
+def test_sentencepiece_long_parts():
+    codec, rng = sentencepiece_codec.Codec.of(piece_model()), random.Random(4)
+    parts = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(0, 200))) for _ in range(200)] + ["a" * 5000, "=" * 3001, "ab" * 999]
+    for part in parts:
+        assert codec.merged_by_heap(part) == codec.merged_in_place(part)
+    assert [codec.encode_text(p) for p in parts] == codec.lib.encode(parts, add_eos=True)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(300, 64))
