@@ -180,6 +180,8 @@ SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 13
 #: Bits of the wide fingerprint's first 128 that may differ in a candidate pair, about five deviations
 #: above the mean at SIMILARITY, and the segments of its ring.
 CHECK_DIFF, CHECK_SEGMENTS = 38, 8
+#: Sets of shingles that are compared with one at a time.
+BLOCK_ROWS = 256
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,10 +217,20 @@ def ring_mask(x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
     return chain.any(axis=0)
 
 
+def _alike(n, c1, c2, i, j):
+    """Which rows i and j may be near-duplicates by their numbers of shingles and the ring filter."""
+    return (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j])) & ring_mask(c1[i] ^ c1[j], c2[i] ^ c2[j])
+
+
 def _run_pairs(key, ids, n, c1, c2):
-    """Candidate pairs among rows of equal key (sorted): all in small runs, a spanning forest in large ones."""
-    left, right = [], []
-    alike = lambda i, j: (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j])) & ring_mask(c1[i] ^ c1[j], c2[i] ^ c2[j])
+    """Candidates among rows of equal key (sorted), as (label, a, b): all pairs of small runs under label 0.
+
+    In large runs the rows that the filter connects, over whatever chain, are one crowd: a label and,
+    as (label, member, member), all its members. Every candidate pair of the run is inside one crowd.
+    """
+    import xxhash
+
+    label, left, right = [], [], []
     edge = np.flatnonzero(np.diff(key)) + 1
     starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
     size = np.repeat(ends - starts, ends - starts)
@@ -227,7 +239,8 @@ def _run_pairs(key, ids, n, c1, c2):
         i = small[: -s or None][key[small[s:]] == key[small[: -s or None]]] if s < len(small) else small[:0]
         if not len(i):
             break
-        i = i[alike(i, i + s)]
+        i = i[_alike(n, c1, c2, i, i + s)]
+        label.append(np.zeros(len(i), np.int64))
         left.append(ids[i])
         right.append(ids[i + s])
     for a, b in zip(starts.tolist(), ends.tolist()) if (size > SMALL_RUN).any() else ():
@@ -235,21 +248,25 @@ def _run_pairs(key, ids, n, c1, c2):
             continue
         rest = np.arange(a, b)
         while len(rest):
-            queue, rest = [rest[0]], rest[1:]
+            queue, crowd, rest = [rest[0]], [rest[:1]], rest[1:]
             while queue and len(rest):
-                at = queue.pop()
-                hit = alike(np.full(len(rest), at), rest)
+                hit = _alike(n, c1, c2, queue.pop(), rest)
                 if hit.any():
                     found, rest = rest[hit], rest[~hit]
                     queue += found.tolist()
-                    left.append(np.full(len(found), ids[at]))
-                    right.append(ids[found])
+                    crowd.append(found)
+            if len(crowd) > 1:
+                members = np.sort(ids[np.concatenate(crowd)])
+                # equal crowds of several segments have one label; should two others share it, they are searched as one
+                label.append(np.full(len(members), xxhash.xxh64_intdigest(members.tobytes(), SEED) >> 1 | 1))
+                left.append(members)
+                right.append(members)
     none = np.empty(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    return np.concatenate([none, *label]), np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b) of reps(doc_id, n, code): pairs that share a 16-bit segment and pass the ring filter."""
+    """(label, a, b) of reps(doc_id, n, code): pairs (label 0) and crowds of those that share a 16-bit segment and pass the ring filter."""
     seg = lambda i: (F.shiftright(F.get("code", F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF)) + F.lit(i << 16)).cast("int")
     rows = reps.select(F.explode(F.array(*[seg(i) for i in range(4 * WIDTH)])).alias("key"), "doc_id", "n", F.get("code", F.lit(0)).alias("c1"), F.get("code", F.lit(1)).alias("c2"))
 
@@ -268,14 +285,51 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield out(_run_pairs(*held))
 
-    def out(pair):
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*pair)), pa.array(np.maximum(*pair))], ["a", "b"])
+    def out(found):
+        label, a, b = found
+        return pa.RecordBatch.from_arrays([pa.array(label), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["label", "a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "label long, a long, b long").distinct()
+
+
+def _crowd_links(ids, n, c1, c2, sets):
+    """Verified links that connect all near-duplicates of a crowd: a row is reached only over a pair whose shingles were compared."""
+    left, right = [], []
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(size)
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own, rest = np.zeros(len(names), bool), np.arange(len(ids))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            near = np.flatnonzero(_alike(n, c1, c2, at, rest))
+            if not len(near):
+                continue
+            mine = flat[ends[at] - size[at] : ends[at]]
+            own[mine] = True
+            hit = np.zeros(len(rest), bool)
+            for k in range(0, len(near), BLOCK_ROWS):
+                part = rest[near[k : k + BLOCK_ROWS]]
+                upto = np.cumsum(size[part])
+                where = np.arange(upto[-1]) + np.repeat(ends[part] - upto, size[part])
+                both = np.add.reduceat(own[flat[where]], upto - size[part], dtype=np.int64)
+                hit[near[k : k + BLOCK_ROWS]] = both >= SIMILARITY * (size[at] + size[part] - both)
+            own[mine] = False
+            if hit.any():
+                found, rest = rest[hit], rest[~hit]
+                queue += found.tolist()
+                left.append(np.full(len(found), ids[at]))
+                right.append(ids[found])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
+def similar_pairs(df: DataFrame, reps: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) that connect all candidates found(label, a, b) whose sets of shingles have a Jaccard similarity of SIMILARITY or more.
 
-def similar_pairs(df: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Those pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILARITY or more."""
+    Pairs are compared one by one, crowds by a search that compares all pairs but those already connected.
+    """
 
     def sets(batches):
         for batch in batches:
@@ -291,11 +345,34 @@ def similar_pairs(df: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+    def search(batches):
+        held, at = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if row[0] != at and held:
+                    yield linked(held)
+                    held = []
+                at = row[0]
+                held.append(row[1:])
+        if held:
+            yield linked(held)
+
+    def linked(rows):
+        ids, c1, c2, s = zip(*rows)
+        s = [np.frombuffer(x, np.uint64) for x in s]
+        words = [np.array(c, np.int64).view(np.uint64) for c in (c1, c2)]
+        pair = _crowd_links(np.array(ids, np.int64), np.array([len(x) for x in s], np.float64), *words, s)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["a", "b"])
+
+    named = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "doc_id")
     own = stored(texts(df, id_col, text_col).join(named, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary").dropDuplicates(["doc_id"]), "sets")
-    with_a = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+    with_a = found.where("label = 0").select("a", "b").join(own.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     both = with_a.join(own.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    few = both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    codes = reps.select("doc_id", F.get("code", F.lit(0)).alias("c1"), F.get("code", F.lit(1)).alias("c2"))
+    crowds = found.where("label <> 0").select("label", F.col("a").alias("doc_id")).join(own.join(codes, "doc_id"), "doc_id").select("label", "doc_id", "c1", "c2", "s")
+    many = crowds.repartition("label").sortWithinPartitions("label", "doc_id").mapInArrow(search, "a long, b long")
+    return few.unionByName(many)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,13 +382,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     similarity of SIMILARITY or more over SHINGLE-word shingles. At that similarity about 15 % of
     SimHash bits differ, too many for an exact search by segments, so candidates share one of the
     4 * WIDTH segments of a wide fingerprint (98 % of pairs at 0.8, more above) and pass the ring
-    filter on its first 128 bits; each candidate is then compared by its shingles. Rows without an id
-    are in no group; rows that repeat an id are one document.
+    filter on its first 128 bits; each candidate is then compared by its shingles, unless compared
+    pairs connect the two already. Rows without an id are in no group; rows that repeat an id are one document.
     """
     found = stored(sketches(df, id_col, text_col).where("doc_id is not null"), "sketches")
     classes = stored(found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "code")).alias("r")).select("k1", "k2", "r.*"), "classes")
     copies = found.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", F.col("doc_id").alias("rep")), ["k1", "k2"])
-    pairs = stored(candidate_pairs(classes.where("n > 0").select("doc_id", "n", "code")), "pairs")
-    roots = components(similar_pairs(df, pairs, id_col, text_col)).withColumnRenamed("node", "rep")
+    reps = classes.where("n > 0").select("doc_id", "n", "code")
+    pairs = stored(candidate_pairs(reps), "pairs")
+    roots = components(similar_pairs(df, reps, pairs, id_col, text_col)).withColumnRenamed("node", "rep")
     named = copies.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     return named.where("doc_id <> root").distinct()

@@ -275,6 +275,29 @@ def test_near_duplicates(spark):
     assert gone == {100 + i: i for i in range(20)} | {301: 300, 302: 300}
 
 
+def test_near_duplicates_in_a_family_below_the_limit(spark):
+    """Texts of one family are alike but not near-duplicates; their twins must be found among them."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(300), 7):
+            w[at] = f"x{i}_{at}"
+        twin = list(w)
+        for at in rng.sample(range(300), 5):
+            twin[at] = f"y{i}_{at}"
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(twin))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(296)} for d, t in rows}
+    code = {r.doc_id: np.array(r.code, np.int64).view(np.uint64) for r in simhash.sketches(df).collect()}
+    meets = lambda a, b: (((code[a] ^ code[b]).view(np.uint16)) == 0).any() and simhash.ring_mask(*((code[a] ^ code[b])[:2, None]))[0]
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    find = rooted(sets, [(a, b) for a, b in alike if meets(a, b)])
+    assert sum(find(d) != d for d in sets) > 250 and len({find(d) for d in sets}) > 50
+    same(simhash.near_duplicates(df), [(d, find(d)) for d in sets if find(d) != d], "doc_id", "root")
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     db = duckdb.connect()
