@@ -10,6 +10,8 @@ from ravelin.llm.common import stored, table
 from ravelin.llm.queries import piece_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document's slot in the mixing schedule and its place in the slot's block; sorted by both, documents are in the order of the mix.
+PLACE = ("mix_slot", "mix_place")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +33,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixing schedule."""
-    return mixing.mix(docs.select(*COLUMNS)).orderBy("mix_slot", "mix_place").select(*COLUMNS)
+    """All documents, in the order of the mixing schedule, with their places in it: files are not read back in order.
+
+    The target weights are the square roots of the numbers of rows.
+    """
+    return mixing.mix(docs.select(*COLUMNS)).orderBy("mix_slot", "mix_place").select(*COLUMNS, *PLACE)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, in the order of the mix, with digests of ids and of the decoded text."""
-    return sentencepiece_codec.apply(docs, piece_model(), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    """Token ids of each document, with digests of ids and of the decoded text; the order of the mix is that of PLACE."""
+    return sentencepiece_codec.apply(docs, piece_model(), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"), keep=PLACE)
 
 
 STAGES = [

@@ -13,9 +13,9 @@ SPACE = r"\x20\x09-\x0D"
 WORD_SPLIT = f"[{SPACE}]+"
 
 
-def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string): null texts become empty, other columns are left out."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id long, text string), then the columns keep: null texts become empty, other columns are left out."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
 
 
 def lower_ascii(c):

@@ -304,8 +304,8 @@ def replaced(run: bytes) -> str:
     return "".join(out)
 
 
-def apply(df: DataFrame, model_path: str, outputs: tuple[str, ...] = ("ids", "decoded"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the wanted outputs (see COLUMNS) of every row, by one narrow pass."""
+def apply(df: DataFrame, model_path: str, outputs: tuple[str, ...] = ("ids", "decoded"), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the wanted outputs (see COLUMNS) and the columns keep of every row, by one narrow pass."""
     bounded_batches(df.sparkSession, mb=8)
     types = {k: COLUMNS[k][1] for k in outputs}
 
@@ -326,6 +326,7 @@ def apply(df: DataFrame, model_path: str, outputs: tuple[str, ...] = ("ids", "de
                 made["decoded"] = codec.decode_batch(ids, bounds)
                 if "decoded_sha256" in outputs:
                     made["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in made["decoded"]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(made[k] if isinstance(made[k], pa.Array) else pa.array(made[k], types[k]) for k in outputs)], ["doc_id", *outputs])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(made[k] if isinstance(made[k], pa.Array) else pa.array(made[k], types[k]) for k in outputs), *batch.columns[2:]], ["doc_id", *outputs, *keep])
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {COLUMNS[k][0]}" for k in outputs))
+    kept = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
+    return texts(df, id_col, text_col, keep).mapInArrow(run, ", ".join(["doc_id long", *(f"{k} {COLUMNS[k][0]}" for k in outputs), *kept]))

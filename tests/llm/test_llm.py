@@ -318,3 +318,22 @@ def test_pipeline(spark):
     assert not seed & kept and len(kept) > 0.7 * len(texts)
     left = collections.Counter(texts[d] for d in kept)
     assert max(left.values()) == 1
+
+
+def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
+    rng = random.Random(8)
+    source = {i: f"s{min(i % 6, 2)}" for i in range(1500)}
+    rows = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(30)), "en", s, 0) for i, s in source.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", *corpus_pipeline.PLACE).collect()
+    at = {(r.mix_slot, r.mix_place): source[r.doc_id] for r in out}
+    assert len(out) == len(at) == len(rows)
+    counts = spark.createDataFrame(list(collections.Counter(source.values()).items()), "source string, n long")
+    share = {r.source: r.w / mixing.PERIOD for r in mixing.shares(counts, None, mixing.PERIOD).collect()}
+    blocks = {slot: s for (slot, _), s in at.items()}
+    assert all(blocks[slot] == s for (slot, _), s in at.items()) and len(blocks) > 90
+    last, taken = {s: max(t for t, x in blocks.items() if x == s) for s in share}, collections.Counter()
+    for t in range(min(last.values()) + 1):
+        assert all(abs(taken[s] - share[s] * t) < 1 for s in share)
+        taken[blocks[t]] += 1
