@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on many sites; n_chars follows the text."""
-    cleaned = line_dedup.apply(docs.select(*COLUMNS))
+    """All documents, without lines of any length that stand on many sites; n_chars follows the text."""
+    cleaned = line_dedup.apply(docs.select(*COLUMNS), min_words=1)
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

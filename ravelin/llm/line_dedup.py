@@ -1,6 +1,6 @@
 """Cross-site boilerplate removal by the distinct-site spread of lines. DataFrame functions only.
 
-A line counts by its text without outer white space, if it has at least MIN_WORDS words. A HyperLogLog
+A line counts by its text without outer white space, if it has at least min_words words. A HyperLogLog
 sketch of the sites of each line hash is merged by the aggregation itself (map side first, so a line
 or site of any share is one row per task). Lines whose estimate is near the threshold get an exact
 distinct count; lines clearly beyond it are boilerplate at once. Boilerplate lines are removed from
@@ -31,9 +31,9 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def lines(text: Column) -> Column:
+def lines(text: Column, min_words: int = MIN_WORDS) -> Column:
     """Lines of a text that count, trimmed, each once."""
-    several = f"[^{SPACE}]" + f"[{SPACE}]+[^{SPACE}]+" * (MIN_WORDS - 1) if MIN_WORDS > 1 else f"[^{SPACE}]"
+    several = f"[^{SPACE}]" + f"[{SPACE}]+[^{SPACE}]+" * (min_words - 1) if min_words > 1 else f"[^{SPACE}]"
     return F.array_distinct(F.filter(F.transform(F.split(text, "\n", -1), trimmed), lambda x: x.rlike(several)))
 
 
@@ -41,21 +41,21 @@ def key(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("k1"), F.xxhash64(line, F.lit(1)).alias("k2")]
 
 
-def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """(k1, k2): hashes of the lines that stand on min_sites or more distinct sites."""
-    found = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(lines(F.coalesce(text_col, F.lit("")))).alias("line")).select("site", *key(F.col("line")))
+    found = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(lines(F.coalesce(text_col, F.lit("")), min_words)).alias("line")).select("site", *key(F.col("line")))
     spread = stored(found.groupBy("k1", "k2").agg(F.approx_count_distinct("site", ERROR).alias("n")).where(F.col("n") >= min_sites * (1 - BAND)), "spread")
     far = F.col("n") > min_sites * (1 + BAND)
     exact = found.join(spread.where(~far).select("k1", "k2"), ["k1", "k2"]).groupBy("k1", "k2").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites)
     return spread.where(far).select("k1", "k2").unionByName(exact.select("k1", "k2"))
 
 
-def apply(df: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def apply(df: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of df with the text column cleaned, then n_lines, n_boilerplate, n_removed (lines; long)."""
     names = [c for c in df.columns if c not in ("n_lines", "n_boilerplate", "n_removed")]
-    bad = stored(boilerplate(df, site_col, text_col, min_sites), "boilerplate")
+    bad = stored(boilerplate(df, site_col, text_col, min_sites, min_words), "boilerplate")
     marks = (
-        df.select(F.col(id_col).alias("_id"), F.explode(lines(F.coalesce(text_col, F.lit("")))).alias("line"))
+        df.select(F.col(id_col).alias("_id"), F.explode(lines(F.coalesce(text_col, F.lit("")), min_words)).alias("line"))
         .select("_id", *key(F.col("line")))
         .join(bad, ["k1", "k2"])
         .groupBy("_id")

@@ -147,6 +147,15 @@ def test_line_dedup(spark, docs):
     assert line_dedup.apply(docs).count() == docs.count()
 
 
+def test_short_boilerplate_leaves_the_pipeline(spark):
+    rows = [(i, f"own text number {i} goes here and is long enough to stay\nHome\n\n- And ornd.\n{'seven' if i < 7 else 'x'}", "en", f"site{i}", 9) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.drop_boilerplate(spark, df, SF).collect()}
+    own = lambda i: rows[i][1].split("\n")[0]
+    assert got[0].text == f"{own(0)}\n\nseven" and got[0].n_chars == len(got[0].text)
+    assert got[11].text == f"{own(11)}\n\nx"
+
+
 def test_mixing(spark):
     rows = [(i, "a" if i % 3 == 0 else f"s{i % 5}") for i in range(3000)] + [(None, None), (5, "s0"), (5, "s0")]
     weights = {"a": 0.5, "s0": 0.2, "s1": 0.1, "s2": 0.1, "s3": 0.05, "s4": 0.05}
