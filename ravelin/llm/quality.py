@@ -19,10 +19,11 @@ from ravelin.llm.common import SPACE, WORD_SPLIT, lower_ascii, stored
 MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
-#: Words below which a histogram says too little, and the largest distances of kept documents.
+#: Words below which a histogram says too little, and the largest distances of kept documents. On sf0.1 texts
+#: without a common word are 0.28 to 0.31 from every language's words, and 0.2 % of those labelled good beyond 0.25.
 GUARD_WORDS = 50
 MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.75
+MAX_WORD_DISTANCE = 0.25
 
 # Frequent function words of English, German, French and Spanish.
 COMMON = ("the", "of", "and", "to", "in", "is", "that", "it", "der", "die", "und", "zu", "den", "das", "mit", "von", "la", "de", "le", "et", "les", "des", "que", "un", "el", "y", "en", "los", "por", "con", "para", "una")

@@ -187,6 +187,18 @@ def test_quality(docs):
     assert got.where("base_failed and kept").count() == 0
 
 
+def test_quality_by_common_words(spark):
+    rng = random.Random(12)
+    common = {"en": "the of and to in is that it".split(), "de": "der die und zu den das mit von".split()}
+    own = [f"wort{i}" for i in range(900)]
+    text = lambda lang, share=0.4: " ".join(rng.choice(common[lang] if rng.random() < share else own) for _ in range(120))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    rows += [(500 + i, text(lang, 0), lang) for i, lang in enumerate(["en", "de"] * 3)] + [(600 + i, text("de"), "en") for i in range(3)] + [(700 + i, text("en"), "de") for i in range(3)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed for r in got.values()) and all(r.class_distance <= quality.MAX_CLASS_DISTANCE for r in got.values())
+    assert all(got[i].kept == (i < 500) for i in got)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     clean, bad = [f"wort{i}" for i in range(300)], ["idiot", "worthless", "trash"]
