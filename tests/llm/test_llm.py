@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small tables with nulls, empties, ties, repeats and clashing columns."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -115,6 +116,14 @@ def test_pii_method(spark):
     assert all(got[i].startswith("secret:19:59") for i in range(40)) and not any(got[100 + i] for i in range(40))
 
 
+def test_pii_secrets_after_a_key(spark):
+    sha = lambda i: hashlib.sha512(str(i).encode()).hexdigest()
+    secrets = [lambda i: "ghp_" + sha(i)[:36], lambda i: "AKIA" + sha(i)[:16].upper(), lambda i: base64.b64encode(bytes.fromhex(sha(i)[:62])).decode(), lambda i: sha(i) + sha(-1 - i)]
+    rows = [(i, f"some text token={secrets[i % 4](i)} end") for i in range(80)] + [(100 + i, "call=an incomprehensibilitiesword" + "x" * i) for i in range(40)]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(f"secret:16:{16 + len(secrets[i % 4](i))}" in got[i] for i in range(80)) and not any(got[100 + i] for i in range(40))
+
+
 def test_suffix_dedup(docs):
     seen: dict = {}
     expected = []
