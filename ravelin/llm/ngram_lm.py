@@ -8,8 +8,8 @@ probability is an 8-bit code of a log-uniform code book. A query finds a bigram
 successor within its context's range of that sequence.
 
 Probabilities are interpolated with absolute discounting over the add-DELTA unigram estimate:
-p(w | h) = max(c(h w) - DISCOUNT, 0) / c(h) + g(h) p(w). Bigrams of words under MIN_WORD occurrences,
-and those under MIN_BIGRAM, are pruned at every size of corpus; their mass stays in g(h).
+p(w | h) = max(c(h w) - DISCOUNT, 0) / c(h) + g(h) p(w). All bigrams are kept unless a caller asks for
+minima of word and bigram occurrences; the mass of those pruned then stays in g(h).
 
 Levels are cut into shards of at most about SHARD entries, each built by one task and put into the
 shared folder under its final name at once, so a repeated task changes nothing. Workers map the files
@@ -36,8 +36,8 @@ from ravelin.llm.common import bounded_batches, fresh_path, stored
 
 DELTA = 0.1
 DISCOUNT = 0.75
-MIN_WORD = 5
-MIN_BIGRAM = 2
+MIN_WORD = 1
+MIN_BIGRAM = 1
 SHARD = 1 << 20
 FOLDS = 10
 BATCH_ROWS, BATCH_MB = 1000, 8
@@ -266,7 +266,7 @@ def build_vocabulary(spark: SparkSession, words: DataFrame, n: int, path: str) -
 
 
 def count_bigrams(docs: DataFrame, vocabulary: Vocabulary, min_word: int) -> DataFrame:
-    """(a, b, c): occurrences of the bigrams of frequent words of docs(text), as ids; the start's id is the vocabulary's size."""
+    """(a, b, c): occurrences of the bigrams of docs(text) whose words occur min_word times or more, as ids; the start's id is the vocabulary's size."""
 
     def run(batches):
         for batch in batches:

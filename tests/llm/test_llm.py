@@ -247,6 +247,27 @@ def test_language_model(docs):
     assert none.where("n_known > 0").count() == 0 and none.count() == rows.count()
 
 
+def test_language_model_keeps_rare_bigrams(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{int(400 * rng.random() ** 2)}" for _ in range(rng.randint(0, 30)))) for i in range(120)]
+    docs = ngram_lm.folded(spark.createDataFrame(rows, "doc_id long, text string"))
+    train = docs.where(~F.col("held_out"))
+    kept = {r.doc_id for r in train.collect()}
+    tokens = {d: [None, *t.split(), "."] for d, t in rows}
+    uni, pairs, heads = collections.Counter(), collections.Counter(), collections.Counter()
+    for d in kept:
+        uni.update(tokens[d][1:])
+        pairs.update(zip(tokens[d], tokens[d][1:]))
+        heads.update(tokens[d][:-1])
+    assert sum(c == 1 for c in pairs.values()) > 0.9 * len(pairs)
+    total, seen = sum(uni.values()), collections.Counter(a for a, _ in pairs)
+    base = lambda w: (uni[w] + 0.1) / (total + 0.1 * (len(uni) + 1))
+    prob = lambda a, b: max(pairs[a, b] - 0.75, 0) / heads[a] + 0.75 * seen[a] / heads[a] * base(b) if heads[a] else base(b)
+    for r in ngram_lm.score(docs, ngram_lm.train(train)).collect():
+        t = tokens[r.doc_id]
+        assert abs(r.score - sum(math.log10(prob(a, b)) for a, b in zip(t, t[1:]))) < 0.01 * len(t)
+
+
 def sim(t, k=3):
     import xxhash
 
