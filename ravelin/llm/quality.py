@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import SPACE, WORD_SPLIT, lower_ascii, stored
+from ravelin.llm.common import SPACE, WORD_SPLIT, stored
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -30,37 +30,39 @@ COMMON = ("the", "of", "and", "to", "in", "is", "that", "it", "der", "die", "und
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "blank": SPACE, "stop": ".,;:!?'\"()-", "symbol": r"#*$%&|<>{}\[\]=+/\\^~_@`"}
 
 
-def _only(text: Column, chars: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
+def _left(text: Column, chars: str) -> Column:
+    return F.regexp_replace(text, f"[{chars}]+", "")
 
 
 def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, the base counts, and the histograms classes and words (arrays of long)."""
+    """doc_id, lang, the base counts, and the histograms classes and words (arrays of long).
+
+    Most characters are lower-case letters or blanks: what lies between words is all blanks, and the
+    other classes are counted on what is left without lower-case letters.
+    """
     t = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    t = t.select("*", F.filter(F.split("text", WORD_SPLIT, -1), lambda w: w != "").alias("w"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")).alias("ln"))
-    t = t.withColumn("n", F.size("w"))
-    hashes = F.when(F.col("n") >= WINDOW, F.transform(F.sequence(F.lit(1), F.col("n") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    t = t.withColumn("h", hashes)
+    t = t.select("doc_id", "lang", "text", F.array_remove(F.split("text", WORD_SPLIT, -1), "").alias("w"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")).alias("ln"))
+    t = t.select("*", F.size("w").alias("n"), F.array_join("w", "").alias("solid"), F.transform("w", lambda x: F.xxhash64(x)).alias("g"), F.filter(F.transform("w", lambda x: F.lower(x)), lambda x: x.isin(*COMMON)).alias("known"))
+    hashes = F.when(F.col("n") >= WINDOW, F.transform(F.sequence(F.lit(1), F.col("n") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("g", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    t = t.withColumns({"h": hashes, "rest": _left(F.col("solid"), "a-z")})
     t = t.withColumn("q", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     same = lambda x, i: (x["h"] == F.get("q", i - 1)["h"]) | (x["h"] == F.get("q", i + 1)["h"])
     t = t.withColumn("at", F.sort_array(F.transform(F.filter("q", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"])))
     repeated = F.aggregate(F.transform("at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("at", i + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b)
-    flat = F.concat(F.lit(" "), lower_ascii(F.array_join("w", "  ")), F.lit(" "))
-    t = t.withColumn("flat", flat)
-    size = F.octet_length("flat")
-    hits = [((size - F.octet_length(F.replace(F.col("flat"), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in COMMON]
-    classes = [_only(F.col("text"), c).cast("long") for c in CLASSES.values()]
+    chars, solid, rest = F.length("text").cast("long"), F.length("solid").cast("long"), F.length("rest").cast("long")
+    of_class = {"lower": solid - rest, "blank": chars - solid}
+    classes = [of_class[k] if k in of_class else (rest - F.length(_left(F.col("rest"), c))).cast("long") for k, c in CLASSES.items()]
+    hits = [(F.size("known") - F.size(F.array_remove("known", w))).cast("long") for w in COMMON]
     t = t.select(
-        "doc_id", "lang", F.col("n").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        _only(F.col("text"), "#*$%&|<>").cast("long").alias("n_symbols"),
+        "doc_id", "lang", F.col("n").cast("long").alias("n_words"), solid.alias("word_chars"),
+        (rest - F.length(_left(F.col("rest"), "#*$%&|<>"))).cast("long").alias("n_symbols"),
         (F.size("ln") - F.size(F.array_distinct("ln"))).cast("long").alias("n_dup_lines"),
         F.coalesce(repeated, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.array(*classes).alias("c"), F.array(*hits).alias("k"), F.length("text").cast("long").alias("chars"),
+        F.array(*classes).alias("c"), F.array(*hits).alias("k"), chars.alias("chars"),
     )
-    rest = lambda total, a: F.array_append(a, F.greatest(total - F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y), F.lit(0).cast("long")))
+    rest_of = lambda total, a: F.array_append(a, F.greatest(total - F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y), F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return t.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), rest(F.col("chars"), F.col("c")).alias("classes"), rest(F.col("n_words"), F.col("k")).alias("words"))
+    return t.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), rest_of(F.col("chars"), F.col("c")).alias("classes"), rest_of(F.col("n_words"), F.col("k")).alias("words"))
 
 
 def references(found: DataFrame) -> DataFrame:
