@@ -3,7 +3,9 @@
 A line counts by its text without outer white space, if it has at least min_words words. A HyperLogLog
 sketch of the sites of each line hash is merged by the aggregation itself (map side first, so a line
 or site of any share is one row per task). Lines whose estimate is near the threshold get an exact
-distinct count; lines clearly beyond it are boilerplate at once. Boilerplate lines are removed from
+distinct count, over distinct pairs of line and site; lines clearly beyond it are boilerplate at once.
+Both ends of the band lie four standard errors (ERROR of the true number) from the threshold, so that
+about one line in thirty thousand of those just at it is misjudged by its sketch. Boilerplate lines are removed from
 every document, unless they make up more than MAX_SHARE of its characters: that is a copy of another
 document, not a page with boilerplate, and is left whole for near-duplicate detection.
 
@@ -38,7 +40,8 @@ def lines(text: Column, min_words: int = MIN_WORDS) -> Column:
 
 
 def key(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("k1"), F.xxhash64(line, F.lit(1)).alias("k2")]
+    """128 bits of a line: two XXH64 of different seeds (a constant in front is hashed into the seed)."""
+    return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2")]
 
 
 def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -46,7 +49,7 @@ def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text
     found = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(lines(F.coalesce(text_col, F.lit("")), min_words)).alias("line")).select("site", *key(F.col("line")))
     spread = stored(found.groupBy("k1", "k2").agg(F.approx_count_distinct("site", ERROR).alias("n")).where(F.col("n") >= min_sites * (1 - BAND)), "spread")
     far = F.col("n") > min_sites * (1 + BAND)
-    exact = found.join(spread.where(~far).select("k1", "k2"), ["k1", "k2"]).groupBy("k1", "k2").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites)
+    exact = found.distinct().join(spread.where(~far).select("k1", "k2"), ["k1", "k2"]).groupBy("k1", "k2").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites)
     return spread.where(far).select("k1", "k2").unionByName(exact.select("k1", "k2"))
 
 

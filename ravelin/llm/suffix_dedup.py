@@ -1,16 +1,24 @@
 """Removal of repeated passages: distributed prefix doubling over sampled positions.
 
-Every THRESHOLD-byte string has one anchor, its leftmost K-byte substring of least hash. Equal strings
-have equal anchors at equal places, so the first round ranks anchors only (about one position in
-eighteen) and drops those that no second text holds. Consecutive strings of one anchor form one
-run. An anchor whose runs are all alike is settled by its smallest document. The others travel as
-bytes: Spark sorts them by anchor rank, and within an anchor the ranks of 8-byte prefixes double by sorting pairs of ranks at growing offsets (8, 16, 32, then the threshold), each
-position leaving once its rank is unique. A class that is left at the threshold is one string; it is
-removed in every document but the smallest that holds it.
-
-Exact copies of whole texts are settled by a 128-bit digest and take no part. Equal runs are merged
-with their smallest document before they are shuffled, so a passage that a third of all documents
-share is one row per map task; its occurrences come back through a join that can be split.
+The texts are dealt into groups by doc_id. Where they lie, the names of 8-byte strings double (8, 16,
+32, then THRESHOLD bytes): the name of a string is that of the pair of names of its first and last
+parts. At two lengths Spark sorts the named positions of all groups and ranks them, and what is
+alone with its name leaves:
+
+1. K bytes. Every THRESHOLD-byte string has one anchor, its leftmost K-byte string of least name.
+   Equal strings have equal anchors at equal places, so only these sampled positions (about one in
+   ten) take part; a string whose anchor no second document holds is alone.
+2. Consecutive strings of one anchor form a run. An anchor whose runs are all alike is settled by its
+   smallest document: a whole run is ranked at once.
+3. THRESHOLD bytes. The strings of all other runs are ranked one by one; each class of equal strings
+   belongs to its smallest document, and is removed in all others.
+
+A group sends each name once, with its smallest document or whether it has several, so a passage that
+a third of all documents share is at most one entry a group, and no rank has a hot key. Names travel
+sorted and packed, a row for each group and range of names; what comes back is a bit for each name
+sent or the anchors that are left. Exact copies of whole texts are settled first by a 128-bit digest
+and take no part. Anchors have 40 bits, where a false match only costs a later rank; runs are told apart by
+anchor and 64 bits more, strings by 96 bits.
 
 Null texts are empty. Texts under the threshold lose nothing. Rows that repeat a doc_id are one
 document to each other (nothing is removed between them); a null doc_id neither loses bytes nor
@@ -20,58 +28,71 @@ makes others lose any. Other columns are not read. Empty tables give empty resul
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import bounded_batches, stored, texts
 
 THRESHOLD = 50
-#: Bytes of an anchor; hashes are cut to 40 bits, as a false match only costs a later round.
-K = 16
-PLACE_BITS = 24
-SLICE = 1 << 20
-#: A run's first place and count travel as one number, first * RUN + count.
-RUN = 1 << 16
-#: A range to remove travels as first place * SPAN + length.
-SPAN = 1 << 31
-#: Rows of the corpus for each bucket of anchors in the first round.
-ROWS_PER_BUCKET = 32_000
-#: Bytes of runs that a task doubles at a time; an anchor is never split.
-DOUBLING_BYTES = 4 << 20
-#: Contents that a task remembers to merge equal ones before they are shuffled.
-FIRST_SEEN = 200_000
-
-
-def _loads(raw: np.ndarray, dtype: str, n: int, at: int) -> np.ndarray:
-    """n unaligned loads, one from every byte."""
-    return np.ndarray((n,), dtype, raw, at, (1,))
-
-
-def runs(raw: bytes, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, count, anchor): strings first..first+count-1 of a text share the anchor of that 40-bit hash."""
+#: Bytes of an anchor, and the least threshold.
+K = 32
+ANCHOR_BITS, PLACE_BITS = 40, 24
+#: Bytes that are named at a time.
+SLICE = 1 << 18
+#: Bytes of text in a group, and in how many bytes of text a rank task's names arise.
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+
+SENT = "bucket int, g int, names binary, more binary, least binary, many binary"
+SIDE = "g int, bucket int, open binary, gone binary, ids array<bigint>, digests array<bigint>"
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each pair of names."""
+    h = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (b ^ (b >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def named(raw: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """Names of the strings of length bytes (8 or more) that start at each byte of raw."""
+    if len(raw) < length:
+        return np.empty(0, np.uint64)
+    name, reach = np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), 0, (1,)), 8
+    if salt:
+        name = name * np.uint64(2 * salt + 1) + np.uint64(salt)
+    while reach < length:
+        step = min(reach, length - reach)
+        name, reach = _paired(name[:-step], name[step:]), reach + step
+    return name
+
+
+def runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, count, anchor, text) of all runs of the texts raw[starts[i]:ends[i]], which fill raw, each of threshold bytes or more."""
     out: list[tuple[np.ndarray, ...]] = []
     total = len(raw) - threshold + 1
+    edges = np.sort(np.concatenate([starts, ends - threshold + 1]))  # strings that start from the second on cross a text's end
     for base in range(0, max(total, 0), SLICE):
-        part = np.frombuffer(raw, np.uint8)[base : min(base + SLICE, total) + threshold - 1]
-        n = len(part) - K + 1
-        h = _loads(part, "<u8", n, 0) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(29))) + _loads(part, "<u8", n, 8) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        least = (h & ~np.uint64((1 << PLACE_BITS) - 1)) | np.arange(n, dtype=np.uint64)
+        part = raw[base : min(base + SLICE, total) + threshold - 1]
+        h = named(part, K)
+        least = (h & ~np.uint64((1 << PLACE_BITS) - 1)) | np.arange(len(h), dtype=np.uint64)
         width, have = threshold - K + 1, 1
         while have < width:
             step = min(have, width - have)
             least = np.minimum(least[:-step], least[step:])
             have += step
-        starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-        out.append((starts + base, np.diff(starts, append=len(least)), least[starts] >> np.uint64(PLACE_BITS)))
+        inside = edges[np.searchsorted(edges, base) : np.searchsorted(edges, base + len(least))] - base
+        first = np.unique(np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, inside]))
+        n = np.diff(first, append=len(least))
+        text = np.searchsorted(starts, first + base, side="right") - 1
+        on = first + base <= ends[text] - threshold
+        # least names crowd near 0: a multiplication spreads them again
+        anchor = ((least[first[on]] >> np.uint64(PLACE_BITS)) * np.uint64(0x9E3779B97F4A7C15 | 1)) & np.uint64((1 << ANCHOR_BITS) - 1)
+        out.append((first[on] + base, n[on], anchor, text[on]))
     if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -86,275 +107,249 @@ def unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _compressed(docs: DataFrame) -> DataFrame:
-    """docs with the text's bytes compressed."""
-
-    def squeeze(batches):
-        for batch in batches:
-            z = zstandard.ZstdCompressor(level=3, write_content_size=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t.as_py().encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "text"])
-
-    import zstandard
-
-    return docs.mapInArrow(squeeze, "doc_id long, text binary")
-
-
-def _restored(column: pa.Array) -> Iterator[bytes]:
-    """The texts of a batch, one at a time."""
-    import zstandard
-
-    z = zstandard.ZstdDecompressor()
-    return (z.decompress(x.as_py()) if x.is_valid else b"" for x in column)
-
-
-def _shared_anchors(docs: DataFrame, threshold: int, buckets: int) -> DataFrame:
-    """(doc_id, anchors): the packed anchors of each document that another document holds too.
-
-    docs has compressed texts, no two documents with the same one.
-    """
-
-    def emit(batches):
-        for batch in batches:
-            hs, which = [], []
-            for i, raw in enumerate(_restored(batch.column(1))):
-                h = np.unique(runs(raw, threshold)[2])
-                hs.append(h)
-                which.append(np.full(len(h), i))
-            h, w = np.concatenate([np.empty(0, np.uint64), *hs]), np.concatenate([np.empty(0, np.int64), *which])
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            order = np.argsort(h % np.uint64(buckets), kind="stable")
-            h, w = h[order], w[order]
-            cut = np.searchsorted(h % np.uint64(buckets), np.arange(buckets + 1, dtype=np.uint64))
-            rows = []
-            for b in range(buckets):
-                if cut[b] < cut[b + 1]:
-                    here, n = np.unique(w[cut[b] : cut[b + 1]], return_counts=True)
-                    rows.append((b, ids[here].astype("<i8").tobytes(), n.astype("<i4").tobytes(), packed(h[cut[b] : cut[b + 1]])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, (pa.int32(), *[pa.binary()] * 3))], ["bucket", "ids", "n", "anchors"])
-
-    def rank(t: pa.Table) -> pa.Table:
-        column = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
-        n = column("n", "<i4")
-        h = unpacked(b"".join(t.column("anchors").to_pylist()))
-        order = np.argsort(h)
-        h = h[order]
-        starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-        doc = np.repeat(column("ids", "<i8"), n)[order]
-        keep = np.repeat(np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), np.diff(starts, append=len(h)))
-        h, doc = h[keep], doc[keep]
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        ids, first = np.unique(doc, return_index=True)
-        cut = [*first.tolist(), len(doc)]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "anchors": pa.array([packed(h[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())})
-
-    return docs.mapInArrow(emit, "bucket int, ids binary, n binary, anchors binary").groupBy("bucket").applyInArrow(rank, "doc_id long, anchors binary")
-
-
-def _shared_runs(docs: DataFrame, lists: DataFrame, threshold: int) -> DataFrame:
-    """(doc_id, first, n, anchor, c): the runs of documents whose anchors are shared, with a digest of their bytes."""
-
-    def cut(batches):
-        for batch in batches:
-            ids, parts, digests = [], [[], [], []], []
-            for i, raw, own in zip(batch.column(0).to_pylist(), _restored(batch.column(1)), batch.column(2).to_pylist()):
-                first, n, h = runs(raw, threshold)
-                keep = np.isin(h, unpacked(b"".join(own)))
-                for p, x in zip(parts, (first[keep], n[keep], h[keep].astype(np.int64))):
-                    p.append(x)
-                ids.append(np.full(int(keep.sum()), i))
-                digests += [xxhash.xxh3_64_intdigest(raw[a : a + k + threshold - 1]) for a, k in zip(first[keep].tolist(), n[keep].tolist())]
-            none = [np.empty(0, np.int64)]
-            c = np.array(digests, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + x)) for x in (ids, *parts)] + [pa.array(c)], ["doc_id", "first", "n", "anchor", "c"])
-
-    import xxhash
-
-    return docs.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(cut, "doc_id long, first long, n long, anchor long, c long")
-
-
-def _contents(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
-    """(doc_id, first, anchor, content, ahead) of wanted(doc_id, first, n, anchor).
-
-    ahead marks a row unless its task has had the same content from a document of no larger id: the
-    only rows that can hold the smallest document (FIRST_SEEN contents are remembered at a time).
-    """
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("r")).select("doc_id", "r.first", "r.n", "r.anchor")
-
-    def cut(batches):
-        seen: dict[bytes, int] = {}
-        for batch in batches:
-            ids, firsts, marks, contents, ahead = [], [], [], [], []
-            for i, raw, first, n, h in zip(batch.column(0).to_pylist(), _restored(batch.column(1)), *(batch.column(k).to_pylist() for k in range(2, 5))):
-                ids += [i] * len(h)
-                firsts += first
-                marks += h
-                own = [raw[a : a + k + threshold - 1] for a, k in zip(first, n)]
-                contents += own
-                for c in own:
-                    had = seen.get(key := xxhash.xxh128_digest(c))
-                    ahead.append(had is None or had > i)
-                    if had is None or had > i:
-                        seen[key] = i
-                if len(seen) > FIRST_SEEN:
-                    seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, firsts, marks)] + [pa.array(contents, pa.binary()), pa.array(ahead, pa.bool_())], ["doc_id", "first", "anchor", "content", "ahead"])
-
-    import xxhash
-
-    return docs.join(lists, "doc_id").select("doc_id", "text", "first", "n", "anchor").mapInArrow(cut, "doc_id long, first long, anchor long, content binary, ahead boolean")
-
-
-def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each pair of names."""
-    h = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (b ^ (b >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def doubled(buf: np.ndarray, start: np.ndarray, group: np.ndarray, threshold: int) -> np.ndarray:
-    """Class of the threshold-byte string at each start: -1 where it is the only one of its kind in its group.
-
-    The name of a prefix is that of its two halves' names; at each length the positions left are sorted
-    by group and name, and those alone with theirs leave.
-    """
-    klass = np.full(len(start), -1, np.int64)
-    alive = np.arange(len(start))
-    name, reach = _loads(buf, "<u8", len(buf) - 7, 0).copy(), 8
-    while True:
-        step = min(reach, threshold - reach)
-        name, reach = _paired(name[:-step], name[step:]), reach + step
-        key = _paired(name[start[alive]], group[alive])
-        order = np.argsort(key)
-        k = key[order]
-        first = np.concatenate([[True], k[1:] != k[:-1]])
-        last = np.concatenate([first[1:], [True]])
-        more = ~(first & last)
-        if reach == threshold:
-            klass[alive[order]] = np.where(more, np.cumsum(first), -1)
-            return klass
-        alive = alive[order[more]]
-        if not len(alive):
-            return klass
-
-
-def _least_documents(contents: DataFrame, threshold: int) -> DataFrame:
-    """(anchor, content, least): for each string of a run, the smallest document that holds it, in eight bytes; once if all are the same."""
-
-    def settle(anchor, content, least):
-        place: dict[tuple, int] = {}
-        same = np.fromiter((place.setdefault(x, len(place)) for x in zip(anchor.tolist(), content)), np.int64, len(content))
-        smallest = np.full(len(place), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, same, least)
-        anchor, content, least = np.fromiter((a for a, _ in place), np.int64, len(place)), [c for _, c in place], smallest
-        size = np.fromiter(map(len, content), np.int64, len(content))
-        base = np.cumsum(size) - size
-        n = size - threshold + 1
-        row = np.repeat(np.arange(len(content)), n)
-        start = base[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        klass = doubled(np.frombuffer(b"".join(content), np.uint8), start, anchor[row].view(np.uint64), threshold)
-        best = least[row].copy()
-        twice = np.flatnonzero(klass >= 0)
-        if len(twice):
-            order = twice[np.argsort(klass[twice], kind="stable")]
-            k = klass[order]
-            starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
-            best[order] = np.repeat(np.minimum.reduceat(best[order], starts), np.diff(starts, append=len(k)))
-        ends = np.cumsum(n).tolist()
-        raw = best.astype("<i8").tobytes()
-        even = (np.minimum.reduceat(best, np.cumsum(n) - n) == np.maximum.reduceat(best, np.cumsum(n) - n)).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.binary()), pa.array([raw[8 * a : 8 * (a + 1 if e else b)] for a, b, e in zip([0, *ends], ends, even)], pa.binary())], ["anchor", "content", "least"])
-
-    def run(batches):
-        anchor, content, least, size = np.empty(0, np.int64), [], np.empty(0, np.int64), 0
-        for batch in batches:
-            anchor = np.concatenate([anchor, batch.column(0).to_numpy(zero_copy_only=False)])
-            new = batch.column(1).to_pylist()
-            content += new
-            size += sum(map(len, new))
-            least = np.concatenate([least, batch.column(2).to_numpy(zero_copy_only=False)])
-            if size >= DOUBLING_BYTES and (cut := int(np.searchsorted(anchor, anchor[-1]))):
-                yield settle(anchor[:cut], content[:cut], least[:cut])
-                anchor, content, least = anchor[cut:], content[cut:], least[cut:]
-                size = sum(map(len, content))
-        if content:
-            yield settle(anchor, content, least)
-
-    return contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, content binary, least binary")
-
-
-def _removed_ranges(occurrences: DataFrame, least: DataFrame, threshold: int) -> DataFrame:
-    """(doc_id, span): byte ranges to remove, one or more for each run that has any."""
-
-    def ranges(batches):
-        for batch in batches:
-            ids, found = [], []
-            for doc, first, n, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                gone = np.frombuffer(raw, "<i8") < doc
-                if gone.all():
-                    a, b = [0], [n]
-                elif gone.any():
-                    turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                    a, b = turn[::2].tolist(), turn[1::2].tolist()
-                else:
-                    continue
-                ids += [doc] * len(a)
-                found += [(first + x) * SPAN + y - x + threshold - 1 for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, found)], ["doc_id", "span"])
-
-    digest = lambda c: [F.xxhash64(c).alias("c")]
-    left = occurrences.select("doc_id", (F.col("first") * RUN + F.octet_length("content") - (threshold - 1)).alias("at"), "anchor", *digest("content"))
-    right = least.select("anchor", *digest("content"), "least")
-    return left.join(right, ["anchor", "c"]).select("doc_id", F.floor(F.col("at") / RUN).cast("long").alias("first"), (F.col("at") % RUN).alias("n"), "least").mapInArrow(ranges, "doc_id long, span long")
+def _firsts(sorted_: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1]) if len(sorted_) else np.empty(0, np.int64)
+
+
+class Group:
+    """The texts of a group that may lose or lend bytes, one after another, and their runs by anchor."""
+
+    def __init__(self, docs: pa.Table, side: pa.Table, threshold: int):
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        self.threshold = threshold
+        ids, digests, texts_ = (docs.column(k).to_pylist() for k in ("doc_id", "digest", "text"))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts_[i]))
+        copies = {(i, d) for a, b in zip(side.column("ids").to_pylist(), side.column("digests").to_pylist()) if a for i, d in zip(a, b)}
+        self.rows = []  # (doc_id, number of its text or -1, its bytes if it has none)
+        raws, own = [], []
+        for i in order:
+            t = z.decompress(texts_[i]) if texts_[i] else b""
+            copy = (ids[i], digests[i]) in copies
+            if copy or len(t) < threshold:
+                self.rows.append((ids[i], -2 if copy else -1, t))
+            else:
+                self.rows.append((ids[i], len(raws), b""))
+                own.append(ids[i])
+                raws.append(t)
+        self.raw = np.frombuffer(b"".join(raws), np.uint8)
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        self.own = np.array(own, np.int64)
+        self.first, self.n, anchor, text = runs(self.raw, self.starts, self.ends, threshold)
+        self.doc = self.own[text]
+        #: Runs sorted by anchor, then document; where each anchor's begin; the anchors.
+        self.order = np.argsort(anchor, kind="stable")
+        self.anchor = anchor[self.order]
+        self.begin = _firsts(self.anchor)
+        self.anchors = self.anchor[self.begin]
+
+    def reduced(self, f, x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        return f.reduceat(x, begin) if len(begin) else x[:0]
+
+    def of_anchor(self, flags: np.ndarray) -> np.ndarray:
+        """A value for each anchor, for each run in order."""
+        return np.repeat(flags, np.diff(self.begin, append=len(self.order)))
+
+    def among(self, parts: pa.ChunkedArray) -> np.ndarray:
+        """Which anchors are in packed lists."""
+        return np.isin(self.anchors, unpacked(b"".join(x for x in parts.to_pylist() if x)))
+
+    def strings(self, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, document, name, second name) of all strings of the runs (places in order) that are on, by name, then document."""
+        r = self.order[on]
+        first, n = self.first[r], self.n[r]
+        size = n + self.threshold - 1
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + size, size)
+        own = self.raw[at]
+        where = np.arange(int(n.sum())) + np.repeat(ends - size - np.cumsum(n) + n, n)
+        name, second = named(own, self.threshold)[where], named(own, self.threshold, 0x2545F491)[where] >> np.uint64(32)
+        place, doc = at[where], np.repeat(self.doc[r], n)
+        order = np.lexsort((doc, second, name))
+        return place[order], doc[order], name[order], second[order]
+
+
+def _rows(g: int, buckets: int, top: np.ndarray, bits: int, **parts) -> pa.Table:
+    """A row for each range of names that has any: top are the names' leading bits, in order; parts are (array, packer)."""
+    cut = np.append(np.searchsorted(top, np.array([-(-(b << bits) // buckets) for b in range(buckets)], np.uint64)), len(top))
+    full = np.flatnonzero(np.diff(cut)).tolist()
+    made = {k: [f(x[cut[b] : cut[b + 1]]) for b in full] for k, (x, f) in parts.items()}
+    none = [None] * len(full)
+    return pa.table([pa.array(full, pa.int32()), pa.array([g] * len(full), pa.int32()), *(pa.array(made.get(k, none), pa.binary()) for k in ("names", "more", "least", "many"))], ["bucket", "g", "names", "more", "least", "many"])
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return np.packbits(x).tobytes()
+
+
+def _answers(side: pa.Table, column: str) -> np.ndarray:
+    """The bits that came back for the names sent, in the order sent."""
+    rows = sorted((b, x) for b, x in zip(side.column("bucket").to_pylist(), side.column(column).to_pylist()) if b is not None and x)
+    out = [np.unpackbits(np.frombuffer(x[4:], np.uint8), count=int.from_bytes(x[:4], "little")) for _, x in rows]
+    return np.concatenate([np.empty(0, np.uint8), *out]).astype(bool)
+
+
+def _answer(bits: np.ndarray) -> bytes:
+    return len(bits).to_bytes(4, "little") + _bits(bits)
+
+
+def _sent(t: pa.Table, name: str, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype)
+
+
+def _back(t: pa.Table, open_: list[bytes], gone: list[bytes] | None) -> pa.Table:
+    n = t.num_rows
+    return pa.table([t.column("g"), t.column("bucket"), pa.array(open_, pa.binary()), pa.array(gone or [None] * n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], ["g", "bucket", "open", "gone", "ids", "digests"])
+
+
+def rank_anchors(t: pa.Table) -> pa.Table:
+    """For each name sent, a bit: whether a second document holds it."""
+    h = unpacked(b"".join(t.column("names").to_pylist()))
+    size = np.array([len(x) // 5 for x in t.column("names").to_pylist()])
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(t.column("many").to_pylist(), size.tolist())])
+    order = np.argsort(h, kind="stable")
+    begin = _firsts(h[order])
+    span = np.diff(begin, append=len(h))
+    shared = np.empty(len(h), bool)
+    shared[order] = np.repeat((span > 1) | (np.maximum.reduceat(many[order], begin) > 0), span)
+    ends = np.cumsum(size).tolist()
+    return _back(t, [_answer(shared[a:b]) for a, b in zip([0, *ends], ends)], None)
+
+
+def rank_runs(t: pa.Table) -> pa.Table:
+    """The anchors sent whose runs differ (open), and those of which all runs are alike and another group has a smaller document (gone)."""
+    names = t.column("names").to_pylist()
+    h, size = unpacked(b"".join(names)), np.array([len(x) // 5 for x in names])
+    digest, least = _sent(t, "more", "<u8"), _sent(t, "least", "<i8")
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(t.column("many").to_pylist(), size.tolist())]) > 0
+    order = np.argsort(h, kind="stable")
+    begin = _firsts(h[order])
+    span = np.diff(begin, append=len(h))
+    unlike = np.logical_or.reduceat(many[order], begin) | (np.minimum.reduceat(digest[order], begin) != np.maximum.reduceat(digest[order], begin))
+    open_, gone = np.empty(len(h), bool), np.empty(len(h), bool)
+    open_[order] = np.repeat(unlike, span)
+    gone[order] = (np.repeat(np.minimum.reduceat(least[order], begin), span) < least[order]) & ~open_[order]
+    ends = np.cumsum(size).tolist()
+    cuts = list(zip([0, *ends], ends))
+    return _back(t, [packed(h[a:b][open_[a:b]]) for a, b in cuts], [packed(h[a:b][gone[a:b]]) for a, b in cuts])
+
+
+def rank_strings(t: pa.Table) -> pa.Table:
+    """For each name sent, a bit: whether another group has a smaller document that holds it."""
+    h, second, least = _sent(t, "names", "<u8"), _sent(t, "more", "<u4"), _sent(t, "least", "<i8")
+    order = np.lexsort((second, h))
+    new = (h[order][1:] != h[order][:-1]) | (second[order][1:] != second[order][:-1])
+    begin = np.concatenate([[0], np.flatnonzero(new) + 1])
+    gone = np.empty(len(h), bool)
+    gone[order] = np.repeat(np.minimum.reduceat(least[order], begin), np.diff(begin, append=len(h))) < least[order]
+    ends = np.cumsum([len(x) // 8 for x in t.column("names").to_pylist()]).tolist()
+    return _back(t, [_answer(gone[a:b]) for a, b in zip([0, *ends], ends)], None)
 
 
 def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of every row."""
-    if threshold < K + 12:
-        raise ValueError(f"the threshold must be {K + 12} bytes or more")
+    if threshold < K:
+        raise ValueError(f"the threshold must be {K} bytes or more")
     spark = df.sparkSession
     bounded_batches(spark, mb=8)
-    docs = texts(df, id_col, text_col)
-    named = docs.where("doc_id is not null")
-    keys = named.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), F.octet_length("text").alias("n"))
-    groups = keys.where(F.col("n") >= threshold).groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    copies = stored(keys.join(groups.where("rows > 1"), ["t1", "t2"]).where("doc_id > least").select("doc_id", F.col("n").cast("long").alias("span")), "copies")
-    rows = df.count()
-    # What follows is one query: the text is dealt out by doc_id once, compressed, and that exchange serves every later step.
-    named = _compressed(named).where("doc_id is not null")  # as every join below has it, so that the exchange is one
-    fresh = named.join(copies.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")  # on that exchange too
-    anchors = _shared_anchors(fresh, threshold, max(8, -(-rows // ROWS_PER_BUCKET)))
-    lists = anchors.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
-    found = _shared_runs(named, lists, threshold)
-    ranks = found.groupBy("anchor").agg(F.when(F.min("c") == F.max("c"), F.min("doc_id")).alias("least"))  # null: runs of several kinds
-    known = found.select("doc_id", (F.col("first") * RUN + F.col("n")).alias("at"), "anchor").join(ranks, "anchor")
-    known = known.select("doc_id", F.floor(F.col("at") / RUN).cast("long").alias("first"), (F.col("at") % RUN).alias("n"), "anchor", "least")
-    # an anchor with runs of one kind is settled by their smallest document; the others are doubled
-    settled = known.where(F.col("doc_id") > F.col("least")).select("doc_id", (F.col("first") * SPAN + F.col("n") + (threshold - 1)).alias("span"))
-    occurrences = _contents(named, known.where("least is null").select("doc_id", "first", "n", "anchor"), threshold)
-    contents = occurrences.where("ahead").select("anchor", "content", F.col("doc_id").alias("least"))
-    removed = settled.unionByName(_removed_ranges(occurrences, _least_documents(contents, threshold), threshold)).unionByName(copies)
-    spans = removed.groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("spans"))
-
-    def cut(batches):
+    rows = texts(df, id_col, text_col)
+    known = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("digest"), F.xxhash64(F.lit(1), "text").alias("d2"), F.octet_length("text").cast("long").alias("n"))
+    keys = stored(known, "keys")
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups, buckets = max(1, -(-total // GROUP_BYTES)), max(1, -(-total // BUCKET_BYTES))
+    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")
+    least = keys.where(F.col("n") >= threshold).groupBy("digest", "d2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least")
+    copied = keys.join(least, ["digest", "d2"]).where("doc_id > least").select(dealt, "doc_id", "digest").distinct()
+    none = F.lit(None).cast("binary")
+    copies = stored(copied.groupBy("g").agg(F.collect_list(F.struct("doc_id", "digest")).alias("c")).select("g", F.lit(None).cast("int").alias("bucket"), none.alias("open"), none.alias("gone"), F.col("c.doc_id").alias("ids"), F.col("c.digest").alias("digests")), "copies")  # a group's own documents only
+
+    def squeeze(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for batch in batches:
-            out = []
-            for raw, found in zip(_restored(batch.column(1)), batch.column(2).to_pylist()):
-                merged: list[list[int]] = []
-                for x, y in map(divmod, found or (), repeat(SPAN)):
-                    y = min(x + y, len(raw))
-                    if merged and x <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], y)
-                    elif x < y:
-                        merged.append([x, y])
-                edges = [0, *[e for m in merged for e in m], len(raw)]
-                kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
-                out.append((len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), *[kept][:keep_text]))
-            cols = list(zip(*out)) or [()] * (4 + keep_text)
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names[: 5 + keep_text])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([z.compress(t.as_py().encode()) if t.is_valid else b"" for t in batch.column(3)], pa.binary())], ["g", "doc_id", "digest", "text"])
+
+    docs = rows.where("doc_id is not null").select(dealt, "doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(squeeze, "g int, doc_id long, digest long, text binary")
+
+    def each(side: DataFrame, f, schema: str) -> DataFrame:
+        """f(group's number, Group, side rows) for every group; the exchange of texts is the same in all steps."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return f(left.column("g")[0].as_py() if left.num_rows else 0, Group(left, right, threshold), right)
+
+        return docs.groupBy("g").cogroup(side.groupBy("g")).applyInArrow(run, schema)
+
+    def send_anchors(g, group, side):
+        doc = group.doc[group.order]
+        many = group.reduced(np.minimum, doc, group.begin) != group.reduced(np.maximum, doc, group.begin)
+        return _rows(g, buckets, group.anchors, ANCHOR_BITS, names=(group.anchors, packed), many=(many, _bits))
+
+    def send_runs(g, group, side):
+        import xxhash
+
+        shared = _answers(side, "open")
+        on = np.flatnonzero(group.of_anchor(shared))
+        r = group.order[on]
+        first = group.first[r]
+        raw, digest = memoryview(group.raw), xxhash.xxh3_64_intdigest
+        c = np.fromiter((digest(raw[a:b]) for a, b in zip(first.tolist(), (first + group.n[r] + (threshold - 1)).tolist())), np.uint64, len(r))
+        begin = _firsts(group.anchor[on])
+        one = group.reduced(np.minimum, c, begin)
+        many = one != group.reduced(np.maximum, c, begin)
+        return _rows(g, buckets, group.anchors[shared], ANCHOR_BITS, names=(group.anchors[shared], packed), more=(one, lambda x: x.astype("<u8").tobytes()), least=(group.reduced(np.minimum, group.doc[r], begin), lambda x: x.astype("<i8").tobytes()), many=(many, _bits))
+
+    def classes(group, side):
+        """Strings of open runs, where their classes begin, and which anchors are open."""
+        opened = group.among(side.column("open").filter(pc.is_valid(side.column("gone"))))
+        place, doc, name, second = group.strings(np.flatnonzero(group.of_anchor(opened)))
+        new = (name[1:] != name[:-1]) | (second[1:] != second[:-1])
+        begin = np.concatenate([[0], np.flatnonzero(new) + 1]) if len(name) else np.empty(0, np.int64)
+        return place, doc, name, second, begin, opened
+
+    def send_strings(g, group, side):
+        _, doc, name, second, begin, _ = classes(group, side)
+        pack = lambda kind: lambda x: x.astype(kind).tobytes()
+        return _rows(g, buckets, name[begin], 64, names=(name[begin], pack("<u8")), more=(second[begin], pack("<u4")), least=(doc[begin], pack("<i8")))
+
+    def finish(g, group, side):
+        place, doc, _, _, begin, opened = classes(group, side)
+        width = np.diff(begin, append=len(doc))
+        # a class belongs to the smallest document of all groups, an anchor that is not open to the smallest that holds it
+        lost = np.repeat(_answers(side.filter(pc.is_null(side.column("gone"))), "open"), width) | (doc > np.repeat(doc[begin], width))
+        turn = np.zeros(len(group.raw) + 1, np.int32)
+        np.add.at(turn, place[lost], 1)
+        np.add.at(turn, place[lost] + 1, -1)
+        by = group.doc[group.order]
+        gone = group.of_anchor(group.among(side.column("gone"))) | (by > group.of_anchor(group.reduced(np.minimum, by, group.begin)))
+        r = group.order[gone & ~group.of_anchor(opened)]
+        np.add.at(turn, group.first[r], 1)
+        np.add.at(turn, group.first[r] + group.n[r], -1)
+        started = np.concatenate([np.zeros(threshold, np.int32), np.cumsum(np.cumsum(turn[:-1]) > 0, dtype=np.int32)])
+        covered = started[threshold:] > started[:-threshold]
+        out = []
+        for i, at, raw in group.rows:
+            if at >= 0:
+                raw, over = group.raw[group.starts[at] : group.ends[at]], covered[group.starts[at] : group.ends[at]]
+                n = int(over.sum())
+                kept = raw[~over].tobytes() if n else raw.tobytes()
+                out.append((i, len(raw), n, int(over[0]) + int((over[1:] & ~over[:-1]).sum()), hashlib.sha256(kept).hexdigest(), *[kept][:keep_text]))
+            else:
+                kept = raw if at == -1 else b""
+                out.append((i, len(raw), len(raw) - len(kept), int(at == -2), hashlib.sha256(kept).hexdigest(), *[kept][:keep_text]))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * (5 + keep_text), kinds)], names[: 5 + keep_text])
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    lost = F.lit(None).cast("array<bigint>")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    unnamed = _compressed(docs.where("doc_id is null")).select("doc_id", "text", lost.alias("spans"))
-    return named.join(spans, "doc_id", "left").mapInArrow(cut, schema).unionByName(unnamed.mapInArrow(cut, schema))
+    ranked = lambda sent, f: sent.groupBy("bucket").applyInArrow(f, SIDE)
+    anchors = ranked(each(copies, send_anchors, SENT), rank_anchors)
+    settled = stored(ranked(each(copies.unionByName(anchors), send_runs, SENT), rank_runs), "runs").unionByName(copies)
+    strings = ranked(each(settled, send_strings, SENT), rank_strings)
+    made = each(settled.unionByName(strings), finish, schema)
+    unnamed = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").cast("binary").alias("kept")][:keep_text])
+    return made.unionByName(unnamed)

@@ -124,27 +124,52 @@ def test_pii_secrets_after_a_key(spark):
     assert all(f"secret:16:{16 + len(secrets[i % 4](i))}" in got[i] for i in range(80)) and not any(got[100 + i] for i in range(40))
 
 
-def test_suffix_dedup(docs):
+def kept_bytes(rows, threshold=50):
+    """(doc_id, n_bytes, n_removed, n_spans, digest) of every (doc_id, text), by looking at all strings."""
     seen: dict = {}
-    expected = []
-    texts = held(docs)
-    for d, t in texts:
+    out = []
+    for d, t in rows:
         b = t.encode()
-        for i in range(len(b) - 49):
+        for i in range(len(b) - threshold + 1):
             if d is not None:
-                seen[b[i : i + 50]] = min(d, seen.get(b[i : i + 50], d))
-    for d, t in texts:
+                seen[b[i : i + threshold]] = min(d, seen.get(b[i : i + threshold], d))
+    for d, t in rows:
         b = t.encode()
         gone = bytearray(len(b))
-        for i in range(len(b) - 49):
-            if d is not None and seen[b[i : i + 50]] < d:
-                gone[i : i + 50] = b"\1" * 50
+        for i in range(len(b) - threshold + 1):
+            if d is not None and seen[b[i : i + threshold]] < d:
+                gone[i : i + threshold] = b"\1" * threshold
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        expected.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
-    same(suffix_dedup.dedup(docs), expected, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        out.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+BYTES = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP_BYTES, 20_000])
+def test_suffix_dedup(docs, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3 * group)
+    same(suffix_dedup.dedup(docs), kept_bytes(held(docs)), *BYTES)
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [32, 50, 70])
+def test_suffix_dedup_in_many_groups(spark, monkeypatch, threshold):
+    """A passage that most texts share, near copies, repeated ids and copies, over many groups and ranges of names."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 3_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 5_000)
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abcde fg") for _ in range(n))
+    passage, base = some(160), some(500)
+    rows = [(i, some(rng.randint(0, 120)) + (passage[rng.randint(0, 60) :] if i % 3 else "") + some(rng.randint(0, 90))) for i in range(150)]
+    rows += [(200 + i, base[: 9 * i] + "x" + base[9 * i + rng.randint(0, 2) :]) for i in range(50)]
+    rows += [(rng.randint(150, 400), rows[i][1]) for i in range(0, 40, 3)] + [(300, some(80)), (300, base), (299, base), (300, rows[0][1]), (None, base), (500, "a" * 400), (501, "a" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(suffix_dedup.dedup(df, threshold), kept_bytes(rows, threshold), *BYTES)
+
+
 def test_line_dedup(spark, docs):
     lines = ["This line stands everywhere.", "Only on seven sites, this one.", "tiny"]
     rows = [(i, f"own text number {i} goes here and is long enough to stay\n  {lines[0]} \n{lines[1] if i < 7 else 'x'}\n{lines[2]}", f"site{i}") for i in range(12)]
@@ -156,6 +181,26 @@ def test_line_dedup(spark, docs):
     assert line_dedup.apply(docs).count() == docs.count()
 
 
+def test_line_keys_are_two_hashes(spark):
+    """The second key is not made from the first: texts of one and the same first key would differ in the second."""
+    import xxhash
+
+    lines = ["a b c", "", "zeile", "x" * 300]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", *line_dedup.key(F.col("line"))).collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    seed = spark.range(1).select(F.xxhash64(F.lit(1))).first()[0] % (1 << 64)
+    assert [(r.k1, r.k2) for r in rows] == [(signed(xxhash.xxh64_intdigest(x, 42)), signed(xxhash.xxh64_intdigest(x, seed))) for x in lines]
+
+
+def test_line_dedup_at_the_threshold(spark):
+    """Lines on seven, eight, nine and thirty sites, in one and in many documents of a site."""
+    rows = [(1000 * n + i, f"line of {n} sites here
+own text {n} {i} that is long enough to stay as it is", f"site{i % n}") for n in (7, 8, 9, 11, 12, 30) for i in range(3 * n)]
+    got = line_dedup.apply(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    assert all((r.n_removed == 1) == (r.doc_id >= 8000) for r in got) and len(got) == len(rows)
+    assert line_dedup.apply(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
 def test_short_boilerplate_leaves_the_pipeline(spark):
     rows = [(i, f"own text number {i} goes here and is long enough to stay\nHome\n\n- And ornd.\n{'seven' if i < 7 else 'x'}", "en", f"site{i}", 9) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
