@@ -194,8 +194,7 @@ def test_line_keys_are_two_hashes(spark):
 
 def test_line_dedup_at_the_threshold(spark):
     """Lines on seven, eight, nine and thirty sites, in one and in many documents of a site."""
-    rows = [(1000 * n + i, f"line of {n} sites here
-own text {n} {i} that is long enough to stay as it is", f"site{i % n}") for n in (7, 8, 9, 11, 12, 30) for i in range(3 * n)]
+    rows = [(1000 * n + i, f"line of {n} sites here\nown text {n} {i} that is long enough to stay as it is", f"site{i % n}") for n in (7, 8, 9, 11, 12, 30) for i in range(3 * n)]
     got = line_dedup.apply(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
     assert all((r.n_removed == 1) == (r.doc_id >= 8000) for r in got) and len(got) == len(rows)
     assert line_dedup.apply(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
