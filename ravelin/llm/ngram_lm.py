@@ -1,19 +1,25 @@
-"""Language-model scoring with an Elias-Fano bigram trie.
+"""Language-model scoring with an Elias-Fano trigram trie.
 
 Words are lower-cased in A-Z; each text is its words and one end token. All training texts are
-counted. The vocabulary level holds the 64-bit hashes of all training words as Elias-Fano sequences,
-with exact counts; a word's id is its rank. The bigram level holds, for each context, a monotone
-pointer (Elias-Fano) to its successors, which are one monotone sequence, also Elias-Fano coded; a
-probability is an 8-bit code of a log-uniform code book. A query finds a bigram by searching the
-successor within its context's range of that sequence.
+counted, and no n-gram is left out. The vocabulary level holds the 64-bit hashes of all training words
+as Elias-Fano sequences, with exact counts; a word's id is its rank. The bigram and trigram levels hold,
+for each context (a word's id, a bigram's rank), a monotone pointer (Elias-Fano) to its successors,
+which are one monotone sequence, also Elias-Fano coded, and the 8-bit code of each n-gram's count (exact
+below 128, even in the logarithm above). A query finds an n-gram by searching the successor within its
+context's range of that sequence; the smoothed probability follows from the codes of n-gram and context.
 
 Probabilities are interpolated with absolute discounting over the add-DELTA unigram estimate:
-p(w | h) = max(c(h w) - DISCOUNT, 0) / c(h) + g(h) p(w). All bigrams are kept unless a caller asks for
-minima of word and bigram occurrences; the mass of those pruned then stays in g(h).
-
-Levels are cut into shards of at most about SHARD entries, each built by one task and put into the
-shared folder under its final name at once, so a repeated task changes nothing. Workers map the files
-where the folder is a file system, and read them through Arrow's file systems elsewhere.
+p(w | h) = max(c(h w) - DISCOUNT, 0) / c(h) + DISCOUNT D(h) / c(h) p(w | h'), where D(h) is the number
+of distinct successors and h' is h without its first word; an unknown h leaves all to h'.
+If a caller asks for a minimum of word occurrences, all rarer words are one word within contexts.
+
+Texts are tokenised twice: to count words, and to store their ids, which all later steps read. Tasks
+count n-grams over many texts at a time and send each one once, in sorted, packed runs of n-grams.
+Levels are cut into shards by ranges of whole n-grams, taken from a sample so that a shard has about
+SHARD of them: a context with many successors is cut as well, and its number of successors is added up
+over its shards. A shard is built by one task and put into the shared folder under its final name at
+once where that is a file system, so a repeated task changes nothing. Workers map the files there, and read
+them through Arrow's file systems elsewhere; MOST_OPEN shards of a level are held at a time.
 
 Null texts are empty (one end token); a null id counts as the empty text in the fold. Repeated rows
 count each time. With no training text at all, only the unigram estimate's floor is left. Other
@@ -22,6 +28,7 @@ columns are not read. Distinct words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import collections
 import json
 import os
 import uuid
@@ -29,7 +36,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import bounded_batches, fresh_path, stored
@@ -37,12 +44,19 @@ from ravelin.llm.common import bounded_batches, fresh_path, stored
 DELTA = 0.1
 DISCOUNT = 0.75
 MIN_WORD = 1
-MIN_BIGRAM = 1
-SHARD = 1 << 20
+#: N-grams of a shard, about; bytes of text whose words are one shard of the vocabulary.
+SHARD, WORD_BYTES = 1 << 20, 64 << 20
+#: Tokens whose n-grams a task sorts at a time, distinct words it counts or remembers at a time.
+CHUNK, WORDS = 1 << 21, 1 << 20
+#: Sampled n-grams for each shard.
+SAMPLED = 64
+MOST_OPEN = 64
+#: Values that are coded at a time, a multiple of eight.
+BLOCK = 1 << 13
 FOLDS = 10
 BATCH_ROWS, BATCH_MB = 1000, 8
-#: Hash keys of the two tokens that no word can be.
-END, START = " ", "  "
+#: Hash key of the end token, which no word can be.
+END = b" "
 
 
 # ---- Elias-Fano sequences -------------------------------------------------------------------------
@@ -63,8 +77,9 @@ class EliasFano:
         n = len(values)
         values = values.astype(np.uint64)
         width = max(0, (bound // max(n, 1)).bit_length() - 1)
-        bits = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        low = np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8)])
+        every = np.arange(width, dtype=np.uint64)
+        bits = lambda x: np.packbits(((x[:, None] >> every) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        low = np.concatenate([*(bits(values[a : a + BLOCK]) for a in range(0, n, BLOCK)), np.zeros(8, np.uint8)])
         places = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         marks = np.zeros(-(-(n + (bound >> width) + 2) // 64) * 64, np.uint8)
         marks[places] = 1
@@ -168,7 +183,7 @@ def get_file(path: str) -> dict[str, np.ndarray]:
     return {k: raw[8 + n + at : 8 + n + at + size * np.dtype(t).itemsize].view(t) for k, (t, size, at) in json.loads(raw[8 : 8 + n].tobytes()).items()}
 
 
-# ---- counting -------------------------------------------------------------------------------------
+# ---- tokens and words -----------------------------------------------------------------------------
 
 
 def word_hash(word: bytes) -> int:
@@ -177,236 +192,434 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def tokens(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the batch's distinct tokens, place of each token in them, end of each text)."""
-    known: dict[bytes, int] = {END.encode(): 0}
-    places: list[int] = []
-    ends: list[int] = []
-    put = known.setdefault
-    for t in batch.column(column).to_pylist():
-        places += [put(w, len(known)) for w in t.encode("utf-8", "surrogatepass").lower().split()]
-        places.append(0)
-        ends.append(len(places))
-    return np.fromiter(map(word_hash, known), np.uint64, len(known)), np.array(places, np.int64), np.array(ends, np.int64)
+def split(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def previous(places: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
-    """The token before each, start at the beginning of a text."""
-    out = np.empty_like(places)
-    out[1:] = places[:-1]
-    out[np.concatenate([[0], ends[:-1]])[: len(ends)]] = start
-    return out
+class Open(dict):
+    """The shards that are open, MOST_OPEN at most: the first opened goes first."""
+
+    def __init__(self, load):
+        super().__init__()
+        self.load = load
 
+    def __missing__(self, s):
+        if len(self) >= MOST_OPEN:
+            del self[next(iter(self))]
+        self[s] = self.load(s)
+        return self[s]
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, c): occurrences of each token of docs(text)."""
+    def __reduce__(self):
+        return Open, (self.load,)
+
+
+def count_words(docs: DataFrame, bits: int) -> DataFrame:
+    """(s, h, c): sorted hashes of words of docs(text) and their occurrences, packed, by the hashes' leading bits."""
 
     def run(batches):
+        seen: collections.Counter = collections.Counter()
         for batch in batches:
-            h, places, _ = tokens(batch, 0)
-            c = np.bincount(places, minlength=len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[c > 0]), pa.array(c[c > 0])], ["h", "c"])
+            texts = batch.column(0).to_pylist()
+            seen[END] += len(texts)
+            for t in texts:
+                seen.update(split(t))
+            if len(seen) > WORDS:
+                yield packed(seen)
+                seen.clear()
+        if seen:
+            yield packed(seen)
+
+    def packed(seen):
+        h, c = np.fromiter(map(word_hash, seen), np.uint64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        top = leading(h, bits)
+        at = np.searchsorted(top, np.arange((1 << bits) + 1))
+        rows = [(s, h[x:y].tobytes(), c[x:y].tobytes()) for s, x, y in zip(range(1 << bits), at.tolist(), at[1:].tolist()) if x < y]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["s", "h", "c"])
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "s int, h binary, c binary")
+
+
+def leading(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
 class Vocabulary:
     """The vocabulary level: shards by the top bits of the hash; a word's id is its rank."""
 
     def __init__(self, path: str, bits: int, starts: list[int]):
-        self.path, self.bits, self.starts = path, bits, starts
-        self.open: dict[int, tuple] = {}
+        self.path, self.bits, self.starts = path, bits, np.array(starts, np.int64)
+        self.open = Open(self.load)
 
     @property
     def size(self) -> int:
-        return self.starts[-1]
-
-    def __getstate__(self):
-        return self.__dict__ | {"open": {}}
+        return int(self.starts[-1])
 
-    def shard(self, s: int):
-        if s not in self.open:
-            f = get_file(f"{self.path}/words-{s}")
-            self.open[s] = (EliasFano.of(f, "hashes"), f["counts"])
-        return self.open[s]
+    def load(self, s: int):
+        f = get_file(f"{self.path}/words-{s}")
+        return EliasFano.of(f, "hashes"), f["counts"]
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id or -1, count) of each hash."""
-        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        of = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Id or -1 of each hash."""
+        ids = np.full(len(h), -1, np.int64)
+        of = leading(h, self.bits)
         for s in np.unique(of).tolist():
-            if self.starts[s] == self.starts[s + 1]:
-                continue
-            mine = np.flatnonzero(of == s)
-            ef, c = self.shard(s)
-            at = ef.find(h[mine] & np.uint64((1 << (64 - self.bits)) - 1))
-            there = at >= 0
-            ids[mine[there]] = self.starts[s] + at[there]
-            counts[mine[there]] = c[at[there]]
-        return ids, counts
+            if self.starts[s] < self.starts[s + 1]:
+                mine = np.flatnonzero(of == s)
+                at = self.open[s][0].find(h[mine] & np.uint64((1 << (64 - self.bits)) - 1))
+                ids[mine] = np.where(at >= 0, self.starts[s] + at, -1)
+        return ids
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Occurrences of each id; 0 for what is no id."""
+        distinct, back = np.unique(ids, return_inverse=True)
+        c = np.zeros(len(distinct), np.int64)
+        of = np.searchsorted(self.starts, distinct, side="right") - 1
+        for s in np.unique(of).tolist():
+            if 0 <= s < len(self.starts) - 1:
+                mine = of == s
+                c[mine] = self.open[s][1][distinct[mine] - self.starts[s]]
+        return c[back]
 
 
-def build_vocabulary(spark: SparkSession, words: DataFrame, n: int, path: str) -> Vocabulary:
-    bits = max(0, (-(-n // SHARD) - 1).bit_length())
-    top = F.lit(0) if not bits else F.shiftrightunsigned("h", 64 - bits).cast("int")
+def build_vocabulary(words: DataFrame, bits: int, path: str) -> tuple[Vocabulary, int]:
+    """The vocabulary and the number of tokens."""
 
     def build(t: pa.Table) -> pa.Table:
-        h = t.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
+        h, c = (np.frombuffer(b"".join(t.column(k).to_pylist()), kind) for k, kind in (("h", np.uint64), ("c", np.int64)))
+        h, c = summed(h, c)
         s = t.column("s")[0].as_py()
-        ef = EliasFano.encode(h[order] & np.uint64((1 << (64 - bits)) - 1), 1 << (64 - bits))
-        put_file(f"{path}/words-{s}", {**{f"hashes.{k}": v for k, v in ef.arrays().items()}, "counts": t.column("c").to_numpy()[order]})
-        return pa.table({"s": pa.array([s], pa.int32()), "n": pa.array([len(h)], pa.int64())})
+        ef = EliasFano.encode(h & np.uint64((1 << (64 - bits)) - 1), 1 << (64 - bits))
+        put_file(f"{path}/words-{s}", {**{f"hashes.{k}": v for k, v in ef.arrays().items()}, "counts": c})
+        return pa.table({"s": pa.array([s], pa.int32()), "n": pa.array([len(h)], pa.int64()), "total": pa.array([int(c.sum())], pa.int64())})
 
-    sizes = dict(words.select("h", "c", top.alias("s")).groupBy("s").applyInArrow(build, "s int, n long").collect())  # a row for each SHARD words
+    made = {r.s: r for r in words.groupBy("s").applyInArrow(build, "s int, n long, total long").collect()}  # a row for each shard
     starts = [0]
     for s in range(1 << bits):
-        starts.append(starts[-1] + sizes.get(s, 0))
-    return Vocabulary(path, bits, starts)
+        starts.append(starts[-1] + (made[s].n if s in made else 0))
+    return Vocabulary(path, bits, starts), sum(r.total for r in made.values())
+
+
+class Ids(dict):
+    """Place of each word met, at most about WORDS of them, and their ids."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary, self.new = vocabulary, []
+        self.ids = np.empty(0, np.int64)
+        self[END]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        self.new.append(word)
+        return len(self) - 1
+
+    def of(self, places: list[int]) -> np.ndarray:
+        self.ids = np.concatenate([self.ids, self.vocabulary.find(np.fromiter(map(word_hash, self.new), np.uint64, len(self.new)))])
+        self.new = []
+        return self.ids[np.array(places, np.int64)]
 
 
-def count_bigrams(docs: DataFrame, vocabulary: Vocabulary, min_word: int) -> DataFrame:
-    """(a, b, c): occurrences of the bigrams of docs(text) whose words occur min_word times or more, as ids; the start's id is the vocabulary's size."""
+def numbered(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, held_out, ids) of docs(doc_id, held_out, text): the ids of each text's tokens, the end's last, -1 for unknown words."""
+    wide = np.dtype(np.int32 if vocabulary.size < 1 << 31 else np.int64)
 
     def run(batches):
+        known = Ids(vocabulary)
         for batch in batches:
-            h, places, ends = tokens(batch, 0)
-            ids, c = vocabulary.find(h)
-            ids = np.append(np.where(c >= min_word, ids, -1), vocabulary.size)
-            b = ids[places]
-            a = ids[previous(places, ends, len(h))]
-            on = (a >= 0) & (b >= 0)
-            pair = np.stack([a[on], b[on]], axis=1)
-            order = np.lexsort((pair[:, 1], pair[:, 0]))
-            pair = pair[order]
-            first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]).any(axis=1)])) if len(pair) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[first, 0]), pa.array(pair[first, 1]), pa.array(np.diff(first, append=len(pair)))], ["a", "b", "c"])
-
-    return docs.select("text").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-
-
-class Trie:
-    """The bigram level: shards by ranges of context ids."""
-
-    def __init__(self, path: str, span: int, shards: list[int], bound: int):
-        self.path, self.span, self.shards, self.bound = path, span, set(shards), bound
-        self.open: dict[int, tuple] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"open": {}}
-
-    def shard(self, s: int):
-        if s not in self.open:
-            f = get_file(f"{self.path}/bigrams-{s}")
-            self.open[s] = (EliasFano.of(f, "pointers"), EliasFano.of(f, "successors"), f["codes"], f["book"], f["kept"], f["kept_book"])
-        return self.open[s]
-
-    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(discounted probability of b after a, mass g(a) left to the unigram estimate); 0 and 1 for an unknown context."""
-        p, g = np.zeros(len(a)), np.ones(len(a))
-        of = np.where(a >= 0, a // self.span, -1)
-        for s in np.unique(of).tolist():
-            if s not in self.shards:
+            if len(known) > WORDS:
+                known = Ids(vocabulary)
+            places: list[int] = []
+            ends: list[int] = [0]
+            end, get = known[END], known.__getitem__
+            for t in batch.column(2).to_pylist():
+                places += map(get, split(t))
+                places.append(end)
+                ends.append(len(places))
+            flat = known.of(places).astype(wide)
+            offsets = np.array(ends, np.int64) * wide.itemsize
+            blob = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blob], ["doc_id", "held_out", "ids"])
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, ids binary")
+
+
+def gathered(batches, column: int, wide: np.dtype):
+    """(batches, ids of all their texts, end of each text) for about CHUNK tokens at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(column).nbytes // wide.itemsize
+        if n >= CHUNK:
+            yield joined(held, column, wide)
+            held, n = [], 0
+    if held:
+        yield joined(held, column, wide)
+
+
+def joined(held: list, column: int, wide: np.dtype):
+    raw = [x for b in held for x in b.column(column).to_pylist()]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))) // wide.itemsize
+    return held, np.frombuffer(b"".join(raw), wide).astype(np.int64), ends
+
+
+def before(ids: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
+    """What stands before each token, start at the beginning of a text."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    out[np.concatenate([[0], ends[:-1]])[: len(ends)]] = start
+    return out
+
+
+# ---- levels of n-grams ----------------------------------------------------------------------------
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first; leading bytes that are zero in all are left out."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    n = (len(raw) - 1) // width
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, n).T
+    return out.view("<u8").ravel().view(np.int64)
+
+
+def counted(numbers: DataFrame, keys_of, cuts: np.ndarray, wide: np.dtype) -> DataFrame:
+    """(s, k, c): sorted distinct keys and their counts, packed, by ranges that begin at cuts; keys_of(ids, ends) are a chunk's."""
+
+    def run(batches):
+        for _, ids, ends in gathered(batches, 0, wide):
+            keys, c = np.unique(keys_of(ids, ends), return_counts=True)
+            at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+            rows = [(s, planes(np.diff(keys[x:y], prepend=0)), planes(c[x:y])) for s, (x, y) in enumerate(zip(at, at[1:])) if x < y]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["s", "k", "c"])
+
+    return numbers.select("ids").mapInArrow(run, "s int, k binary, c binary")
+
+
+def ranges(numbers: DataFrame, keys_of, tokens: int, wide: np.dtype) -> np.ndarray:
+    """Where the shards of a level begin but for the first: quantiles of SAMPLED keys for each. They only deal out work."""
+    shards = -(-tokens // SHARD)
+    if shards <= 1:
+        return np.empty(0, np.int64)
+    every = max(1, tokens // (shards * SAMPLED))
+
+    def run(batches):
+        at = 0
+        for _, ids, ends in gathered(batches, 0, wide):
+            n = len(ids)
+            take = np.arange(-at % every, n, every)
+            at += n
+            keys = np.unique(keys_of(ids, ends, take))
+            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary())], ["k"])
+
+    rows = numbers.select("ids").mapInArrow(run, "k binary").collect()  # SAMPLED numbers for each shard
+    keys = np.unique(np.frombuffer(b"".join(r.k for r in rows), np.int64))
+    return np.unique(keys[np.arange(1, shards) * len(keys) // shards]) if len(keys) else keys
+
+
+def count_codes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """8-bit codes of counts and the 256 values they stand for: exact below 128, then even in the logarithm."""
+    step = max(np.log(max(int(c.max(initial=1)), 128) / 128) / 127, 1e-9)
+    codes = np.where(c < 128, c, 128 + np.rint(np.log(np.maximum(c, 128) / 128) / step)).astype(np.uint8)
+    return codes, np.concatenate([np.arange(128.0), 128 * np.exp(step * np.arange(128))])
+
+
+class Level:
+    """N-grams by context and successor, in shards by ranges of both; an n-gram's rank counts over all shards."""
+
+    def __init__(self, path: str, cuts: np.ndarray, starts: np.ndarray, bound: int, cut_contexts: np.ndarray, cut_sizes: np.ndarray):
+        self.path, self.cuts, self.starts, self.bound = path, cuts, starts, bound
+        self.cut_contexts, self.cut_sizes = cut_contexts, cut_sizes
+        self.open = Open(self.load)
+
+    def load(self, s: int):
+        f = get_file(f"{self.path}-{s}")
+        return int(f["base"][0]), EliasFano.of(f, "pointers"), EliasFano.of(f, "successors"), f["codes"], f["book"]
+
+    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rank or -1, count, number of the context's successors) for n-grams in the order of their keys."""
+        rank, count, size = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context), np.int64)
+        of = np.searchsorted(self.cuts, context * self.bound + successor, side="right")
+        edges = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            s = int(of[x]) if x < y else -1
+            if s < 0 or self.starts[s] == self.starts[s + 1]:
                 continue
-            mine = np.flatnonzero(of == s)
-            pointers, successors, codes, book, kept, kept_book = self.shard(s)
-            local = a[mine] - s * self.span
+            base, pointers, successors, codes, book = self.open[s]
+            local = context[x:y] - base
+            there = np.flatnonzero((local >= 0) & (local < pointers.n - 1))
+            local = local[there]
             first, last = pointers.access(local).astype(np.int64), pointers.access(local + 1).astype(np.int64)
-            g[mine] = kept_book[kept[local]]
-            know = np.flatnonzero((last > first) & (b[mine] >= 0))
-            if len(know):
-                v = local[know].astype(np.uint64) * np.uint64(self.bound) + b[mine[know]].astype(np.uint64)
-                at = successors.find(v, first[know], last[know])
-                hit = at >= 0
-                p[mine[know[hit]]] = book[codes[at[hit]]]
-        return p, g
-
-
-def code_book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit codes and their 256 values, even in the logarithm."""
-    logs = np.log(np.maximum(values, 1e-12))
-    lo, hi = (logs.min(), logs.max()) if len(logs) else (0.0, 0.0)
-    step = (hi - lo) / 255 or 1.0
-    return np.rint((logs - lo) / step).astype(np.uint8), np.exp(lo + step * np.arange(256))
-
-
-def build_trie(bigrams: DataFrame, n: int, vocabulary: Vocabulary, contexts: int, path: str) -> Trie:
-    """bigrams(a, b, c, total): kept bigrams with the occurrences of their contexts."""
-    bound = vocabulary.size + 1
-    span = max(1, -(-contexts * SHARD // max(n, 1)))
-    span = min(span, contexts, (1 << 62) // bound)
+            size[x + there] = last - first
+            on = np.flatnonzero(last > first)
+            v = local[on].astype(np.uint64) * np.uint64(self.bound) + successor[x + there[on]].astype(np.uint64)
+            at = successors.find(v, first[on], last[on])
+            hit = at >= 0
+            where = x + there[on[hit]]
+            rank[where] = self.starts[s] + at[hit]
+            count[where] = book[codes[at[hit]]]
+        if len(self.cut_contexts):
+            at = np.minimum(np.searchsorted(self.cut_contexts, context), len(self.cut_contexts) - 1)
+            size = np.where(self.cut_contexts[at] == context, self.cut_sizes[at], size)
+        return rank, count, size
+
+
+def build_level(rows: DataFrame, cuts: np.ndarray, bound: int, path: str) -> Level:
 
     def build(t: pa.Table) -> pa.Table:
         s = t.column("s")[0].as_py()
-        a, b, c, total = (t.column(k).to_numpy() for k in ("a", "b", "c", "total"))
-        order = np.lexsort((b, a))
-        a, b, c, total = a[order] - s * span, b[order], c[order], total[order]
-        taken = np.maximum(c - DISCOUNT, 0) / total
-        left = np.maximum(1 - np.bincount(a, taken, span), 1e-9)
-        codes, book = code_book(taken)
-        kept, kept_book = code_book(left)
-        pointers = EliasFano.encode(np.concatenate([[0], np.cumsum(np.bincount(a, minlength=span))]), len(a) + 1)
-        successors = EliasFano.encode(a.astype(np.uint64) * np.uint64(bound) + b.astype(np.uint64), span * bound)
+        keys = np.concatenate([np.cumsum(unplaned(x)) for x in t.column("k").to_pylist()])
+        keys, c = summed(keys, np.concatenate([unplaned(x) for x in t.column("c").to_pylist()]))
+        context = keys // bound
+        base, last = int(context[0]), int(context[-1])
+        sizes = np.bincount(context - base, minlength=last - base + 1)
+        pointers = EliasFano.encode(np.concatenate([[0], np.cumsum(sizes)]), len(keys) + 1)
+        successors = EliasFano.encode((keys - base * bound).astype(np.uint64), (last - base + 1) * bound)
+        codes, book = count_codes(c)
         files = {f"{k}.{x}": v for k, ef in (("pointers", pointers), ("successors", successors)) for x, v in ef.arrays().items()}
-        put_file(f"{path}/bigrams-{s}", files | {"codes": codes, "book": book, "kept": kept, "kept_book": kept_book})
-        return pa.table({"s": pa.array([s], pa.int64())})
+        put_file(f"{path}-{s}", files | {"codes": codes, "book": book, "base": np.array([base], np.int64)})
+        return pa.table({k: pa.array([v], pa.int64()) for k, v in (("s", s), ("n", len(keys)), ("first", base), ("of_first", int(sizes[0])), ("last", last), ("of_last", int(sizes[-1])))})
 
-    rows = bigrams.withColumn("s", F.floor(F.col("a") / span).cast("long"))
-    shards = [r.s for r in rows.groupBy("s").applyInArrow(build, "s long").collect()]  # a row for each SHARD bigrams
-    return Trie(path, span, shards, bound)
+    made = {r.s: r for r in rows.groupBy("s").applyInArrow(build, "s long, n long, first long, of_first long, last long, of_last long").collect()}  # a row for each shard
+    starts = np.cumsum([0, *(made[s].n if s in made else 0 for s in range(len(cuts) + 1))])
+    ends: dict[int, list[int]] = {}
+    for r in made.values():
+        for context, n in {r.first: r.of_first, r.last: r.of_last}.items():
+            ends.setdefault(context, []).append(n)
+    several = sorted(c for c, n in ends.items() if len(n) > 1)
+    return Level(path, cuts, starts, bound, np.array(several, np.int64), np.array([sum(ends[c]) for c in several], np.int64))
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, trie: Trie, total: int, min_word: int):
-        self.vocabulary, self.trie, self.total, self.min_word = vocabulary, trie, total, min_word
+    """vocabulary, levels and totals. Two ids follow the words': the start's, and that of all words too rare for contexts."""
+
+    def __init__(self, vocabulary: Vocabulary, total: int, texts: int, min_word: int):
+        self.vocabulary, self.total, self.texts, self.min_word = vocabulary, total, texts, min_word
+        self.start, self.rare, self.bound = vocabulary.size, vocabulary.size + 1, vocabulary.size + 2
+        self.bigrams: Level | None = None
+        self.trigrams: Level | None = None
+        self.wide = np.dtype(np.int32 if vocabulary.size < 1 << 31 else np.int64)
+        if self.bound > 3_000_000_000:
+            raise ValueError("too many words for keys of 63 bits: set min_word")
+
+    def inner(self, ids: np.ndarray) -> np.ndarray:
+        """Ids within n-grams."""
+        if self.min_word > 1:
+            return np.where(self.vocabulary.counts(ids) >= self.min_word, ids, self.rare)
+        return np.where(ids >= 0, ids, self.rare)
+
+    def bigram_keys(self, ids: np.ndarray, ends: np.ndarray, take=slice(None)) -> np.ndarray:
+        ids = self.inner(ids)
+        return (before(ids, ends, self.start) * self.bound + ids)[take]
+
+    def found_bigrams(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rank or -1, count, size of the context) of bigram keys."""
+        distinct, back = np.unique(keys, return_inverse=True)
+        return tuple(x[back] for x in self.bigrams.find(distinct // self.bound, distinct % self.bound))
+
+    def trigram_keys(self, ids: np.ndarray, ends: np.ndarray, take=None) -> np.ndarray:
+        """Keys of the trigrams of all tokens (or those at take) but each text's first."""
+        keys = self.bigram_keys(ids, ends)
+        first = np.zeros(len(ids), bool)
+        first[np.concatenate([[0], ends[:-1]])[: len(ends)]] = True
+        at = np.flatnonzero(~first) if take is None else take[~first[take]]
+        rank = self.found_bigrams(keys[at - 1])[0]
+        return rank * self.bound + keys[at] % self.bound
+
+    def logs(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(occurrences, base log10, log10 by the model) of each token."""
+        c = self.vocabulary.counts(ids)
+        base = np.log10(c + DELTA) - np.log10(self.total + DELTA * (self.vocabulary.size + 1))
+        p = 10**base
+        keys = self.bigram_keys(ids, ends)
+        rank, count, size = self.found_bigrams(keys)
+        start = np.concatenate([[0], ends[:-1]])[: len(ends)]
+        own = before(c, ends, self.texts).astype(float)
+        rare = keys % self.bound == self.rare
+        if self.min_word > 1:
+            own = np.where(keys // self.bound == self.rare, 0, own)
+        p = self.mixed(p, np.where(rare, 0, count), own, size)
+        above = np.concatenate([[-1], rank[:-1]])[: len(rank)]
+        above[start] = -1
+        on = np.flatnonzero(above >= 0)
+        distinct, back = np.unique(above[on] * self.bound + keys[on] % self.bound, return_inverse=True)
+        _, many, size = self.trigrams.find(distinct // self.bound, distinct % self.bound)
+        p[on] = self.mixed(p[on], np.where(rare[on], 0, many[back]), count[on - 1], size[back])
+        return c, base, np.log10(p)
 
+    @staticmethod
+    def mixed(lower: np.ndarray, count: np.ndarray, own: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Interpolation of an n-gram's count in its context's with the estimate of the shorter context."""
+        known = (own > 0) & (size > 0)
+        whole = np.where(known, own, 1.0)
+        return np.where(known, np.minimum(np.maximum(count - DISCOUNT, 0) / whole + np.minimum(DISCOUNT * size / whole, 1.0) * lower, 1.0), lower)
 
-def train(docs: DataFrame, min_word: int = MIN_WORD, min_bigram: int = MIN_BIGRAM) -> Model:
+
+def train(docs: DataFrame, min_word: int = MIN_WORD) -> Model:
     """Count docs(text) and write the levels into the shared folder."""
+    return trained(docs.withColumns({"doc_id": F.lit(0).cast("long"), "held_out": F.lit(False)}), min_word)[0]
+
+
+def trained(docs: DataFrame, min_word: int = MIN_WORD) -> tuple[Model, DataFrame]:
+    """The model of those of docs(doc_id, held_out, text) that are not held out, and the ids of all (see numbered)."""
     spark = docs.sparkSession
     bounded_batches(spark, BATCH_ROWS, BATCH_MB)
     path = fresh_path(spark, "lm")
-    words = stored(count_words(docs), "words")
-    n, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    texts_n = docs.count()
-    vocabulary = build_vocabulary(spark, words, n, path)
-    size = vocabulary.size
-
-    bigrams = count_bigrams(docs, vocabulary, min_word).where(F.col("c") >= min_bigram)
+    own = docs.where(~F.col("held_out"))
+    size, texts_n = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    bits = max(0, (-(-size // WORD_BYTES) - 1).bit_length())
+    vocabulary, total = build_vocabulary(count_words(own, bits), bits, path)
+    model = Model(vocabulary, total, texts_n, min_word)
+    numbers = stored(numbered(docs, vocabulary), "ids")
+    own = numbers.where(~F.col("held_out"))
+
+    def level(keys_of, name):
+        cuts = ranges(own, keys_of, total, model.wide)
+        return build_level(counted(own, keys_of, cuts, model.wide), cuts, model.bound, f"{path}/{name}")
+
+    model.bigrams = level(model.bigram_keys, "bigrams")
+    if int(model.bigrams.starts[-1]) * model.bound >= 1 << 62:
+        raise ValueError("too many bigrams for keys of 63 bits: set min_word")
+    model.trigrams = level(model.trigram_keys, "trigrams")
+    return model, numbers
+
+
+def scored(numbers: DataFrame, model: Model) -> DataFrame:
+    """numbers(doc_id, held_out, ids) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    bounded_batches(numbers.sparkSession, BATCH_ROWS, BATCH_MB)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def totals(batches):
-        for batch in batches:
-            ids, _ = vocabulary.find(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(1)], ["a", "total"])
+    def run(batches):
+        for held, ids, ends in gathered(batches, 2, model.wide):
+            if not len(ends):
+                continue
+            c, base, logs = model.logs(ids, ends)
+            starts = np.concatenate([[0], ends[:-1]])
+            per = [np.diff(ends, prepend=0), np.add.reduceat((c > 0).astype(np.int64), starts), np.full(len(ends), model.total), np.add.reduceat(base, starts), np.add.reduceat(logs, starts)]
+            own = pa.Table.from_batches(held).combine_chunks()
+            yield pa.RecordBatch.from_arrays([own.column(0).combine_chunks(), own.column(1).combine_chunks(), *map(pa.array, per)], names)
 
-    of = words.where(F.col("c") >= min_word).select("h", "c").mapInArrow(totals, "a long, total long")
-    of = of.unionByName(spark.createDataFrame([(size, texts_n)], "a long, total long"))
-    kept = stored(bigrams.join(of, "a"), "bigrams")
-    return Model(vocabulary, build_trie(kept, kept.count(), vocabulary, size + 1, path), total, min_word)
+    return numbers.select("doc_id", "held_out", "ids").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, held_out, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    bounded_batches(docs.sparkSession, BATCH_ROWS, BATCH_MB)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def run(batches):
-        v, trie, total = model.vocabulary, model.trie, model.total
-        floor = np.log10(total + DELTA * (v.size + 1))
-        for batch in batches:
-            h, places, ends = tokens(batch, 2)
-            ids, c = v.find(h)
-            base = np.log10(c + DELTA) - floor
-            inner = np.append(np.where(c >= model.min_word, ids, -1), v.size)
-            a, b = previous(places, ends, len(h)), places
-            pair, back = np.unique(a * len(h) + b, return_inverse=True)
-            p, g = trie.find(inner[pair // len(h)], inner[pair % len(h)])
-            logs = np.log10(p + g * 10 ** base[pair % len(h)])[back]
-            starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
-            add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x) for x in (np.diff(ends, prepend=0), add((c > 0)[places].astype(np.int64)), np.full(len(ends), total), add(base[places]), add(logs)))], names)
-
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored(numbered(docs, model.vocabulary), model)
 
 
 def folded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

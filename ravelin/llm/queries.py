@@ -94,8 +94,8 @@ def op8_toxicity(spark, sf_dir):
 def op9_ngram_lm(spark, sf_dir):
     from ravelin.llm import ngram_lm
 
-    docs = ngram_lm.folded(table(spark, sf_dir, "documents"))
-    return ngram_lm.score(docs, ngram_lm.train(docs.where(~F.col("held_out"))))
+    model, numbers = ngram_lm.trained(ngram_lm.folded(table(spark, sf_dir, "documents")))
+    return ngram_lm.scored(numbers, model)
 
 
 def _sql():

@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -291,25 +292,52 @@ def test_language_model(docs):
     assert none.where("n_known > 0").count() == 0 and none.count() == rows.count()
 
 
-def test_language_model_keeps_rare_bigrams(spark):
+@pytest.mark.parametrize("shard", [ngram_lm.SHARD, 40])
+def test_language_model_is_the_trigram_model(spark, monkeypatch, shard):
+    """Scores against an interpolated model over plain counters; with small shards, contexts are cut."""
+    monkeypatch.setattr(ngram_lm, "SHARD", shard)
     rng = random.Random(13)
-    rows = [(i, " ".join(f"w{int(400 * rng.random() ** 2)}" for _ in range(rng.randint(0, 30)))) for i in range(120)]
+    rows = [(i, " ".join(f"w{int(400 * rng.random() ** 4)}" for _ in range(rng.randint(0, 60)))) for i in range(120)] + [(500 + i, "w0 w1 W2") for i in range(200)] + [(900, None)]
     docs = ngram_lm.folded(spark.createDataFrame(rows, "doc_id long, text string"))
-    train = docs.where(~F.col("held_out"))
-    kept = {r.doc_id for r in train.collect()}
-    tokens = {d: [None, *t.split(), "."] for d, t in rows}
-    uni, pairs, heads = collections.Counter(), collections.Counter(), collections.Counter()
+    kept = {r.doc_id for r in docs.where(~F.col("held_out")).collect()}
+    tokens = {d: [None, *low(t or "").split(), "."] for d, t in rows}
+    uni, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    heads = collections.Counter()
     for d in kept:
-        uni.update(tokens[d][1:])
-        pairs.update(zip(tokens[d], tokens[d][1:]))
-        heads.update(tokens[d][:-1])
-    assert sum(c == 1 for c in pairs.values()) > 0.9 * len(pairs)
-    total, seen = sum(uni.values()), collections.Counter(a for a, _ in pairs)
-    base = lambda w: (uni[w] + 0.1) / (total + 0.1 * (len(uni) + 1))
-    prob = lambda a, b: max(pairs[a, b] - 0.75, 0) / heads[a] + 0.75 * seen[a] / heads[a] * base(b) if heads[a] else base(b)
-    for r in ngram_lm.score(docs, ngram_lm.train(train)).collect():
+        t = tokens[d]
+        uni.update(t[1:])
+        two.update(zip(t, t[1:]))
+        three.update(zip(t, t[1:], t[2:]))
+        heads.update(t[:-1])
+    assert sum(c == 1 for c in three.values()) > 0.5 * len(three) and max(two.values()) > 150
+    total, after, after2 = sum(uni.values()), collections.Counter(a for a, _ in two), collections.Counter(x[:2] for x in three)
+    one = lambda w: (uni[w] + 0.1) / (total + 0.1 * (len(uni) + 1))
+    pair = lambda a, w: max(two[a, w] - 0.75, 0) / heads[a] + 0.75 * after[a] / heads[a] * one(w) if heads[a] else one(w)
+    prob = lambda a, b, w: max(three[a, b, w] - 0.75, 0) / two[a, b] + 0.75 * after2[a, b] / two[a, b] * pair(b, w) if after2[a, b] else pair(b, w)
+    model, numbers = ngram_lm.trained(docs)
+    assert shard > 100 or len(model.bigrams.cut_contexts) > 3 and len(model.trigrams.cuts) > 20
+    for r in ngram_lm.scored(numbers, model).collect():
         t = tokens[r.doc_id]
-        assert abs(r.score - sum(math.log10(prob(a, b)) for a, b in zip(t, t[1:]))) < 0.01 * len(t)
+        expected = [math.log10(pair(*t[:2])), *(math.log10(prob(*x)) for x in zip(t, t[1:], t[2:]))]
+        assert abs(r.score - sum(expected)) < 0.01 * len(expected), (r, expected)
+    none = docs.limit(0)
+    assert ngram_lm.score(none, model).count() == 0
+
+
+def test_elias_fano_levels_give_back_all_counts(spark, monkeypatch):
+    """Every n-gram is found at its own rank, with its count and the number of its context's successors, over many shards."""
+    monkeypatch.setattr(ngram_lm, "SHARD", 500)
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"w{int(300 * rng.random() ** 3)}" for _ in range(50))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model, numbers = ngram_lm.trained(docs)
+    _, ids, ends = ngram_lm.joined([pa.RecordBatch.from_pylist([{"ids": r.ids} for r in numbers.collect()])], 0, model.wide)
+    for level, keys in ((model.bigrams, model.bigram_keys(ids, ends)), (model.trigrams, model.trigram_keys(ids, ends))):
+        distinct, c = np.unique(keys, return_counts=True)
+        contexts = collections.Counter((distinct // model.bound).tolist())
+        rank, count, size = level.find(distinct // model.bound, distinct % model.bound)
+        assert (rank == np.arange(len(distinct))).all() and (np.abs(count - c) <= 0.03 * c * (c > 127)).all()
+        assert size.tolist() == [contexts[x] for x in (distinct // model.bound).tolist()] and len(level.cuts) > 5
 
 
 def sim(t, k=3):
