@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +25,11 @@ def lower_ascii(c):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one on a single machine (tests), else the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="ravelin-")
+        alone = spark.sparkContext.master.startswith("local")
+        base = tempfile.mkdtemp(prefix="ravelin-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ravelin"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -58,3 +60,19 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 32) -> None
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, all lowest bytes first; leading bytes that are zero in all are left out."""
+    x = x.astype("<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    """The numbers of planes(), as signed ones."""
+    width = raw[0]
+    n = (len(raw) - 1) // width
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, n).T
+    return out.view("<u8").ravel().view(np.int64)

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import bounded_batches, stored, texts
+from ravelin.llm.common import bounded_batches, planes, stored, texts, unplaned
 
 THRESHOLD = 50
 #: Bytes of an anchor, and the least threshold.
@@ -96,15 +96,19 @@ def runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def packed(h: np.ndarray) -> bytes:
-    """40-bit values in five bytes each."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def packed(names: np.ndarray) -> bytes:
+    """Names in order, as their differences."""
+    return planes(np.diff(names, prepend=np.uint64(0)))
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+def unpacked(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(names, how many of each part) of packed names."""
+    lists = [np.cumsum(unplaned(x).view(np.uint64), dtype=np.uint64) for x in parts]
+    return np.concatenate([np.empty(0, np.uint64), *lists]), np.array([len(x) for x in lists], np.int64)
+
+
+def _numbers(parts: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *map(unplaned, parts)])
 
 
 def _firsts(sorted_: np.ndarray) -> np.ndarray:
@@ -156,7 +160,7 @@ class Group:
 
     def among(self, parts: pa.ChunkedArray) -> np.ndarray:
         """Which anchors are in packed lists."""
-        return np.isin(self.anchors, unpacked(b"".join(x for x in parts.to_pylist() if x)))
+        return np.isin(self.anchors, unpacked([x for x in parts.to_pylist() if x])[0])
 
     def strings(self, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(place, document, name, second name) of all strings of the runs (places in order) that are on, by name, then document."""
@@ -197,8 +201,8 @@ def _answer(bits: np.ndarray) -> bytes:
     return len(bits).to_bytes(4, "little") + _bits(bits)
 
 
-def _sent(t: pa.Table, name: str, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype)
+def _many(t: pa.Table, size: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(t.column("many").to_pylist(), size.tolist())]) > 0
 
 
 def _back(t: pa.Table, open_: list[bytes], gone: list[bytes] | None) -> pa.Table:
@@ -208,24 +212,22 @@ def _back(t: pa.Table, open_: list[bytes], gone: list[bytes] | None) -> pa.Table
 
 def rank_anchors(t: pa.Table) -> pa.Table:
     """For each name sent, a bit: whether a second document holds it."""
-    h = unpacked(b"".join(t.column("names").to_pylist()))
-    size = np.array([len(x) // 5 for x in t.column("names").to_pylist()])
-    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(t.column("many").to_pylist(), size.tolist())])
+    h, size = unpacked(t.column("names").to_pylist())
+    many = _many(t, size)
     order = np.argsort(h, kind="stable")
     begin = _firsts(h[order])
     span = np.diff(begin, append=len(h))
     shared = np.empty(len(h), bool)
-    shared[order] = np.repeat((span > 1) | (np.maximum.reduceat(many[order], begin) > 0), span)
+    shared[order] = np.repeat((span > 1) | np.logical_or.reduceat(many[order], begin), span)
     ends = np.cumsum(size).tolist()
     return _back(t, [_answer(shared[a:b]) for a, b in zip([0, *ends], ends)], None)
 
 
 def rank_runs(t: pa.Table) -> pa.Table:
     """The anchors sent whose runs differ (open), and those of which all runs are alike and another group has a smaller document (gone)."""
-    names = t.column("names").to_pylist()
-    h, size = unpacked(b"".join(names)), np.array([len(x) // 5 for x in names])
-    digest, least = _sent(t, "more", "<u8"), _sent(t, "least", "<i8")
-    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(t.column("many").to_pylist(), size.tolist())]) > 0
+    h, size = unpacked(t.column("names").to_pylist())
+    digest, least = np.frombuffer(b"".join(t.column("more").to_pylist()), "<u8"), _numbers(t.column("least").to_pylist())
+    many = _many(t, size)
     order = np.argsort(h, kind="stable")
     begin = _firsts(h[order])
     span = np.diff(begin, append=len(h))
@@ -240,13 +242,14 @@ def rank_runs(t: pa.Table) -> pa.Table:
 
 def rank_strings(t: pa.Table) -> pa.Table:
     """For each name sent, a bit: whether another group has a smaller document that holds it."""
-    h, second, least = _sent(t, "names", "<u8"), _sent(t, "more", "<u4"), _sent(t, "least", "<i8")
+    h, size = unpacked(t.column("names").to_pylist())
+    second, least = np.frombuffer(b"".join(t.column("more").to_pylist()), "<u4"), _numbers(t.column("least").to_pylist())
     order = np.lexsort((second, h))
-    new = (h[order][1:] != h[order][:-1]) | (second[order][1:] != second[order][:-1])
-    begin = np.concatenate([[0], np.flatnonzero(new) + 1])
+    first, then = h[order], second[order]
+    begin = np.concatenate([[0], np.flatnonzero((first[1:] != first[:-1]) | (then[1:] != then[:-1])) + 1])
     gone = np.empty(len(h), bool)
     gone[order] = np.repeat(np.minimum.reduceat(least[order], begin), np.diff(begin, append=len(h))) < least[order]
-    ends = np.cumsum([len(x) // 8 for x in t.column("names").to_pylist()]).tolist()
+    ends = np.cumsum(size).tolist()
     return _back(t, [_answer(gone[a:b]) for a, b in zip([0, *ends], ends)], None)
 
 
@@ -262,10 +265,11 @@ def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", tex
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups, buckets = max(1, -(-total // GROUP_BYTES)), max(1, -(-total // BUCKET_BYTES))
     dealt = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")
-    least = keys.where(F.col("n") >= threshold).groupBy("digest", "d2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least")
-    copied = keys.join(least, ["digest", "d2"]).where("doc_id > least").select(dealt, "doc_id", "digest").distinct()
+    own = keys.where(F.col("n") >= threshold).groupBy(dealt, "digest", "d2").agg(F.collect_set("doc_id").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))  # a group's documents, at most
+    least = own.groupBy("digest", "d2").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("most > least")
+    copied = own.join(least, ["digest", "d2"]).select("g", "digest", F.explode(F.filter("ids", lambda x: x > F.col("least"))).alias("doc_id"))
     none = F.lit(None).cast("binary")
-    copies = stored(copied.groupBy("g").agg(F.collect_list(F.struct("doc_id", "digest")).alias("c")).select("g", F.lit(None).cast("int").alias("bucket"), none.alias("open"), none.alias("gone"), F.col("c.doc_id").alias("ids"), F.col("c.digest").alias("digests")), "copies")  # a group's own documents only
+    copies = stored(copied.groupBy("g").agg(F.collect_list(F.struct("doc_id", "digest")).alias("c")).select("g", F.lit(None).cast("int").alias("bucket"), none.alias("open"), none.alias("gone"), F.col("c.doc_id").alias("ids"), F.col("c.digest").alias("digests")), "copies")  # a group's documents, at most
 
     def squeeze(batches):
         import zstandard
@@ -301,7 +305,7 @@ def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", tex
         begin = _firsts(group.anchor[on])
         one = group.reduced(np.minimum, c, begin)
         many = one != group.reduced(np.maximum, c, begin)
-        return _rows(g, buckets, group.anchors[shared], ANCHOR_BITS, names=(group.anchors[shared], packed), more=(one, lambda x: x.astype("<u8").tobytes()), least=(group.reduced(np.minimum, group.doc[r], begin), lambda x: x.astype("<i8").tobytes()), many=(many, _bits))
+        return _rows(g, buckets, group.anchors[shared], ANCHOR_BITS, names=(group.anchors[shared], packed), more=(one, lambda x: x.astype("<u8").tobytes()), least=(group.reduced(np.minimum, group.doc[r], begin), planes), many=(many, _bits))
 
     def classes(group, side):
         """Strings of open runs, where their classes begin, and which anchors are open."""
@@ -313,8 +317,7 @@ def dedup(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", tex
 
     def send_strings(g, group, side):
         _, doc, name, second, begin, _ = classes(group, side)
-        pack = lambda kind: lambda x: x.astype(kind).tobytes()
-        return _rows(g, buckets, name[begin], 64, names=(name[begin], pack("<u8")), more=(second[begin], pack("<u4")), least=(doc[begin], pack("<i8")))
+        return _rows(g, buckets, name[begin], 64, names=(name[begin], packed), more=(second[begin], lambda x: x.astype("<u4").tobytes()), least=(doc[begin], planes))
 
     def finish(g, group, side):
         place, doc, _, _, begin, opened = classes(group, side)
