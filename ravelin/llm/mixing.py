@@ -2,17 +2,23 @@
 
 The rows of a source form blocks of BLOCK rows. With weight w, its i-th block (from 0) is released at
 slot floor(i / w) and due by slot ceil((i + 1) / w); each slot goes to the released block with the
-earliest deadline. As the weights add up to one, no deadline is missed, so at every slot each source
-that still has blocks is within one block of its share. Weights are rounded to whole slots of a
-period (largest remainders, one at least), after which the schedule repeats; only that one period is
-worked out, slot by slot in one expression, whatever the number of rows. A source that has run out
-leaves its slots empty, and the others go on in proportion. No row is dropped or repeated.
+earliest deadline, the first source by name on ties. As the weights add up to one, no deadline is
+missed, so at every slot each source that still has blocks is within one block of its share. A source
+that has run out leaves its slots empty, and the others go on in proportion. No row is dropped or repeated.
+
+Weights are whole slots of PERIOD: exactly as given if they have six decimals and add up to one, by
+largest remainders else, and a thousandth of an even share at least. So releases and deadlines are exact, and
+the schedule repeats after PERIOD slots at the latest: that many are worked out at most, whatever the
+number of rows. Slots are worked out in parallel segments. A segment needs to know which sources are
+one block ahead at its first slot; it starts from a guess (those with the earliest deadlines), and
+segments that began otherwise than the one before has ended are worked out again until all agree,
+which is the earliest-deadline-first schedule itself.
 
 Rows are numbered within a source by the MD5 of their id. A prefix of it splits each source into
 small ranges that are counted first, so no source is ever sorted by one task.
 
 A null source is the source ''. Null ids and repeated rows each take a place of their own. Missing or
-non-positive target weights count as the smallest, one slot. The default weights are the square
+non-positive target weights count as the smallest. The default weights are the square
 roots of the numbers of rows. Columns named mix_slot, mix_place and mix_block are replaced.
 """
 
@@ -24,62 +30,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ravelin.llm.common import stored
+from ravelin.llm.common import forget, stored
 
 BLOCK = 16
-PERIOD = 1000
+#: Slots after which the schedule repeats at the latest (ten times more for very many sources).
+PERIOD = 1_000_000
+#: Slots of a segment of the schedule.
+SEGMENT = 300
 RANGE_ROWS = 4_000
 
 
-def shares(counts: DataFrame, weights: dict[str, float] | None, period: int) -> DataFrame:
-    """(source, n, w): whole slots of each source in a period, by largest remainders; one row per source."""
+def shares(counts: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD) -> DataFrame:
+    """(source, n, w): each source's slots in a period, which add up to it; one row per source of counts(source, n)."""
     if weights:
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (str(kv[0]), float(kv[1]))])
-        raw = F.greatest(F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0)), F.lit(0.0))
+        raw = F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0))
     else:
         raw = F.sqrt(F.col("n").cast("double"))
-    every = Window.partitionBy(F.lit(0))
-    exact = counts.withColumn("raw", raw).withColumn("spare", F.lit(period) - F.count(F.lit(1)).over(every))
-    exact = exact.withColumn("exact", F.col("spare") * F.col("raw") / F.greatest(F.sum("raw").over(every), F.lit(1e-300)))
-    whole = exact.withColumn("whole", F.floor("exact"))
-    left = F.col("spare") - F.sum("whole").over(every)
-    place = F.row_number().over(every.orderBy((F.col("whole") - F.col("exact")), "source"))
-    return whole.select("source", "n", (1 + F.col("whole") + F.when(place <= left, 1).otherwise(0)).cast("int").alias("w"))
-
-
-def schedule(weights: DataFrame, period: int) -> DataFrame:
-    """(source, w, slots): the slots of each source in one period, in order."""
-    one = weights.agg(F.sort_array(F.collect_list(F.struct("source", "w"))).alias("s")).withColumn("w", F.col("s.w"))
-    state = F.struct(F.transform("w", lambda _: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("out"))
+    own = F.col("raw")
+    one = counts.select("source", "n", F.when(raw > 0, raw).otherwise(0.0).alias("raw"))
+    total = one.agg(F.sum("raw").alias("total"), F.count(F.lit(1)).alias("k")).withColumn("least", F.greatest(F.lit(1), F.floor(F.lit(period) / (1000 * F.greatest("k", F.lit(1))))).cast("long"))
+    low = period * own < F.col("least") * F.col("total")
+    mark = one.crossJoin(F.broadcast(total)).withColumn("low", (own <= 0) | low)  # one row is broadcast
+    high = mark.agg(F.sum(F.when(~F.col("low"), own)).alias("high"), F.count_if("low").alias("lows"))
+    exact = F.when(F.col("low"), F.col("least").cast("double")).otherwise(F.round((period - F.col("lows") * F.col("least")) * own / F.nullif(F.col("high"), F.lit(0.0)), 6))
+    parts = mark.crossJoin(F.broadcast(high)).select("source", "n", exact.alias("exact"))  # one row is broadcast
+    # what is missing goes to the largest remainders
+    order = F.sort_array(F.collect_list(F.struct((F.floor("exact") - F.col("exact")).alias("rest"), "source", "n", F.floor("exact").cast("long").alias("whole"))))
+    few = parts.agg(order.alias("s")).withColumn("missing", F.lit(period) - F.aggregate("s", F.lit(0).cast("long"), lambda t, x: t + x["whole"])).withColumn("k", F.size("s"))  # a row for each source
+    more = lambda i: F.floor(F.col("missing") / F.col("k")) + F.when(i < F.col("missing") % F.col("k"), 1).otherwise(0)
+    return few.select(F.inline(F.transform("s", lambda x, i: F.struct(x["source"].alias("source"), x["n"].alias("n"), (x["whole"] + more(i)).cast("long").alias("w")))))
+
+
+def ended(starts: DataFrame, period: int, length: int) -> DataFrame:
+    """starts(segment, w, done) with done at the segment's end and the source (a place in w) of each of its slots."""
+    state = F.struct(F.col("done").alias("done"), F.array().cast("array<int>").alias("out"))
+    first = F.col("segment") * length
 
     def step(acc, t):
         done = acc["done"]
-        due = F.transform("w", lambda w, i: F.when(F.get(done, i) * period <= t * w, F.struct(F.ceil((F.get(done, i) + 1) * period / w).alias("due"), i.alias("i"))))
+        due = F.transform("w", lambda w, i: F.when(F.get(done, i) * period < (t + 1) * w, F.struct(F.ceil((F.get(done, i) + 1) * period / w).alias("due"), i.alias("i"))))
         return F.transform(F.array(F.array_min(due)["i"]), lambda i: F.struct(F.transform(done, lambda d, j: d + F.when(i == j, 1).otherwise(0)).alias("done"), F.array_append(acc["out"], i).alias("out")))[0]
 
-    made = one.select("s", F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), state, step)["out"].alias("out"))
-    each = made.select(F.posexplode("out").alias("slot", "i"), "s").select("slot", F.get("s", F.col("i"))["source"].alias("source"))
-    return each.groupBy("source").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    made = starts.select("segment", "w", "done", F.aggregate(F.sequence(first, first + (length - 1)), state, step).alias("x"))
+    return made.select("segment", "w", "done", F.col("x.done").alias("end"), "x.out")
+
+
+def schedule(parts: DataFrame, slots: int, period: int = PERIOD, length: int = SEGMENT) -> DataFrame:
+    """(slot, source) of the first slots of the earliest-deadline-first schedule of parts(source, w)."""
+    spark = parts.sparkSession
+    one = parts.agg(F.sort_array(F.collect_list(F.struct("source", "w"))).alias("s")).select(F.col("s.source").alias("source"), F.col("s.w").alias("w"))  # a row for each source
+    first = F.col("segment") * length
+    base = F.transform("w", lambda w: F.floor(first * w / period).cast("long"))
+    ahead = F.transform("w", lambda w, i: F.when(first * w % period != 0, F.struct(F.ceil((F.get("base", i) + 1) * period / w).alias("due"), i.alias("i"))))
+    n = first - F.aggregate("base", F.lit(0).cast("long"), lambda x, y: x + y)
+    guess = spark.range(-(-slots // length)).withColumnRenamed("id", "segment").crossJoin(F.broadcast(one.select("w")))  # one row is broadcast
+    guess = guess.withColumn("base", base).withColumn("more", F.when(n > 0, F.slice(F.array_sort(F.filter(ahead, lambda x: x.isNotNull())), F.lit(1), n.cast("int"))["i"]).otherwise(F.array().cast("array<int>")))
+    done = F.transform("base", lambda b, i: b + F.array_contains("more", i).cast("long"))
+    made = stored(ended(guess.select("segment", "w", done.alias("done")), period, length), "segments")
+    while True:
+        before = made.select((F.col("segment") + 1).alias("segment"), F.col("end").alias("before"))
+        wrong = stored(made.join(before, "segment").where(F.col("done") != F.col("before")).select("segment", "w", F.col("before").alias("done")), "segments")
+        if wrong.isEmpty():
+            break
+        again = stored(made.join(wrong.select("segment"), "segment", "left_anti").unionByName(ended(wrong, period, length)), "segments")
+        forget(spark, made)
+        forget(spark, wrong)
+        made = again
+    each = made.select("segment", F.posexplode("out").alias("at", "i")).crossJoin(F.broadcast(one.select("source")))
+    return each.select((first + F.col("at")).cast("long").alias("slot"), F.get("source", F.col("i")).alias("source")).where(F.col("slot") < slots)
+
+
+def placed(ranges: DataFrame, digits: int) -> DataFrame:
+    """ranges(_source, _range, n) to (_source, _range, _before): the rows of the source in the ranges before, added up in two steps."""
+    cut = ranges.withColumn("_part", F.substring("_range", 1, digits // 2))
+    upto = lambda *by: F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col("n")
+    parts = cut.groupBy("_source", "_part").agg(F.sum("n").alias("n")).select("_source", "_part", upto("_source", "_part").alias("_first"))
+    within = cut.select("_source", "_part", "_range", upto("_source", "_part", "_range").alias("_after"))
+    return within.join(parts, ["_source", "_part"]).select("_source", "_range", (F.col("_first") + F.col("_after")).alias("_before"))
 
 
 def mix(df: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All columns of df, then mix_slot, mix_place (the place within the slot's block) and mix_block (of its source), long."""
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     counts = stored(df.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n")), "sources")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k")).first()
-    period = max(period, 8 * total.k)
-    plan = stored(schedule(shares(counts, weights, period), period), "schedule").select(F.col("source").alias("_source"), "slots")
-    digits = max(1, math.ceil(math.log(max(total.n / RANGE_ROWS, 1), 16)))
+    known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k")).first()
+    while period < 8 * known.k:  # eight slots a source on average, at least
+        period *= 10
+    parts = stored(shares(counts, weights, period), "shares")
+    last = parts.agg(F.expr("array_agg(w)").alias("w"), F.max(F.ceil(F.ceil(F.col("n") / block) * period / F.col("w"))).alias("slots")).first()  # a number for each source
+    common = math.gcd(*(last.w or [1]))
+    cycle = period // common
+    turn = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
+    plan = stored(schedule(parts, min(cycle, int(last.slots or 1)), period).select(F.col("source").alias("_source"), turn.alias("_turn"), "slot"), "schedule")  # cycle rows at most
+    digits = max(1, math.ceil(math.log(max(known.n / RANGE_ROWS, 1), 16)))
     code = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     keep = [c for c in df.columns if c not in ("mix_slot", "mix_place", "mix_block")]
     rows = df.select(F.struct(*keep).alias("_row"), F.col(id_col).alias("_id"), source.alias("_source"), code.alias("_code")).withColumn("_range", F.substring("_code", 1, digits))
     ranges = df.select(source.alias("_source"), F.substring(code, 1, digits).alias("_range")).groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("n"))
-    before = ranges.select("_source", "_range", (F.sum("n").over(Window.partitionBy("_source").orderBy("_range")) - F.col("n")).alias("_before"))
+    before = placed(ranges, digits).join(parts.select(F.col("source").alias("_source"), F.floor(F.col("w") / common).alias("_each")), "_source")
     within = Window.partitionBy("_source", "_range").orderBy("_code", "_id")
-    known = before.join(plan, "_source")
-    put = rows.withColumn("_place", F.row_number().over(within) - 1).join(known, ["_source", "_range"])
+    put = rows.withColumn("_place", F.row_number().over(within) - 1).join(before, ["_source", "_range"])
     place = F.col("_before") + F.col("_place")
     b = F.floor(place / block)
-    w = F.size("slots")
-    slot = F.floor(b / w) * period + F.get("slots", (b % w).cast("int"))
+    put = put.withColumn("_turn", (b % F.col("_each")).cast("int")).join(F.broadcast(plan) if period == PERIOD else plan, ["_source", "_turn"])  # PERIOD rows at most
+    slot = F.floor(b / F.col("_each")) * cycle + F.col("slot")
     return put.select(*[F.col("_row")[c].alias(c) for c in keep], slot.cast("long").alias("mix_slot"), (place % block).cast("long").alias("mix_place"), b.cast("long").alias("mix_block"))

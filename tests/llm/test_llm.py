@@ -156,6 +156,15 @@ def test_suffix_dedup(docs, group, monkeypatch):
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_packed_numbers():
+    from ravelin.llm.common import planes, unplaned
+
+    for x in ([], [0], [5, 300, 2], [-1, 7, -(1 << 60)], [(1 << 63) - 1]):
+        assert unplaned(planes(np.array(x, np.int64))).tolist() == x
+    names = np.array([1, 7, (1 << 64) - 1], np.uint64)
+    assert suffix_dedup.unpacked([suffix_dedup.packed(names), suffix_dedup.packed(names[:0])])[0].tolist() == names.tolist()
+
+
 @pytest.mark.parametrize("threshold", [32, 50, 70])
 def test_suffix_dedup_in_many_groups(spark, monkeypatch, threshold):
     """A passage that most texts share, near copies, repeated ids and copies, over many groups and ranges of names."""
@@ -166,7 +175,7 @@ def test_suffix_dedup_in_many_groups(spark, monkeypatch, threshold):
     passage, base = some(160), some(500)
     rows = [(i, some(rng.randint(0, 120)) + (passage[rng.randint(0, 60) :] if i % 3 else "") + some(rng.randint(0, 90))) for i in range(150)]
     rows += [(200 + i, base[: 9 * i] + "x" + base[9 * i + rng.randint(0, 2) :]) for i in range(50)]
-    rows += [(rng.randint(150, 400), rows[i][1]) for i in range(0, 40, 3)] + [(300, some(80)), (300, base), (299, base), (300, rows[0][1]), (None, base), (500, "a" * 400), (501, "a" * 300)]
+    rows += [(rng.randint(150, 400), rows[i][1]) for i in range(0, 40, 3)] + [(300, some(80)), (300, base), (299, base), (300, rows[0][1]), (None, base), (500, "a" * 400), (501, "a" * 300), (-7, base + "q"), (-9, passage)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     same(suffix_dedup.dedup(df, threshold), kept_bytes(rows, threshold), *BYTES)
 
@@ -228,6 +237,48 @@ def test_mixing(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
 
 
+def earliest_first(w, period, slots):
+    """The source of each slot, by the definition: of the released blocks the one with the earliest deadline."""
+    done, out = [0] * len(w), []
+    for t in range(slots):
+        due = [(-(-(d + 1) * period // x), i) for i, (d, x) in enumerate(zip(done, w)) if d * period < (t + 1) * x]
+        i = min(due)[1]
+        assert min(due)[0] > t
+        done[i] += 1
+        out.append(i)
+    return out
+
+
+@pytest.mark.parametrize(("weights", "target"), [({"a": 0.3337, "b": 0.6663}, None), ({"a": 0.5, "b": 0.25, "c": 0.125, "d": 0.125}, None), ({"a": 1, "b": 2, "c": 4}, None), (None, "root"), ({"a": 0.7, "b": 0.3, "x": 5}, "left out")])
+def test_mixing_against_given_targets(spark, weights, target):
+    """The whole schedule is earliest-deadline-first, and within one block of the weights asked for."""
+    size = {"a": 9000, "b": 4000, "c": 2500, "d": 700} if target or len(weights) > 2 else {"a": 6000, "b": 12000}
+    rows = [(i, s) for k, (s, n) in enumerate(size.items()) for i in range(100_000 * k, 100_000 * k + n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumns({c: F.lit(7) for c in ("mix_slot", "_row", "_source", "_turn", "n")})
+    got = mixing.mix(df, weights, block=4).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows) and all(r._row == 7 for r in got)
+    counts = spark.createDataFrame(list(size.items()), "source string, n long")
+    w = {r.source: r.w for r in mixing.shares(counts, weights).collect()}
+    assert sum(w.values()) == mixing.PERIOD
+    if target != "left out":
+        raw = {s: math.sqrt(n) if target else weights[s] for s, n in size.items() if target or s in weights}
+        known = {s: x / sum(raw.values()) for s, x in raw.items()}
+        assert all(abs(w[s] / mixing.PERIOD - x) < (1.5e-3 if len(known) < len(size) else 1.1e-6) for s, x in known.items())
+    names = sorted(w)
+    made = {(r.mix_slot, r.source) for r in got}
+    assert len({t for t, _ in made}) == len(made) == sum(-(-n // 4) for n in size.values())
+    plan = earliest_first([w[s] for s in names], mixing.PERIOD, max(t for t, _ in made) + 1)
+    taken, last = collections.Counter(), {s: max(t for t, x in made if x == s) for s in size}
+    at = dict(made)
+    for t, i in enumerate(plan):
+        assert t not in at or at[t] == names[i]
+        assert t in at or t > last[names[i]]
+        assert all(abs(taken[s] * mixing.PERIOD - w[s] * t) < mixing.PERIOD for s in size if t <= last[s])
+        taken[names[i]] += 1
+    of = collections.Counter((r.source, r.mix_block, r.mix_place) for r in got)
+    assert set(of) == {(s, i // 4, i % 4) for s, n in size.items() for i in range(n)}
+
+
 def test_quality(docs):
     expected = []
     for d, t in held(docs):
