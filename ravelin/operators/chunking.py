@@ -61,52 +61,47 @@ def windows(counts: list[int], limit: int, overlap: int) -> list[tuple[int, int]
 
 
 def merged(chunks: list[str], least: int, limit: int, size: Callable[[str], int]) -> list[str]:
-    """Chunks under least join the next one if that fits, else the one before, else stay."""
+    """Chunks under least grow by the ones after them as long as that fits, else join the one before, else stay."""
     out: list[str] = []
-    i = 0
-    while i < len(chunks):
-        text = chunks[i]
-        if size(text) < least:
-            if i + 1 < len(chunks) and size(joined := f"{text} {chunks[i + 1]}") <= limit:
-                out.append(joined)
-                i += 2
+    held = ""
+    for text, after in zip(chunks, [*chunks[1:], None]):
+        held = f"{held} {text}" if held else text
+        if size(held) < least:
+            if after is not None and size(f"{held} {after}") <= limit:
                 continue
-            if out and size(joined := f"{out[-1]} {text}") <= limit:
-                out[-1] = joined
-                i += 1
+            if out and size(f"{out[-1]} {held}") <= limit:
+                out[-1] = f"{out[-1]} {held}"
+                held = ""
                 continue
-        out.append(text)
-        i += 1
+        out.append(held)
+        held = ""
     return out
 
 
 def packed_rows(headers: list[str], rows: list[list[str]], limit: int, size: Callable[[str], int]) -> list[list[str]]:
-    """Serialized rows packed greedily below a repeated header; a row that alone is too long stands without it."""
-    line = lambda r: " | ".join(c.strip() for c in r if c and c.strip())
-    head = line(headers or [])
-    out: list[list[str]] = []
-    now, used = [], 0
-    base = [head] if head else []
-    base_size = size(head) if head else 0
-    for r in rows or []:
-        text = line(r)
-        if not text:
-            continue
-        n = size(text)
-        if base_size + 1 + n > limit:
-            if now:
-                out.append(base + now)
-                now, used = [], 0
-            out.append([text])
-            continue
-        if now and base_size + used + n + 1 > limit:
-            out.append(base + now)
-            now, used = [], 0
-        now.append(text)
-        used += n + 1
-    if now:
-        out.append(base + now)
-    return out
+    """Lines of table chunks within limit tokens: the header, if it leaves room for rows, then rows that cost a token more each.
+
+    A row that does not fit below the header is a chunk of its own, without it.
+    """
+    line = lambda cells: " | ".join(c.strip() for c in cells if c and c.strip())
+    title = line(headers or [])
+    room = limit - (size(f"{title}\n") if title else 0)
+    if room <= 0:
+        title, room = "", limit
+    packs: list[list[str]] = []
+    left = 0  # what the last pack still takes; 0 as well if it is closed
+    for text in filter(None, map(line, rows or [])):
+        cost = size(text)
+        if cost > room:
+            packs.append([text])
+            left = 0
+        elif left and cost + 1 <= left:
+            packs[-1].append(text)
+            left -= cost + 1
+        else:
+            packs.append([title, text] if title else [text])
+            left = room - cost - 1
+    return packs
 
 
 def headings(sections: DataFrame, separator: str = " > ") -> DataFrame:
@@ -140,7 +135,9 @@ def chunk_sections(sections: DataFrame, limit: int = MAX, least: int = MIN, over
             yield doc, section, f"{section}-txt-{i + 1}", "text", full, size(full), i
         for t in tables if tables is not None else ():
             for j, lines in enumerate(packed_rows(list(t["headers"] if t["headers"] is not None else []), [list(r) for r in (t["rows"] if t["rows"] is not None else [])], room, size)):
-                full = prefix + "\n".join(lines)
+                body = "\n".join(lines)
+                ids = tk.encode(body) if prefix else ()
+                full = prefix + (body if len(ids) <= room else tk.decode(ids[:room]))
                 yield doc, section, f"{section}-tbl-{t['table_id']}-{j + 1}", "table", full, size(full), len(bodies) + j
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

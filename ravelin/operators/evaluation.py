@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ravelin.operators.retrieval import Index, ranked, remainder_scores
+
 
 def per_query(questions: DataFrame, hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, precision, recall, rr) for every question with relevant chunks; precision divides by k, rr looks at the whole list."""
@@ -22,10 +24,10 @@ def macro(metrics: DataFrame, k: int) -> DataFrame:
     return metrics.agg(F.count(F.lit(1)).alias("num_queries"), zero("precision").alias("precision_at_k"), zero("recall").alias("recall_at_k"), zero("rr").alias("mrr")).withColumn("k", F.lit(k))
 
 
-def distractors(hits: DataFrame, relevant: DataFrame, n: int) -> DataFrame:
-    """Hits that are not relevant, ranked anew, n at most."""
-    rest = hits.join(relevant.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    return rest.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= n)
+def distractors(questions: DataFrame, ix: Index, relevant: DataFrame, n: int) -> DataFrame:
+    """For each question with relevant chunks, the n best hits above 0 of an index of all other chunks."""
+    asked = questions.join(relevant.select("query_id").distinct(), "query_id", "left_semi")
+    return ranked(remainder_scores(asked, ix, relevant).where(F.round("score", 12) > 0), n)
 
 
 def context_grid(relevant: DataFrame, noise: DataFrame, levels: list[int]) -> DataFrame:

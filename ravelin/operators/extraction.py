@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ravelin.functions.text import tidy
+
 # The phrases of a repeated table header, and the real columns of the wide module table.
 HEADER_PHRASES = ("Name of module", "German translation", "Deutscher Modultitel")
 WIDE_COLUMNS = (0, 3, 4, 7, 8, 9, 10)
 
+# The patterns of section markers and page numbers.
 ROMAN, PARAGRAPH, APPENDIX, NUMBER = r"^\s*([IVXLC]+)\.\s*$", r"^\s*§\s*(\d+[a-z]?)\s*$", r"(?i)^\s*Appendix\s+(\d+)\s*:\s*(.*)", r"^\s*\d{1,2}\s*$"
 
 
@@ -71,7 +74,7 @@ def sections(pages: DataFrame) -> DataFrame:
     final = pages.groupBy("doc_id").agg(F.max("page").alias("final_page"))
     end = F.when(F.col("next_page").isNull(), F.col("final_page")).when((F.col("next_page") == F.col("page")) | (F.col("next_line") > 0), F.col("next_page")).otherwise(F.col("next_page") - 1)
     made = marked.join(body, ["doc_id", "seq"], "left").join(final, "doc_id")
-    return made.select("doc_id", "seq", "section_id", "label", "title", "kind", F.col("page").alias("start_page"), end.alias("end_page"), F.trim(F.coalesce("text", F.lit(""))).alias("text"), "parent_section_id")
+    return made.select("doc_id", "seq", "section_id", "label", "title", "kind", F.col("page").alias("start_page"), end.alias("end_page"), tidy(F.coalesce("text", F.lit(""))).alias("text"), "parent_section_id")
 
 
 # ---- tables ---------------------------------------------------------------------------------------
@@ -129,6 +132,7 @@ def assign_tables(tables: DataFrame, sections_: DataFrame, smallest: bool = Fals
 
 def toc_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, page): pages that name the table of contents, and continuation pages right after them."""
+    # The patterns of entries of a table of contents.
     marker, entry = r"(?i)^(?:§\s*\d+|[IVXLCDM]+\.\s*$|ANLAGE\s+\d+:?)", r"(?i)^(?:§\s*\d+|[IVXLCDM]+\.\s*$|ANLAGE\s+\d+:?|\d+\s*$)"
     rows = F.slice(F.filter(F.transform(F.split("text", "\n", -1), F.trim), lambda x: x != ""), 1, 100)
     named = F.lower("text").contains("inhaltsverzeichnis")

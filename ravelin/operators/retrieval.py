@@ -1,4 +1,4 @@
-"""Sparse, dense and hybrid retrieval over batches of queries.
+"""Sparse, dense and hybrid retrieval over batches of queries, on indexes that are built once.
 
 A corpus is (chunk_id, pos, text[, source_type]); queries are (query_id, text). Each search is one
 plan for all queries. Ties go to the earlier position, as a stable sort would have them.
@@ -9,38 +9,72 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.functions.text import tokens
+from ravelin.sources.store import kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
 WINDOW = 50
 
 
+#: Vectors and queries of a block that is scored by one matrix product.
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+
+
 @dataclass
 class Index:
-    """Postings (chunk_id, pos, dl, term, tf), df (term, df, idf) and stats (n, avgdl, mean_idf) of a corpus."""
+    """sizes (chunk_id, dl), postings (chunk_id, pos, dl, term, tf), df (term, df, idf) and stats (n, avgdl, mean_idf) of a corpus."""
 
+    sizes: DataFrame
     postings: DataFrame
     df: DataFrame
     stats: DataFrame
     tokenize: Callable[[Column], Column]
 
 
-def index(corpus: DataFrame, tokenize=tokens) -> Index:
-    """The statistics of Okapi BM25; all lazy. Empty texts count as documents."""
+def raw_idf(n, df) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def index(corpus: DataFrame, tokenize=tokens, sizes: DataFrame | None = None, postings: DataFrame | None = None, seen: DataFrame | None = None) -> Index:
+    """The statistics of Okapi BM25; all lazy, on top of the tables given. Empty texts count as documents."""
     extra = [c for c in corpus.columns if c not in ("chunk_id", "pos", "text")]
     split = corpus.select("chunk_id", "pos", *extra, tokenize(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = split.select("chunk_id", "pos", *extra, "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "pos", *extra, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    seen = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    size = split.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    raw = seen.crossJoin(F.broadcast(size)).withColumn("idf_raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row is broadcast
+    if sizes is None:
+        sizes = split.select("chunk_id", "dl")
+    if postings is None:
+        postings = split.select("chunk_id", "pos", *extra, "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "pos", *extra, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if seen is None:
+        seen = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    size = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    raw = seen.crossJoin(F.broadcast(size)).withColumn("idf_raw", raw_idf(F.col("n"), F.col("df")))  # one row is broadcast
     stats = size.crossJoin(F.broadcast(raw.agg(F.avg("idf_raw").alias("mean_idf"))))
     idf = raw.crossJoin(F.broadcast(stats.select("mean_idf"))).select("term", "df", F.when(F.col("idf_raw") >= 0, F.col("idf_raw")).otherwise(EPSILON * F.col("mean_idf")).alias("idf"))
-    return Index(postings, idf, stats, tokenize)
+    return Index(sizes, postings, idf, stats, tokenize)
+
+
+def stored_index(corpus: DataFrame, tokenize=tokens, rebuild: bool = True) -> Index:
+    """The index of a corpus of files, written at its first use; it is built anew when a file has changed.
+
+    Postings lie sorted by term, so a search reads them without tokenising any text.
+    """
+    spark = corpus.sparkSession
+    plain = index(corpus, tokenize)
+    seen = lambda p: p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    config = {"k1": K1, "b": B, "epsilon": EPSILON, "tokenizer": tokenize.__name__, "columns": ",".join(corpus.columns)}
+    first = kept(spark, "bm25", corpus, config, lambda: {"sizes": plain.sizes, "postings": plain.postings.repartition("term").sortWithinPartitions("term")}, rebuild)
+    more = kept(spark, "bm25", corpus, config, lambda: {"df": seen(first["postings"])}, rebuild)
+    own = index(corpus, tokenize, first["sizes"], first["postings"], more["df"])
+    last = kept(spark, "bm25", corpus, config, lambda: {"stats": own.stats}, rebuild)["stats"]
+    idf = more["df"].crossJoin(F.broadcast(last))  # one row is broadcast
+    raw = raw_idf(F.col("n"), F.col("df"))
+    return Index(own.sizes, own.postings, idf.select("term", "df", F.when(raw >= 0, raw).otherwise(EPSILON * F.col("mean_idf")).alias("idf")), last, tokenize)
 
 
 def ranked(scored: DataFrame, k: int, key: str = "query_id") -> DataFrame:
@@ -49,13 +83,49 @@ def ranked(scored: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _asked(queries: DataFrame, ix: Index) -> DataFrame:
+    """(query_id, term, qtf): repeated query terms count again."""
+    return queries.select("query_id", F.explode(ix.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _part(avgdl="avgdl") -> Column:
+    return F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col(avgdl)))
+
+
 def bm25_scores(queries: DataFrame, ix: Index) -> DataFrame:
-    """(query_id, chunk_id, pos, ..., score) of all pairs with a common term; repeated query terms count again."""
-    asked = queries.select("query_id", F.explode(ix.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    """(query_id, chunk_id, pos, ..., score) of all pairs with a common term."""
+    asked = _asked(queries, ix)
     hits = asked.join(ix.df, "term").join(ix.postings, "term").crossJoin(F.broadcast(ix.stats))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     keep = [c for c in ix.postings.columns if c not in ("dl", "term", "tf")]
-    return hits.groupBy("query_id", *keep).agg(F.sum(part).alias("score"))
+    return hits.groupBy("query_id", *keep).agg(F.sum(_part()).alias("score"))
+
+
+def remainder_scores(queries: DataFrame, ix: Index, left_out: DataFrame) -> DataFrame:
+    """bm25_scores() as if each query had an index of its own without its chunks left_out(query_id, chunk_id).
+
+    Only what the chunks left out change is worked out for each query: the numbers of documents of their
+    terms, the number of documents and their mean length, and the mean of the inverse frequencies,
+    whose sum over all other terms follows from how many terms have how many documents.
+    """
+    gone = left_out.select("query_id", "chunk_id").distinct()
+    lost = gone.join(ix.sizes, "chunk_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("k"), F.sum("dl").alias("dls"))
+    one = queries.select("query_id").join(lost, "query_id", "left").fillna(0, ["k", "dls"]).crossJoin(F.broadcast(ix.stats.select("n", F.col("avgdl").alias("mean_dl"))))  # one row is broadcast
+    size = one.select("query_id", (F.col("n") - F.col("k")).alias("rest"), ((F.col("n") * F.col("mean_dl") - F.col("dls")) / F.nullif(F.col("n") - F.col("k"), F.lit(0))).alias("avgdl"))
+    terms = gone.join(ix.postings.select("chunk_id", "term"), "chunk_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("fewer"))
+    whole = lambda df: F.log(F.greatest(F.col("rest") - df, F.lit(0)) + 0.5) - F.log(df + 0.5)
+    spread = ix.df.groupBy("df").agg(F.count(F.lit(1)).alias("m"))
+    sums = size.select("rest").distinct().crossJoin(F.broadcast(spread)).groupBy("rest").agg(F.sum(F.col("m") * whole(F.col("df"))).alias("s"), F.sum("m").alias("v"))  # one row for each number of documents that terms have
+    changed = terms.join(ix.df.select("term", "df"), "term").join(size.select("query_id", "rest"), "query_id")
+    left = F.col("df") - F.col("fewer")
+    change = changed.groupBy("query_id").agg(F.sum(F.when(left > 0, raw_idf(F.col("rest"), left)).otherwise(0.0) - whole(F.col("df"))).alias("ds"), F.count_if(left == 0).alias("dv"))
+    mean = size.join(sums, "rest").join(change, "query_id", "left").fillna(0, ["ds", "dv"]).select("query_id", "rest", "avgdl", ((F.col("s") + F.col("ds")) / F.nullif(F.col("v") - F.col("dv"), F.lit(0))).alias("mean_idf"))
+    asked = _asked(queries, ix).join(ix.df.select("term", "df"), "term").join(terms, ["query_id", "term"], "left").join(mean, "query_id")
+    now = F.col("df") - F.coalesce("fewer", F.lit(0))
+    raw = raw_idf(F.col("rest"), F.col("now"))
+    asked = asked.withColumn("now", now).where("now > 0").select("query_id", "term", "qtf", "avgdl", F.when(raw >= 0, raw).otherwise(EPSILON * F.col("mean_idf")).alias("idf"))
+    hits = asked.join(ix.postings, "term").join(gone, ["query_id", "chunk_id"], "left_anti")
+    keep = [c for c in ix.postings.columns if c not in ("dl", "term", "tf")]
+    return hits.groupBy("query_id", *keep).agg(F.sum(_part()).alias("score"))
 
 
 def bm25(queries: DataFrame, ix: Index, k: int = 5, where: Column | None = None) -> DataFrame:
@@ -64,28 +134,70 @@ def bm25(queries: DataFrame, ix: Index, k: int = 5, where: Column | None = None)
     return ranked(scored if where is None else scored.where(where), k)
 
 
-def dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _packed(rows: DataFrame, id_col: str, pos: str, names: tuple[str, str, str], size: int) -> DataFrame:
+    """rows(id_col, pos, embedding) in blocks: a row for each size of a task's rows, of ids, places and unit vectors in 64 bits; zero vectors are left out."""
+    kind = rows.schema[id_col].dataType
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                v = [x for x in part.column(2).to_pylist()]
+                on = [i for i, x in enumerate(v) if x and all(y is not None for y in x)]
+                m = np.array([v[i] for i in on], np.float64).reshape(len(on), -1)
+                norm = np.sqrt((m * m).sum(axis=1))
+                full = norm > 0
+                ids, places = ([c[i] for i, f in zip(on, full.tolist()) if f] for c in (part.column(0).to_pylist(), part.column(1).to_pylist()))
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([places], pa.list_(pa.int64())), pa.array([(m[full] / norm[full, None]).tobytes()], pa.binary())], list(names))
+
+    return rows.select(id_col, F.col(pos).cast("long").alias(pos), "embedding").mapInArrow(run, f"{names[0]} array<{kind.simpleString()}>, {names[1]} array<bigint>, {names[2]} binary")
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 5, where: Column | None = None) -> DataFrame:
     """Exact cosine top k of vectors(chunk_id, pos, embedding) for queries(query_id, embedding): score = 1 - distance.
 
-    Queries meet every vector, as the operator asks; the smaller table is the one Spark replicates,
-    and only k rows of each task go on (the rank limit runs before the exchange).
+    Every query meets every vector, as the operator asks, in blocks: a pair of blocks is one matrix
+    product, of which each query's k best go on. Zero vectors, and those with nulls, take no part.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(dot(c, c)))
     base = vectors if where is None else vectors.where(where)
-    q = queries.select("query_id", unit("embedding").alias("_q"))
-    v = base.withColumn("_v", unit("embedding")).drop("embedding")
-    scored = v.crossJoin(q).withColumn("score", dot("_q", "_v")).drop("_q", "_v")
+    q = _packed(queries.withColumn("_at", F.lit(0)), "query_id", "_at", ("q", "_at", "qm"), QUERY_BLOCK).select("q", "qm")
+    v = _packed(base, "chunk_id", "pos", ("c", "p", "vm"), VECTOR_BLOCK)
+    ids = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString())
+
+    def run(batches):
+        for batch in batches:
+            kinds = [batch.schema.field(i).type.value_type for i in (0, 2)]
+            for qs, qm, cs, ps, vm in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                a = np.frombuffer(qm, np.float64).reshape(len(qs), -1)
+                b = np.frombuffer(vm, np.float64).reshape(len(cs), -1)
+                score = a @ b.T
+                place = np.array(ps, np.int64)
+                best = np.lexsort((np.broadcast_to(place, score.shape), -np.round(score, 9)), axis=1)[:, :k]
+                row = np.repeat(np.arange(len(qs)), best.shape[1])
+                at = best.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([qs[i] for i in row.tolist()], kinds[0]), pa.array([cs[i] for i in at.tolist()], kinds[1]), pa.array(place[at]), pa.array(score[row, at])], ["query_id", "chunk_id", "pos", "score"])
+
+    scored = v.crossJoin(q).select("q", "qm", "c", "p", "vm").mapInArrow(run, f"query_id {ids[0]}, chunk_id {ids[1]}, pos long, score double")
     return ranked(scored, k).withColumn("distance", 1 - F.col("score"))
 
 
 def hashed_vector(words: Column, size: int = 64) -> Column:
-    """A deterministic bag-of-words vector: counts of CRC-32 buckets. A stand-in for an embedding model."""
-    buckets = F.transform(words, lambda w: (F.crc32(w.cast("binary")) % size).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    """A deterministic bag-of-words vector: counts of the words' MD5 buckets. A stand-in for an embedding model."""
+    buckets = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % size))
+    counts = lambda b: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("double"))
+    return F.transform(F.array(buckets), counts)[0]  # so that the buckets are worked out once
+
+
+def embedded(rows: DataFrame, tokenize=tokens, embed=hashed_vector) -> DataFrame:
+    """rows with the embedding of their text; embed turns an array of words into a vector (a pandas UDF over texts fits as well)."""
+    return rows.withColumn("_w", tokenize(F.col("text"))).withColumn("embedding", embed(F.col("_w"))).drop("_w")
+
+
+def stored_vectors(corpus: DataFrame, tokenize=tokens, embed=hashed_vector, rebuild: bool = True) -> DataFrame:
+    """The dense index of a corpus of files (chunk_id, pos, ..., embedding), written at its first use and replaced when a file has changed."""
+    config = {"tokenizer": tokenize.__name__, "embedder": embed.__name__, "columns": ",".join(corpus.columns)}
+    return kept(corpus.sparkSession, "vectors", corpus, config, lambda: {"vectors": embedded(corpus, tokenize, embed).drop("text")}, rebuild)["vectors"]
 
 
 def rrf(lists: list[DataFrame], k: int = 5, constant: int = RRF) -> DataFrame:

@@ -41,20 +41,29 @@ def questions(spark, sf_dir) -> DataFrame:
 
 
 def relevant(spark, sf_dir) -> DataFrame:
-    """Chunks that hold a question's passage: they share its first eight words, then hold it whole."""
-    head = lambda c: F.slice(T.tokens(c), 1, 8)
-    q = questions(spark, sf_dir).select("query_id", F.col("text").alias("passage"), F.xxhash64(head(F.col("text"))).alias("key"))
-    w = corpus(spark, sf_dir).select("chunk_id", "text", T.tokens(F.col("text")).alias("w"))
-    n = F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1)))
-    keys = w.select("chunk_id", "text", F.explode(F.array_distinct(F.transform(n, lambda i: F.xxhash64(F.slice("w", i, 8))))).alias("key"))
-    return keys.join(q, "key").where(F.contains("text", "passage")).select("query_id", "chunk_id").distinct()
+    """Chunks that hold a question's passage: they share its second to seventh word, then hold it whole.
+
+    The first word may begin inside a word of the chunk and the eighth may end in one, so neither is part
+    of the key. Only keys travel; texts are joined to what meets. Passages have eight words or more.
+    """
+    q = questions(spark, sf_dir).select("query_id", F.col("text").alias("passage"))
+    w = corpus(spark, sf_dir).select("chunk_id", F.transform(T.tokens(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
+    w = w.where(F.size("w") > 5).select("chunk_id", "w", F.sequence(F.lit(1), F.size("w") - 5).alias("n"))
+    q = q.withColumn("key", F.xxhash64(F.transform(F.slice(T.tokens(F.col("passage")), 2, 6), lambda x: F.xxhash64(x))))
+    keys = w.select("chunk_id", F.explode(F.array_distinct(F.transform("n", lambda i: F.xxhash64(F.slice("w", i, 6))))).alias("key"))
+    met = keys.join(q, "key").select("query_id", "chunk_id", "passage").distinct()
+    return met.join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id").where(F.contains("text", "passage")).select("query_id", "chunk_id")
+
+
+def bm25_index(spark, sf_dir, tokenize=T.tokens) -> R.Index:
+    return R.stored_index(corpus(spark, sf_dir), tokenize)
 
 
 # ---- tokens, statistics and sparse retrieval ------------------------------------------------------
 
 WORDS = "list_filter(string_split_regex(lower({c}), '\\s+'), lambda x: x <> '')"
 SPLIT = f"toks AS (SELECT doc_id, source, {WORDS.format(c='text')} AS w FROM documents)"
-POST = f"{SPLIT}, dl AS (SELECT doc_id, source, len(w) AS dl FROM toks), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM toks) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st), idf AS (SELECT term, df, CASE WHEN r >= 0 THEN r ELSE 0.25 * (SELECT avg(r) FROM raw) END AS idf FROM raw)"
+POST = f"{SPLIT}, dl AS (SELECT doc_id, source, len(w) AS dl FROM toks), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM toks) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st), mr AS MATERIALIZED (SELECT avg(r) AS mean_r FROM raw), idf AS (SELECT term, df, CASE WHEN r >= 0 THEN r ELSE 0.25 * mean_r END AS idf FROM raw, mr)"
 ASKED = f"q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({WORDS.format(c='text')}) AS term FROM benchmark) GROUP BY ALL)"
 SCORED = f"{POST}, {ASKED}, s AS (SELECT q.item_id AS query_id, p.doc_id AS chunk_id, any_value(dl.source) AS source_type, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN idf USING (term) JOIN p USING (term) JOIN dl ON dl.doc_id = p.doc_id, st GROUP BY ALL)"
 TOP = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s WHERE round(score, 12) > 0"
@@ -78,21 +87,21 @@ def tokenize_regex_stop(spark, sf_dir):
 
 @query(f"WITH {POST} SELECT doc_id AS chunk_id, term, tf FROM p")
 def bm25_term_stats(spark, sf_dir):
-    return R.index(corpus(spark, sf_dir)).postings.select("chunk_id", "term", "tf")
+    return bm25_index(spark, sf_dir).postings.select("chunk_id", "term", "tf")
 
 
 @query(f"WITH {POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf_dir):
-    return R.index(corpus(spark, sf_dir)).df.select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25_index(spark, sf_dir).df.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {POST} SELECT n, round(avgdl, 6) AS avgdl, (SELECT round(avg(r), 6) FROM raw) AS mean_idf FROM st")
 def bm25_corpus_stats(spark, sf_dir):
-    return R.index(corpus(spark, sf_dir)).stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
+    return bm25_index(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
 def _sparse(spark, sf_dir, k):
-    return R.bm25(questions(spark, sf_dir), R.index(corpus(spark, sf_dir)), k)
+    return R.bm25(questions(spark, sf_dir), bm25_index(spark, sf_dir), k)
 
 
 @query(f"WITH {SCORED} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ({TOP}) WHERE rank <= 5")
@@ -102,7 +111,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {SCORED} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s WHERE round(score, 12) > 0 AND source_type IN ('src0', 'src1')) WHERE rank <= 5")
 def bm25_topk_source_filter(spark, sf_dir):
-    hits = R.bm25(questions(spark, sf_dir), R.index(corpus(spark, sf_dir)), 5, F.col("source_type").isin("src0", "src1"))
+    hits = R.bm25(questions(spark, sf_dir), bm25_index(spark, sf_dir), 5, F.col("source_type").isin("src0", "src1"))
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -121,7 +130,7 @@ def bm25_combined_corpus(spark, sf_dir):
 
 DOT = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
 NORM = "sqrt(list_sum(list_transform({c}, lambda x: x::DOUBLE * x::DOUBLE)))"
-NEAR = f"n AS (SELECT vec_id, label, embedding, {NORM.format(c='embedding')} AS nn FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, b.label, {DOT} / (a.nn * b.nn) AS score FROM n a JOIN n b ON a.vec_id < 20)"
+NEAR = f"n AS (SELECT vec_id, label, embedding, {NORM.format(c='embedding')} AS nn FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, b.label, {DOT} / (a.nn * b.nn) AS score FROM n a JOIN n b ON a.vec_id % 100 = 0)"
 
 
 def _vectors(spark, sf_dir):
@@ -129,7 +138,7 @@ def _vectors(spark, sf_dir):
 
 
 def _vector_queries(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query(f"WITH {NEAR} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 5")
@@ -150,16 +159,34 @@ def vector_score_proto(spark, sf_dir):
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round(1 / (1 + F.col("distance")), 6).alias("score"))
 
 
-GSPLIT = f"gt AS (SELECT doc_id, {GERMAN} AS w FROM documents)"
-GSCORED = f"{GSPLIT}, gdl AS (SELECT doc_id, len(w) AS dl FROM gt), gp AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM gt) GROUP BY ALL), gdf AS (SELECT term, count(*) AS df FROM gp GROUP BY term), gst AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM gdl), graw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM gdf, gst), gidf AS (SELECT term, CASE WHEN r >= 0 THEN r ELSE 0.25 * (SELECT avg(r) FROM graw) END AS idf FROM graw), gq AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({GERMAN}) AS term FROM benchmark) GROUP BY ALL), gs AS (SELECT gq.item_id AS query_id, gp.doc_id AS chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM gq JOIN gidf USING (term) JOIN gp USING (term) JOIN gdl ON gdl.doc_id = gp.doc_id, gst GROUP BY ALL)"
+BUCKETS = f"list_transform({WORDS.format(c='text')}, lambda w: (('0x' || substr(md5(w), 1, 4))::INT % 64)::INT)"
+EMBED = "list_transform(range(0, 64), lambda i: len(list_filter(bk, lambda b: b = i))::DOUBLE)"
+VECTORS = f"dv AS MATERIALIZED (SELECT doc_id, source, v, sqrt(list_dot_product(v, v)) AS nv FROM (SELECT doc_id, source, {EMBED} AS v FROM (SELECT doc_id, source, {BUCKETS} AS bk FROM documents))), qv AS MATERIALIZED (SELECT item_id, v, sqrt(list_dot_product(v, v)) AS nv FROM (SELECT item_id, {EMBED} AS v FROM (SELECT item_id, {BUCKETS} AS bk FROM asked))), vs AS (SELECT item_id AS query_id, doc_id AS chunk_id, list_dot_product(dv.v, qv.v) / (dv.nv * qv.nv) AS score FROM qv JOIN dv ON dv.nv > 0 AND qv.nv > 0)"
+
+
+def strange_questions(spark, sf_dir) -> DataFrame:
+    """The questions, and for each one of an unknown word and one without any."""
+    q = questions(spark, sf_dir)
+    unknown = q.select((-1 - 2 * F.col("query_id")).alias("query_id"), F.concat(F.lit("zzqx"), F.col("query_id").cast("string")).alias("text"))
+    empty = q.select((-2 - 2 * F.col("query_id")).alias("query_id"), F.lit(" ").alias("text"))
+    return q.unionByName(unknown).unionByName(empty)
+
+
+STRANGE = "asked AS MATERIALIZED (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - 2 * item_id, 'zzqx' || item_id::VARCHAR FROM benchmark UNION ALL SELECT -2 - 2 * item_id, ' ' FROM benchmark)"
+PLAIN = "asked AS MATERIALIZED (SELECT item_id, text FROM benchmark)"
+
 
+def _two_lists(spark, sf_dir, k, asked=None):
+    """Hits by words and hits by vectors, of the stored indexes."""
+    asked = questions(spark, sf_dir) if asked is None else asked
+    return R.bm25(asked, bm25_index(spark, sf_dir), k), R.dense(R.embedded(asked).drop("text"), R.stored_vectors(corpus(spark, sf_dir)), k).join(corpus(spark, sf_dir).select("chunk_id", "source_type"), "chunk_id")
 
-def _two_lists(spark, sf_dir, k):
-    docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
-    return R.bm25(asked, R.index(docs), k), R.bm25(asked, R.index(docs, T.tokens_german), k)
 
+def two(asked: str) -> str:
+    return f"{asked}, {SCORED.replace('FROM benchmark', 'FROM asked')}, {VECTORS}, l1 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, score FROM s WHERE round(score, 12) > 0), l2 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, score FROM vs)"
 
-TWO = f"{SCORED}, {GSCORED}, l1 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, score FROM s WHERE round(score, 12) > 0), l2 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, score FROM gs WHERE round(score, 12) > 0)"
+
+TWO = two(PLAIN)
 
 
 @query(f"WITH {TWO}, u AS (SELECT *, 0 AS list FROM l1 WHERE rank <= 5 UNION ALL SELECT *, 1 AS list FROM l2 WHERE rank <= 5), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000 + rank) AS seen FROM u GROUP BY ALL) SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) AS rank FROM f) WHERE rank <= 5")
@@ -168,11 +195,12 @@ def hybrid_rrf(spark, sf_dir):
     return fused.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-WEIGHTED = f"{TWO}, b AS (SELECT query_id, chunk_id, x.rank AS sparse_rank, y.rank AS vector_rank FROM (SELECT * FROM l1 WHERE rank <= 50) x FULL JOIN (SELECT * FROM l2 WHERE rank <= 50) y USING (query_id, chunk_id)), f AS (SELECT *, coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) + coalesce(0.5::DOUBLE / (60 + vector_rank), 0) AS rrf FROM b), w AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, least(sparse_rank, vector_rank), source, chunk_id) AS rank FROM f JOIN documents d ON d.doc_id = f.chunk_id)"
+WEIGHTED = "{two}, b AS (SELECT query_id, chunk_id, x.rank AS sparse_rank, y.rank AS vector_rank FROM (SELECT * FROM l1 WHERE rank <= 50) x FULL JOIN (SELECT * FROM l2 WHERE rank <= 50) y USING (query_id, chunk_id)), f AS (SELECT *, coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) + coalesce(0.5::DOUBLE / (60 + vector_rank), 0) AS rrf FROM b), w AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, least(sparse_rank, vector_rank), source, chunk_id) AS rank FROM f JOIN documents d ON d.doc_id = f.chunk_id)".replace("{two}", TWO)
+STRANGE_WEIGHTED = WEIGHTED.replace(TWO, two(STRANGE))
 
 
-def _weighted(spark, sf_dir):
-    a, b = _two_lists(spark, sf_dir, R.WINDOW)
+def _weighted(spark, sf_dir, asked=None):
+    a, b = _two_lists(spark, sf_dir, R.WINDOW, asked)
     return R.weighted_rrf(a, b, 10, (1.0, 0.5))
 
 
@@ -182,9 +210,9 @@ def hybrid_weighted_rrf(spark, sf_dir):
     return _weighted(spark, sf_dir).select("query_id", "chunk_id", n("rank"), F.round("rrf_score", 6).alias("rrf_score"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sparse_rank", "vector_rank")])
 
 
-@query(f"WITH {WEIGHTED}, k AS (SELECT query_id, count(sparse_rank) AS s, count(vector_rank) AS v, count(*) FILTER (sparse_rank IS NOT NULL AND vector_rank IS NOT NULL) AS both_ FROM w WHERE rank <= 10 GROUP BY ALL), a AS (SELECT item_id AS query_id, coalesce(s, 0) AS s, coalesce(v, 0) AS v, coalesce(both_, 0) AS both_ FROM benchmark LEFT JOIN k ON k.query_id = item_id) SELECT query_id, 'SPARSE_NO_HITS' AS code, 'info' AS severity FROM a WHERE s = 0 UNION ALL SELECT query_id, 'VECTOR_NO_HITS', 'info' FROM a WHERE v = 0 UNION ALL SELECT query_id, 'HYBRID_NO_HITS', 'warning' FROM a WHERE s + v = 0 UNION ALL SELECT query_id, 'HYBRID_SINGLE_BACKEND_EVIDENCE', 'info' FROM a WHERE s + v > 0 AND both_ = 0")
+@query(f"WITH {STRANGE_WEIGHTED}, k AS (SELECT query_id, count(sparse_rank) AS s, count(vector_rank) AS v, count(*) FILTER (sparse_rank IS NOT NULL AND vector_rank IS NOT NULL) AS both_ FROM w WHERE rank <= 10 GROUP BY ALL), a AS (SELECT item_id AS query_id, coalesce(s, 0) AS s, coalesce(v, 0) AS v, coalesce(both_, 0) AS both_ FROM asked LEFT JOIN k ON k.query_id = item_id) SELECT query_id, 'SPARSE_NO_HITS' AS code, 'info' AS severity FROM a WHERE s = 0 UNION ALL SELECT query_id, 'VECTOR_NO_HITS', 'info' FROM a WHERE v = 0 UNION ALL SELECT query_id, 'HYBRID_NO_HITS', 'warning' FROM a WHERE s + v = 0 UNION ALL SELECT query_id, 'HYBRID_SINGLE_BACKEND_EVIDENCE', 'info' FROM a WHERE s + v > 0 AND both_ = 0")
 def hybrid_flags(spark, sf_dir):
-    return R.retrieval_flags(_weighted(spark, sf_dir), questions(spark, sf_dir))
+    return R.retrieval_flags(_weighted(spark, sf_dir, strange_questions(spark, sf_dir)), strange_questions(spark, sf_dir))
 
 
 @query("SELECT vec_id, coalesce(array_to_string(list_transform(embedding[1:3], lambda x: round(x::DOUBLE, 3)::DECIMAL(9,3)::VARCHAR), ' > '), '') AS vector_head, coalesce(label::VARCHAR, '') AS label FROM embeddings")
@@ -226,13 +254,11 @@ def retrieval_macro_metrics(spark, sf_dir):
     return V.macro(_judged(spark, sf_dir), 5).select("num_queries", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "recall_at_k", "mrr")], "k")
 
 
-NOISE = f"WITH {SCORED}, {REL}, n AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s WHERE round(score, 12) > 0 AND query_id IN (SELECT query_id FROM rel) AND NOT EXISTS (SELECT 1 FROM rel WHERE rel.query_id = s.query_id AND rel.chunk_id = s.chunk_id))"
+NOISE = f"WITH {POST}, {ASKED}, {REL}, rq AS (SELECT DISTINCT query_id FROM rel), keep AS (SELECT rq.query_id, dl.doc_id, dl.dl FROM rq CROSS JOIN dl ANTI JOIN rel ON rel.query_id = rq.query_id AND rel.chunk_id = dl.doc_id), kst AS (SELECT query_id, count(*) AS n, avg(dl) AS avgdl FROM keep GROUP BY 1), kdf AS MATERIALIZED (SELECT query_id, term, count(*) AS df FROM keep JOIN p USING (doc_id) GROUP BY ALL), kraw AS MATERIALIZED (SELECT query_id, term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM kdf JOIN kst USING (query_id)), kmean AS (SELECT query_id, avg(r) AS mean_r FROM kraw GROUP BY 1), ks AS (SELECT q.item_id AS query_id, p.doc_id AS chunk_id, sum(qtf * CASE WHEN r >= 0 THEN r ELSE 0.25 * mean_r END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * keep.dl / avgdl))) AS score FROM q JOIN kraw ON kraw.query_id = q.item_id AND kraw.term = q.term JOIN p ON p.term = q.term JOIN keep ON keep.query_id = q.item_id AND keep.doc_id = p.doc_id JOIN kst ON kst.query_id = q.item_id JOIN kmean ON kmean.query_id = q.item_id GROUP BY ALL), n AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ks WHERE round(score, 12) > 0)"
 
 
 def _noise(spark, sf_dir, n=10):
-    rel = relevant(spark, sf_dir)
-    hits = _sparse(spark, sf_dir, 1_000_000_000).join(rel.select("query_id").distinct(), "query_id", "left_semi")
-    return V.distractors(hits, rel, n)
+    return V.distractors(questions(spark, sf_dir), bm25_index(spark, sf_dir), relevant(spark, sf_dir), n)
 
 
 @query(f"{NOISE} SELECT query_id, chunk_id, rank FROM n WHERE rank <= 10")
@@ -296,10 +322,13 @@ def section_parents(spark, sf_dir):
     return E.parents(E.markers(_pages(spark))).select("seq", "section_id", "parent_section_id")
 
 
-@query("SELECT * FROM (VALUES ('preamble', 1, 1, 'Regulations'), ('toc', 2, 3, '2' || chr(10) || 'Table of Contents' || chr(10) || '§ 1 Scope' || chr(10) || '3'), ('part-I', 3, 3, 'I.' || chr(10) || 'General'), ('par-3', 4, 4, '§ 3' || chr(10) || chr(10) || '5' || chr(10) || 'Form' || chr(10) || 'body'), ('appendix-1', 5, 5, 'Appendix 1: Plan' || chr(10) || 'plan text')) t(section_id, start_page, end_page, text)")
+NL = " || chr(10) || "
+BODIES = [("preamble", 1, 1, ["Regulations"]), ("toc", 2, 3, ["2", "Table of Contents", "§ 1 Scope", "3"]), ("part-I", 3, 3, ["I.", "General"]), ("par-1", 3, 3, ["§ 1", "Scope", "text of one", "", "more"]), ("par-2", 3, 4, ["§ 2", "Goals", "4", "goal text"]), ("part-II", 4, 4, ["II.", "Exams"]), ("par-3", 4, 4, ["§ 3", "", "5", "Form", "body"]), ("appendix-1", 5, 5, ["Appendix 1: Plan", "plan text"]), ("appendix-2", 5, 5, ["Appendix 2:", "Modules", "§ 3", "again"])]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', {a}, {b}, {NL.join(repr(x) for x in t)})" for i, a, b, t in BODIES) + ") t(section_id, start_page, end_page, text)")
 def sections(spark, sf_dir):
-    s = E.sections(_pages(spark)).where(F.col("section_id").isin("preamble", "toc", "part-I", "par-3", "appendix-1"))
-    return s.select("section_id", "start_page", "end_page", "text")
+    return E.sections(_pages(spark)).select("section_id", "start_page", "end_page", "text")
 
 
 TABLE = [("d", 1, ["Name of module", "LP", "x"]), ("d", 2, ["CS 624", "9", "a"]), ("d", 3, ["ov", "", "b"]), ("d", 4, ["CS 561", "9", None]), ("d", 5, ["", "", ""]), ("d", 6, ["Compulsory Elective Modules", "", ""])]
@@ -374,13 +403,33 @@ def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "\u0001").cast("binary")).alias("sentences_md5"))
 
 
-@query()
+def count_words(x: str) -> str:
+    return f"len(list_filter(string_split_regex({x}, '\\s+'), lambda y: y <> ''))"
+
+
+PARTS = "list_filter(string_split_regex({x}, '\\s+'), lambda y: y <> '')"
+CHUNKED = f"""d AS MATERIALIZED (SELECT doc_id, source, concat_ws(' > ', source, lang) AS head, 512 - {count_words("concat_ws(' > ', source, lang)")} AS room, {SENT} AS s FROM documents),
+e AS MATERIALIZED (SELECT doc_id, source, head, room, flatten(list_transform(s, lambda x: CASE WHEN {count_words('x')} <= room THEN [x] ELSE list_transform(range(0, {count_words('x')}, room), lambda i: array_to_string(({PARTS.format(x='x')})[i + 1:i + room], ' ')) END)) AS p FROM d),
+f AS MATERIALIZED (SELECT *, len(p) AS m, list_transform(range(0, len(p) + 1), lambda i: coalesce(list_sum(list_transform(p[1:i], lambda x: {count_words('x')})), 0)) AS cum FROM e WHERE len(p) > 0),
+w AS (SELECT doc_id, 0::BIGINT AS st, list_max(list_filter(range(1, m + 1), lambda y: y = 1 OR cum[y + 1] - cum[1] + y - 1 <= room)) AS en FROM f
+  UNION ALL SELECT doc_id, st, list_max(list_filter(range(st + 1, m + 1), lambda y: y = st + 1 OR cum[y + 1] - cum[st + 1] + y - st - 1 <= room)) FROM
+  (SELECT w.doc_id, f.m, f.cum, f.room, list_min(list_filter(range(w.st + 1, w.en + 1), lambda x: f.cum[w.en + 1] - f.cum[x + 1] <= 50)) AS st FROM w JOIN f USING (doc_id) WHERE w.en < f.m)),
+cl AS MATERIALIZED (SELECT doc_id, list(array_to_string(f.p[w.st + 1:w.en], ' ') ORDER BY w.st) AS cl FROM w JOIN f USING (doc_id) GROUP BY doc_id),
+g AS (SELECT doc_id, 0 AS i, '' AS held, []::VARCHAR[] AS ready FROM cl
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN small AND fwd THEN cur ELSE '' END, CASE WHEN small AND fwd THEN ready WHEN small AND back THEN list_append(ready[1:len(ready) - 1], ready[-1] || ' ' || cur) ELSE list_append(ready, cur) END FROM
+  (SELECT *, {count_words('cur')} < 64 AS small, after IS NOT NULL AND {count_words("cur || ' ' || after")} <= room AS fwd, len(ready) > 0 AND {count_words("ready[-1] || ' ' || cur")} <= room AS back FROM
+    (SELECT g.doc_id, g.i, g.ready, f.room, CASE WHEN g.held = '' THEN cl[g.i + 1] ELSE g.held || ' ' || cl[g.i + 1] END AS cur, cl[g.i + 2] AS after FROM g JOIN cl USING (doc_id) JOIN f USING (doc_id) WHERE g.i < len(cl)))),
+h AS (SELECT g.doc_id, f.source, f.head, unnest(g.ready) AS body, unnest(range(1, len(g.ready) + 1)) AS k FROM g JOIN cl USING (doc_id) JOIN f USING (doc_id) WHERE g.i = len(cl)),
+chunks AS (SELECT doc_id::VARCHAR AS doc_id, source AS section_id, source || '-txt-' || k::VARCHAR AS chunk_id, 'text' AS chunk_type, head || chr(10) || chr(10) || body AS text, {count_words("head || ' ' || body")}::INT AS token_count, (k - 1)::INT AS chunk_index FROM h)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKED} SELECT * FROM chunks")
 def window_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("section_id"), F.concat_ws(" > ", "source", "lang").alias("heading"), "text")
     return C.chunk_sections(d)
 
 
-@query()
+@query(f"WITH RECURSIVE {CHUNKED} SELECT count(*) AS total_chunks, coalesce(min(token_count), 0)::BIGINT AS min_tokens, coalesce(floor(median(token_count)), 0)::BIGINT AS median_tokens, coalesce(max(token_count), 0)::BIGINT AS max_tokens, coalesce(sum(token_count), 0)::BIGINT AS total_tokens FROM chunks")
 def chunk_token_stats(spark, sf_dir):
     return C.token_stats(window_chunks(spark, sf_dir))
 
@@ -390,7 +439,11 @@ def table_rows_serialized(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.serialized_row(F.array("p_name", F.lit("  "), "p_brand", F.lit(None).cast("string"), F.col("p_size").cast("string"))).alias("line"))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT (p_partkey // 500)::VARCHAR AS t, concat_ws(' | ', nullif(trim(p_name), ''), nullif(trim(p_brand), ''), p_size::VARCHAR) AS line, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) AS i FROM part),
+r AS (SELECT t, i, line, 1 AS pack, 121 - {count_words('line')} AS spare FROM l WHERE i = 1
+  UNION ALL SELECT l.t, l.i, l.line, CASE WHEN {count_words('l.line')} + 1 <= r.spare THEN r.pack ELSE r.pack + 1 END, CASE WHEN {count_words('l.line')} + 1 <= r.spare THEN r.spare ELSE 122 END - {count_words('l.line')} - 1 FROM r JOIN l ON l.t = r.t AND l.i = r.i + 1),
+c AS (SELECT t, pack, 'Parts' || chr(10) || chr(10) || 'name | brand | size' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS text FROM r GROUP BY t, pack)
+SELECT 'parts' AS doc_id, t AS section_id, t || '-tbl-part-' || t || '-' || pack::VARCHAR AS chunk_id, 'table' AS chunk_type, text, {count_words('text')}::INT AS token_count, (pack - 1)::INT AS chunk_index FROM c""")
 def table_chunks(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("t", F.floor(F.col("p_partkey") / 500).cast("string"))
     rows = p.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.array("p_name", "p_brand", F.col("p_size").cast("string")).alias("c")))), lambda x: x["c"]).alias("rows"))
@@ -449,7 +502,12 @@ def prompt_messages(spark, sf_dir):
     return m.select("query_id", F.md5(F.get("m", F.lit(1))["content"].cast("binary")).alias("user_md5"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, x AS MATERIALIZED (SELECT t.query_id, t.rank, {PARTS.format(x='d.text')} AS w, {count_words("'[CONTEXT] source_type=' || d.source || '; chunk_id=' || d.doc_id::VARCHAR || '; rank=' || t.rank::VARCHAR || ' text:'")} AS h, row_number() OVER (PARTITION BY t.query_id ORDER BY t.rank) AS i FROM ({TOP}) t JOIN documents d ON d.doc_id = t.chunk_id WHERE t.rank <= 10 AND trim(d.text) <> ''),
+b AS (SELECT query_id, 0::BIGINT AS i, 0::BIGINT AS used, false AS done, NULL::INT AS rank, NULL::INT AS tokens, NULL::VARCHAR AS text, NULL::BOOLEAN AS truncated FROM x GROUP BY query_id
+  UNION ALL SELECT query_id, i, CASE WHEN stop THEN used ELSE used + h + took END, stop, CASE WHEN NOT stop THEN rank::INT END, (h + took)::INT, array_to_string(w[1:greatest(took, 1)], ' '), NOT fits FROM
+  (SELECT *, done OR (NOT fits AND (spare <= 32 OR spare - h - 1 < 16)) AS stop, CASE WHEN fits THEN len(w) ELSE least(spare - h - 1, len(w)) END AS took FROM
+    (SELECT x.query_id, x.i, x.rank, x.w, x.h, b.used, b.done, {G.BUDGET - G.ANSWER - G.OVERHEAD} - b.used AS spare, x.h + len(x.w) <= {G.BUDGET - G.ANSWER - G.OVERHEAD} - b.used AS fits FROM b JOIN x ON x.query_id = b.query_id AND x.i = b.i + 1)))
+SELECT query_id, rank, tokens, text, truncated FROM b WHERE rank IS NOT NULL""")
 def context_budget(spark, sf_dir):
     hits = _sparse(spark, sf_dir, 10).join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
     return G.budgeted(hits.select("query_id", "rank", G.preview(F.col("source_type"), F.col("chunk_id"), F.col("rank")).alias("head"), "text"))
@@ -465,6 +523,6 @@ def llm_json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", G.json_object(F.concat(F.lit("Sure:\n"), "props", F.lit("\nDone."))).alias("found"))
 
 
-@query()
+@query(f"WITH {SCORED}, h AS (SELECT t.query_id, d.text FROM ({TOP}) t JOIN documents d ON d.doc_id = t.chunk_id WHERE t.rank = 1) SELECT item_id::VARCHAR AS query_id, coalesce(regexp_replace(left(split_part('[1] ' || h.text, chr(10), 1), 200), '\\A\\s+|\\s+\\z', '', 'g'), '{G.NO_CONTEXT}') AS answer, NULL::VARCHAR AS error FROM benchmark LEFT JOIN h ON h.query_id = item_id")
 def generated_answers(spark, sf_dir):
     return G.generate(_contexts(spark, sf_dir).select("query_id", G.messages(F.col("text"), F.col("ctx")).alias("messages")))

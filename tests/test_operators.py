@@ -77,6 +77,12 @@ def test_merged_and_packed():
     assert C.merged(["a", "b c d", "e"], 2, 10, size) == ["a b c d e"]
     assert C.merged(["a", "b", "c d"], 2, 3, size) == ["a b", "c d"]
     assert C.merged(["a"], 5, 10, size) == ["a"]
+    assert C.merged(["a", "b", "c", "d e f"], 3, 10, size) == ["a b c", "d e f"]
+    assert C.merged(["a b c", "d", "e f g h"], 2, 4, size) == ["a b c d", "e f g h"]
+    assert C.merged(["a b c d", "e", "f g h i"], 2, 4, size) == ["a b c d", "e", "f g h i"]
+    assert C.packed_rows(["a b c d e"], [["x y"], ["z"]], 5, size) == [["x y", "z"]]  # a header without room for rows is dropped
+    assert C.packed_rows(["a"], [["x y"], ["z"], ["1 2 3 4 5 6"], ["w"]], 5, size) == [["a", "x y"], ["a", "z"], ["1 2 3 4 5 6"], ["a", "w"]]
+    assert C.packed_rows(["a"], [["x y z w"]], 5, size) == [["a", "x y z w"]]
     rows = [[f"CS {i}", "", "elective"] for i in range(100)]
     packs = C.packed_rows(["code", "kind"], rows, 50, size)
     assert len(packs) > 1 and all(p[0] == "code | kind" for p in packs) and sum(len(p) - 1 for p in packs) == 100
