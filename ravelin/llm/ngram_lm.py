@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import bounded_batches, fresh_path, stored
+from ravelin.llm.common import bounded_batches, fresh_path, planes, stored, unplaned
 
 DELTA = 0.1
 DISCOUNT = 0.75
@@ -47,7 +47,7 @@ MIN_WORD = 1
 #: N-grams of a shard, about; bytes of text whose words are one shard of the vocabulary.
 SHARD, WORD_BYTES = 1 << 20, 64 << 20
 #: Tokens whose n-grams a task sorts at a time, distinct words it counts or remembers at a time.
-CHUNK, WORDS = 1 << 21, 1 << 20
+CHUNK, WORDS = 1 << 20, 1 << 20
 #: Sampled n-grams for each shard.
 SAMPLED = 64
 MOST_OPEN = 64
@@ -62,6 +62,12 @@ END = b" "
 # ---- Elias-Fano sequences -------------------------------------------------------------------------
 
 
+_1, _2, _3, _4, _8, _255 = (np.uint64(x) for x in (1, 2, 3, 4, 8, 255))
+_PAIRS, _FOURS, _NIBBLES, _BYTES, _TOPS = (np.uint64(int(x * 16, 16) if len(x) == 1 else int(x * 8, 16)) for x in ("5", "3", "0f", "01", "80"))
+#: Place of the r-th one of each byte, at 256 * r + byte.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [8] * 8)[r] for r in range(8) for byte in range(256)], np.int64)
+
+
 class EliasFano:
     """A non-decreasing sequence below a bound: low bits packed, high bits in unary."""
 
@@ -95,18 +101,16 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, cumulated: np.ndarray, flip: bool) -> np.ndarray:
         """Bit position of the k-th (from 0) one, or zero if flip."""
-        word = np.searchsorted(cumulated, k, side="right") - 1
-        word = np.minimum(word, len(self.high) - 1)
+        word = np.minimum(np.searchsorted(cumulated, k, side="right") - 1, len(self.high) - 1)
         bits = ~self.high[word] if flip else self.high[word]
-        left = k - cumulated[word]
-        at = np.zeros(len(k), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            part = np.bitwise_count(bits & np.uint64((1 << step) - 1)).astype(np.int64)
-            over = left >= part
-            left -= np.where(over, part, 0)
-            at += np.where(over, step, 0)
-            bits = np.where(over, bits >> np.uint64(step), bits)
-        return 64 * word + at
+        left = (k - cumulated[word]).astype(np.uint64)
+        # ones of each byte, then of all bytes up to it; the byte wanted is the first whose sum is above left
+        ones = bits - ((bits >> _1) & _PAIRS)
+        ones = (ones & _FOURS) + ((ones >> _2) & _FOURS)
+        upto = ((ones + (ones >> _4)) & _NIBBLES) * _BYTES
+        at = np.bitwise_count(((left * _BYTES) | _TOPS) - upto & _TOPS).astype(np.uint64) << _3
+        left -= ((upto << _8) >> at) & _255
+        return 64 * word + at.astype(np.int64) + _IN_BYTE[(left << _8 | ((bits >> at) & _255)).astype(np.int64)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -128,10 +132,13 @@ class EliasFano:
         if first is not None:
             a, b = np.maximum(a, first), np.minimum(b, last)
         end = b.copy()
-        while (open_ := a < b).any():
-            mid = (a + b) >> 1
-            less = open_ & (self._low(np.minimum(mid, self.n - 1)) < low)
-            a, b = np.where(less, mid + 1, a), np.where(open_ & ~less, mid, b)
+        live = np.flatnonzero(a < b)
+        while len(live):
+            mid = (a[live] + b[live]) >> 1
+            less = self._low(mid) < low[live]
+            a[live[less]] = mid[less] + 1
+            b[live[~less]] = mid[~less]
+            live = live[a[live] < b[live]]
         hit = (a < end) & (self._low(np.minimum(a, self.n - 1)) == low)
         return np.where(hit, a, -1)
 
@@ -383,20 +390,6 @@ def before(ids: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
 # ---- levels of n-grams ----------------------------------------------------------------------------
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, all lowest bytes first; leading bytes that are zero in all are left out."""
-    width = max(1, (int(x.max()).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def unplaned(raw: bytes) -> np.ndarray:
-    width = raw[0]
-    n = (len(raw) - 1) // width
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, n).T
-    return out.view("<u8").ravel().view(np.int64)
-
-
 def counted(numbers: DataFrame, keys_of, cuts: np.ndarray, wide: np.dtype) -> DataFrame:
     """(s, k, c): sorted distinct keys and their counts, packed, by ranges that begin at cuts; keys_of(ids, ends) are a chunk's."""
 
@@ -464,7 +457,9 @@ class Level:
             local = context[x:y] - base
             there = np.flatnonzero((local >= 0) & (local < pointers.n - 1))
             local = local[there]
-            first, last = pointers.access(local).astype(np.int64), pointers.access(local + 1).astype(np.int64)
+            new = np.concatenate([[True], local[1:] != local[:-1]])[: len(local)]
+            each, of_each = local[new], np.cumsum(new) - 1
+            first, last = pointers.access(each).astype(np.int64)[of_each], pointers.access(each + 1).astype(np.int64)[of_each]
             size[x + there] = last - first
             on = np.flatnonzero(last > first)
             v = local[on].astype(np.uint64) * np.uint64(self.bound) + successor[x + there[on]].astype(np.uint64)
