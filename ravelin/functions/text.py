@@ -49,6 +49,14 @@ def dehyphenated(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+def joined_lines(c: Column) -> Column:
+    """As dehyphenated(), but only letters are joined, German ones too, whatever blanks stand at the line's end."""
+    letter = "[A-Za-zÄÖÜäöüß]"
+    joined = F.regexp_replace(c, rf"({letter})-\s*\n\s*({letter})", "$1$2")
+    lines = F.transform(F.split(joined, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
 def sentences(c: Column) -> Column:
     """Parts that follow a full stop, exclamation or question mark and white space, trimmed, none empty."""
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+", -1), lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", "")), lambda x: x != "")

@@ -27,6 +27,28 @@ class Words:
         return " ".join(ids)
 
 
+class BytePairs:
+    """Byte-pair tokenizer of a file of ranks in the tiktoken format."""
+
+    # Fixed value: the public word pattern of such vocabularies.
+    PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+    def __init__(self, path: str, pattern: str = PATTERN):
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.table = tiktoken.Encoding(name=path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list:
+        return self.table.encode_ordinary(text)
+
+    def decode(self, ids: list) -> str:
+        return self.table.decode(list(ids))
+
+
 def split_sentences(text: str) -> list[str]:
     return [s for s in (p.strip() for p in re.split(r"(?<=[.!?])\s+", text)) if s]
 
@@ -60,8 +82,8 @@ def windows(counts: list[int], limit: int, overlap: int) -> list[tuple[int, int]
     return out
 
 
-def merged(chunks: list[str], least: int, limit: int, size: Callable[[str], int]) -> list[str]:
-    """Chunks under least grow by the ones after them as long as that fits, else join the one before, else stay."""
+def merged(chunks: list[str], least: int, limit: int, size: Callable[[str], int], last_only: bool = False) -> list[str]:
+    """Chunks under least grow by the ones after them as long as that fits, else (last_only: the last one) join the one before, else stay."""
     out: list[str] = []
     held = ""
     for text, after in zip(chunks, [*chunks[1:], None]):
@@ -69,7 +91,7 @@ def merged(chunks: list[str], least: int, limit: int, size: Callable[[str], int]
         if size(held) < least:
             if after is not None and size(f"{held} {after}") <= limit:
                 continue
-            if out and size(f"{out[-1]} {held}") <= limit:
+            if out and not (last_only and after is not None) and size(f"{out[-1]} {held}") <= limit:
                 out[-1] = f"{out[-1]} {held}"
                 held = ""
                 continue
@@ -156,6 +178,14 @@ def token_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("total_chunks"), n(F.min("token_count")).alias("min_tokens"), n(F.floor(F.median("token_count"))).alias("median_tokens"), n(F.max("token_count")).alias("max_tokens"), n(F.sum("token_count")).alias("total_tokens"))
 
 
+def chunked(sections: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
+    """(chunks, flags) of chunk_sections(); empty sections give a flag."""
+    from ravelin.operators.flags import flagged
+
+    empty = (F.coalesce(F.trim("text"), F.lit("")) == "") & ((F.coalesce(F.size("tables"), F.lit(0)) <= 0) if "tables" in sections.columns else F.lit(True))
+    return chunk_sections(sections.where(~empty), **limits), flagged(sections.where(empty), "pdf_chunker", "SECTION_EMPTY", "doc_id", "section_id")
+
+
 def section_flags(sections: DataFrame) -> DataFrame:
     empty = (F.coalesce(F.trim("text"), F.lit("")) == "") & ((F.coalesce(F.size("tables"), F.lit(0)) <= 0) if "tables" in sections.columns else F.lit(True))
     return sections.where(empty).select("doc_id", "section_id", F.lit("SECTION_EMPTY").alias("code"), F.lit("info").alias("severity"))
