@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ravelin.operators.generation import generate, messages
 from ravelin.operators.retrieval import Index, ranked, remainder_scores
 
 
@@ -54,3 +55,47 @@ def judgement(c: Column) -> Column:
 def accuracy(results: DataFrame) -> DataFrame:
     """(level, accuracy, questions): by level, and overall where level is null."""
     return results.rollup("level").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"), F.countDistinct("query_id").alias("questions"))
+
+
+# ---- whole runs -----------------------------------------------------------------------------------
+
+JUDGE_PROMPT = "You compare an answer with a reference answer to the same question. Reply with a JSON object: correct (true or false), confidence (0 to 1), reasoning."
+
+
+def retrieval_report(questions: DataFrame, hits: DataFrame, relevant: DataFrame, k: int, retriever: str, corpus_size: int) -> DataFrame:
+    """One row: the macro metrics of a retriever, with what they were measured on. Questions without relevant chunks do not count."""
+    asked = questions if "expected_abstention" not in questions.columns else questions.where(~F.coalesce("expected_abstention", F.lit(False)))
+    return macro(per_query(asked, hits, relevant, k), k).select(F.lit(retriever).alias("retriever"), F.lit(corpus_size).alias("corpus_size"), "*")
+
+
+def skipped(questions: DataFrame, relevant: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, why) of the questions a generation run leaves out: abstention expected, no text, or no relevant chunk that exists."""
+    known = relevant.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("query_id").distinct().withColumn("known", F.lit(True))
+    expected = F.coalesce("expected_abstention", F.lit(False)) if "expected_abstention" in questions.columns else F.lit(False)
+    why = F.when(expected, "ABSTENTION_EXPECTED").when(F.trim(F.coalesce("text", F.lit(""))) == "", "EMPTY_QUESTION").when(F.col("known").isNull(), "NO_RELEVANT_CHUNK")
+    return questions.join(known, "query_id", "left").select("query_id", why.alias("why")).where("why is not null")
+
+
+def generation_run(questions: DataFrame, relevant: DataFrame, noise: DataFrame, chunks: DataFrame, levels: list[int], client, judge) -> DataFrame:
+    """(query_id, level, answer, error, correct, confidence, reasoning) of every question left and every level of distractors.
+
+    questions(query_id, text, reference_answer); client and judge make the model clients (see generation).
+    """
+    asked = questions.join(skipped(questions, relevant, chunks), "query_id", "left_anti")
+    own = relevant.join(asked.select("query_id"), "query_id", "left_semi").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    placed = context_grid(own, noise, levels).join(chunks.select("chunk_id", "text"), "chunk_id")
+    lists = placed.groupBy("query_id", "level").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("ctx"))
+    rows = lists.join(asked, "query_id").withColumn("run", F.concat_ws("|", F.col("query_id").cast("string"), F.col("level").cast("string")))
+    replies = generate(rows.select(F.col("run").alias("query_id"), messages(F.col("text"), F.col("ctx")).alias("messages")), client).withColumnRenamed("query_id", "run")
+    said = rows.join(replies, "run")
+    case = F.concat(F.lit("Question: "), "text", F.lit("\nReference answer: "), F.coalesce("reference_answer", F.lit("")), F.lit("\nAnswer: "), F.coalesce("answer", F.lit("")))
+    ask = F.array(F.struct(F.lit("system").alias("role"), F.lit(JUDGE_PROMPT).alias("content")), F.struct(F.lit("user").alias("role"), case.alias("content")))
+    verdicts = generate(said.where("answer is not null").select(F.col("run").alias("query_id"), ask.alias("messages")), judge).select(F.col("query_id").alias("run"), F.col("answer").alias("reply"))
+    j = judgement(F.coalesce("reply", F.lit("")))
+    return said.join(verdicts, "run", "left").withColumn("j", j).select("query_id", "level", "answer", "error", "j.*")
+
+
+def generation_report(results: DataFrame, model: str, judge: str, levels: list[int]) -> DataFrame:
+    """One row: accuracy overall and by level of distractors, with the run's configuration."""
+    by = accuracy(results)
+    return by.agg(F.max(F.when(F.col("level").isNull(), F.col("accuracy"))).alias("accuracy"), F.max(F.when(F.col("level").isNull(), F.col("questions"))).alias("questions"), F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "accuracy")))).alias("by_level")).select(F.lit(model).alias("model"), F.lit(judge).alias("judge"), F.lit(sorted(set(levels))).alias("levels"), "*")

@@ -1,12 +1,16 @@
 """The service's variants: structure, context, chunking and flags, on literal inputs."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from ravelin.operators import answering as A
 from ravelin.operators import chunking as C
+from ravelin.operators import evaluation as V
 from ravelin.operators import flags as Z
+from ravelin.operators import generation as G
 from ravelin.operators import service as S
 from ravelin.operators import structure as D
 
@@ -108,3 +112,68 @@ def test_byte_pairs():
     tk = C.BytePairs(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     text = "Der Prüfungsausschuss entscheidet über § 7, 3 times."
     assert tk.decode(tk.encode(text)) == text and len(tk.encode(text)) < len(text)
+
+
+class Canned(G.Client):
+    """Replies by what the question says."""
+
+    def reply(self, messages):
+        user = messages[-1]["content"]
+        if "boom" in user:
+            raise RuntimeError("down")
+        if "junk" in user:
+            return "no json at all"
+        if "Reference answer" in user:
+            return json.dumps({"correct": "right" in user.split("Answer: ")[-1], "confidence": 0.9, "reasoning": "r"})
+        low, shy = "unsure" in user, "shy" in user
+        return f'Here: {json.dumps({"answer": " yes ", "should_abstain": shy, "confidence": "low" if low else "high", "reasoning": "because"})}'
+
+
+def test_answers(spark):
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["plain", "boom", "junk", "unsure", "shy", "nohits", "weak", "single"])], "query_id int, text string")
+    rows = [(i, r, "a", f"c{r}", "some text", 0.001 if i == 6 else 0.03, r, None if i == 7 else r) for i in range(8) if i != 5 for r in (1, 2)]
+    hits = spark.createDataFrame(rows, "query_id int, rank int, source_type string, chunk_id string, text string, rrf_score double, sparse_rank int, vector_rank int")
+    answers, flags = A.answered(q, hits, None, Canned)
+    got = {r.query_id: r for r in answers.collect()}
+    assert [got[i].reason for i in range(8)] == [None, "LLM_CALL_FAILED", "LLM_OUTPUT_INVALID", "LOW_LLM_CONFIDENCE", "LLM_ABSTAINED", "NO_RETRIEVAL_HITS", "LOW_RELEVANCE_SCORE", "INSUFFICIENT_DUAL_BACKEND_EVIDENCE"]
+    assert got[0].answer == "yes" and got[1].answer == A.REFUSAL and got[0].hit_count == 2 and len(got[0].used_chunks) == 2 and 0 < got[0].used_tokens <= A.Limits().context()
+    assert [c for c, _ in codes(flags)] == ["CONTEXT_EMPTY_AFTER_BUDGETING", "LLM_CALL_FAILED", "LLM_OUTPUT_INVALID", *["LLM_REASONING"] * 3]
+    bad = spark.createDataFrame([(0, "SOURCE_FILE_READ_ERROR", "error"), (7, "BACKEND_UNREACHABLE", "warning")], "query_id int, code string, severity string")
+    more, every = A.chat(q, lambda _: (hits, bad), ["a"], Canned, override=replace(A.NO_OVERRIDE, on_degradation=False), mode="sparse")
+    got = {r.query_id: r.reason for r in more.collect()}
+    assert got[0] == "RETRIEVAL_ERROR_FLAG" and got[7] is None and got[5] == "NO_RETRIEVAL_HITS" and every.where("stage = 'retrieval'").count() == 2
+    assert A.chat(q, lambda _: (hits, bad), ["b"], Canned)[0].where("abstained").count() == 8
+    with pytest.raises(ValueError, match="too little"):
+        A.Limits(budget=800).context()
+
+
+def test_json_client():
+    asked = []
+    client = A.JsonClient(lambda m, form: (asked.append(form), (400, "") if isinstance(form, dict) else (200, "{}"))[1])
+    assert client.reply([]) == "{}" and asked == [A.JsonClient.SCHEMA, "json"]
+    with pytest.raises(RuntimeError, match="503"):
+        A.JsonClient(lambda m, form: (503, "")).reply([])
+
+
+class Echoing(G.Client):
+    def reply(self, messages):
+        user = messages[-1]["content"]
+        if "broken" in user:
+            raise RuntimeError("down")
+        return "right" if "noise0" not in user else "wrong"
+
+
+def test_generation_run(spark):
+    q = spark.createDataFrame([(1, "why", "ref", False), (2, "broken", "ref", False), (3, "what", "ref", True), (4, " ", "ref", False), (5, "lost", "ref", False)], "query_id int, text string, reference_answer string, expected_abstention boolean")
+    rel = spark.createDataFrame([(1, "r"), (2, "r"), (3, "r"), (4, "r"), (5, "gone")], "query_id int, chunk_id string")
+    noise = spark.createDataFrame([(i, f"n{k}", k + 1) for i in (1, 2) for k in range(3)], "query_id int, chunk_id string, rank int")
+    chunks = spark.createDataFrame([("r", "relevant"), *[(f"n{k}", f"noise{k}") for k in range(3)]], "chunk_id string, text string")
+    assert {r.query_id: r.why for r in V.skipped(q, rel, chunks).collect()} == {3: "ABSTENTION_EXPECTED", 4: "EMPTY_QUESTION", 5: "NO_RELEVANT_CHUNK"}
+    got = V.generation_run(q, rel, noise, chunks, [0, 2], Echoing, Canned)
+    rows = {(r.query_id, r.level): r for r in got.collect()}
+    assert {k: r.correct for k, r in rows.items()} == {(1, 0): True, (1, 2): False, (2, 0): False, (2, 2): False} and rows[2, 0].error == "down"
+    report = V.generation_report(got, "m", "j", [2, 0, 2]).first()
+    assert report.accuracy == 0.25 and report.levels == [0, 2] and [(x.level, x.accuracy) for x in report.by_level] == [(0, 0.5), (2, 0.0)]
+    hits = spark.createDataFrame([(1, "r", 1), (3, "r", 1)], "query_id int, chunk_id string, rank int")
+    r = V.retrieval_report(q, hits, rel, 5, "sparse", 4).first()
+    assert (r.retriever, r.corpus_size, r.num_queries, r.recall_at_k) == ("sparse", 4, 4, 0.25)
