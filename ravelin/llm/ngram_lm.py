@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import bounded_batches, fresh_path, planes, stored, unplaned
+from ravelin.llm.common import bounded_batches, fresh_path, let_go, planes, stored, unplaned
 
 DELTA = 0.1
 DISCOUNT = 0.75
@@ -584,6 +584,7 @@ def trained(docs: DataFrame, min_word: int = MIN_WORD) -> tuple[Model, DataFrame
     own = numbers.where(~F.col("held_out"))
 
     def level(keys_of, name):
+        let_go(spark)
         cuts = ranges(own, keys_of, total, model.wide)
         return build_level(counted(own, keys_of, cuts, model.wide), cuts, model.bound, f"{path}/{name}")
 

@@ -223,14 +223,12 @@ def _alike(n, c1, c2, i, j):
 
 
 def _run_pairs(key, ids, n, c1, c2):
-    """Candidates among rows of equal key (sorted), as (label, a, b): all pairs of small runs under label 0.
+    """(a, b, crowds) of rows of equal key (sorted): all candidate pairs of small runs, and the crowds of large ones.
 
-    In large runs the rows that the filter connects, over whatever chain, are one crowd: a label and,
-    as (label, member, member), all its members. Every candidate pair of the run is inside one crowd.
+    In large runs the rows that the filter connects, over whatever chain, are one crowd: the ids of
+    its members, in order. Every candidate pair of the run is inside one crowd.
     """
-    import xxhash
-
-    label, left, right = [], [], []
+    left, right, crowds = [], [], []
     edge = np.flatnonzero(np.diff(key)) + 1
     starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
     size = np.repeat(ends - starts, ends - starts)
@@ -240,7 +238,6 @@ def _run_pairs(key, ids, n, c1, c2):
         if not len(i):
             break
         i = i[_alike(n, c1, c2, i, i + s)]
-        label.append(np.zeros(len(i), np.int64))
         left.append(ids[i])
         right.append(ids[i + s])
     for a, b in zip(starts.tolist(), ends.tolist()) if (size > SMALL_RUN).any() else ():
@@ -256,17 +253,22 @@ def _run_pairs(key, ids, n, c1, c2):
                     queue += found.tolist()
                     crowd.append(found)
             if len(crowd) > 1:
-                members = np.sort(ids[np.concatenate(crowd)])
-                # equal crowds of several segments have one label; should two others share it, they are searched as one
-                label.append(np.full(len(members), xxhash.xxh64_intdigest(members.tobytes(), SEED) >> 1 | 1))
-                left.append(members)
-                right.append(members)
+                crowds.append(np.sort(ids[np.concatenate(crowd)]))
     none = np.empty(0, np.int64)
-    return np.concatenate([none, *label]), np.concatenate([none, *left]), np.concatenate([none, *right])
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), crowds
+
 
+def _united(t: pa.Table) -> pa.Table:
+    """The crowds of one least member as one, a row for each member."""
+    members = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in t.column("members").to_pylist()]))
+    return pa.table({"label": pa.array(np.full(len(members), members[0])), "doc_id": pa.array(members)})
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """(label, a, b) of reps(doc_id, n, code): pairs (label 0) and crowds of those that share a 16-bit segment and pass the ring filter."""
+
+def candidate_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) and crowds (label, doc_id) of those of reps(doc_id, n, code) that share a 16-bit segment and pass the ring filter.
+
+    Crowds of several segments that have the least member in common, as those of one large group mostly do, become one.
+    """
     seg = lambda i: (F.shiftright(F.get("code", F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF)) + F.lit(i << 16)).cast("int")
     rows = reps.select(F.explode(F.array(*[seg(i) for i in range(4 * WIDTH)])).alias("key"), "doc_id", "n", F.get("code", F.lit(0)).alias("c1"), F.get("code", F.lit(1)).alias("c2"))
 
@@ -286,10 +288,13 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
             yield out(_run_pairs(*held))
 
     def out(found):
-        label, a, b = found
-        return pa.RecordBatch.from_arrays([pa.array(label), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["label", "a", "b"])
+        a, b, crowds = found
+        rows = [pa.array(np.concatenate([np.minimum(a, b), np.array([c[0] for c in crowds], np.int64)])), pa.array(np.concatenate([np.maximum(a, b), np.array([c[-1] for c in crowds], np.int64)]))]
+        return pa.RecordBatch.from_arrays([*rows, pa.array([None] * len(a) + [c.tobytes() for c in crowds], pa.binary())], ["a", "b", "members"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "label long, a long, b long").distinct()
+    found = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, members binary"), "candidates")
+    crowds = found.where("members is not null").select("a", "members").distinct().groupBy("a").applyInArrow(_united, "label long, doc_id long")
+    return stored(found.where("members is null").select("a", "b").distinct(), "pairs"), stored(crowds, "crowds")
 
 
 def _crowd_links(ids, n, c1, c2, sets):
@@ -325,8 +330,8 @@ def _crowd_links(ids, n, c1, c2, sets):
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def similar_pairs(df: DataFrame, reps: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) that connect all candidates found(label, a, b) whose sets of shingles have a Jaccard similarity of SIMILARITY or more.
+def similar_pairs(df: DataFrame, reps: DataFrame, pairs: DataFrame, crowds: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) that connect all candidates, pairs(a, b) and within crowds(label, doc_id), whose sets of shingles have a Jaccard similarity of SIMILARITY or more.
 
     Pairs are compared one by one, crowds by a search that compares all pairs but those already connected.
     """
@@ -364,14 +369,14 @@ def similar_pairs(df: DataFrame, reps: DataFrame, found: DataFrame, id_col: str
         pair = _crowd_links(np.array(ids, np.int64), np.array([len(x) for x in s], np.float64), *words, s)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["a", "b"])
 
-    named = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "doc_id")
+    named = pairs.select("a").union(pairs.select("b")).union(crowds.select("doc_id")).distinct().withColumnRenamed("a", "doc_id")
     own = stored(texts(df, id_col, text_col).join(named, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary").dropDuplicates(["doc_id"]), "sets")
-    with_a = found.where("label = 0").select("a", "b").join(own.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+    with_a = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     both = with_a.join(own.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     few = both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
     codes = reps.select("doc_id", F.get("code", F.lit(0)).alias("c1"), F.get("code", F.lit(1)).alias("c2"))
-    crowds = found.where("label <> 0").select("label", F.col("a").alias("doc_id")).join(own.join(codes, "doc_id"), "doc_id").select("label", "doc_id", "c1", "c2", "s")
-    many = crowds.repartition("label").sortWithinPartitions("label", "doc_id").mapInArrow(search, "a long, b long")
+    full = crowds.join(own.join(codes, "doc_id"), "doc_id").select("label", "doc_id", "c1", "c2", "s")
+    many = full.repartition("label").sortWithinPartitions("label", "doc_id").mapInArrow(search, "a long, b long")
     return few.unionByName(many)
 
 
@@ -389,7 +394,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = stored(found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "code")).alias("r")).select("k1", "k2", "r.*"), "classes")
     copies = found.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", F.col("doc_id").alias("rep")), ["k1", "k2"])
     reps = classes.where("n > 0").select("doc_id", "n", "code")
-    pairs = stored(candidate_pairs(reps), "pairs")
-    roots = components(similar_pairs(df, reps, pairs, id_col, text_col)).withColumnRenamed("node", "rep")
+    roots = components(similar_pairs(df, reps, *candidate_pairs(reps), id_col, text_col)).withColumnRenamed("node", "rep")
     named = copies.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     return named.where("doc_id <> root").distinct()

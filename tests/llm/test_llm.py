@@ -93,6 +93,25 @@ def test_top_k(spark):
     assert hamming_topk.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_top_k_ties_outliers_and_few_rows(spark):
+    """Many codes tied at the k-th distance, queries that nothing is near to, vectors with NaN, fewer rows than k."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(700, 64))
+    v[0] = np.abs(v[0])
+    for i in range(64):  # 64 codes at distance one from the first
+        v[100 + i] = v[0]
+        v[100 + i][i] = -1
+    v[300:600] = -np.abs(v[300:600])
+    v[200] = np.tile([1, -1], 32)
+    v[650][:32] = np.nan
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    table = hamming_topk.codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    code = {i: sum(1 << j for j in range(64) if r[j] > 0) for i, r in enumerate(v)}
+    for part, ids in ((table, range(700)), (table.where("id < 5"), range(5))):
+        got = hamming_topk.search(part, part.where(F.col("id") % 100 == 0))
+        same(got, [(q, k + 1, i, d) for q in ids if q % 100 == 0 for k, (d, i) in enumerate(sorted(((code[q] ^ code[i]).bit_count(), i) for i in ids if i != q)[:10])], "query_id", "rank", "id", "distance")
+
+
 def test_pii(docs):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
