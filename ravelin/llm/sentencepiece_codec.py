@@ -9,7 +9,7 @@ into independent parts. In ordinary vocabularies a blank's mark begins its word
 alone; a word between single blanks is then such a part, and a worker remembers the ids of the words
 it has seen (at most CACHE_CHUNKS short ones, in two generations). Vocabularies without that
 property, and texts with marks or repeated blanks, are cut character by character.
-New words of each Arrow batch are checked against the sentencepiece library; a difference raises.
+What is new in each Arrow batch, words and texts encoded as a whole, is checked against the sentencepiece library; a difference raises.
 
 Null and empty texts give the end id alone and decode to the empty text. Repeated rows give
 repeated results. Other columns are not read. A white-space mark U+2581 in a text decodes as a
@@ -31,6 +31,8 @@ from ravelin.llm.common import bounded_batches, texts
 MARK = "▁"
 CACHE_CHUNKS = 500_000
 LONG_CHUNK = 48
+#: What stands before a line feed when its word is shown to the library.
+FRONT = "a"
 #: Rank of a pair whose union is no piece.
 NO_PIECE = 1 << 62
 #: Ids of remembered words, at most, before a batch.
@@ -92,6 +94,7 @@ class Codec:
         #: Characters that stand side by side in some piece; merges cannot cross any other place.
         self.pairs = {p[i : i + 2] for p in score for i in range(len(p) - 1)}
         self.plain = not any("\n" in x or (x[1] == MARK and x[0] != MARK) for x in self.pairs)
+        self.front = lib.encode(FRONT)
         self.parts: dict[str, list[int]] = {}
         self.words = Known(self)
 
@@ -144,7 +147,9 @@ class Codec:
         return [x for x in sym if x is not None]
 
     def encode_chunk(self, s: str) -> list[int]:
-        """The ids of a text with marks for blanks: cut where nothing can merge, one agenda for each part."""
+        """The ids of a text with marks for blanks: one agenda if it is short; else it is cut where nothing can merge, one agenda for each part."""
+        if len(s) <= LONG_CHUNK:
+            return self.agenda(s)
         pairs, parts = self.pairs, self.parts
         cuts = [0, *[i for i, (x, y) in enumerate(zip(s, s[1:]), 1) if x + y not in pairs], len(s)]
         out: list[int] = []
@@ -176,7 +181,9 @@ class Codec:
             if text:
                 split = text.replace("\n", " \n").split(" ")
                 if MARK in text or "" in split or not self.plain:
-                    places.append(words.add(self.encode_chunk(MARK + text.replace(" ", MARK))))
+                    whole = self.encode_chunk(MARK + text.replace(" ", MARK))
+                    words.unchecked.append((text, whole))
+                    places.append(words.add(whole))
                 else:
                     places += [words[w] for w in split]
             places.append(0)
@@ -243,8 +250,8 @@ class Known(dict):
             ids = before
         else:
             ids = self.codec.encode_chunk(word if word[0] == "\n" else MARK + word)
-            if word[0] != "\n":
-                self.unchecked.append((word, ids))
+            # the library puts a mark in front of what it is given; nothing merges across a line feed
+            self.unchecked.append((word, ids) if word[0] != "\n" else (FRONT + word, self.codec.front + ids))
         k = self.add(ids)
         if len(word) <= LONG_CHUNK:
             self[word] = k

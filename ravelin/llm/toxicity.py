@@ -11,7 +11,7 @@ that bounded sample go to the driver; scoring is one pass over all whole texts.
 
 Null texts are empty and not toxic unless the model says so of an empty text; null labels and labels
 of unknown documents are left out. Without both classes in the labels, all probabilities are 0.
-Repeated rows are scored each. Other columns pass through score() unchanged unless it replaces them.
+Repeated rows are scored each. Of equal texts with different labels, toxic holds. Other columns pass through score() unchanged unless it replaces them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import bounded_batches, texts
+from ravelin.llm.common import bounded_batches, stored, texts
 
 MAX_LABELLED = 10_000
 MAX_WORDS = 2_000
@@ -96,13 +96,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bounded_batches(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    sample = texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").dropDuplicates(["text"])  # MAX_LABELLED rows of two numbers
+    found = texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id")  # MAX_LABELLED rows of two numbers
+    # documents of one text are one example, toxic if any of them is labelled so
+    sample = found.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"))
 
     def split(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(presence(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "y", "words"])
 
-    rows = sample.select("doc_id", "y", "text").mapInArrow(split, "doc_id long, y int, words array<string>")
+    rows = stored(sample.select("doc_id", "y", "text").mapInArrow(split, "doc_id long, y int, words array<string>"), "labelled")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Chain([], [])

@@ -336,6 +336,61 @@ def test_toxicity(spark):
     assert not any(r.is_toxic for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect())
 
 
+def chain_by_hand(rows, places, seeds):
+    """Weights of every category by full-batch descent over dense matrices, earlier ones as out-of-fold predictions."""
+
+    def fit(x, y, use):
+        x, y = x[use], y[use]
+        n, rate = len(y), y.mean()
+        weight = np.where(y > 0, 0.5 / max(rate, 1 / n), 0.5 / max(1 - rate, 1 / n)) * 0.5 + 0.5 if 0 < rate < 1 else np.ones(n)
+        w, g2 = np.zeros(x.shape[1] + 1), np.full(x.shape[1] + 1, 1e-8)
+        for _ in range(toxicity.STEPS):
+            r = weight * (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y) / n
+            g = np.append(x.T @ r + toxicity.RIDGE * w[:-1] / 2, r.sum())
+            g2 += g * g
+            w -= 0.5 * g / np.sqrt(g2)
+        return w
+
+    x = np.array([[w in words for w in places] for _, _, words in rows], float)
+    out = []
+    fold = np.arange(len(rows)) % toxicity.FOLDS
+    for c in toxicity.CATEGORIES:
+        y = np.array([float(label and (c == "toxic" or not seeds[c].isdisjoint(words))) for _, label, words in rows])
+        out.append(fit(x, y, np.ones(len(y), bool)))
+        unseen = np.zeros(len(y))
+        for f in range(toxicity.FOLDS):
+            w = fit(x, y, fold != f)
+            unseen[fold == f] = (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))))[fold == f]
+        x = np.column_stack([x, unseen])
+    return out
+
+
+def test_toxicity_is_the_chain_by_hand(spark):
+    rng = random.Random(21)
+    words = [f"wort{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=12) + (rng.choices(["idiot", "worthless", "schurke"], k=2) if i % 3 == 0 else []))) for i in range(150)]
+    rows += [(900, rows[0][1]), (901, rows[1][1]), (902, ""), (903, "x" * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    label = {i: int(i % 3 == 0) for i in range(150)} | {900: 0, 901: 1, 902: 0, 903: 0}
+    chain = toxicity.train(docs, spark.createDataFrame(list(label.items()), "doc_id long, toxic int"))
+    by_text: dict = {}
+    for i, t in rows:
+        d, y = by_text.get(t, (i, 0))
+        by_text[t] = (min(d, i), max(y, label[i]))
+    mine = sorted((d, y, toxicity.presence(t)) for t, (d, y) in by_text.items())
+    expected = chain_by_hand(mine, chain.words, {c: set(s) for c, s in toxicity.SEEDS.items()})
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(chain.weights, expected))
+    again = toxicity.train(docs.repartition(7), spark.createDataFrame(list(label.items()), "doc_id long, toxic int"))
+    assert again.words == chain.words and all(np.allclose(a, b) for a, b in zip(again.weights, chain.weights))
+    p = {r.doc_id: r for r in toxicity.score(docs, chain).collect()}
+    x = np.array([[w in toxicity.presence(t) for w in chain.words] for _, t in rows], float)
+    for c, w in zip(toxicity.CATEGORIES, chain.weights):
+        z = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+        assert all(abs(p[i][f"p_{c}"] - v) < 1e-9 for (i, _), v in zip(rows, z) if i != 902)
+        x = np.column_stack([x, z])
+    assert toxicity.score(docs.limit(0), chain).count() == 0 and not p[902].is_toxic
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, bound in ((0, 10), (1, 1), (1000, 1 << 40), (5000, 6000), (300, 1 << 62)):
