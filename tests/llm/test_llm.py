@@ -323,6 +323,48 @@ def test_quality_by_common_words(spark):
     assert all(got[i].kept == (i < 500) for i in got)
 
 
+def quality_by_hand(rows):
+    """{doc_id: (kept, class distance, word distance)} of (doc_id, text, lang)."""
+    classes = [re.compile(f"[{c}]") for c in quality.CLASSES.values()]
+    found = []
+    for d, t, lang in rows:
+        t, w = t or "", words(t or "")
+        seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        c = [len(p.findall(t)) for p in classes]
+        k = [sum(x.lower() == y for x in w) for y in quality.COMMON]
+        failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        found.append((d, lang or "", len(w), failed, [*c, len(t) - sum(c)], [*k, len(w) - sum(k)]))
+    def total(lists):
+        return [sum(x) for x in zip(*lists)] or None
+
+    def distance(a, b):
+        if not b or not sum(a) or not sum(b):
+            return None
+        p, q = ([x / sum(y) for x in y] for y in (a, b))
+        part = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+        return math.sqrt(max(0.0, sum(part(x, (x + y) / 2) + part(y, (x + y) / 2) for x, y in zip(p, q)) / 2))
+
+    out = {}
+    for d, lang, n, failed, c, k in found:
+        good = [x for x in found if x[1] == lang and not x[3] and x[2] >= quality.GUARD_WORDS]
+        dc, dk = (distance(a, total([x[i] for x in good])) for a, i in ((c, 4), (k, 5)))
+        near = (dc or 0) <= quality.MAX_CLASS_DISTANCE and (dk or 0) <= quality.MAX_WORD_DISTANCE
+        out[d] = (not failed and (n < quality.GUARD_WORDS or near), dc, dk)
+    return out
+
+
+def test_quality_distances(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(90_000, None, None), (90_001, "", "en"), (90_002, "####  &&& 12 " * 30, "xx"), (90_003, "WORT der UND the " * 4 + " ".join(f"Ä{i}" for i in range(60)), None), (90_004, " ".join(f"{i}" for i in range(200)), "en"), (90_005, "The OF and " + "a" * 50_000, "en")]
+    hand = quality_by_hand(rows)
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("w", F.lit(1))).collect()
+    assert len(got) == len(rows) and not hand[90_004][0]
+    same_number = lambda a, b: (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+    assert all(r.kept == hand[r.doc_id][0] and same_number(r.class_distance, hand[r.doc_id][1]) and same_number(r.word_distance, hand[r.doc_id][2]) for r in got)
+    assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     clean, bad = [f"wort{i}" for i in range(300)], ["idiot", "worthless", "trash"]
