@@ -53,7 +53,7 @@ STAGES = [
     ("sentencepiece", to_tokens),
 ]
 
-#: Classifiers, fingerprints and tokenisation are beyond SQL; tests compare with a brute-force version.
+#: Classifiers, fingerprints and tokenisation are beyond SQL; a test compares run() with a version by hand on a small table.
 ORACLE_SQL = None
 
 
