@@ -610,6 +610,35 @@ def test_pipeline(spark):
     assert max(left.values()) == 1
 
 
+def test_pipeline_by_hand(spark, tmp_path):
+    """Toxic documents go, boilerplate lines go, one document of each group stays, all others are tokenised: on a table with nulls, empty and long texts, copies, and columns that clash."""
+    rng = random.Random(31)
+    some = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    bad = ["idiot", "worthless", "trash", "schurke"]
+    rows = [(i, some(60) + ("\nclick here now" if i < 40 else ""), "en", f"site{i % 10}") for i in range(120)]
+    rows += [(200 + i, some(40) + " " + " ".join(rng.choices(bad, k=4)), "en", "s") for i in range(60)]
+    long = [f"v{i}" for i in range(3000)]
+    rows += [(300, " ".join(long), "de", None), (301, " ".join(long[:-30] + ["z"] * 30), "de", "s"), (302, rows[50][1], None, "s"), (303, None, "en", "s"), (304, "", "en", "s"), (305, " \n", "en", None), (306, "▁ a  b", "en", "s")]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 7, 0.5, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, mix_slot int, p_toxic double, fp string")
+    df.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 0, 0) for i in range(100)] + [(200 + i, 0, 1) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    text = {d: (t or "").replace("\nclick here now", "") for d, t, *_ in rows}
+    assert set(out) == {*range(120), 300, 303, 306}
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    for d, r in out.items():
+        ids = lib.encode(text[d], add_eos=True)
+        assert list(r.ids) == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+    assert len({(r.mix_slot, r.mix_place) for r in out.values()}) == len(out)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
     rng = random.Random(8)
     source = {i: f"s{min(i % 6, 2)}" for i in range(1500)}
