@@ -134,7 +134,7 @@ def toc_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, page): pages that name the table of contents, and continuation pages right after them."""
     # The patterns of entries of a table of contents.
     marker, entry = r"(?i)^(?:§\s*\d+|[IVXLCDM]+\.\s*$|ANLAGE\s+\d+:?)", r"(?i)^(?:§\s*\d+|[IVXLCDM]+\.\s*$|ANLAGE\s+\d+:?|\d+\s*$)"
-    rows = F.slice(F.filter(F.transform(F.split("text", "\n", -1), F.trim), lambda x: x != ""), 1, 100)
+    rows = F.slice(F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: x != ""), 1, 100)
     named = F.lower("text").contains("inhaltsverzeichnis")
     like = (F.size(F.filter("rows", lambda x: x.rlike(entry))) >= 12) & (F.size(F.filter("rows", lambda x: (F.length(x) >= 70) & ~x.rlike(marker))) <= 2)
     p = pages.select("doc_id", "page", named.alias("named"), rows.alias("rows")).select("doc_id", "page", "named", (F.col("named") | like).alias("ok"))

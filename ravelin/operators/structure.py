@@ -147,7 +147,7 @@ def context(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["page"] <= FIRST_PAGES), lambda x: x["text"]), "\n")
     d = pages.groupBy("doc_id").agg(first.alias("t"), F.max(F.when(F.col("page") == 1, F.col("text"))).alias("one"), F.max("page").alias("total_pages"))
     t = F.col("t")
-    lines = F.filter(F.transform(F.split(F.coalesce("one", F.lit("")), "\n", -1), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce("one", F.lit("")), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     title = F.coalesce(F.get(F.filter(lines, lambda x: x.contains("Studien-") & x.contains("Prüfungsordnung")), F.lit(0)), F.get(F.filter(lines, lambda x: F.length(x) > 20), F.lit(0)))
     dates = lambda p: F.filter(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), T.german_date), lambda x: x.isNotNull())
     version = F.coalesce(F.array_max(dates(VERSION)), F.get(dates(NAMED_DATE), F.lit(0)), F.get(dates(DOTTED_DATE), F.lit(0)))

@@ -13,6 +13,8 @@ from ravelin.operators import extraction as E
 from ravelin.operators import faq as Q
 from ravelin.operators import generation as G
 from ravelin.operators import retrieval as R
+from ravelin.operators import service as S
+from ravelin.operators import structure as D
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -278,13 +280,15 @@ def generation_metrics_rollup(spark, sf_dir):
     return V.accuracy(rows).select(F.coalesce(F.col("level").cast("string"), F.lit("all")).alias("level"), F.round("accuracy", 6).alias("accuracy"), "questions")
 
 
-REPLIES = ['{"correct": true, "confidence": 0.9, "reasoning": "ok"}', '```json\n{"correct": false, "confidence": 0.25, "reasoning": "no"}\n```', 'I think "correct": true here', "no verdict", '{"correct": true}', "[1]"]
-
-
-@query("SELECT * FROM (VALUES (0, true, 0.9::DOUBLE, 'ok'), (1, false, 0.25, 'no'), (2, true, 0.5, 'I think \"correct\": true here'), (3, false, 0.5, 'no verdict'), (4, true, 0.5, ''), (5, false, 0.5, '[1]')) t(id, correct, confidence, reasoning)")
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN quality = 1 WHEN 1 THEN toxic = 1 WHEN 2 THEN true WHEN 4 THEN true ELSE false END AS correct, CASE WHEN doc_id % 5 < 2 THEN (doc_id % 100) / 100.0 ELSE 0.5 END::DOUBLE AS confidence,
+CASE doc_id % 5 WHEN 0 THEN 'r' || doc_id::VARCHAR WHEN 1 THEN 'ok' WHEN 2 THEN 'I think "correct": true here' WHEN 3 THEN '[1] no verdict' ELSE '' END AS reasoning FROM labels""")
 def judge_parse(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(REPLIES)), "id int, reply string")
-    return rows.select("id", V.judgement(F.col("reply")).alias("j")).select("id", "j.*")
+    n, flag = F.col("doc_id"), lambda c: F.when(F.col(c) == 1, "true").otherwise("false")
+    sure = (n % 100 / 100).cast("string")
+    plain = F.concat(F.lit('{"correct": '), flag("quality"), F.lit(', "confidence": '), sure, F.lit(', "reasoning": "r'), n.cast("string"), F.lit('"}'))
+    fenced = F.concat(F.lit('```json\n{"correct": '), flag("toxic"), F.lit(', "confidence": "'), sure, F.lit('", "reasoning": "ok"}\n```'))
+    reply = F.when(n % 5 == 0, plain).when(n % 5 == 1, fenced).when(n % 5 == 2, 'I think "correct": true here').when(n % 5 == 3, "[1] no verdict").otherwise('{"correct": true}')
+    return table(spark, sf_dir, "labels").select("doc_id", V.judgement(reply).alias("j")).select("doc_id", "j.*")
 
 
 # ---- extraction -----------------------------------------------------------------------------------
@@ -380,9 +384,53 @@ def german_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.german_date(text).cast("string").alias("version_date"))
 
 
-@query("SELECT * FROM (VALUES ('I', 1), ('IV', 4), ('IX', 9), ('XIV', 14), ('XL', 40), ('MCMXCIV', 1994), ('abc', -1)) t(numeral, value)")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 97 = 0 THEN -1 ELSE 1 + p_partkey % 3999 END AS value FROM part")
 def roman_numerals(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in ("I", "IV", "IX", "XIV", "XL", "MCMXCIV", "abc")], "numeral string").select("numeral", F.coalesce(T.roman(F.col("numeral")), F.lit(-1)).alias("value"))
+    n = 1 + F.col("p_partkey") % 3999
+    digits = [("", "M", "MM", "MMM"), *[("", i, i * 2, i * 3, i + v, v, v + i, v + i * 2, v + i * 3, i + x) for i, v, x in ("CDM", "XLC", "IVX")]]
+    numeral = F.concat(*[F.get(F.array(*map(F.lit, d)), (F.floor(n / 10 ** (3 - k)) % 10).cast("int")) for k, d in enumerate(digits)])
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(T.roman(F.when(F.col("p_partkey") % 97 == 0, "abc").otherwise(numeral)), F.lit(-1)).cast("long").alias("value"))
+
+
+@query(f"""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN '{D.DOCUMENT_TYPE}' END AS document_type, CASE WHEN o_orderkey % 2 = 0 THEN '{D.DOCUMENT_TYPE} ' || o_orderkey::VARCHAR WHEN o_orderkey % 3 = 0 THEN '{D.INSTITUTION}' WHEN o_orderkey % 5 = 1 THEN 'Fachbereich Mathematik und Informatik' WHEN o_orderkey % 4 > 0 THEN 'in der Fassung vom ' || strftime(o_orderdate::DATE, '%-d.%-m.%Y') END AS title,
+CASE WHEN o_orderkey % 3 = 0 THEN '{D.INSTITUTION}' END AS institution, CASE WHEN o_orderkey % 4 > 0 THEN greatest(o_orderdate::DATE, DATE '1995-03-02')::VARCHAR END AS version_date, CASE WHEN o_orderkey % 5 = 0 THEN 'FB12' WHEN o_orderkey % 5 = 1 THEN 'Fachbereich Mathematik und Informatik' END AS faculty FROM orders""")
+def document_context(spark, sf_dir):
+    k = F.col("o_orderkey")
+    lines = [F.when(k % 2 == 0, F.concat(F.lit(f"{D.DOCUMENT_TYPE} "), k.cast("string"))), F.when(k % 3 == 0, D.INSTITUTION), F.when(k % 5 == 0, "am FB 12").when(k % 5 == 1, "Fachbereich Mathematik und Informatik"), F.when(k % 4 > 0, F.date_format("o_orderdate", "'in der Fassung vom 'd.M.yyyy")), F.when(k % 4 > 0, "Fassung vom 2. März 1995")]
+    pages = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.lit(1).alias("page"), F.concat_ws("\n", *lines).alias("text"))
+    return D.context(pages)[0].withColumn("version_date", F.col("version_date").cast("string")).drop("total_pages")
+
+
+def _statutes(spark, sf_dir):
+    """A statute for each region: a part, then a paragraph for each nation, repeated at once on the next page for every third one, and an annex."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    k = F.col("n_nationkey")
+    body = F.concat(F.lit("§ "), k.cast("string"), F.lit("\nZiel "), F.initcap("n_name"), F.lit("\nTEXT zu diesem."), F.when(k % 3 == 0, F.concat(F.lit("\n§ "), k.cast("string"), F.lit("\nnoch mehr"))).otherwise(""))
+    one = n.select(F.col("n_regionkey").alias("doc_id"), (2 + k).cast("int").alias("page"), body.alias("text"))
+    first = r.select(F.col("r_regionkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("Vorwort\nIV. Teil "), F.initcap("r_name")).alias("text"))
+    last = r.select(F.col("r_regionkey").alias("doc_id"), F.lit(99).alias("page"), F.lit("Anlage 1: Muster\nXYZ").alias("text"))
+    return first.unionByName(one).unionByName(last)
+
+
+@query("""WITH x AS (SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS n, n_nationkey AS k, upper(n_name[1]) || lower(n_name[2:]) AS name FROM nation)
+SELECT r_regionkey AS doc_id, 'sec_0001' AS section_id, NULL::VARCHAR AS parent_section_id, 'part' AS kind, 'IV' AS label, 1 AS start_page FROM region
+UNION ALL SELECT doc_id, 'sec_' || lpad(n::VARCHAR, 4, '0'), 'sec_0001', 'paragraph', '§ ' || k::VARCHAR, (2 + k)::INT FROM x
+UNION ALL SELECT doc_id, 'sec_' || lpad((max(n) + 1)::VARCHAR, 4, '0'), NULL, 'annex', 'Anlage 1', 99 FROM x GROUP BY doc_id""")
+def statute_sections(spark, sf_dir):
+    return D.parse_sections(_statutes(spark, sf_dir))[0].select("doc_id", "section_id", "parent_section_id", "kind", "label", "start_page")
+
+
+@query("SELECT 'DUPLICATE_PARAGRAPH_MARKER_SKIPPED' AS code, 'info' AS severity, count(*) AS n FROM nation WHERE n_nationkey % 3 = 0 HAVING count(*) > 0")
+def statute_flags(spark, sf_dir):
+    return D.parse_sections(_statutes(spark, sf_dir))[1].groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_regionkey AS doc_id, count(*) AS n_chunks, min(chunk) AS first_chunk, max(chunk) AS last_chunk FROM (SELECT n_regionkey, 'ch_' || lpad(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::VARCHAR, 6, '0') AS chunk FROM (SELECT n_regionkey, n_nationkey FROM nation UNION ALL SELECT r_regionkey, 99 FROM region)) GROUP BY 1")
+def service_chunks(spark, sf_dir):
+    made = D.parse_sections(_statutes(spark, sf_dir))[0].select("doc_id", "section_id", F.substring("section_id", 5, 4).cast("int").alias("seq"), "kind", F.concat_ws(" ", "label", "title").alias("heading"), F.col("normalized_text").alias("text"))
+    none = spark.createDataFrame([], "doc_id long, table_id string, seq int, section_id string, rows array<array<string>>")
+    chunks = S.chunked(made, none)[0]
+    return chunks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
 
 
 @query("SELECT * FROM (VALUES (2), (3)) t(page)")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ravelin.operators import answering as A
 from ravelin.operators import chunking as C
 from ravelin.operators import evaluation as V
+from ravelin.operators import extraction as E
 from ravelin.operators import flags as Z
 from ravelin.operators import generation as G
 from ravelin.operators import service as S
@@ -177,3 +178,10 @@ def test_generation_run(spark):
     hits = spark.createDataFrame([(1, "r", 1), (3, "r", 1)], "query_id int, chunk_id string, rank int")
     r = V.retrieval_report(q, hits, rel, 5, "sparse", 4).first()
     assert (r.retriever, r.corpus_size, r.num_queries, r.recall_at_k) == ("sparse", 4, 4, 0.25)
+
+
+def test_contents_of_numbers_alone(spark):
+    """Lines are trimmed of blanks only, whatever their place."""
+    pages = [("d", 1, "Titel"), ("d", 2, "Inhaltsverzeichnis"), ("d", 3, "\n".join(f" {i} " for i in range(14))), ("d", 4, "Prosa")]
+    got = E.toc_pages(spark.createDataFrame(pages, "doc_id string, page int, text string")).collect()
+    assert sorted(r.page for r in got) == [2, 3]
