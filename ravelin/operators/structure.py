@@ -20,7 +20,7 @@ ANNEX, PARAGRAPH, NUMBER = r"(?i)^\s*Anlage\s+(\d+)\s*:?\s*(.*)\s*$", r"^\s*§+\
 REFERENCE_HINTS = ("abs.", "satz", "nr.", "gemäß", "anlage")
 # What a document's context is read from.
 DOCUMENT_TYPE, TYPE_PATTERN = "Studien- und Prüfungsordnung", r"(?i)Studien-\s*und\s*Prüfungsordnung"
-INSTITUTION, INSTITUTION_PATTERN = "Philipps-Universität Marburg", r"(?i)Philipps-Universität\s+Marburg"
+INSTITUTION, FACULTY_NUMBER, FACULTY_NAME = r"(\p{Lu}\p{L}*-Universität\s+\p{Lu}\p{L}+)", r"(?i)\bFB\s*(\d+)\b", r"Fachbereichs?\s+(\p{Lu}\p{L}+(?:\s+und\s+\p{Lu}\p{L}+)?)"
 VERSION, NAMED_DATE, DOTTED_DATE = r"(?i)(?:in\s+der\s+)?Fassung\s+vom\s+([^\n,;]+)", r"(\d{1,2}\.\s*[A-Za-zÄÖÜäöüß]+\s*\d{4})", r"(\d{1,2}\.\d{1,2}\.\d{2,4})"
 MAX_TITLE, MAX_UPPER, MAX_ROMAN, NEAR_PAGES, FIRST_PAGES = 140, 80, 30, 2, 4
 
@@ -151,8 +151,9 @@ def context(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     title = F.coalesce(F.get(F.filter(lines, lambda x: x.contains("Studien-") & x.contains("Prüfungsordnung")), F.lit(0)), F.get(F.filter(lines, lambda x: F.length(x) > 20), F.lit(0)))
     dates = lambda p: F.filter(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), T.german_date), lambda x: x.isNotNull())
     version = F.coalesce(F.array_max(dates(VERSION)), F.get(dates(NAMED_DATE), F.lit(0)), F.get(dates(DOTTED_DATE), F.lit(0)))
-    faculty = F.when(t.rlike(r"(?i)\bFB\s*12\b"), "FB12").when(t.rlike(r"(?i)Fachbereichs?\s+Mathematik\s+und\s+Informatik"), "Fachbereich Mathematik und Informatik")
-    made = d.select("doc_id", F.when(t.rlike(TYPE_PATTERN), DOCUMENT_TYPE).alias("document_type"), title.alias("title"), F.when(t.rlike(INSTITUTION_PATTERN), INSTITUTION).alias("institution"), version.alias("version_date"), faculty.alias("faculty"), "total_pages")
+    first_of = lambda p: F.nullif(clean(F.regexp_extract(t, p, 1)), F.lit(""))
+    faculty = F.coalesce(F.concat(F.lit("FB"), first_of(FACULTY_NUMBER)), F.concat(F.lit("Fachbereich "), first_of(FACULTY_NAME)))
+    made = d.select("doc_id", F.when(t.rlike(TYPE_PATTERN), DOCUMENT_TYPE).alias("document_type"), title.alias("title"), first_of(INSTITUTION).alias("institution"), version.alias("version_date"), faculty.alias("faculty"), "total_pages")
     missing = [Z.flagged(made.where(F.col(c).isNull()), "pdf_extractor", f"MISSING_{c.upper()}", "doc_id") for c in ("document_type", "title", "institution", "version_date", "faculty")]
     return made, Z.together(*missing)
 

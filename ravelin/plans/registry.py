@@ -392,11 +392,11 @@ def roman_numerals(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(T.roman(F.when(F.col("p_partkey") % 97 == 0, "abc").otherwise(numeral)), F.lit(-1)).cast("long").alias("value"))
 
 
-@query(f"""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN '{D.DOCUMENT_TYPE}' END AS document_type, CASE WHEN o_orderkey % 2 = 0 THEN '{D.DOCUMENT_TYPE} ' || o_orderkey::VARCHAR WHEN o_orderkey % 3 = 0 THEN '{D.INSTITUTION}' WHEN o_orderkey % 5 = 1 THEN 'Fachbereich Mathematik und Informatik' WHEN o_orderkey % 4 > 0 THEN 'in der Fassung vom ' || strftime(o_orderdate::DATE, '%-d.%-m.%Y') END AS title,
-CASE WHEN o_orderkey % 3 = 0 THEN '{D.INSTITUTION}' END AS institution, CASE WHEN o_orderkey % 4 > 0 THEN greatest(o_orderdate::DATE, DATE '1995-03-02')::VARCHAR END AS version_date, CASE WHEN o_orderkey % 5 = 0 THEN 'FB12' WHEN o_orderkey % 5 = 1 THEN 'Fachbereich Mathematik und Informatik' END AS faculty FROM orders""")
+@query(f"""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN '{D.DOCUMENT_TYPE}' END AS document_type, CASE WHEN o_orderkey % 2 = 0 THEN '{D.DOCUMENT_TYPE} ' || o_orderkey::VARCHAR WHEN o_orderkey % 3 = 0 THEN 'Muster-Universität Stadt' WHEN o_orderkey % 5 = 1 THEN 'Fachbereich Mathematik und Informatik' WHEN o_orderkey % 4 > 0 THEN 'in der Fassung vom ' || strftime(o_orderdate::DATE, '%-d.%-m.%Y') END AS title,
+CASE WHEN o_orderkey % 3 = 0 THEN 'Muster-Universität Stadt' END AS institution, CASE WHEN o_orderkey % 4 > 0 THEN greatest(o_orderdate::DATE, DATE '1995-03-02')::VARCHAR END AS version_date, CASE WHEN o_orderkey % 5 = 0 THEN 'FB12' WHEN o_orderkey % 5 = 1 THEN 'Fachbereich Mathematik und Informatik' END AS faculty FROM orders""")
 def document_context(spark, sf_dir):
     k = F.col("o_orderkey")
-    lines = [F.when(k % 2 == 0, F.concat(F.lit(f"{D.DOCUMENT_TYPE} "), k.cast("string"))), F.when(k % 3 == 0, D.INSTITUTION), F.when(k % 5 == 0, "am FB 12").when(k % 5 == 1, "Fachbereich Mathematik und Informatik"), F.when(k % 4 > 0, F.date_format("o_orderdate", "'in der Fassung vom 'd.M.yyyy")), F.when(k % 4 > 0, "Fassung vom 2. März 1995")]
+    lines = [F.when(k % 2 == 0, F.concat(F.lit(f"{D.DOCUMENT_TYPE} "), k.cast("string"))), F.when(k % 3 == 0, "Muster-Universität Stadt"), F.when(k % 5 == 0, "am FB 12").when(k % 5 == 1, "Fachbereich Mathematik und Informatik"), F.when(k % 4 > 0, F.date_format("o_orderdate", "'in der Fassung vom 'd.M.yyyy")), F.when(k % 4 > 0, "Fassung vom 2. März 1995")]
     pages = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.lit(1).alias("page"), F.concat_ws("\n", *lines).alias("text"))
     return D.context(pages)[0].withColumn("version_date", F.col("version_date").cast("string")).drop("total_pages")
 

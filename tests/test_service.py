@@ -16,7 +16,7 @@ from ravelin.operators import service as S
 from ravelin.operators import structure as D
 
 PAGES = [
-    ("d", 1, "Studien- und Prüfungsordnung Informatik\nPhilipps-Universität Marburg\nFachbereich Mathematik und Informatik\nFassung vom 3. Mai 2019\nin der Fassung vom 12.4.2021"),
+    ("d", 1, "Studien- und Prüfungsordnung Informatik\nMuster-Universität  Stadt\nFachbereich Mathematik und Informatik\nFassung vom 3. Mai 2019\nin der Fassung vom 12.4.2021"),
     ("d", 2, "Inhaltsverzeichnis\n§ 1 Zweck"),
     ("d", 3, "§ 9 Waise\nohne Teil\nI. Allgemeines\n§ 1\nZweck der Prü-\nfung\n3\nText zu eins, siehe\n§ 2 Abs. 3 der Ordnung.\n§ 2 Ziele\nText"),
     ("d", 4, "§ 2 Ziele\nmehr Text\nII.\nPRÜFUNGEN UND\nNOTEN\n§ 3 Form"),
@@ -52,7 +52,7 @@ def test_sections(spark, pages):
 def test_context(pages):
     made, flags = D.context(pages)
     got = {r.doc_id: r for r in made.collect()}
-    assert (got["d"].document_type, got["d"].institution, got["d"].faculty, str(got["d"].version_date), got["d"].total_pages) == (D.DOCUMENT_TYPE, D.INSTITUTION, "Fachbereich Mathematik und Informatik", "2021-04-12", 5)
+    assert (got["d"].document_type, got["d"].institution, got["d"].faculty, str(got["d"].version_date), got["d"].total_pages) == (D.DOCUMENT_TYPE, "Muster-Universität Stadt", "Fachbereich Mathematik und Informatik", "2021-04-12", 5)
     assert got["d"].title == "Studien- und Prüfungsordnung Informatik" and got["e"].title is None
     assert sum(r.code == "MISSING_TITLE" for r in flags.collect()) == 2
 
