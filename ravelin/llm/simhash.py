@@ -180,6 +180,8 @@ SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 13
 #: Bits of the wide fingerprint's first 128 that may differ in a candidate pair, about five deviations
 #: above the mean at SIMILARITY, and the segments of its ring.
 CHECK_DIFF, CHECK_SEGMENTS = 38, 8
+#: Candidate pairs of a run that are sent as such; more are sent as a crowd.
+FEW = 2
 #: Sets of shingles that are compared with one at a time.
 BLOCK_ROWS = 256
 
@@ -222,10 +224,27 @@ def _alike(n, c1, c2, i, j):
     return (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j])) & ring_mask(c1[i] ^ c1[j], c2[i] ^ c2[j])
 
 
+def _connected(a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+    """The connected components of links."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        up[root(x)] = root(y)
+    out: dict[int, list[int]] = {}
+    for x in up:
+        out.setdefault(root(x), []).append(x)
+    return list(out.values())
+
+
 def _run_pairs(key, ids, n, c1, c2):
-    """(a, b, crowds) of rows of equal key (sorted): all candidate pairs of small runs, and the crowds of large ones.
+    """(a, b, crowds) of rows of equal key (sorted): the candidate pairs of runs that have FEW at most, and the crowds of the others.
 
-    In large runs the rows that the filter connects, over whatever chain, are one crowd: the ids of
+    In other runs the rows that the filter connects, over whatever chain, are one crowd: the ids of
     its members, in order. Every candidate pair of the run is inside one crowd.
     """
     left, right, crowds = [], [], []
@@ -238,8 +257,14 @@ def _run_pairs(key, ids, n, c1, c2):
         if not len(i):
             break
         i = i[_alike(n, c1, c2, i, i + s)]
-        left.append(ids[i])
-        right.append(ids[i + s])
+        left.append(i)
+        right.append(i + s)
+    none = np.empty(0, np.int64)
+    left, right = np.concatenate([none, *left]), np.concatenate([none, *right])
+    of = np.searchsorted(starts, left, side="right") - 1
+    dense = np.bincount(of, minlength=len(starts))[of] > FEW
+    crowds += [np.sort(ids[c]) for c in _connected(left[dense], right[dense])]
+    left, right = [ids[left[~dense]]], [ids[right[~dense]]]
     for a, b in zip(starts.tolist(), ends.tolist()) if (size > SMALL_RUN).any() else ():
         if b - a <= SMALL_RUN:
             continue
@@ -254,7 +279,6 @@ def _run_pairs(key, ids, n, c1, c2):
                     crowd.append(found)
             if len(crowd) > 1:
                 crowds.append(np.sort(ids[np.concatenate(crowd)]))
-    none = np.empty(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right]), crowds
 
 
@@ -297,8 +321,9 @@ def candidate_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(found.where("members is null").select("a", "b").distinct(), "pairs"), stored(crowds, "crowds")
 
 
-def _crowd_links(ids, n, c1, c2, sets):
-    """Verified links that connect all near-duplicates of a crowd: a row is reached only over a pair whose shingles were compared."""
+def _crowd_links(ids, n, codes, sets):
+    """Verified links that connect all candidates of a crowd that are near-duplicates: a row is reached only over a pair whose shingles were compared."""
+    c1, c2 = np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1])
     left, right = [], []
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     ends = np.cumsum(size)
@@ -309,6 +334,7 @@ def _crowd_links(ids, n, c1, c2, sets):
         while queue and len(rest):
             at = queue.pop()
             near = np.flatnonzero(_alike(n, c1, c2, at, rest))
+            near = near[((codes[rest[near]] ^ codes[at]).view(np.uint16) == 0).any(axis=1)]  # a crowd's rows come from several segments
             if not len(near):
                 continue
             mine = flat[ends[at] - size[at] : ends[at]]
@@ -353,7 +379,7 @@ def similar_pairs(df: DataFrame, reps: DataFrame, pairs: DataFrame, crowds: Data
     def search(batches):
         held, at = [], None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if row[0] != at and held:
                     yield linked(held)
                     held = []
@@ -363,10 +389,9 @@ def similar_pairs(df: DataFrame, reps: DataFrame, pairs: DataFrame, crowds: Data
             yield linked(held)
 
     def linked(rows):
-        ids, c1, c2, s = zip(*rows)
+        ids, codes, s = zip(*rows)
         s = [np.frombuffer(x, np.uint64) for x in s]
-        words = [np.array(c, np.int64).view(np.uint64) for c in (c1, c2)]
-        pair = _crowd_links(np.array(ids, np.int64), np.array([len(x) for x in s], np.float64), *words, s)
+        pair = _crowd_links(np.array(ids, np.int64), np.array([len(x) for x in s], np.float64), np.array(codes, np.int64).view(np.uint64), s)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["a", "b"])
 
     named = pairs.select("a").union(pairs.select("b")).union(crowds.select("doc_id")).distinct().withColumnRenamed("a", "doc_id")
@@ -374,8 +399,7 @@ def similar_pairs(df: DataFrame, reps: DataFrame, pairs: DataFrame, crowds: Data
     with_a = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     both = with_a.join(own.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     few = both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
-    codes = reps.select("doc_id", F.get("code", F.lit(0)).alias("c1"), F.get("code", F.lit(1)).alias("c2"))
-    full = crowds.join(own.join(codes, "doc_id"), "doc_id").select("label", "doc_id", "c1", "c2", "s")
+    full = crowds.join(own.join(reps.select("doc_id", "code"), "doc_id"), "doc_id").select("label", "doc_id", "code", "s")
     many = full.repartition("label").sortWithinPartitions("label", "doc_id").mapInArrow(search, "a long, b long")
     return few.unionByName(many)
 
