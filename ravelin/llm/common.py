@@ -35,8 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: What this driver has written, for sweep().
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ravelin-{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/ravelin-{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables and model files that this driver's operators have written, once their results have been consumed; how many there were."""
+    n = 0
+    while _written:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

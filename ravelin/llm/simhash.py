@@ -3,7 +3,8 @@
 A fingerprint is dealt into a ring of consecutive segments. If two fingerprints differ in at most t
 bits, then from some segment on every chain of 1, 2, ... consecutive segments differs in at most its
 proportional share of t, rounded down. With more segments than t that first segment is equal, so it
-is the key of an equi-join; the longer chains prune what meets there before the full Hamming check.
+is the key of an equi-join, for many fingerprints together with the next, which differs in one bit at
+most; the longer chains prune what meets there before the full Hamming check.
 
 Only distinct fingerprints are joined. A segment value that many of them share is searched from link
 to link over those not yet reached, so it gives as many links as it has members at most and the
@@ -28,6 +29,8 @@ from ravelin.llm.graph import components
 SEED = 42
 SEGMENTS = 4
 MAX_DIFF = 3
+#: Distinct fingerprints from which keys are of two segments, so that few others share one.
+MANY = 1 << 22
 #: Shingles whose bits are counted at a time.
 BLOCK = 60_000
 #: Rows of equal key that are compared pairwise without a search.
@@ -104,8 +107,8 @@ def chain_mask(x: np.ndarray, first: np.ndarray | int, max_diff: int, segments:
     return ok
 
 
-def _run_links(key: np.ndarray, fp: np.ndarray, max_diff: int, segments: int):
-    """Links among rows of equal key (sorted): all in small runs, a spanning forest in large ones."""
+def _run_links(key: np.ndarray, fp: np.ndarray, max_diff: int, segments: int, shift: int):
+    """Links among rows of equal key (sorted): all in small runs, a spanning forest in large ones. A key's first segment is what is above shift bits."""
     left, right = [], []
     edge = np.flatnonzero(np.diff(key)) + 1
     starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
@@ -116,11 +119,11 @@ def _run_links(key: np.ndarray, fp: np.ndarray, max_diff: int, segments: int):
         i = np.flatnonzero(k[s:] == k[:-s]) if s < len(k) else np.empty(0, np.int64)
         if not len(i):
             break
-        i = i[chain_mask(f[i] ^ f[i + s], k[i] >> 16, max_diff, segments)]
+        i = i[chain_mask(f[i] ^ f[i + s], k[i] >> shift, max_diff, segments)]
         left.append(f[i])
         right.append(f[i + s])
     for a, b in zip(starts[big].tolist(), ends[big].tolist()):
-        rest, first = fp[a:b], int(key[a]) >> 16
+        rest, first = fp[a:b], int(key[a]) >> shift
         while len(rest):
             queue, rest = [rest[0]], rest[1:]
             while queue and len(rest):
@@ -135,12 +138,27 @@ def _run_links(key: np.ndarray, fp: np.ndarray, max_diff: int, segments: int):
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def links(fps: DataFrame, max_diff: int = MAX_DIFF, segments: int = SEGMENTS) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints of fps(fp) within max_diff bits of each other."""
+def links(fps: DataFrame, max_diff: int = MAX_DIFF, segments: int = SEGMENTS, chain: int = 1) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints of fps(fp) within max_diff bits of each other.
+
+    chain is the number of segments in a key, one or two. The second segment of the right chain differs in one bit at
+    most, so with two every fingerprint is also dealt to the keys that have one bit more set there:
+    about nine times the rows, for keys as many as the square.
+    """
     if not 0 <= max_diff < segments or 64 % segments or 64 // segments > 16:
         raise ValueError("there must be more segments than bits that may differ, of 16 bits at most")
+    if chain not in (1, 2) or 2 * max_diff // segments > 1:
+        raise ValueError("a chain of one or two segments, whose second differs in one bit at most")
     width = 64 // segments
-    keyed = fps.select("fp", F.explode(F.array([((F.shiftright(F.col("fp"), i * width).bitwiseAND(F.lit((1 << width) - 1))) + F.lit(i << 16)).cast("int") for i in range(segments)])).alias("key"))
+    shift = chain * width
+    part = lambda i: F.shiftright(F.col("fp"), i % segments * width).bitwiseAND(F.lit((1 << width) - 1))
+    if chain == 1:
+        keys = F.array([part(i) + F.lit(i << shift) for i in range(segments)])
+    else:
+        own = [F.shiftleft(part(i), width) + part(i + 1) + F.lit(i << shift) for i in range(segments)]
+        more = [F.when(part(i + 1).bitwiseAND(F.lit(1 << b)) == 0, k + F.lit(1 << b)) for i, k in enumerate(own) for b in range(width)]
+        keys = F.array_compact(F.array([*own, *more]))
+    keyed = fps.select("fp", F.explode(keys).alias("key"))
 
     def run(batches):
         held_k, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -152,9 +170,9 @@ def links(fps: DataFrame, max_diff: int = MAX_DIFF, segments: int = SEGMENTS) ->
             cut = int(np.searchsorted(key, key[-1]))
             held_k, held_f = key[cut:], fp[cut:]
             if cut:
-                yield out(_run_links(key[:cut], fp[:cut], max_diff, segments))
+                yield out(_run_links(key[:cut], fp[:cut], max_diff, segments, shift))
         if len(held_k):
-            yield out(_run_links(held_k, held_f, max_diff, segments))
+            yield out(_run_links(held_k, held_f, max_diff, segments, shift))
 
     def out(pair):
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in pair], ["a", "b"])
@@ -166,7 +184,7 @@ def groups(df: DataFrame, words: int = 3, max_diff: int = MAX_DIFF, id_col: str
     """(doc_id, fp, component_id): component_id is the smallest id linked to the row, its own included."""
     docs = stored(fingerprints(df, words, id_col, text_col), "fingerprints")
     distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), max_diff))
+    roots = components(links(distinct.select("fp"), max_diff, chain=1 if distinct.count() <= MANY else 2))
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stored(of, "roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -175,6 +175,15 @@ def test_suffix_dedup(docs, group, monkeypatch):
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_sweep(spark):
+    from ravelin.llm import common
+
+    df = common.stored(spark.range(3).withColumnRenamed("id", "x"), "kept")
+    assert df.count() == 3 and common.sweep(spark) >= 1 and common.sweep(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*exist|not found"):
+        df.count()
+
+
 def test_packed_numbers():
     from ravelin.llm.common import planes, unplaned
 
@@ -538,13 +547,14 @@ def test_simhash(docs):
     assert simhash.groups(docs).count() == docs.count() and simhash.groups(docs.limit(0)).count() == 0
 
 
-def test_pigeonring_links_on_dense_groups(spark):
+@pytest.mark.parametrize("chain", [1, 2])
+def test_pigeonring_links_on_dense_groups(spark, chain):
     rng = random.Random(4)
     centre = rng.getrandbits(64)
     values = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(200)}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     find = rooted(values, [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3])
-    got = simhash.links(spark.createDataFrame([(signed(v),) for v in values], "fp long")).collect()
+    got = simhash.links(spark.createDataFrame([(signed(v),) for v in values], "fp long"), chain=chain).collect()
     assert all(((r.a ^ r.b) % (1 << 64)).bit_count() <= 3 for r in got)
     mine = rooted(values, [(r.a % (1 << 64), r.b % (1 << 64)) for r in got])
     assert all(find(v) == mine(v) for v in values)
