@@ -98,6 +98,13 @@ def op9_ngram_lm(spark, sf_dir):
     return ngram_lm.scored(numbers, model)
 
 
+@query
+def op13_fim(spark, sf_dir):
+    from ravelin.llm import fim
+
+    return fim.apply(table(spark, sf_dir, "documents"), ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"))
+
+
 def _sql():
     from ravelin.llm import hamming_topk, line_dedup
 
