@@ -98,6 +98,13 @@ def op9_ngram_lm(spark, sf_dir):
     return ngram_lm.scored(numbers, model)
 
 
+@query
+def op12_spelling(spark, sf_dir):
+    from ravelin.llm import spelling
+
+    return spelling.group(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query
 def op13_fim(spark, sf_dir):
     from ravelin.llm import fim
