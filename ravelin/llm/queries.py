@@ -98,6 +98,13 @@ def op9_ngram_lm(spark, sf_dir):
     return ngram_lm.scored(numbers, model)
 
 
+@query
+def op11_minhash(spark, sf_dir):
+    from ravelin.llm import minhash
+
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_spelling(spark, sf_dir):
     from ravelin.llm import spelling
