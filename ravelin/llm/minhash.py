@@ -264,7 +264,8 @@ def links(df: DataFrame, reps: DataFrame, words: int = WORDS, number: int = NUMB
                 k1 = [int(_digest(h)[0]) for h in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["id", "k1", "s"])
 
-        rows = texts(df, id_col, text_col).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        # texts are dealt out by id once, at any size
+        rows = texts(df, id_col, text_col).join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
         return rows.mapInArrow(run, "id long, k1 long, s binary").dropDuplicates(["id", "k1"])
 
     found = stored(crowds(reps), "crowds")
