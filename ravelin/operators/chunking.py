@@ -126,15 +126,28 @@ def packed_rows(headers: list[str], rows: list[list[str]], limit: int, size: Cal
     return packs
 
 
-def headings(sections: DataFrame, separator: str = " > ") -> DataFrame:
-    """sections with heading_path (array): the labels and titles of the parent, if any, and of the section itself.
+def headings(sections: DataFrame, separator: str = " > ", most: int = 10) -> DataFrame:
+    """sections with heading_path (array) and heading: labels and titles from the topmost ancestor to the section itself, most of them at most.
 
-    Sections have at most one ancestor (a part), so one self-join by document and id suffices.
+    Every section knows a stretch of its way up and where it goes on; a round joins each with the
+    stretch of the section it goes on at and so doubles both, so the rounds are the logarithm of most. A way
+    that loops ends after most sections, as any does. Of sections that share an id the
+    last by label and title is the parent of others. Ids are those of a document.
     """
-    own = F.trim(F.concat_ws(" ", "label", "title"))
-    up = sections.select(F.col("doc_id"), F.col("section_id").alias("parent_section_id"), own.alias("_up"))
-    path = F.filter(F.array(F.coalesce("_up", F.lit("")), own), lambda x: x != "")
-    return sections.join(up, ["doc_id", "parent_section_id"], "left").withColumn("heading_path", path).drop("_up").withColumn("heading", F.array_join("heading_path", separator))
+    own = F.trim(F.concat_ws(" ", F.nullif(F.trim("label"), F.lit("")), F.nullif(F.trim("title"), F.lit(""))))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    named = sections.select("doc_id", "section_id", F.struct(own.alias("name"), blank(F.col("parent_section_id")).alias("up")).alias("x"))
+    ways = named.groupBy("doc_id", "section_id").agg(F.max("x").alias("x")).select("doc_id", "section_id", F.array("x.name").alias("way"), F.col("x.up").alias("up"))
+    reach = 1
+    while reach < most:
+        on = ways.select("doc_id", F.col("section_id").alias("up"), F.col("way").alias("_way"), F.col("up").alias("_up"))
+        further = F.slice(F.concat("way", F.coalesce("_way", F.array().cast("array<string>"))), 1, most)
+        ways, reach = ways.join(on, ["doc_id", "up"], "left").select("doc_id", "section_id", further.alias("way"), F.col("_up").alias("up")), 2 * reach
+    above = ways.select("doc_id", F.col("section_id").alias("_at"), F.col("way").alias("_above"))
+    path = F.slice(F.concat(F.array(own), F.coalesce("_above", F.array().cast("array<string>"))), 1, most)
+    made = sections.withColumn("_at", blank(F.col("parent_section_id"))).join(above, ["doc_id", "_at"], "left")
+    made = made.withColumn("heading_path", F.filter(F.reverse(path), lambda x: x != "")).drop("_at", "_above")
+    return made.withColumn("heading", F.array_join("heading_path", separator))
 
 
 def chunk_sections(sections: DataFrame, limit: int = MAX, least: int = MIN, overlap: int = OVERLAP, tokenizer: Callable[[], object] = Words) -> DataFrame:

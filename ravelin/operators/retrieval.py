@@ -144,6 +144,8 @@ def _packed(rows: DataFrame, id_col: str, pos: str, names: tuple[str, str, str],
                 part = batch.slice(at, size)
                 v = [x for x in part.column(2).to_pylist()]
                 on = [i for i, x in enumerate(v) if x and all(y is not None for y in x)]
+                if not on:
+                    continue
                 m = np.array([v[i] for i in on], np.float64).reshape(len(on), -1)
                 norm = np.sqrt((m * m).sum(axis=1))
                 full = norm > 0

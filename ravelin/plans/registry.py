@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.functions import text as T
 from ravelin.operators import chunking as C
+from ravelin.operators import contents as I
 from ravelin.operators import evaluation as V
 from ravelin.operators import extraction as E
 from ravelin.operators import faq as Q
@@ -15,6 +18,9 @@ from ravelin.operators import generation as G
 from ravelin.operators import retrieval as R
 from ravelin.operators import service as S
 from ravelin.operators import structure as D
+from ravelin.operators import vector_index as L
+from ravelin.sources.segments import FileIndex, Segments
+from ravelin.sources.store import store_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,7 +98,7 @@ def bm25_term_stats(spark, sf_dir):
     return bm25_index(spark, sf_dir).postings.select("chunk_id", "term", "tf")
 
 
-@query(f"WITH {POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(f"WITH w AS (SELECT DISTINCT doc_id, unnest({WORDS.format(c='text')}) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM w GROUP BY term), r AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS r FROM df) SELECT term, df, round(CASE WHEN r >= 0 THEN r ELSE 0.25 * avg(r) OVER () END, 6) AS idf FROM r")
 def bm25_idf(spark, sf_dir):
     return bm25_index(spark, sf_dir).df.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -117,6 +123,22 @@ def bm25_topk_source_filter(spark, sf_dir):
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {SCORED} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ({TOP}) WHERE rank <= 5")
+def bm25_topk_refreshed(spark, sf_dir):
+    """The search of an index that has followed its files: built on a folder where a part of the documents has other texts, then refreshed when these change."""
+    folder = f"{store_dir(spark)}/ravelin-follow-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    put = lambda k, rows: rows.where(F.col("doc_id") % 4 == k).write.mode("overwrite").parquet(f"{folder}/files/part-{k}")
+    for k in range(4):
+        put(k, d if k else d.withColumn("text", F.concat(F.lit("other words "), F.reverse("text"))))
+    pick = lambda rows: rows.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("pos"), "text", F.col("source").alias("source_type"), *[c for c in rows.columns if c == "_path"])
+    own = FileIndex(spark, f"{folder}/index", f"{folder}/files", pick)
+    own.refresh()
+    put(0, d)
+    own.refresh()
+    return R.bm25(questions(spark, sf_dir), own.index(), 5).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("SELECT source AS source_type, count(*) AS n_chunks FROM documents GROUP BY source")
 def chunks_by_source(spark, sf_dir):
     return corpus(spark, sf_dir).groupBy("source_type").agg(F.count(F.lit(1)).alias("n_chunks"))
@@ -161,6 +183,24 @@ def vector_score_proto(spark, sf_dir):
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round(1 / (1 + F.col("distance")), 6).alias("score"))
 
 
+@query(f"WITH {NEAR} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 10")
+def vector_topk_lists(spark, sf_dir):
+    hits, _ = L.search(_vector_queries(spark, sf_dir), L.build(_vectors(spark, sf_dir)), 10)
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN label + 100 ELSE label END AS label, round(embedding[1]::DOUBLE * CASE WHEN vec_id % 10 = 0 THEN -1 ELSE 1 END, 6) AS head FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id + 1000000000, label, round(embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id % 50 = 0")
+def vector_upsert(spark, sf_dir):
+    """The vectors stored, every tenth replaced, every seventh deleted, and some added under new ids."""
+    v = table(spark, sf_dir, "embeddings")
+    t = Segments(spark, f"{store_dir(spark)}/ravelin-upsert-{uuid.uuid4().hex}", "vec_id")
+    t.upsert(v)
+    t.upsert(v.where("vec_id % 10 = 0").withColumns({"embedding": F.transform("embedding", lambda x: -x), "label": F.col("label") + 100}))
+    t.delete(v.where("vec_id % 7 = 0"))
+    t.upsert(v.where("vec_id % 50 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000_000))
+    return t.read().select("vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("head"))
+
+
 BUCKETS = f"list_transform({WORDS.format(c='text')}, lambda w: (('0x' || substr(md5(w), 1, 4))::INT % 64)::INT)"
 EMBED = "list_transform(range(0, 64), lambda i: len(list_filter(bk, lambda b: b = i))::DOUBLE)"
 VECTORS = f"dv AS MATERIALIZED (SELECT doc_id, source, v, sqrt(list_dot_product(v, v)) AS nv FROM (SELECT doc_id, source, {EMBED} AS v FROM (SELECT doc_id, source, {BUCKETS} AS bk FROM documents))), qv AS MATERIALIZED (SELECT item_id, v, sqrt(list_dot_product(v, v)) AS nv FROM (SELECT item_id, {EMBED} AS v FROM (SELECT item_id, {BUCKETS} AS bk FROM asked))), vs AS (SELECT item_id AS query_id, doc_id AS chunk_id, list_dot_product(dv.v, qv.v) / (dv.nv * qv.nv) AS score FROM qv JOIN dv ON dv.nv > 0 AND qv.nv > 0)"
@@ -293,11 +333,34 @@ def judge_parse(spark, sf_dir):
 
 # ---- extraction -----------------------------------------------------------------------------------
 
-PAGES = [("d", 1, "Regulations"), ("d", 2, "2\nTable of Contents\n§ 1 Scope"), ("d", 3, "3\nI.\nGeneral\n§ 1\nScope\ntext of one  \n\n\n\nmore\n§ 2\nGoals"), ("d", 4, "4\ngoal text\nII.\nExams\n§ 3\n\n5\nForm\nbody"), ("d", 5, "Appendix 1: Plan\nplan text\nAppendix 2:\nModules\n§ 3\nagain")]
+def _flat(c):
+    """A text on one line."""
+    return F.trim(F.regexp_replace(c, r"[\x09-\x0D\x20]+", " "))
 
 
-def _pages(spark):
-    return spark.createDataFrame(PAGES, "doc_id string, page int, text string")
+FLAT = "trim(regexp_replace({c}, '[\\x09-\\x0D\\x20]+', ' ', 'g'))"
+
+
+def _regulations(spark, sf_dir):
+    """Five pages for each document, its whole text on the third and fifth: parts, paragraphs of numbers that follow the id, appendices."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 40
+    no = lambda i: (k + i).cast("string")
+    text = F.concat(F.lit("Text "), _flat(F.col("text")))
+    pages = [
+        F.concat(F.lit("Regulations of "), "source"),
+        F.concat(F.lit("2\nTable of Contents\n§ "), no(1), F.lit(" Scope")),
+        F.concat(F.lit("3\nI.\nGeneral "), "lang", F.lit("\n§ "), no(1), F.lit("\nScope\n"), text, F.lit("  \n\n\n\nmore\n§ "), no(2), F.lit("\nGoals")),
+        F.concat(F.lit("4\ngoal text\nII.\nExams\n§ "), no(3), F.lit("\n\n5\nForm\nbody")),
+        F.concat(F.lit("Appendix 1: Plan\n"), text, F.lit("\nAppendix 2:\nModules\n§ "), no(3), F.lit("\nagain")),
+    ]
+    return d.select(F.col("doc_id"), F.posexplode(F.array(*pages)).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("page"), "text")
+
+
+MARKED = """SELECT doc_id, 1 AS seq, 'preamble' AS kind, 'Preamble' AS label, '' AS title, 1 AS page, 0 AS line FROM documents UNION ALL SELECT doc_id, 2, 'toc', 'Table of Contents', '', 2, 0 FROM documents
+UNION ALL SELECT doc_id, 3, 'part', 'I.', 'General ' || lang, 3, 1 FROM documents UNION ALL SELECT doc_id, 4, 'paragraph', '§' || (doc_id % 40 + 1)::VARCHAR, 'Scope', 3, 3 FROM documents
+UNION ALL SELECT doc_id, 5, 'paragraph', '§' || (doc_id % 40 + 2)::VARCHAR, 'Goals', 3, 10 FROM documents UNION ALL SELECT doc_id, 6, 'part', 'II.', 'Exams', 4, 2 FROM documents
+UNION ALL SELECT doc_id, 7, 'paragraph', '§' || (doc_id % 40 + 3)::VARCHAR, 'Form', 4, 4 FROM documents UNION ALL SELECT doc_id, 8, 'appendix', 'Appendix 1', 'Plan', 5, 0 FROM documents UNION ALL SELECT doc_id, 9, 'appendix', 'Appendix 2', 'Modules', 5, 2 FROM documents"""
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN md5(regexp_replace('7' || chr(10) || text, '\\A[ \\t]*\\d{1,2}[ \\t]*(\\n|\\z)', '')) ELSE md5('7' || chr(10) || text) END AS text_md5 FROM documents")
@@ -316,33 +379,51 @@ def dehyphenate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.dehyphenated(F.replace("text", F.lit("e"), F.lit("e-\n"))).cast("binary")).alias("text_md5"))
 
 
-@query("SELECT * FROM (VALUES (1, 'preamble', 'Preamble', '', 1, 0), (2, 'toc', 'Table of Contents', '', 2, 0), (3, 'part', 'I.', 'General', 3, 1), (4, 'paragraph', '§1', 'Scope', 3, 3), (5, 'paragraph', '§2', 'Goals', 3, 10), (6, 'part', 'II.', 'Exams', 4, 2), (7, 'paragraph', '§3', 'Form', 4, 4), (8, 'appendix', 'Appendix 1', 'Plan', 5, 0), (9, 'appendix', 'Appendix 2', 'Modules', 5, 2)) t(seq, kind, label, title, page, line)")
+@query(MARKED)
 def markers(spark, sf_dir):
-    return E.markers(_pages(spark)).select("seq", "kind", "label", "title", "page", "line")
+    return E.markers(_regulations(spark, sf_dir)).select("doc_id", "seq", "kind", "label", "title", "page", "line")
 
 
-@query("SELECT * FROM (VALUES (1, 'preamble', NULL), (2, 'toc', NULL), (3, 'part-I', NULL), (4, 'par-1', 'part-I'), (5, 'par-2', 'part-I'), (6, 'part-II', NULL), (7, 'par-3', 'part-II'), (8, 'appendix-1', NULL), (9, 'appendix-2', NULL)) t(seq, section_id, parent_section_id)")
+@query("WITH n AS (SELECT doc_id, doc_id % 40 AS k, unnest(range(1, 10)) AS seq FROM documents) SELECT doc_id, seq::INT AS seq, CASE seq WHEN 1 THEN 'preamble' WHEN 2 THEN 'toc' WHEN 3 THEN 'part-I' WHEN 4 THEN 'par-' || (k + 1)::VARCHAR WHEN 5 THEN 'par-' || (k + 2)::VARCHAR WHEN 6 THEN 'part-II' WHEN 7 THEN 'par-' || (k + 3)::VARCHAR WHEN 8 THEN 'appendix-1' ELSE 'appendix-2' END AS section_id, CASE WHEN seq IN (4, 5) THEN 'part-I' WHEN seq = 7 THEN 'part-II' END AS parent_section_id FROM n")
 def section_parents(spark, sf_dir):
-    return E.parents(E.markers(_pages(spark))).select("seq", "section_id", "parent_section_id")
+    return E.parents(E.markers(_regulations(spark, sf_dir))).select("doc_id", "seq", "section_id", "parent_section_id")
 
 
-NL = " || chr(10) || "
-BODIES = [("preamble", 1, 1, ["Regulations"]), ("toc", 2, 3, ["2", "Table of Contents", "§ 1 Scope", "3"]), ("part-I", 3, 3, ["I.", "General"]), ("par-1", 3, 3, ["§ 1", "Scope", "text of one", "", "more"]), ("par-2", 3, 4, ["§ 2", "Goals", "4", "goal text"]), ("part-II", 4, 4, ["II.", "Exams"]), ("par-3", 4, 4, ["§ 3", "", "5", "Form", "body"]), ("appendix-1", 5, 5, ["Appendix 1: Plan", "plan text"]), ("appendix-2", 5, 5, ["Appendix 2:", "Modules", "§ 3", "again"])]
+BODIES = [
+    ("'preamble'", 1, 1, "'Regulations of ' || source"),
+    ("'toc'", 2, 3, "concat_ws(chr(10), '2', 'Table of Contents', '§ ' || k + 1 || ' Scope', '3')"),
+    ("'part-I'", 3, 3, "concat_ws(chr(10), 'I.', 'General ' || lang)"),
+    ("'par-' || k + 1", 3, 3, "concat_ws(chr(10), '§ ' || k + 1, 'Scope', t, '', 'more')"),
+    ("'par-' || k + 2", 3, 4, "concat_ws(chr(10), '§ ' || k + 2, 'Goals', '4', 'goal text')"),
+    ("'part-II'", 4, 4, "concat_ws(chr(10), 'II.', 'Exams')"),
+    ("'par-' || k + 3", 4, 4, "concat_ws(chr(10), '§ ' || k + 3, '', '5', 'Form', 'body')"),
+    ("'appendix-1'", 5, 5, "concat_ws(chr(10), 'Appendix 1: Plan', t)"),
+    ("'appendix-2'", 5, 5, "concat_ws(chr(10), 'Appendix 2:', 'Modules', '§ ' || k + 3, 'again')"),
+]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', {a}, {b}, {NL.join(repr(x) for x in t)})" for i, a, b, t in BODIES) + ") t(section_id, start_page, end_page, text)")
+@query(f"WITH d AS (SELECT doc_id, source, lang, (doc_id % 40)::INT AS k, 'Text ' || {FLAT.format(c='text')} AS t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, {i} AS section_id, {a} AS start_page, {b} AS end_page, md5({t}) AS text_md5 FROM d" for i, a, b, t in BODIES).replace("k + 1", "(k + 1)").replace("k + 2", "(k + 2)").replace("k + 3", "(k + 3)"))
 def sections(spark, sf_dir):
-    return E.sections(_pages(spark)).select("section_id", "start_page", "end_page", "text")
+    return E.sections(_regulations(spark, sf_dir)).select("doc_id", "section_id", "start_page", "end_page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-TABLE = [("d", 1, ["Name of module", "LP", "x"]), ("d", 2, ["CS 624", "9", "a"]), ("d", 3, ["ov", "", "b"]), ("d", 4, ["CS 561", "9", None]), ("d", 5, ["", "", ""]), ("d", 6, ["Compulsory Elective Modules", "", ""])]
+def _modules(spark, sf_dir):
+    """A wide table for each hundred parts: two rows for every third part, headers, labels and empty rows between."""
+    p = table(spark, sf_dir, "part")
+    k, none = F.col("p_partkey"), F.lit("")
+    wide = lambda *x: F.array(x[0], none, F.lit("out"), x[1], x[2], F.lit("out"), none, *x[3:])
+    main = wide(F.concat(F.lit("CS "), k.cast("string")), F.col("p_size").cast("string"), F.col("p_name"), F.lit(None).cast("string"), F.lit("a\nb"), F.col("p_brand"), none)
+    more = wide(F.lit("ov"), none, F.col("p_type"), none, F.lit("c"), none, F.when(k % 2 == 0, "z"))
+    head = wide(F.lit("Name of module"), F.lit("LP"), *[F.lit("x")] * 5)
+    label = F.array(F.lit("Compulsory Elective Modules"), *[none] * 10)
+    forms = [F.when(k % 20 == 0, head), F.when(k % 30 == 0, label), F.when(k >= 0, main), F.when(k % 3 == 0, more), F.when(k % 7 == 0, wide(*[F.lit(" ")] * 7))]
+    rows = F.array(*[F.struct(F.lit(i).alias("at"), x.alias("cells")) for i, x in enumerate(forms)])
+    return p.select(F.floor(k / 100).cast("string").alias("doc_id"), k.alias("key"), F.inline(rows)).where("cells is not null").select("doc_id", (F.col("key") * 10 + F.col("at")).alias("pos"), "cells")
 
 
-@query("SELECT * FROM (VALUES (2, 'CS 624 ov|9|a b'), (4, 'CS 561|9|')) t(pos, cells)")
+@query("SELECT (p_partkey // 100)::VARCHAR AS doc_id, p_partkey * 10 + 2 AS pos, concat_ws('|', 'CS ' || p_partkey::VARCHAR || CASE WHEN p_partkey % 3 = 0 THEN ' ov' ELSE '' END, p_size::VARCHAR, concat_ws(' ', nullif(trim(p_name), ''), CASE WHEN p_partkey % 3 = 0 THEN nullif(trim(p_type), '') END), '', 'a b' || CASE WHEN p_partkey % 3 = 0 THEN ' c' ELSE '' END, trim(p_brand), CASE WHEN p_partkey % 6 = 0 THEN 'z' ELSE '' END) AS cells FROM part")
 def table_continuation_merge(spark, sf_dir):
-    raw = spark.createDataFrame(TABLE, "doc_id string, pos int, cells array<string>")
-    kept = raw.where(~E.is_header("cells") & ~E.is_label("cells")).withColumn("cells", E.clean_cells("cells")).where(F.exists("cells", lambda c: c != ""))
-    return E.continued(kept, 3).select("pos", F.array_join("cells", "|").alias("cells"))
+    return E.continued(E.wide_rows(_modules(spark, sf_dir)), len(E.WIDE_COLUMNS)).select("doc_id", "pos", F.array_join("cells", "|").alias("cells"))
 
 
 @query("SELECT p_partkey // 10 AS table_id, 'name|brand|size' AS headers, count(*) AS n_rows, md5(string_agg(concat_ws('|', trim(p_name), p_brand, p_size), chr(10) ORDER BY p_partkey)) AS rows_md5 FROM part GROUP BY ALL")
@@ -401,23 +482,28 @@ def document_context(spark, sf_dir):
     return D.context(pages)[0].withColumn("version_date", F.col("version_date").cast("string")).drop("total_pages")
 
 
+def _capital(c):
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.expr(f"substr({c}, 2)")))
+
+
 def _statutes(spark, sf_dir):
     """A statute for each region: a part, then a paragraph for each nation, repeated at once on the next page for every third one, and an annex."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     k = F.col("n_nationkey")
-    body = F.concat(F.lit("§ "), k.cast("string"), F.lit("\nZiel "), F.initcap("n_name"), F.lit("\nTEXT zu diesem."), F.when(k % 3 == 0, F.concat(F.lit("\n§ "), k.cast("string"), F.lit("\nnoch mehr"))).otherwise(""))
+    body = F.concat(F.lit("§ "), k.cast("string"), F.lit("\nZiel "), _capital("n_name"), F.lit("\nTEXT zu diesem."), F.when(k % 3 == 0, F.concat(F.lit("\n§ "), k.cast("string"), F.lit("\nnoch mehr"))).otherwise(""))
     one = n.select(F.col("n_regionkey").alias("doc_id"), (2 + k).cast("int").alias("page"), body.alias("text"))
-    first = r.select(F.col("r_regionkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("Vorwort\nIV. Teil "), F.initcap("r_name")).alias("text"))
+    first = r.select(F.col("r_regionkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("Vorwort\nIV. Teil "), _capital("r_name")).alias("text"))
     last = r.select(F.col("r_regionkey").alias("doc_id"), F.lit(99).alias("page"), F.lit("Anlage 1: Muster\nXYZ").alias("text"))
     return first.unionByName(one).unionByName(last)
 
 
-@query("""WITH x AS (SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS n, n_nationkey AS k, upper(n_name[1]) || lower(n_name[2:]) AS name FROM nation)
-SELECT r_regionkey AS doc_id, 'sec_0001' AS section_id, NULL::VARCHAR AS parent_section_id, 'part' AS kind, 'IV' AS label, 1 AS start_page FROM region
-UNION ALL SELECT doc_id, 'sec_' || lpad(n::VARCHAR, 4, '0'), 'sec_0001', 'paragraph', '§ ' || k::VARCHAR, (2 + k)::INT FROM x
-UNION ALL SELECT doc_id, 'sec_' || lpad((max(n) + 1)::VARCHAR, 4, '0'), NULL, 'annex', 'Anlage 1', 99 FROM x GROUP BY doc_id""")
+@query("""WITH x AS (SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS n, n_nationkey AS k, 'Ziel ' || upper(n_name[1]) || lower(n_name[2:]) AS title FROM nation),
+y AS (SELECT r_regionkey AS doc_id, 'sec_0001' AS section_id, NULL::VARCHAR AS parent_section_id, 'part' AS kind, 'IV' AS label, 'Teil ' || upper(r_name[1]) || lower(r_name[2:]) AS title, 1 AS start_page, 1 AS end_page, 'IV. Teil ' || upper(r_name[1]) || lower(r_name[2:]) AS text FROM region
+UNION ALL SELECT doc_id, 'sec_' || lpad(n::VARCHAR, 4, '0'), 'sec_0001', 'paragraph', '§ ' || k::VARCHAR, title, (2 + k)::INT, (2 + k)::INT, concat_ws(chr(10), '§ ' || k::VARCHAR, title, 'TEXT zu diesem.', CASE WHEN k % 3 = 0 THEN '§ ' || k::VARCHAR || chr(10) || 'noch mehr' END) FROM x
+UNION ALL SELECT doc_id, 'sec_' || lpad((max(n) + 1)::VARCHAR, 4, '0'), NULL, 'annex', 'Anlage 1', 'Muster', 99, 99, 'Anlage 1: Muster' || chr(10) || 'XYZ' FROM x GROUP BY doc_id)
+SELECT *, text AS normalized_text FROM y""")
 def statute_sections(spark, sf_dir):
-    return D.parse_sections(_statutes(spark, sf_dir))[0].select("doc_id", "section_id", "parent_section_id", "kind", "label", "start_page")
+    return D.parse_sections(_statutes(spark, sf_dir))[0]
 
 
 @query("SELECT 'DUPLICATE_PARAGRAPH_MARKER_SKIPPED' AS code, 'info' AS severity, count(*) AS n FROM nation WHERE n_nationkey % 3 = 0 HAVING count(*) > 0")
@@ -433,11 +519,65 @@ def service_chunks(spark, sf_dir):
     return chunks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
 
 
-@query("SELECT * FROM (VALUES (2), (3)) t(page)")
+def _with_contents(spark, sf_dir):
+    """A document of five pages for each ten rows: contents on the second page unless the number is divisible by three, going on on the third if it is even; whole texts on the first and fourth page, and entries without a heading on the fifth."""
+    k = F.floor(F.col("doc_id") / 10)
+    d = table(spark, sf_dir, "documents").groupBy(k.alias("k")).agg(F.min(F.struct("doc_id", "text")).alias("low"), F.max(F.struct("doc_id", "text")).alias("high"))
+    like = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.concat(F.lit("§ "), (F.col("k") + i).cast("string"), F.lit(" x"))), "\n")
+    prose = lambda c: F.concat(F.lit("Seite "), _flat(F.col(c)))
+    pages = [prose("low.text"), F.when(F.col("k") % 3 != 0, F.concat(F.lit("Inhaltsverzeichnis\n"), like)).otherwise("leer"), F.when(F.col("k") % 2 == 0, like).otherwise(prose("high.text")), prose("high.text"), like]
+    return d.select(F.col("k").cast("string").alias("doc_id"), F.posexplode(F.array(*pages)).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("page"), "text")
+
+
+@query("WITH k AS (SELECT DISTINCT doc_id // 10 AS k FROM documents) SELECT k::VARCHAR AS doc_id, 2 AS page FROM k WHERE k % 3 <> 0 UNION ALL SELECT k::VARCHAR, 3 FROM k WHERE k % 3 <> 0 AND k % 2 = 0")
 def toc_pages(spark, sf_dir):
-    like = "\n".join(f"§ {i} x" for i in range(14))
-    pages = spark.createDataFrame([("d", 1, "title"), ("d", 2, "Inhaltsverzeichnis\n" + like), ("d", 3, like), ("d", 4, "prose " * 30), ("d", 5, like)], "doc_id string, page int, text string")
-    return E.toc_pages(pages).select("page")
+    return E.toc_pages(_with_contents(spark, sf_dir)).select("doc_id", "page")
+
+
+def _contents(spark, sf_dir):
+    """A document for each ten rows: its contents hold an entry for each, of a form that follows the id; some have no contents, some contents without entries."""
+    d = table(spark, sf_dir, "documents").withColumns({"k": F.floor(F.col("doc_id") / 10), "i": F.col("doc_id") % 10})
+    no, source, page = F.col("doc_id").cast("string"), F.col("source"), (F.col("doc_id") % 90 + 1).cast("string")
+    lines = lambda *x: F.concat_ws("\n", *x)
+    sign = F.concat(F.lit("§ "), no)
+    twice = F.concat(sign, F.lit(" Doppelt"))
+    forms = [
+        lines(F.lit("I."), F.concat(F.lit("Teil "), source), page),
+        lines(F.concat(sign, F.lit(" Titel "), source), page),
+        lines(sign, F.concat(F.lit("Titel "), source), page),
+        lines(sign, page),
+        lines(sign, F.concat(F.lit("klein "), source), page),
+        lines(twice, page, twice, page),
+        F.concat(sign, F.lit(" abs. 2")),
+        lines(F.concat(F.lit("Anlage "), no, F.lit(": Muster-")), F.concat(F.lit("bogen "), "lang"), page),
+        lines(sign, F.concat(F.lit("§ "), no, F.lit("a Danach")), page),
+        lines(F.concat(F.lit("II. Ende "), source), page),
+    ]
+    entry = F.get(F.array(*forms), F.col("i").cast("int"))
+    made = d.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))), lambda x: x["e"]), "\n").alias("e"), F.min(F.struct("doc_id", "text")).alias("first"))  # ten rows
+    contents = F.when(F.col("k") % 7 == 5, "nur ein Satz").otherwise(F.col("e"))
+    pages = F.array(F.concat(F.lit("Seite "), _flat(F.col("first.text"))), F.when(F.col("k") % 7 == 3, "leer").otherwise(F.concat(F.lit("Inhaltsverzeichnis\n"), contents)))
+    return made.select(F.col("k").alias("doc_id"), F.posexplode(pages).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("page"), "text")
+
+
+CONTENTS = """e AS (SELECT doc_id // 10 AS k, doc_id % 10 AS i, doc_id, CASE doc_id % 10 WHEN 0 THEN 'part' WHEN 9 THEN 'part' WHEN 7 THEN 'annex' ELSE 'paragraph' END AS kind, '§ ' || doc_id AS s, source, lang, doc_id % 90 + 1 AS p FROM documents WHERE doc_id % 10 <> 6 AND (doc_id // 10) % 7 NOT IN (3, 5)),
+f AS (SELECT k, i, kind, CASE i WHEN 0 THEN 'I' WHEN 9 THEN 'II' WHEN 7 THEN 'Anlage ' || doc_id ELSE s END AS label,
+  CASE i WHEN 0 THEN 'Teil ' || source WHEN 1 THEN 'Titel ' || source WHEN 2 THEN 'Titel ' || source WHEN 4 THEN 'klein ' || source WHEN 5 THEN 'Doppelt' WHEN 7 THEN 'Musterbogen ' || lang WHEN 8 THEN s || 'a Danach' WHEN 9 THEN 'Ende ' || source END AS title,
+  CASE WHEN i NOT IN (2, 7) THEN p END AS referenced_page,
+  CASE i WHEN 0 THEN concat_ws(chr(10), 'I.', 'Teil ' || source, p) WHEN 1 THEN concat_ws(chr(10), s || ' Titel ' || source, p) WHEN 2 THEN s WHEN 3 THEN concat_ws(chr(10), s, p) WHEN 4 THEN concat_ws(chr(10), s, 'klein ' || source, p) WHEN 5 THEN concat_ws(chr(10), s || ' Doppelt', p) WHEN 7 THEN 'Anlage ' || doc_id || ': Muster-' WHEN 8 THEN concat_ws(chr(10), s, s || 'a Danach', p) ELSE concat_ws(chr(10), 'II. Ende ' || source, p) END AS original_text FROM e),
+g AS (SELECT *, 'toc_' || lpad(row_number() OVER (PARTITION BY k ORDER BY i)::VARCHAR, 4, '0') AS toc_id FROM f)"""
+
+
+@query(f"WITH {CONTENTS} SELECT k AS doc_id, toc_id, CASE WHEN kind = 'paragraph' THEN last_value(CASE WHEN kind <> 'paragraph' THEN toc_id END IGNORE NULLS) OVER (PARTITION BY k ORDER BY i) END AS parent_toc_id, kind, label, title, referenced_page, original_text, original_text AS normalized_text FROM g")
+def contents_entries(spark, sf_dir):
+    pages = _contents(spark, sf_dir)
+    return I.parse_contents(pages, E.toc_pages(pages))[0]
+
+
+@query("WITH k AS (SELECT DISTINCT doc_id // 10 AS k FROM documents) SELECT 'pdf_extractor' AS stage, CASE WHEN k % 7 = 3 THEN 'TOC_NOT_FOUND' ELSE 'TOC_PARSE_EMPTY' END AS code, 'warning' AS severity, '{\"doc_id\":' || k::VARCHAR || '}' AS context FROM k WHERE k % 7 IN (3, 5)")
+def contents_flags(spark, sf_dir):
+    pages = _contents(spark, sf_dir)
+    return I.parse_contents(pages, E.toc_pages(pages))[1]
 
 
 # ---- chunking and FAQ -----------------------------------------------------------------------------
@@ -511,6 +651,38 @@ def heading_path(spark, sf_dir):
     return C.headings(_heading_sections(spark, sf_dir)).select("section_id", "heading")
 
 
+def _tree(spark, sf_dir):
+    """A tree of world, regions, nations, brands and parts, a chain of all parts and loops of two, three and one sections."""
+    text = lambda *x: F.concat(*[F.lit(y) if y in ("w", "r", "n", "b", "p", "c", "x", "/") else F.col(y).cast("string") for y in x])
+    row = lambda i, up, label, title: [F.lit("d").alias("doc_id"), i.alias("section_id"), (up if up is not None else F.lit(None).cast("string")).alias("parent_section_id"), label.cast("string").alias("label"), title.alias("title")]
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    part = table(spark, sf_dir, "part").withColumns({"of": F.col("p_partkey") % 25, "before": F.col("p_partkey") - 1, "other": F.col("p_partkey").bitwiseXOR(F.lit(1))})
+    brand = part.select("of", "p_brand").distinct()
+    rows = [
+        region.limit(1).select(*row(F.lit("w"), None, F.lit(" "), F.lit("World"))),
+        region.select(*row(text("r", "r_regionkey"), F.lit("w"), F.col("r_regionkey"), F.col("r_name"))),
+        nation.select(*row(text("n", "n_nationkey"), text("r", "n_regionkey"), F.lit(None), F.col("n_name"))),
+        brand.select(*row(text("b", "of", "/", "p_brand"), text("n", "of"), F.col("p_brand"), F.lit(""))),
+        part.select(*row(text("p", "p_partkey"), text("b", "of", "/", "p_brand"), F.col("p_partkey"), F.lit(" T "))),
+        part.select(*row(text("c", "p_partkey"), text("c", "before"), text("c", "p_partkey"), F.lit(None).cast("string"))),
+        part.select(*row(text("x", "p_partkey"), F.when(F.col("p_partkey") % 5 == 0, text("x", "p_partkey")).otherwise(text("x", "other")), text("x", "p_partkey"), F.lit("loop"))),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+TREE = """t AS MATERIALIZED (SELECT 'w' AS id, NULL AS up, 'World' AS name UNION ALL SELECT 'r' || r_regionkey, 'w', r_regionkey || ' ' || r_name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
+UNION ALL SELECT DISTINCT 'b' || p_partkey % 25 || '/' || p_brand, 'n' || p_partkey % 25, p_brand FROM part UNION ALL SELECT 'p' || p_partkey, 'b' || p_partkey % 25 || '/' || p_brand, p_partkey || ' T' FROM part
+UNION ALL SELECT 'c' || p_partkey, 'c' || p_partkey - 1, 'c' || p_partkey FROM part UNION ALL SELECT 'x' || p_partkey, 'x' || CASE WHEN p_partkey % 5 = 0 THEN p_partkey ELSE xor(p_partkey, 1) END, 'x' || p_partkey || ' loop' FROM part)""".replace("p_partkey % 25", "(p_partkey % 25)").replace("p_partkey - 1", "(p_partkey - 1)")
+
+
+@query(f"WITH RECURSIVE {TREE}, a AS (SELECT id, up, name AS heading, 1 AS n FROM t UNION ALL SELECT a.id, t.up, t.name || ' > ' || a.heading, n + 1 FROM a JOIN t ON t.id = a.up WHERE n < 10) SELECT id AS section_id, arg_max(heading, n) AS heading, max(n) AS n_path FROM a GROUP BY id")
+def heading_path_deep(spark, sf_dir):
+    return C.headings(_tree(spark, sf_dir)).select("section_id", "heading", F.size("heading_path").alias("n_path"))
+
+
 PAIRS = "pairs AS (SELECT conv_id, turn, text AS question, lead(text) OVER w AS answer, role, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), e AS (SELECT 'f' || (conv_id % 3)::VARCHAR AS faq_source, conv_id * 1000 + turn AS pos, CASE WHEN conv_id % 13 = 0 THEN '' ELSE (conv_id // 2)::VARCHAR END AS id, trim(question) AS question, CASE WHEN conv_id % 17 = 0 THEN '' ELSE trim(answer) END AS answer FROM pairs WHERE role = 'user' AND next_role = 'assistant'), v AS (SELECT *, min(CASE WHEN id <> '' AND question <> '' AND answer <> '' THEN pos END) OVER (PARTITION BY faq_source, id) AS first FROM e), c AS (SELECT *, CASE WHEN id = '' THEN 'FAQ_ENTRY_INVALID' WHEN first < pos THEN 'FAQ_ID_DUPLICATE' WHEN question = '' THEN 'FAQ_EMPTY_QUESTION' WHEN answer = '' THEN 'FAQ_EMPTY_ANSWER' END AS code FROM v)"
 
 
@@ -535,6 +707,41 @@ def faq_prev_next(spark, sf_dir):
     return Q.neighbours(_entries(spark, sf_dir)).drop("id")
 
 
+def _service_entries(spark, sf_dir):
+    """An entry for each question with an answer; ids of several spellings, some missing, some no objects; references to the number before and a spelling after."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c, n = F.col("conv_id"), F.floor(F.col("conv_id") / 4)
+    text = n.cast("string")
+    p = table(spark, sf_dir, "conversations").withColumns({"answer": F.lead("text").over(w), "next_role": F.lead("role").over(w)}).where("role = 'user' and next_role = 'assistant'")
+    name = F.when(c % 11 == 0, " ").when(c % 4 == 1, F.concat(F.lit("Q "), text)).when(c % 4 == 2, F.concat(F.lit("q-"), text)).otherwise(F.concat(F.lit(" 00"), text))
+    return p.select(
+        F.when(c % 23 == 0, "empty").otherwise(F.concat(F.lit("f"), (c % 3).cast("string"))).alias("faq_source"), (c * 1000 + F.col("turn")).alias("pos"), (c % 19 != 0).alias("is_object"), name.alias("id"), F.col("text").alias("question"),
+        F.when((c % 23 == 0) | (c % 17 == 0), " ").otherwise(F.col("answer")).alias("answer"), (n - 1).cast("string").alias("previous_question"), F.when(c % 2 == 0, F.concat(F.lit("Q "), text)).alias("next_question"),
+        F.when(c % 5 == 0, "x").when(c % 5 == 1, "0").when(c % 5 == 2, c.cast("string")).alias("page"), F.concat(F.lit("siehe §  "), text, F.lit("a - 9 Abs. 1")).alias("section"),
+    )
+
+
+SERVICE_FAQ = """pairs AS (SELECT conv_id AS c, turn, text AS question, lead(text) OVER w AS answer, role, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+e AS (SELECT *, c // 4 AS n, CASE WHEN c % 23 = 0 THEN 'empty' ELSE 'f' || (c % 3)::VARCHAR END AS faq_source, c * 1000 + turn AS pos, c % 19 <> 0 AS obj, CASE WHEN c % 11 = 0 THEN NULL WHEN c % 4 = 1 THEN 'Q ' || (c // 4)::VARCHAR WHEN c % 4 = 2 THEN 'q-' || (c // 4)::VARCHAR ELSE (c // 4)::VARCHAR END AS id, c % 23 <> 0 AND c % 17 <> 0 AND trim(question) <> '' AND trim(answer) <> '' AS whole FROM pairs WHERE role = 'user' AND next_role = 'assistant'),
+i AS (SELECT *, CASE WHEN obj THEN 'faq_' || faq_source || '_' || CASE WHEN c % 4 IN (1, 2) THEN 'q_' || n::VARCHAR ELSE lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0') END END AS chunk_id FROM e),
+j AS (SELECT *, min(CASE WHEN obj AND whole AND id IS NOT NULL THEN pos END) OVER x AS first_pos, arg_min(id, pos) FILTER (obj AND whole AND id IS NOT NULL) OVER x AS first_id FROM i WINDOW x AS (PARTITION BY faq_source, CASE WHEN id IS NOT NULL THEN chunk_id END)),
+v AS (SELECT *, CASE WHEN NOT obj THEN 'QUESTION_ITEM_NOT_OBJECT' WHEN id IS NULL THEN 'FAQ_ID_MISSING' WHEN pos > first_pos AND id = first_id THEN 'FAQ_ID_DUPLICATE' WHEN NOT whole THEN 'FAQ_EMPTY_QUESTION_OR_ANSWER' WHEN pos > first_pos THEN 'CHUNK_ID_COLLISION' END AS code, CASE WHEN c % 5 = 2 AND c > 0 THEN c END AS page FROM j),
+ok AS (SELECT *, row_number() OVER y - 1 AS chunk_index, lag(chunk_id) OVER y AS prev_chunk_id, lead(chunk_id) OVER y AS next_chunk_id, (n - 1)::VARCHAR AS p_id, CASE WHEN c % 2 = 0 THEN 'Q ' || n::VARCHAR END AS n_id FROM v WHERE code IS NULL WINDOW y AS (PARTITION BY faq_source ORDER BY pos)),
+r AS (SELECT ok.*, a.chunk_id AS p_chunk, b.chunk_id AS n_chunk FROM ok LEFT JOIN ok a ON a.faq_source = ok.faq_source AND a.id = ok.p_id LEFT JOIN ok b ON b.faq_source = ok.faq_source AND b.id = ok.n_id)"""
+
+
+@query(f"WITH {SERVICE_FAQ} SELECT faq_source, pos, id AS faq_id, chunk_id, md5('Frage: ' || trim(question) || chr(10) || 'Antwort: ' || trim(answer)) AS text_md5, chunk_index::INT AS chunk_index, '§  ' || n::VARCHAR || 'a - 9' AS paragraph_label, page, prev_chunk_id, next_chunk_id, p_chunk AS previous_question_chunk_id, n_chunk AS next_question_chunk_id FROM r")
+def faq_service_chunks(spark, sf_dir):
+    made = Q.service_entries(_service_entries(spark, sf_dir))[0].withColumn("text_md5", F.md5(F.col("text").cast("binary")))
+    return made.select("faq_source", "pos", "faq_id", "chunk_id", "text_md5", "chunk_index", "paragraph_label", "page", "prev_chunk_id", "next_chunk_id", "previous_question_chunk_id", "next_question_chunk_id")
+
+
+@query(f"WITH {SERVICE_FAQ}, g AS (SELECT faq_source, code FROM v WHERE code IS NOT NULL UNION ALL SELECT faq_source, 'FAQ_PAGE_INVALID' FROM v WHERE (code IS NULL OR code = 'CHUNK_ID_COLLISION') AND c % 5 < 3 AND page IS NULL UNION ALL SELECT faq_source, 'PREVIOUS_QUESTION_REFERENCE_MISSING' FROM r WHERE p_chunk IS NULL UNION ALL SELECT faq_source, 'NEXT_QUESTION_REFERENCE_MISSING' FROM r WHERE n_id IS NOT NULL AND n_chunk IS NULL UNION ALL SELECT faq_source, 'ALL_QUESTIONS_SKIPPED' FROM v GROUP BY 1 HAVING count(*) FILTER (code IS NULL) = 0) SELECT faq_source, code, count(*) AS n FROM g GROUP BY ALL")
+def faq_service_flags(spark, sf_dir):
+    found = Q.service_entries(_service_entries(spark, sf_dir))[1]
+    return found.groupBy(F.get_json_object("context", "$.faq_source").alias("faq_source"), "code").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- generation -----------------------------------------------------------------------------------
 
 
