@@ -1,6 +1,6 @@
 """Cross-site boilerplate removal by the distinct-site spread of lines. DataFrame functions only.
 
-A line counts by its text without outer white space, if it has at least min_words words. A HyperLogLog
+A line counts by its text without outer white space, if it has at least min_words words (one by default). A HyperLogLog
 sketch of the sites of each line hash is merged by the aggregation itself (map side first, so a line
 or site of any share is one row per task). Lines whose estimate is near the threshold get an exact
 distinct count, over distinct pairs of line and site; lines clearly beyond it are boilerplate at once.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ravelin.llm.common import SPACE, stored
 
 MIN_SITES = 8
-MIN_WORDS = 3
+MIN_WORDS = 1
 MAX_SHARE = 0.5
 #: Standard error of the sketches, and the band of estimates (as shares of the threshold) that is counted exactly.
 ERROR, BAND = 0.1, 0.4
@@ -49,7 +49,7 @@ def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text
     found = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(lines(F.coalesce(text_col, F.lit("")), min_words)).alias("line")).select("site", *key(F.col("line")))
     spread = stored(found.groupBy("k1", "k2").agg(F.approx_count_distinct("site", ERROR).alias("n")).where(F.col("n") >= min_sites * (1 - BAND)), "spread")
     far = F.col("n") > min_sites * (1 + BAND)
-    exact = found.distinct().join(spread.where(~far).select("k1", "k2"), ["k1", "k2"]).groupBy("k1", "k2").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites)
+    exact = found.join(spread.where(~far).select("k1", "k2"), ["k1", "k2"], "left_semi").distinct().groupBy("k1", "k2").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites)
     return spread.where(far).select("k1", "k2").unionByName(exact.select("k1", "k2"))
 
 
@@ -81,7 +81,7 @@ def apply(df: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHAR
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 e AS (SELECT doc_id, site, unnest(list_transform(ls, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS line FROM d),
-bad AS (SELECT line FROM e WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+') GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
+bad AS (SELECT line FROM e WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
 p AS (SELECT doc_id, ls, i, ls[i] AS raw, trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) IN (SELECT line FROM bad) AS gone
       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_boilerplate, sum(length(raw)) AS chars, coalesce(sum(length(raw)) FILTER (gone), 0) AS cut_chars,

@@ -228,6 +228,8 @@ def linked(members: DataFrame, sets, number: int, of: int) -> DataFrame:
 
     by_block = lambda df: df.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "id", "k1")
     left = stored(by_block(members.select(*names)).mapInArrow(prune, kind), "candidates")
+    if left.isEmpty():
+        return left.select(F.col("id").alias("a"), F.col("id").alias("b"))
     full = left.join(sets(left.select("id").distinct()), ["id", "k1"]).select(*names, "s")
     return stored(by_block(full).mapInArrow(compare, "a long, b long"), "links")
 
@@ -257,16 +259,23 @@ def cross(big: DataFrame, roots: DataFrame) -> DataFrame:
 def links(df: DataFrame, reps: DataFrame, words: int = WORDS, number: int = NUMBER, of: int = OF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) that connect all classes reps(id, k1, n, bands, odd) whose sets share number in of or more of their union."""
 
+    def run(batches):
+        for batch in batches:
+            found = [shingles(t.as_py(), words) for t in batch.column(1)]
+            k1 = [int(_digest(h)[0]) for h in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["id", "k1", "s"])
+
+    known: list[DataFrame] = []
+
     def sets(ids: DataFrame) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                found = [shingles(t.as_py(), words) for t in batch.column(1)]
-                k1 = [int(_digest(h)[0]) for h in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["id", "k1", "s"])
-
-        # texts are dealt out by id once, at any size
-        rows = texts(df, id_col, text_col).join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
-        return rows.mapInArrow(run, "id long, k1 long, s binary").dropDuplicates(["id", "k1"])
+        """The sets of these documents, at least; texts are read again only for documents whose sets are not stored yet."""
+        for have in known:
+            ids = ids.join(have.select("id"), "id", "left_anti")
+        if not known or not ids.isEmpty():
+            # texts are dealt out by id, at any size
+            rows = texts(df, id_col, text_col).join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
+            known.append(stored(rows.mapInArrow(run, "id long, k1 long, s binary").dropDuplicates(["id", "k1"]), "sets"))
+        return known[0] if len(known) == 1 else known[0].unionByName(known[1])
 
     found = stored(crowds(reps), "crowds")
     sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).select("label", blocks().alias("blocks"))

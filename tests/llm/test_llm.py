@@ -213,7 +213,8 @@ def test_line_dedup(spark, docs):
     rows = [(i, f"own text number {i} goes here and is long enough to stay\n  {lines[0]} \n{lines[1] if i < 7 else 'x'}\n{lines[2]}", f"site{i}") for i in range(12)]
     rows += [(50 + i, lines[0], f"site{i}") for i in range(3)] + [(90, None, None)]
     got = {r.doc_id: r for r in line_dedup.apply(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got[0].text == f"{rows[0][1].split(chr(10))[0]}\n{lines[1]}\n{lines[2]}" and got[0].n_removed == 1
+    assert got[0].text == f"{rows[0][1].split(chr(10))[0]}\n{lines[1]}" and got[0].n_removed == 2  # lines of one word count as well
+    assert got[11].text == f"{rows[11][1].split(chr(10))[0]}\nx"
     assert got[50].text == lines[0] and got[50].n_removed == 0 and got[50].n_boilerplate == 1
     assert got[90].text is None or got[90].text == ""
     assert line_dedup.apply(docs).count() == docs.count()
