@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.functions import text as T
+from ravelin.operators import backends as B
 from ravelin.operators import chunking as C
 from ravelin.operators import contents as I
 from ravelin.operators import evaluation as V
@@ -257,6 +258,38 @@ def hybrid_flags(spark, sf_dir):
     return R.retrieval_flags(_weighted(spark, sf_dir, strange_questions(spark, sf_dir)), strange_questions(spark, sf_dir))
 
 
+def _answers(spark, sf_dir):
+    """Answers of both backends, some of which fail: no reply, a status of 500, no list, and hits that are none among the others."""
+    q = questions(spark, sf_dir)
+    sparse, vector = _two_lists(spark, sf_dir, R.WINDOW)
+    n = F.col("query_id").cast("long")
+    a = B.planned(q, "sparse", lambda _: sparse.select("query_id", "source_type", "chunk_id", "rank", "score"))
+    a = a.withColumns({"status": F.when(n % 7 == 1, F.lit(None)).when(n % 7 == 2, 500).otherwise(F.col("status")), "body": F.when(n % 7 == 3, '{"hits": {"a": 1}}').when(n % 7 == 4, F.regexp_replace("body", r"^\{\"hits\":\[", '{"document_id": "other", "quality_flags": [{"code": "SLOW", "severity": "odd"}, 5], "hits":[7,{"chunk_id":"x"},{"source_type":"s","chunk_id":" "},')).otherwise(F.col("body"))})
+    b = B.planned(q, "vector", lambda _: vector.select("query_id", "source_type", "chunk_id", "score", "rank"))
+    b = b.withColumns({"status": F.when(n % 7 == 5, F.lit(None)).when(n % 14 == 1, F.lit(None)).otherwise(F.col("status")), "body": F.when(n % 7 == 6, "[]").otherwise(F.col("body"))})
+    return a.unionByName(b)
+
+
+DEGRADED = f"{TWO}, x AS (SELECT query_id, chunk_id, rank AS sparse_rank FROM l1 WHERE rank <= 50 AND query_id % 7 NOT IN (1, 2, 3)), y AS (SELECT query_id, chunk_id, rank AS vector_rank FROM l2 WHERE rank <= 50 AND query_id % 7 NOT IN (5, 6) AND query_id % 14 <> 1), b AS (SELECT query_id, chunk_id, sparse_rank, vector_rank FROM x FULL JOIN y USING (query_id, chunk_id)), f AS (SELECT *, coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) + coalesce(0.5::DOUBLE / (60 + vector_rank), 0) AS rrf FROM b), w AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, least(sparse_rank, vector_rank), source, chunk_id::VARCHAR) AS rank FROM f JOIN documents d ON d.doc_id = f.chunk_id)"
+
+
+@query(f"WITH {DEGRADED} SELECT query_id::VARCHAR AS query_id, chunk_id::VARCHAR AS chunk_id, rank, round(rrf, 6) AS rrf_score, sparse_rank, vector_rank FROM w WHERE rank <= 10")
+def degraded_search(spark, sf_dir):
+    hits, _ = B.fused(_answers(spark, sf_dir), 10, {"sparse": 1.0, "vector": 0.5})
+    n = lambda c: F.col(c).cast("long").alias(c)
+    return hits.select("query_id", "chunk_id", n("rank"), F.round("rrf_score", 6).alias("rrf_score"), n("sparse_rank"), n("vector_rank"))
+
+
+@query(f"""WITH {DEGRADED}, i AS (SELECT item_id AS n, item_id::VARCHAR AS query_id FROM benchmark), t AS (SELECT query_id::VARCHAR AS query_id, count(*) AS hits, count(*) FILTER ((sparse_rank IS NULL) <> (vector_rank IS NULL)) AS one FROM w WHERE rank <= 10 GROUP BY 1), xs AS (SELECT DISTINCT query_id::VARCHAR AS query_id FROM x), ys AS (SELECT DISTINCT query_id::VARCHAR AS query_id FROM y),
+g AS (SELECT query_id, 'BACKEND_UNREACHABLE' AS code, 'warning' AS severity FROM i WHERE n % 7 = 1 UNION ALL SELECT query_id, 'BACKEND_UNREACHABLE', 'warning' FROM i WHERE n % 7 = 5 OR n % 14 = 1 UNION ALL SELECT query_id, 'BACKEND_HTTP_ERROR', 'warning' FROM i WHERE n % 7 IN (2, 6) UNION ALL SELECT query_id, 'BACKEND_HITS_INVALID', 'warning' FROM i WHERE n % 7 = 3
+UNION ALL SELECT query_id, 'BACKEND_HIT_INVALID', 'info' FROM i WHERE n % 7 = 4 UNION ALL SELECT query_id, 'BACKEND_HIT_KEY_INVALID', 'info' FROM i, range(2) WHERE n % 7 = 4 UNION ALL SELECT query_id, 'SPARSE_SLOW', 'warning' FROM i WHERE n % 7 = 4 UNION ALL SELECT query_id, 'BACKEND_DOCUMENT_ID_MISMATCH', 'warning' FROM i WHERE n % 7 = 4
+UNION ALL SELECT query_id, 'SPARSE_NO_HITS', 'info' FROM i WHERE n % 7 NOT IN (1, 2) AND query_id NOT IN (SELECT query_id FROM xs) UNION ALL SELECT query_id, 'VECTOR_NO_HITS', 'info' FROM i WHERE n % 7 NOT IN (5, 6) AND n % 14 <> 1 AND query_id NOT IN (SELECT query_id FROM ys)
+UNION ALL SELECT query_id, 'HYBRID_NO_HITS', 'warning' FROM i WHERE n % 14 <> 1 AND query_id NOT IN (SELECT query_id FROM t) UNION ALL SELECT query_id, 'HYBRID_SINGLE_BACKEND_EVIDENCE', 'info' FROM t WHERE one > 0) SELECT query_id, code, severity, count(*) AS n FROM g GROUP BY ALL""")
+def degraded_flags(spark, sf_dir):
+    _, flags = B.fused(_answers(spark, sf_dir), 10, {"sparse": 1.0, "vector": 0.5}, expected_document="d")
+    return flags.groupBy("query_id", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT vec_id, coalesce(array_to_string(list_transform(embedding[1:3], lambda x: round(x::DOUBLE, 3)::DECIMAL(9,3)::VARCHAR), ' > '), '') AS vector_head, coalesce(label::VARCHAR, '') AS label FROM embeddings")
 def metadata_flatten(spark, sf_dir):
     head = F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 3).cast("decimal(9,3)").cast("string"))

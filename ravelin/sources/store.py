@@ -4,21 +4,31 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def store_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one on a single machine, else the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a single machine; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        alone = spark.sparkContext.master.startswith("local")
-        base = tempfile.mkdtemp(prefix="ravelin-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ravelin"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="ravelin-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table of its own in the shared folder: what is made there runs once and survives lost executors."""
+    path = f"{store_dir(df.sparkSession)}/ravelin-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _status(spark: SparkSession, path: str):
     """Status of a file or folder, None if there is none."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
