@@ -20,17 +20,14 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: t
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
 
 
-def lower_ascii(c):
-    """Lower-case A-Z only."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one on a single machine (tests), else the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a single machine (tests); on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        alone = spark.sparkContext.master.startswith("local")
-        base = tempfile.mkdtemp(prefix="ravelin-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ravelin"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="ravelin-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 

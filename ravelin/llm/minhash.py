@@ -265,25 +265,23 @@ def links(df: DataFrame, reps: DataFrame, words: int = WORDS, number: int = NUMB
             k1 = [int(_digest(h)[0]) for h in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["id", "k1", "s"])
 
+    found = stored(crowds(reps), "crowds")
+    sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).select("label", blocks().alias("blocks"))
+    several = stored(found.join(sizes, "label"), "sized")
+    big = several.where("blocks > 1").drop("blocks")
     known: list[DataFrame] = []
 
     def sets(ids: DataFrame) -> DataFrame:
-        """The sets of these documents, at least; texts are read again only for documents whose sets are not stored yet."""
-        for have in known:
-            ids = ids.join(have.select("id"), "id", "left_anti")
-        if not known or not ids.isEmpty():
-            # texts are dealt out by id, at any size
-            rows = texts(df, id_col, text_col).join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
+        """The sets of these documents and of all in crowds of several blocks, which are all that the second step can ask for: texts are read once."""
+        if not known:
+            wanted = ids.union(big.select("id")).distinct().withColumnRenamed("id", "doc_id")
+            rows = texts(df, id_col, text_col).join(wanted.hint("merge"), "doc_id", "left_semi")  # texts are dealt out by id, at any size
             known.append(stored(rows.mapInArrow(run, "id long, k1 long, s binary").dropDuplicates(["id", "k1"]), "sets"))
-        return known[0] if len(known) == 1 else known[0].unionByName(known[1])
+        return known[0]
 
-    found = stored(crowds(reps), "crowds")
-    sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).select("label", blocks().alias("blocks"))
-    several = stored(found.join(sizes, "label"), "sized")
     here = F.when(F.col("id") == F.col("label"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "k1"), "blocks").cast("int")))
     dealt = several.select("label", "id", "k1", "n", "odd", F.explode(here).alias("i"))
     first = linked(dealt.select("label", "i", F.col("i").alias("j"), F.lit(0).alias("side"), F.col("id").alias("comp"), "id", "k1", "n", "odd"), sets, number, of)
-    big = several.where("blocks > 1").drop("blocks")
     if big.isEmpty():
         return first
     return first.unionByName(linked(cross(big, components(first)), sets, number, of))
