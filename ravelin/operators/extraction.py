@@ -121,11 +121,17 @@ def generic_table(rows: DataFrame) -> DataFrame:
 
 
 def assign_tables(tables: DataFrame, sections_: DataFrame, smallest: bool = False) -> DataFrame:
-    """tables(doc_id, table_seq, page) with the section that spans their page: the last one, or the smallest; numbered within it."""
-    pairs = tables.join(sections_.select("doc_id", F.col("seq").alias("section_seq"), "section_id", "kind", "start_page", "end_page"), "doc_id").where("start_page <= page and page <= end_page")
+    """tables(doc_id, table_seq, page) with the section that spans their page: the last one, or the smallest; numbered within it.
+
+    Which section a page belongs to is settled once a page, for the pages that sections span as far as
+    tables reach; tables then meet their page by its number.
+    """
     kind = F.when(F.col("kind") == "paragraph", 0).when(F.col("kind").isin("annex", "appendix"), 1).when(F.col("kind") == "part", 2).otherwise(3)
-    order = [F.col("end_page") - F.col("start_page"), kind, "section_id"] if smallest else [F.desc("section_seq")]
-    best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "table_seq").orderBy(*order))).where("_n = 1")
+    order = F.struct((F.col("end_page") - F.col("start_page")).alias("a"), kind.alias("b"), F.col("section_id").alias("c")) if smallest else F.struct((-F.col("seq")).alias("a"))
+    reach = tables.groupBy("doc_id").agg(F.min("page").alias("_low"), F.max("page").alias("_high"))
+    spans = sections_.join(reach, "doc_id").select("doc_id", "section_id", order.alias("o"), F.greatest("start_page", "_low").alias("x"), F.least("end_page", "_high").alias("y")).where("x <= y")
+    pages = spans.select("doc_id", "section_id", "o", F.explode(F.sequence("x", "y")).alias("page")).groupBy("doc_id", "page").agg(F.min(F.struct("o", "section_id")).alias("m")).select("doc_id", "page", "m.section_id")
+    best = tables.join(pages, ["doc_id", "page"])
     n = F.row_number().over(Window.partitionBy("doc_id", "section_id").orderBy("table_seq"))
     return best.select("doc_id", "table_seq", "page", "section_id", F.concat_ws("-", "section_id", F.lit("tbl"), n.cast("string")).alias("table_id"))
 

@@ -75,12 +75,6 @@ def json_object(c: Column) -> Column:
     return F.coalesce(F.when(F.trim(c).startswith("{") & F.try_parse_json(c).isNotNull(), F.trim(c)), F.when(F.try_parse_json(inner).isNotNull() & (inner != ""), inner))
 
 
-def after_model(answer: Column, error: Column, parsed: Column, should_abstain: Column, confidence: Column, min_confidence: float, abstention_text: str) -> tuple[Column, Column]:
-    """(final answer, reason) after the model call."""
-    reason = F.when(error.isNotNull(), "LLM_CALL_FAILED").when(parsed.isNull(), "LLM_OUTPUT_INVALID").when(should_abstain, "LLM_ABSTAINED").when(confidence < min_confidence, "LOW_LLM_CONFIDENCE")
-    return F.when(reason.isNotNull(), abstention_text).otherwise(answer), reason
-
-
 class Client:
     """What a model must offer: one reply for a list of messages."""
 

@@ -239,12 +239,6 @@ def retrieval_flags(fused: DataFrame, queries: DataFrame) -> DataFrame:
     return per.select("query_id", F.inline(made))
 
 
-def propagated(flags: DataFrame, backend: str) -> DataFrame:
-    """Flags of a backend under its prefix; unknown severities become warnings."""
-    known = F.col("severity").isin("info", "warning", "error")
-    return flags.withColumn("code", F.concat(F.lit(f"{backend.upper()}_"), F.col("code"))).withColumn("severity", F.when(known, F.col("severity")).otherwise("warning"))
-
-
 def search(mode: str, sparse: Callable[[], DataFrame], vector: Callable[[], DataFrame], k: int = 10) -> DataFrame:
     """Mode dispatch; single modes give their hits a fusion score of their rank."""
     if mode == "hybrid":

@@ -14,6 +14,7 @@ from ravelin.operators import chunking as C
 from ravelin.operators import contents as I
 from ravelin.operators import evaluation as V
 from ravelin.operators import extraction as E
+from ravelin.operators import extractor as X
 from ravelin.operators import faq as Q
 from ravelin.operators import generation as G
 from ravelin.operators import retrieval as R
@@ -613,6 +614,32 @@ def contents_flags(spark, sf_dir):
     return I.parse_contents(pages, E.toc_pages(pages))[1]
 
 
+@query(f"""WITH d AS (SELECT doc_id, source, lang, (doc_id % 40)::INT AS k, 'Text ' || {FLAT.format(c='text')} AS t FROM documents),
+s AS (SELECT doc_id, 1 AS seq, 'preamble' AS section_id, 1 AS start_page, 1 AS end_page, 'Regulations of ' || source AS text FROM d UNION ALL SELECT doc_id, 2, 'toc', 2, 2, 'Table of Contents' || chr(10) || '§ ' || (k + 1) || ' Scope' FROM d UNION ALL SELECT doc_id, 3, 'part-I', 3, 3, 'I.' || chr(10) || 'General ' || lang FROM d
+  UNION ALL SELECT doc_id, 4, 'par-' || (k + 1), 3, 3, concat_ws(chr(10), '§ ' || (k + 1), 'Scope', t, '', 'more') FROM d UNION ALL SELECT doc_id, 5, 'par-' || (k + 2), 3, 4, concat_ws(chr(10), '§ ' || (k + 2), 'Goals', 'goal text') FROM d UNION ALL SELECT doc_id, 6, 'part-II', 4, 4, 'II.' || chr(10) || 'Exams' FROM d
+  UNION ALL SELECT doc_id, 7, 'par-' || (k + 3), 4, 4, concat_ws(chr(10), '§ ' || (k + 3), '', '5', 'Form', 'body') FROM d UNION ALL SELECT doc_id, 8, 'appendix-1', 5, 5, 'Appendix 1: Plan' || chr(10) || t FROM d UNION ALL SELECT doc_id, 9, 'appendix-2', 5, 5, concat_ws(chr(10), 'Appendix 2:', 'Modules', '§ ' || (k + 3), 'again') FROM d)
+SELECT doc_id, 5 AS total_pages, section_id, start_page, end_page, md5(text) AS text_md5, CASE WHEN doc_id % 4 < 3 AND seq = [5, 7, 9][doc_id % 4 + 1] THEN section_id || '-tbl-1: source|lang; ' || source || '|' || lang ELSE '' END AS tables FROM s JOIN (SELECT doc_id, source, lang FROM d) USING (doc_id)""")
+def extracted_documents(spark, sf_dir):
+    """Every document's pages and a raw table of its source and language on page three, four, five or one that does not exist."""
+    d = table(spark, sf_dir, "documents")
+    cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.array(*x).alias("cells")) for i, x in enumerate([(F.lit("source"), F.lit(" "), F.lit("lang")), (F.lit(""), F.lit("\n"), F.lit(None).cast("string")), (F.col("source"), F.lit(""), F.col("lang"))])])
+    raw = d.select("doc_id", F.lit(1).alias("table_seq"), F.when(F.col("doc_id") % 4 == 3, 9).otherwise(F.col("doc_id") % 4 + 3).cast("int").alias("page"), F.inline(cells))
+    made = X.extract(_regulations(spark, sf_dir), raw).select("doc_id", "total_pages", F.inline("sections"))
+    row = lambda r: F.array_join(r, "|")
+    shown = F.array_join(F.transform("tables", lambda t: F.concat(t["table_id"], F.lit(": "), row(t["headers"]), F.lit("; "), F.array_join(F.transform(t["rows"], row), "; "))), "\n")
+    return made.select("doc_id", "total_pages", "section_id", "start_page", "end_page", F.md5(F.col("text").cast("binary")).alias("text_md5"), shown.alias("tables"))
+
+
+@query("""WITH t AS (SELECT doc_id // 10 AS k, doc_id AS table_seq, (doc_id % 3 + 1)::INT AS page FROM documents), n AS (SELECT *, 'tbl_' || lpad(row_number() OVER (PARTITION BY k ORDER BY page, table_seq)::VARCHAR, 4, '0') AS table_id FROM t)
+SELECT k AS doc_id, table_id, page, CASE WHEN page = 1 OR (page = 2 AND k % 7 = 3) THEN 'sec_0001' END AS section_id, CASE WHEN page = 1 OR (page = 2 AND k % 7 = 3) THEN 0 ELSE 1 END AS n_flags FROM n""")
+def service_tables(spark, sf_dir):
+    """Tables of the documents with contents, on pages inside and outside of their sections."""
+    t = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("doc_id"), F.col("doc_id").alias("table_seq"), (F.col("doc_id") % 3 + 1).cast("int").alias("page"), F.array(F.array(F.col("source"), F.lit(None).cast("string"))).alias("rows"))
+    made = X.run(_contents(spark, sf_dir), t)
+    lost = made.flags.where("code = 'UNASSIGNED_TABLE'").select(F.get_json_object("context", "$.doc_id").cast("long").alias("doc_id"), F.get_json_object("context", "$.table_id").alias("table_id")).groupBy("doc_id", "table_id").agg(F.count(F.lit(1)).cast("int").alias("n_flags"))
+    return made.tables.select("doc_id", "table_id", "page", "section_id").join(lost, ["doc_id", "table_id"], "left").fillna(0, ["n_flags"])
+
+
 # ---- chunking and FAQ -----------------------------------------------------------------------------
 
 SENT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g')), lambda x: x <> '')"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ravelin.operators import chunking as C
 from ravelin.operators import contents as I
+from ravelin.operators import extractor as X
 from ravelin.operators import faq as Q
 
 
@@ -87,3 +88,30 @@ def test_service_entries(spark):
     assert found == sorted([("FAQ_ID_DUPLICATE", "warning")] * 2 + [("FAQ_EMPTY_QUESTION_OR_ANSWER", "warning")] * 2 + [("QUESTION_ITEM_NOT_OBJECT", "warning"), ("FAQ_ID_MISSING", "warning"), ("CHUNK_ID_COLLISION", "error"), ("NEXT_QUESTION_REFERENCE_MISSING", "info"), ("PREVIOUS_QUESTION_REFERENCE_MISSING", "info"), ("ALL_QUESTIONS_SKIPPED", "error")] + [("FAQ_PAGE_INVALID", "info")] * 2)
     least = e.select("faq_source", "pos", F.lit("1").alias("id"), F.lit("q").alias("question"), F.lit("a").alias("answer"))
     assert Q.service_entries(least)[0].count() == 3 and [x.count() for x in Q.service_entries(least.limit(0))] == [0, 0]
+
+
+def test_extract(spark):
+    pages = spark.createDataFrame([("d", 1, "Title"), ("d", 2, "2\nI.\nGeneral\n§ 1\nScope\ntext"), ("d", 3, "3\nmore\n§ 2\nGoals"), ("blank", 1, None)], "doc_id string, page int, text string")
+    cells = [("d", 1, 2, ["a", "", "b"]), ("d", 1, 2, [" ", None, ""]), ("d", 1, 2, ["1", "", "2"]), ("d", 2, 2, ["x"]), ("d", 3, 7, ["lost"]), ("d", 4, 1, ["first"]), ("d", 5, 3, [" "]), ("gone", 1, 1, ["no document"])]
+    raw = spark.createDataFrame([(d, t, p, i, c) for i, (d, t, p, c) in enumerate(cells)], "doc_id string, table_seq int, page int, pos int, cells array<string>").repartition(2)
+    got = {r.doc_id: r for r in X.extract(pages, raw).collect()}
+    assert set(got) == {"d", "blank"} and got["d"].total_pages == 3 and [s.section_id for s in got["blank"].sections] == ["preamble"]
+    made = [(s.section_id, s.start_page, s.end_page, s.text, [(t.table_id, t.page, t.headers, t["rows"]) for t in s.tables]) for s in got["d"].sections]
+    assert made == [
+        ("preamble", 1, 1, "Title", [("preamble-tbl-1", 1, ["first"], [])]),
+        ("part-I", 2, 2, "I.\nGeneral", []),
+        ("par-1", 2, 3, "§ 1\nScope\ntext\nmore", [("par-1-tbl-1", 2, ["a", "b"], [["1", "2"]]), ("par-1-tbl-2", 2, ["x"], [])]),
+        ("par-2", 3, 3, "§ 2\nGoals", []),
+    ]
+    assert X.extract(pages.limit(0), raw.limit(0)).count() == 0
+
+
+def test_service_extraction(spark):
+    pages = spark.createDataFrame([("d", 1, "Studien- und Prüfungsordnung des Fachs"), ("d", 2, "Inhaltsverzeichnis\n§ 1 Ziel\n3"), ("d", 3, "I.\nTeil\n§ 1 Ziel\nText"), ("d", 4, "noch Text\n§ 2 Dauer")], "doc_id string, page int, text string")
+    tables = spark.createDataFrame([("d", 5, 4, [["a-\nb", None]]), ("d", 2, 3, [["c"]]), ("d", 9, 2, [["on the contents"]]), ("d", 1, 3, [["", " "]])], "doc_id string, table_seq int, page int, rows array<array<string>>")
+    made = X.run(pages, tables)
+    assert [(r.label, r.start_page, r.end_page) for r in made.sections.orderBy("section_id").collect()] == [("I", 3, 3), ("§ 1", 3, 4), ("§ 2", 4, 4)]
+    assert [(r.toc_id, r.title, r.referenced_page) for r in made.contents.collect()] == [("toc_0001", "Ziel", 3)]
+    assert sorted((r.table_id, r.section_id, r["rows"]) for r in made.tables.where("section_id is not null").collect()) == [("tbl_0002", "sec_0001", [["c"]]), ("tbl_0003", "sec_0003", [["ab", ""]])]
+    assert {(r.code, r.severity) for r in made.flags.collect()} == {("UNASSIGNED_TABLE", "warning"), ("EMPTY_TABLE_SKIPPED", "info"), ("MISSING_INSTITUTION", "warning"), ("MISSING_VERSION_DATE", "warning"), ("MISSING_FACULTY", "warning")}
+    assert made.context.first().document_type == "Studien- und Prüfungsordnung"
