@@ -6,13 +6,15 @@ earliest deadline, the first source by name on ties. As the weights add up to on
 missed, so at every slot each source that still has blocks is within one block of its share. A source
 that has run out leaves its slots empty, and the others go on in proportion. No row is dropped or repeated.
 
-Weights are whole slots of PERIOD: exactly as given if they have six decimals and add up to one, by
-largest remainders else, and a thousandth of an even share at least. So releases and deadlines are exact, and
-the schedule repeats after PERIOD slots at the latest: that many are worked out at most, whatever the
-number of rows. Slots are worked out in parallel segments. A segment needs to know which sources are
-one block ahead at its first slot; it starts from a guess (those with the earliest deadlines), and
-segments that began otherwise than the one before has ended are worked out again until all agree,
-which is the earliest-deadline-first schedule itself.
+Weights are whole slots of PERIOD = 10^15, which is as fine as a double: as given if they have fifteen
+decimals and add up to one, by largest remainders else, and a thousandth of an even share at least. The
+schedule is exact for these whole numbers; against the weights before rounding, a source drifts by two blocks
+in 10^15 slots at most. Where the numbers have a common divisor the schedule repeats and one turn of it is
+worked out, else it is worked out to the last slot, in parallel segments. A segment takes its first slot's
+place in the period (a product of 38 digits) and counts from there, in 64 bits. It needs to know which
+sources are one block ahead at its first slot; it starts from a guess (those with the earliest deadlines),
+and segments that began otherwise than the one before has ended are worked out again until all agree,
+which is the earliest-deadline-first schedule itself. A segment has twice as many slots as there are sources, at least.
 
 Rows are numbered within a source by the MD5 of their id. A prefix of it splits each source into
 small ranges that are counted first, so no source is ever sorted by one task.
@@ -26,17 +28,20 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.llm.common import forget, stored
 
 BLOCK = 16
-#: Slots after which the schedule repeats at the latest (ten times more for very many sources).
-PERIOD = 1_000_000
-#: Slots of a segment of the schedule.
+#: Slots that the weights are parts of.
+PERIOD = 10**15
+#: Slots of a segment of the schedule, and the most of them: with PERIOD, they stay within 64 bits.
 SEGMENT = 300
+MAX_SEGMENT = 4_000
+#: Rows of a schedule that is broadcast.
+BROADCAST_ROWS = 200_000
 RANGE_ROWS = 4_000
 
 
@@ -62,43 +67,58 @@ def shares(counts: DataFrame, weights: dict[str, float] | None = None, period: i
     return few.select(F.inline(F.transform("s", lambda x, i: F.struct(x["source"].alias("source"), x["n"].alias("n"), (x["whole"] + more(i)).cast("long").alias("w")))))
 
 
-def ended(starts: DataFrame, period: int, length: int) -> DataFrame:
-    """starts(segment, w, done) with done at the segment's end and the source (a place in w) of each of its slots."""
-    state = F.struct(F.col("done").alias("done"), F.array().cast("array<int>").alias("out"))
-    first = F.col("segment") * length
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)  # whole numbers: a double would round
+
+
+def ended(starts: DataFrame, parts: DataFrame, period: int, length: int) -> DataFrame:
+    """starts(segment, ahead) with the sources ahead at the segment's end and, for each of its slots, the source and its block.
+
+    A source is a place in w of the one row of parts; ahead is the array of those that have had one block more than floor(slot * w / period).
+    """
+    wide = F.col("segment").cast("decimal(19,0)") * length
+    product = lambda w: wide * w.cast("decimal(18,0)")
+    known = starts.crossJoin(F.broadcast(parts.select("w")))  # one row is broadcast
+    known = known.withColumns({"base": F.transform("w", lambda w: _div(product(w), F.lit(period).cast("decimal(18,0)")).cast("long")), "rest": F.transform("w", lambda w: (product(w) % F.lit(period)).cast("long"))})
+    done = F.transform("w", lambda w, i: F.array_contains("ahead", i).cast("long"))
+    state = F.struct(done.alias("done"), F.array().cast("array<struct<i:int,block:long>>").alias("out"))
 
     def step(acc, t):
-        done = acc["done"]
-        due = F.transform("w", lambda w, i: F.when(F.get(done, i) * period < (t + 1) * w, F.struct(F.ceil((F.get(done, i) + 1) * period / w).alias("due"), i.alias("i"))))
-        return F.transform(F.array(F.array_min(due)["i"]), lambda i: F.struct(F.transform(done, lambda d, j: d + F.when(i == j, 1).otherwise(0)).alias("done"), F.array_append(acc["out"], i).alias("out")))[0]
+        had = acc["done"]
+        due = lambda w, i: _div((F.get(had, i) + 1) * period - F.get("rest", i) + w - 1, w)
+        free = F.transform("w", lambda w, i: F.when(F.get(had, i) * period < (t + 1) * w + F.get("rest", i), F.struct(due(w, i).alias("due"), i.alias("i"))))
+        one = lambda i: F.struct(i.alias("i"), (F.get("base", i) + F.get(had, i)).alias("block"))
+        return F.transform(F.array(F.array_min(free)["i"]), lambda i: F.struct(F.transform(had, lambda d, j: d + F.when(i == j, 1).otherwise(0)).alias("done"), F.array_append(acc["out"], one(i)).alias("out")))[0]
 
-    made = starts.select("segment", "w", "done", F.aggregate(F.sequence(first, first + (length - 1)), state, step).alias("x"))
-    return made.select("segment", "w", "done", F.col("x.done").alias("end"), "x.out")
+    made = known.withColumn("x", F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long")), state, step))
+    # how far a source is at the end, against the whole blocks due by then
+    over = F.transform("w", lambda w, i: F.get("x.done", i) - _div(w * length + F.get("rest", i), F.lit(period).cast("long")))
+    end = F.filter(F.transform(over, lambda d, i: F.when(d > 0, i)), lambda i: i.isNotNull())
+    return made.select("segment", "ahead", end.alias("end"), "x.out")
 
 
 def schedule(parts: DataFrame, slots: int, period: int = PERIOD, length: int = SEGMENT) -> DataFrame:
-    """(slot, source) of the first slots of the earliest-deadline-first schedule of parts(source, w)."""
+    """(slot, source, turn) of the first slots of the earliest-deadline-first schedule of parts(source, w); turn counts a source's blocks."""
     spark = parts.sparkSession
     one = parts.agg(F.sort_array(F.collect_list(F.struct("source", "w"))).alias("s")).select(F.col("s.source").alias("source"), F.col("s.w").alias("w"))  # a row for each source
-    first = F.col("segment") * length
-    base = F.transform("w", lambda w: F.floor(first * w / period).cast("long"))
-    ahead = F.transform("w", lambda w, i: F.when(first * w % period != 0, F.struct(F.ceil((F.get("base", i) + 1) * period / w).alias("due"), i.alias("i"))))
-    n = first - F.aggregate("base", F.lit(0).cast("long"), lambda x, y: x + y)
-    guess = spark.range(-(-slots // length)).withColumnRenamed("id", "segment").crossJoin(F.broadcast(one.select("w")))  # one row is broadcast
-    guess = guess.withColumn("base", base).withColumn("more", F.when(n > 0, F.slice(F.array_sort(F.filter(ahead, lambda x: x.isNotNull())), F.lit(1), n.cast("int"))["i"]).otherwise(F.array().cast("array<int>")))
-    done = F.transform("base", lambda b, i: b + F.array_contains("more", i).cast("long"))
-    made = stored(ended(guess.select("segment", "w", done.alias("done")), period, length), "segments")
+    wide = F.col("segment").cast("decimal(19,0)") * length
+    rest = F.transform("w", lambda w: (wide * w.cast("decimal(18,0)") % F.lit(period)).cast("long"))
+    late = F.transform("w", lambda w, i: F.when(F.get("rest", i) != 0, F.struct(_div(F.lit(period).cast("long") - F.get("rest", i) + w - 1, w).alias("due"), i.alias("i"))))
+    n = _div(F.aggregate("rest", F.lit(0).cast("decimal(38,0)"), lambda x, y: (x + y).cast("decimal(38,0)")), F.lit(period).cast("decimal(18,0)")).cast("int")
+    guess = spark.range(-(-slots // length)).withColumnRenamed("id", "segment").crossJoin(F.broadcast(one.select("w"))).withColumn("rest", rest)  # one row is broadcast
+    first = F.when(n > 0, F.slice(F.array_sort(F.filter(late, lambda x: x.isNotNull())), F.lit(1), n)["i"]).otherwise(F.array().cast("array<int>"))
+    made = stored(ended(guess.select("segment", F.array_sort(first).alias("ahead")), one, period, length), "segments")
     while True:
         before = made.select((F.col("segment") + 1).alias("segment"), F.col("end").alias("before"))
-        wrong = stored(made.join(before, "segment").where(F.col("done") != F.col("before")).select("segment", "w", F.col("before").alias("done")), "segments")
+        wrong = stored(made.join(before, "segment").where(F.col("ahead") != F.col("before")).select("segment", F.col("before").alias("ahead")), "segments")
         if wrong.isEmpty():
             break
-        again = stored(made.join(wrong.select("segment"), "segment", "left_anti").unionByName(ended(wrong, period, length)), "segments")
+        again = stored(made.join(wrong.select("segment"), "segment", "left_anti").unionByName(ended(wrong, one, period, length)), "segments")
         forget(spark, made)
         forget(spark, wrong)
         made = again
-    each = made.select("segment", F.posexplode("out").alias("at", "i")).crossJoin(F.broadcast(one.select("source")))
-    return each.select((first + F.col("at")).cast("long").alias("slot"), F.get("source", F.col("i")).alias("source")).where(F.col("slot") < slots)
+    each = made.select("segment", F.posexplode("out").alias("at", "x")).crossJoin(F.broadcast(one.select("source")))  # one row is broadcast
+    return each.select((F.col("segment") * length + F.col("at")).cast("long").alias("slot"), F.get("source", F.col("x.i")).alias("source"), F.col("x.block").alias("turn")).where(F.col("slot") < slots)
 
 
 def placed(ranges: DataFrame, digits: int) -> DataFrame:
@@ -118,11 +138,14 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, block: int = BLO
     while period < 8 * known.k:  # eight slots a source on average, at least
         period *= 10
     parts = stored(shares(counts, weights, period), "shares")
-    last = parts.agg(F.expr("array_agg(w)").alias("w"), F.max(F.ceil(F.ceil(F.col("n") / block) * period / F.col("w"))).alias("slots")).first()  # a number for each source
+    blocks = F.ceil(F.col("n") / block)
+    last = parts.agg(F.expr("array_agg(w)").alias("w"), F.max(F.ceil(blocks * (period / F.col("w"))) + 1).alias("slots")).first()  # a number for each source
     common = math.gcd(*(last.w or [1]))
     cycle = period // common
-    turn = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
-    plan = stored(schedule(parts, min(cycle, int(last.slots or 1)), period).select(F.col("source").alias("_source"), turn.alias("_turn"), "slot"), "schedule")  # cycle rows at most
+    slots = min(cycle, int(last.slots or 1))
+    length = min(max(SEGMENT, 2 * known.k), MAX_SEGMENT)
+    made = schedule(parts, slots, period, length).join(F.broadcast(parts.select("source", blocks.alias("_blocks"))), "source").where(F.col("turn") < F.col("_blocks"))  # a row for each source
+    plan = stored(made.select(F.col("source").alias("_source"), F.col("turn").alias("_turn"), "slot"), "schedule")
     digits = max(1, math.ceil(math.log(max(known.n / RANGE_ROWS, 1), 16)))
     code = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     keep = [c for c in df.columns if c not in ("mix_slot", "mix_place", "mix_block")]
@@ -133,6 +156,6 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, block: int = BLO
     put = rows.withColumn("_place", F.row_number().over(within) - 1).join(before, ["_source", "_range"])
     place = F.col("_before") + F.col("_place")
     b = F.floor(place / block)
-    put = put.withColumn("_turn", (b % F.col("_each")).cast("int")).join(F.broadcast(plan) if period == PERIOD else plan, ["_source", "_turn"])  # PERIOD rows at most
+    put = put.withColumn("_turn", b % F.col("_each")).join(F.broadcast(plan) if slots <= BROADCAST_ROWS else plan, ["_source", "_turn"])  # a slot is a row at most
     slot = F.floor(b / F.col("_each")) * cycle + F.col("slot")
     return put.select(*[F.col("_row")[c].alias(c) for c in keep], slot.cast("long").alias("mix_slot"), (place % block).cast("long").alias("mix_place"), b.cast("long").alias("mix_block"))

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import decimal
 import hashlib
 import math
 import random
@@ -308,6 +309,30 @@ def test_mixing_against_given_targets(spark, weights, target):
     assert set(of) == {(s, i // 4, i % 4) for s, n in size.items() for i in range(n)}
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 0.1234567, "b": 1 / 3, "c": 0.5432099666666667}])
+def test_mixing_keeps_to_its_targets_for_millions_of_slots(spark, weights):
+    """Within one block of the weights as asked for, roots of 3, 7 and 11 or parts of no short period, at each of 2,100,000 slots."""
+    n = {"a": 3, "b": 7, "c": 11}
+    raw = {s: decimal.Decimal(x).sqrt() if weights is None else decimal.Decimal(weights[s]) for s, x in n.items()}
+    parts = mixing.shares(spark.createDataFrame(list(n.items()), "source string, n long"), weights)
+    plan = mixing.schedule(parts, 2_100_000).toPandas().sort_values("slot")
+    assert (plan.slot.to_numpy() == np.arange(2_100_000)).all()
+    for s, x in raw.items():
+        mine = (plan.source == s).to_numpy()
+        share = np.longdouble(str(x / sum(raw.values())))
+        assert (plan.turn.to_numpy()[mine] == np.arange(mine.sum())).all()
+        assert np.abs(np.cumsum(mine) - share * np.arange(1, len(plan) + 1, dtype=np.longdouble)).max() < 1 + 1e-6
+
+
+def test_mixing_of_many_sources(spark):
+    """Three hundred sources: segments of more slots than usual, the same schedule as by the definition."""
+    parts = mixing.shares(spark.createDataFrame([(f"s{i:03d}", 1 + i * i) for i in range(300)], "source string, n long"))
+    w = {r.source: r.w for r in parts.collect()}
+    names = sorted(w)
+    got = [r.source for r in mixing.schedule(parts, 2400, length=600).orderBy("slot").collect()]
+    assert got == [names[i] for i in earliest_first([w[s] for s in names], mixing.PERIOD, 2400)]
+
+
 def test_quality(docs):
     expected = []
     for d, t in held(docs):
