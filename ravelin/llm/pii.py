@@ -72,16 +72,48 @@ ORDER = (*BASE, *CANDIDATES)
 VOTES = ("shape", "gazetteer", "context")
 
 
+#: Powers of two, the steps of scans and of binary searches over an array.
+_POWERS = [1 << i for i in range(30)]
+
+
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value worked out once."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _scan(values: Column, join: Callable[[Column, Column], Column], none: Column) -> Column:
+    """Running totals of an array by join, whose neutral value is none: spans double, so n values take n log n steps and nothing is appended."""
+
+    def of(v):
+        steps = F.filter(F.array(*[F.lit(p) for p in _POWERS]), lambda p: p < F.size(v))
+        return F.aggregate(steps, v, lambda a, d: F.transform(a, lambda x, i: join(x, F.coalesce(F.get(a, i - d), none))))
+
+    return _let(values, of)
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """Array of (s, e, v): leftmost non-overlapping matches, from the lengths of what lies between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    starts = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(found)), F.transform(found, F.length), lambda g, n: F.struct(g.alias("g"), n.alias("n"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, x: F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.array_append(a["all"], a["at"] + x["g"]).alias("all")),
-    )["all"]
-    return F.when(text.rlike(pattern), F.zip_with(starts, found, lambda s, v: F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v")))).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
+    """Array of (s, e, v, gap): leftmost non-overlapping matches, from the lengths of what lies between them; gap is the end of that, before the match."""
+
+    def placed(pairs):
+        ends = _scan(F.transform(pairs, lambda x: F.length(x["g"]) + F.length(x["v"])), lambda x, y: x + y, F.lit(0))
+        return F.zip_with(ends, pairs, lambda e, x: F.struct((e - F.length(x["v"])).alias("s"), e.alias("e"), x["v"].alias("v"), F.right(x["g"], F.lit(CONTEXT)).alias("gap")))
+
+    pairs = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, v: F.struct(g.alias("g"), v.alias("v"))))
+    return F.when(text.rlike(pattern), _let(pairs, placed)).otherwise(F.array().cast("array<struct<s:int,e:int,v:string,gap:string>>"))
+
+
+def _before(name: str, x: Column, i: Column) -> Column:
+    """The CONTEXT characters before span x, the i-th of the array column name; no candidate has under five characters, so five pairs of gap and match hold them."""
+    tail = F.concat(F.array_join(F.transform(F.slice(name, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))), lambda y: F.concat(y["gap"], y["v"])), ""), x["gap"])
+    return F.right(F.when(F.length(x["gap"]) >= CONTEXT, x["gap"]).otherwise(tail), F.lit(CONTEXT))
+
+
+def _clear(more: str, base: str) -> Column:
+    """The spans of more that overlap none of base, which is sorted by start: the largest end among those that start before a span ends says it."""
+    steps = F.array(*[F.lit(p) for p in reversed(_POWERS)])
+    earlier = lambda e: F.aggregate(F.filter(steps, lambda p: p <= F.size(base)), F.lit(0), lambda n, p: n + F.when((n + p <= F.size(base)) & (F.get(F.col(base), n + p - 1)["s"] < e), p).otherwise(0))
+    upto = _scan(F.transform(base, lambda b: b["e"]), lambda x, y: F.greatest(x, y), F.lit(0))
+    return _let(upto, lambda u: F.filter(more, lambda x: F.coalesce(F.get(u, earlier(x["e"]) - 1) <= x["s"], F.lit(True))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -115,8 +147,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     vote = lambda c: F.when(c, 1).otherwise(0)
 
     def candidate(kind):
-        def of(x):
-            before = F.substring(F.col("text"), F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
+        def of(x, i):
+            before = _before(kind, x, i)
             v = x["v"]
             return F.struct(
                 x["s"].alias("s"), F.lit(ORDER.index(kind)).alias("k"), x["e"].alias("e"),
@@ -130,7 +162,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     base = F.array_sort(F.concat(*[F.transform(k, placed(i)) for i, k in enumerate(BASE)]))
     more = F.concat(*[F.transform(k, candidate(k)) for k in CANDIDATES])
     t = t.select("doc_id", base.alias("base"), more.alias("more"))
-    return t.select("doc_id", "base", F.filter("more", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))).alias("more"))
+    return t.select("doc_id", "base", _clear("more", "base").alias("more"))
 
 
 def reliabilities(counts: dict[tuple, float]) -> tuple[dict, dict]:

@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -137,6 +138,33 @@ def test_pii_method(spark):
     assert all(got[i].startswith("secret:19:59") for i in range(40)) and not any(got[100 + i] for i in range(40))
 
 
+def test_pii_candidates_by_hand(spark):
+    """Places, clearance of base spans and contexts of candidates that stand close together, by regular expressions in Python."""
+    rng = random.Random(5)
+    bits = ["a@b.de ", "call 212-555-0199 ", "078-05-1120 ", "078-05-1120;", "Mr Xu ", "Dr Ab,", "é€ ", "write a (at) b (dot) com ", "token=ghp_0123456789abcdefghij ", "+1 212-555-0199 x ", "10.0.0.1 ", "a.b(at)c.de@f.gh ", "\n"]
+    rows = [(i, "".join(rng.choices(bits, k=rng.choice([0, 1, 2, 5, 40, 130])))) for i in range(300)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    for r in found:
+        t = texts[r.doc_id]
+        want = []
+        for k, p in pii.CANDIDATES.items():
+            for m in regex.finditer(p, t):
+                if all(b.e <= m.start() or m.end() <= b.s for b in r.base):
+                    before = t[max(0, m.start() - pii.CONTEXT) : m.start()]
+                    want.append((m.start(), pii.ORDER.index(k), m.end(), int(bool(regex.search(pii.CUES[k], before, regex.ASCII)))))
+        assert [(x.s, x.k, x.e, x.context) for x in r.more] == want
+        assert all(pii.BASE[b.k] != "email" or "@" in t[b.s : b.e] for b in r.base)
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """60,000 addresses, each followed by a candidate, in one text."""
+    n = 60_000
+    t = "a@b.de 078-05-1120 " * n
+    r = pii.find(spark.createDataFrame([(1, t)], "doc_id long, text string")).select(F.size("base").alias("n"), F.size("more").alias("m"), F.element_at("base", -1)["s"].alias("s"), F.element_at("more", -1)["s"].alias("c")).first()
+    assert (r.n, r.m, r.s, r.c) == (n, n, 19 * (n - 1), 19 * (n - 1) + 7)
+
+
 def test_pii_secrets_after_a_key(spark):
     sha = lambda i: hashlib.sha512(str(i).encode()).hexdigest()
     secrets = [lambda i: "ghp_" + sha(i)[:36], lambda i: "AKIA" + sha(i)[:16].upper(), lambda i: base64.b64encode(bytes.fromhex(sha(i)[:62])).decode(), lambda i: sha(i) + sha(-1 - i)]
