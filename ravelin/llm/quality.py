@@ -2,8 +2,13 @@
 
 Beside the base counts, each document gets histograms of character classes and of common words. The
 references are the summed histograms of all documents of a language that pass the base rules and the
-length guard; a document that is long enough and whose Jensen-Shannon distance (root of the
-divergence, base 2) from its language's reference is beyond a limit is not kept.
+length guard, without the document that is judged; a document that is long enough and whose
+Jensen-Shannon distance (root of the divergence, base 2) from its language's reference is beyond a limit is not kept.
+
+A language whose other documents have fewer than MIN_REFERENCE words has no reference of its own: its documents are held
+against the characters of all languages together, and their words are not judged (the common words of one
+language are 0.2 to 0.4 from those of all, so that clean texts would go). With no other document at all there is no
+distance, and the base rules alone decide.
 
 Null texts have no words and fail. A null language is a language of its own. Repeated rows count each
 time. Other columns are not read. One row per input row.
@@ -25,6 +30,9 @@ GUARD_WORDS = 50
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.25
 
+#: Words that the other documents of a language need to be its reference.
+MIN_REFERENCE = 2_000
+
 # Frequent function words of English, German, French and Spanish.
 COMMON = ("the", "of", "and", "to", "in", "is", "that", "it", "der", "die", "und", "zu", "den", "das", "mit", "von", "la", "de", "le", "et", "les", "des", "que", "un", "el", "y", "en", "los", "por", "con", "para", "una")
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "blank": SPACE, "stop": ".,;:!?'\"()-", "symbol": r"#*$%&|<>{}\[\]=+/\\^~_@`"}
@@ -65,14 +73,29 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return t.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), rest_of(F.col("chars"), F.col("c")).alias("classes"), rest_of(F.col("n_words"), F.col("k")).alias("words"))
 
 
+def _long_and_clean() -> Column:
+    return ~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS)
+
+
 def references(found: DataFrame) -> DataFrame:
     """(lang, ref_classes, ref_words): summed histograms of a language's long enough documents that pass the base rules."""
-    good = found.where(~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS))
     n, m = len(CLASSES) + 1, len(COMMON) + 1
-    sums = good.groupBy("lang").agg(*[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n)], *[F.sum(F.get("words", F.lit(i))).alias(f"w{i}") for i in range(m)])
+    sums = found.where(_long_and_clean()).groupBy("lang").agg(*[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n)], *[F.sum(F.get("words", F.lit(i))).alias(f"w{i}") for i in range(m)])
     return sums.select("lang", F.array(*[f"c{i}" for i in range(n)]).alias("ref_classes"), F.array(*[f"w{i}" for i in range(m)]).alias("ref_words"))
 
 
+def against(found: DataFrame) -> DataFrame:
+    """found with ref_classes and ref_words: what its row is judged by, itself left out; ref_words is null where its language is too small."""
+    refs = stored(references(found), "references")  # a row for each language
+    together = refs.agg(F.array(*[F.sum(F.get("ref_classes", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("all_classes"))
+    own = lambda h: F.transform(h, lambda x: F.when(_long_and_clean(), x).otherwise(F.lit(0).cast("long")))
+    without = lambda ref, h: F.zip_with(ref, own(h), lambda x, y: x - y)
+    met = found.join(refs, "lang", "left").crossJoin(F.broadcast(together))  # one row is broadcast
+    met = met.withColumn("ref_words", without("ref_words", "words"))
+    met = met.withColumn("ref_words", F.when(F.aggregate("ref_words", F.lit(0).cast("long"), lambda x, y: x + y) >= MIN_REFERENCE, F.col("ref_words")))
+    return met.withColumn("ref_classes", without(F.when(F.col("ref_words").isNull(), F.col("all_classes")).otherwise(F.col("ref_classes")), "classes")).drop("all_classes")
+
+
 def distance(a: str, b: str) -> Column:
     """Jensen-Shannon distance of two histograms; null if one is empty or missing."""
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
@@ -85,7 +108,7 @@ def distance(a: str, b: str) -> Column:
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """counts() without histograms, then class_distance, word_distance (double) and kept."""
     found = stored(counts(df, id_col, text_col, lang_col), "quality")
-    far = found.join(references(found), "lang", "left").withColumns({"class_distance": distance("classes", "ref_classes"), "word_distance": distance("words", "ref_words")})
+    far = against(found).withColumns({"class_distance": distance("classes", "ref_classes"), "word_distance": distance("words", "ref_words")})
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     kept = ~F.col("base_failed") & ((F.col("n_words") < GUARD_WORDS) | near)
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")

@@ -386,6 +386,19 @@ def test_quality_by_common_words(spark):
     assert all(got[i].kept == (i < 500) for i in got)
 
 
+def test_quality_of_a_small_language(spark):
+    """Junk alone in its language is not its own measure; a clean text alone in its language stays, and so does a lone document."""
+    rng = random.Random(13)
+    letters = "etaoinshrdlucmfw"
+    text = lambda: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(120)).capitalize() + "."
+    rows = [(i, text(), "en") for i in range(60)] + [(100, " ".join(f"{i}{i * 7}" for i in range(200)), "xx"), (101, " ".join(f"#{i}|" for i in range(90)), None), (102, text(), "yy"), (103, text(), None)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[i].kept for i in (100, 101, 102, 103)] == [False, False, True, True] and not got[100].base_failed
+    assert got[102].word_distance is None and got[102].class_distance < quality.MAX_CLASS_DISTANCE
+    lone = quality.judge(spark.createDataFrame(rows[60:61], "doc_id long, text string, lang string")).first()
+    assert lone.kept and lone.class_distance is None and lone.word_distance is None
+
+
 def quality_by_hand(rows):
     """{doc_id: (kept, class distance, word distance)} of (doc_id, text, lang)."""
     classes = [re.compile(f"[{c}]") for c in quality.CLASSES.values()]
@@ -409,9 +422,14 @@ def quality_by_hand(rows):
         return math.sqrt(max(0.0, sum(part(x, (x + y) / 2) + part(y, (x + y) / 2) for x, y in zip(p, q)) / 2))
 
     out = {}
-    for d, lang, n, failed, c, k in found:
-        good = [x for x in found if x[1] == lang and not x[3] and x[2] >= quality.GUARD_WORDS]
-        dc, dk = (distance(a, total([x[i] for x in good])) for a, i in ((c, 4), (k, 5)))
+    good = [x for x in found if not x[3] and x[2] >= quality.GUARD_WORDS]
+    for x in found:
+        d, lang, n, failed, c, k = x
+        others = [y for y in good if y is not x]
+        own = [y for y in others if y[1] == lang]
+        large = sum(sum(y[5]) for y in own) >= quality.MIN_REFERENCE
+        dc = distance(c, total([y[4] for y in (own if large else others)]))
+        dk = distance(k, total([y[5] for y in own])) if large else None
         near = (dc or 0) <= quality.MAX_CLASS_DISTANCE and (dk or 0) <= quality.MAX_WORD_DISTANCE
         out[d] = (not failed and (n < quality.GUARD_WORDS or near), dc, dk)
     return out
