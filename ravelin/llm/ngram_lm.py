@@ -4,20 +4,24 @@ Words are lower-cased in A-Z; each text is its words and one end token. All trai
 counted, and no n-gram is left out. The vocabulary level holds the 64-bit hashes of all training words
 as Elias-Fano sequences, with exact counts; a word's id is its rank. The bigram and trigram levels hold,
 for each context (a word's id, a bigram's rank), a monotone pointer (Elias-Fano) to its successors,
-which are one monotone sequence, also Elias-Fano coded, and the 8-bit code of each n-gram's count (exact
-below 128, even in the logarithm above). A query finds an n-gram by searching the successor within its
-context's range of that sequence; the smoothed probability follows from the codes of n-gram and context.
+which are one monotone sequence, also Elias-Fano coded, and 16-bit codes, even in the logarithm, of each
+n-gram's discounted probability and of each context's back-off weight. A bigram's successor is a word's id;
+a trigram's is relative to its context: the last word's place among the successors of the word before it,
+so that its numbers are bounded by the most successors of a word, not by the vocabulary. A query finds an
+n-gram by searching the successor within its context's range of that sequence.
 
 Probabilities are interpolated with absolute discounting over the add-DELTA unigram estimate:
 p(w | h) = max(c(h w) - DISCOUNT, 0) / c(h) + DISCOUNT D(h) / c(h) p(w | h'), where D(h) is the number
-of distinct successors and h' is h without its first word; an unknown h leaves all to h'.
+of distinct successors and h' is h without its first word; an unknown h leaves all to h'. The levels hold
+the first term and the weight of p(w | h'), each within 0.02 % in shards whose values span nine orders.
 If a caller asks for a minimum of word occurrences, all rarer words are one word within contexts.
 
 Texts are tokenised twice: to count words, and to store their ids, which all later steps read. Tasks
 count n-grams over many texts at a time and send each one once, in sorted, packed runs of n-grams.
 Levels are cut into shards by ranges of whole n-grams, taken from a sample so that a shard has about
-SHARD of them: a context with many successors is cut as well, and its number of successors is added up
-over its shards. A shard is built by one task and put into the shared folder under its final name at
+SHARD of them: a context with many successors is cut as well, and its successors and occurrences are added up
+over its shards. An n-gram is one 63-bit number while contexts times successors allow it, and two numbers
+(of 53 bits) beyond, so no size stops the training. A shard is built by one task and put into the shared folder under its final name at
 once where that is a file system, so a repeated task changes nothing. Workers map the files there, and read
 them through Arrow's file systems elsewhere; MOST_OPEN shards of a level are held at a time.
 
@@ -50,6 +54,8 @@ SHARD, WORD_BYTES = 1 << 20, 64 << 20
 CHUNK, WORDS = 1 << 20, 1 << 20
 #: Sampled n-grams for each shard.
 SAMPLED = 64
+#: From how many contexts times successors on n-grams are two numbers.
+ONE_NUMBER = 1 << 62
 MOST_OPEN = 64
 #: Values that are coded at a time, a multiple of eight.
 BLOCK = 1 << 13
@@ -390,25 +396,60 @@ def before(ids: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
 # ---- levels of n-grams ----------------------------------------------------------------------------
 
 
-def counted(numbers: DataFrame, keys_of, cuts: np.ndarray, wide: np.dtype) -> DataFrame:
+class Keys:
+    """N-grams of a level as numbers that sort by context, then successor: context x bound + successor, or complex numbers of both where that is too large."""
+
+    def __init__(self, contexts: int, bound: int):
+        self.bound, self.two = bound, contexts * bound >= ONE_NUMBER
+
+    @property
+    def dtype(self) -> np.dtype:
+        return np.dtype(np.complex128 if self.two else np.int64)
+
+    def of(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        return context + 1j * successor if self.two else context * self.bound + successor
+
+    def parts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(context, successor)"""
+        if self.two:
+            return keys.real.astype(np.int64), keys.imag.astype(np.int64)
+        context = keys // self.bound
+        return context, keys - context * self.bound
+
+    def packed(self, keys: np.ndarray) -> bytes:
+        """Keys in order, as differences."""
+        if not self.two:
+            return planes(np.diff(keys, prepend=0))
+        context, successor = self.parts(keys)
+        first = planes(np.diff(context, prepend=0))
+        return len(first).to_bytes(8, "little") + first + planes(successor)
+
+    def unpacked(self, raw: bytes) -> np.ndarray:
+        if not self.two:
+            return np.cumsum(unplaned(raw))
+        n = 8 + int.from_bytes(raw[:8], "little")
+        return self.of(np.cumsum(unplaned(raw[8:n])), unplaned(raw[n:]))
+
+
+def counted(numbers: DataFrame, keys: Keys, keys_of, cuts: np.ndarray, wide: np.dtype) -> DataFrame:
     """(s, k, c): sorted distinct keys and their counts, packed, by ranges that begin at cuts; keys_of(ids, ends) are a chunk's."""
 
     def run(batches):
         for _, ids, ends in gathered(batches, 0, wide):
-            keys, c = np.unique(keys_of(ids, ends), return_counts=True)
-            at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
-            rows = [(s, planes(np.diff(keys[x:y], prepend=0)), planes(c[x:y])) for s, (x, y) in enumerate(zip(at, at[1:])) if x < y]
+            found, c = np.unique(keys_of(ids, ends), return_counts=True)
+            at = [0, *np.searchsorted(found, cuts).tolist(), len(found)]
+            rows = [(s, keys.packed(found[x:y]), planes(c[x:y])) for s, (x, y) in enumerate(zip(at, at[1:])) if x < y]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["s", "k", "c"])
 
     return numbers.select("ids").mapInArrow(run, "s int, k binary, c binary")
 
 
-def ranges(numbers: DataFrame, keys_of, tokens: int, wide: np.dtype) -> np.ndarray:
-    """Where the shards of a level begin but for the first: quantiles of SAMPLED keys for each. They only deal out work."""
+def ranges(numbers: DataFrame, keys: Keys, keys_of, tokens: int, wide: np.dtype) -> np.ndarray:
+    """Where the shards of a level begin but for the first: quantiles of SAMPLED keys for each, as often as chunks send them. They only deal out work."""
     shards = -(-tokens // SHARD)
     if shards <= 1:
-        return np.empty(0, np.int64)
+        return np.empty(0, keys.dtype)
     every = max(1, tokens // (shards * SAMPLED))
 
     def run(batches):
@@ -417,100 +458,128 @@ def ranges(numbers: DataFrame, keys_of, tokens: int, wide: np.dtype) -> np.ndarr
             n = len(ids)
             take = np.arange(-at % every, n, every)
             at += n
-            keys = np.unique(keys_of(ids, ends, take))
-            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary())], ["k"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.unique(keys_of(ids, ends, take)).tobytes()], pa.binary())], ["k"])
 
     rows = numbers.select("ids").mapInArrow(run, "k binary").collect()  # SAMPLED numbers for each shard
-    keys = np.unique(np.frombuffer(b"".join(r.k for r in rows), np.int64))
-    return np.unique(keys[np.arange(1, shards) * len(keys) // shards]) if len(keys) else keys
+    found = np.sort(np.frombuffer(b"".join(r.k for r in rows), keys.dtype))
+    return np.unique(found[np.arange(1, shards) * len(found) // shards]) if len(found) else found
 
 
-def count_codes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit codes of counts and the 256 values they stand for: exact below 128, then even in the logarithm."""
-    step = max(np.log(max(int(c.max(initial=1)), 128) / 128) / 127, 1e-9)
-    codes = np.where(c < 128, c, 128 + np.rint(np.log(np.maximum(c, 128) / 128) / step)).astype(np.uint8)
-    return codes, np.concatenate([np.arange(128.0), 128 * np.exp(step * np.arange(128))])
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit codes of positive numbers, even in the logarithm, and (logarithm of code 0, step)."""
+    logs = np.log(x)
+    low = float(logs.min(initial=np.inf)) if len(x) else 0.0
+    step = max((float(logs.max(initial=low)) - low) / 65535, 1e-12)
+    return np.rint((logs - low) / step).astype(np.uint16), np.array([low, step])
+
+
+def valued(codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.exp(scale[0] + scale[1] * codes)
 
 
 class Level:
-    """N-grams by context and successor, in shards by ranges of both; an n-gram's rank counts over all shards."""
+    """N-grams by context and successor, in shards by ranges of both; an n-gram's rank counts over all shards.
+
+    edges are the contexts that shards begin with, in order, which may go on from the shard before: their first rank, their
+    number of successors and their occurrences over all shards.
+    """
 
-    def __init__(self, path: str, cuts: np.ndarray, starts: np.ndarray, bound: int, cut_contexts: np.ndarray, cut_sizes: np.ndarray):
-        self.path, self.cuts, self.starts, self.bound = path, cuts, starts, bound
-        self.cut_contexts, self.cut_sizes = cut_contexts, cut_sizes
+    def __init__(self, path: str, keys: Keys, cuts: np.ndarray, starts: np.ndarray, edges: np.ndarray, edge_firsts: np.ndarray, edge_sizes: np.ndarray, edge_sums: np.ndarray, most: int):
+        self.path, self.keys, self.cuts, self.starts = path, keys, cuts, starts
+        self.edges, self.edge_firsts, self.edge_sizes, self.edge_sums, self.most = edges, edge_firsts, edge_sizes, edge_sums, most
         self.open = Open(self.load)
 
     def load(self, s: int):
         f = get_file(f"{self.path}-{s}")
-        return int(f["base"][0]), EliasFano.of(f, "pointers"), EliasFano.of(f, "successors"), f["codes"], f["book"]
-
-    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rank or -1, count, number of the context's successors) for n-grams in the order of their keys."""
-        rank, count, size = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context), np.int64)
-        of = np.searchsorted(self.cuts, context * self.bound + successor, side="right")
-        edges = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
-        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        return (int(f["base"][0]), EliasFano.of(f, "pointers"), EliasFano.of(f, "successors"), *(f[k] for k in ("codes", "scale", "weights", "weight_scale", "sums")))
+
+    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rank or -1, discounted probability or 0, weight of the shorter context, rank of the context's first) of n-grams in the order of their keys.
+
+        A context that is not there has the weight 1 and the first -1.
+        """
+        n = len(context)
+        rank, probability, weight, begin = np.full(n, -1, np.int64), np.zeros(n), np.ones(n), np.full(n, -1, np.int64)
+        edge = np.minimum(np.searchsorted(self.edges, context), len(self.edges) - 1) if len(self.edges) else np.zeros(n, np.int64)
+        at_edge = self.edges[edge] == context if len(self.edges) else np.zeros(n, bool)
+        of = np.searchsorted(self.cuts, self.keys.of(context, successor), side="right")
+        turns = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [n]])
+        for x, y in zip(turns[:-1].tolist(), turns[1:].tolist()):
             s = int(of[x]) if x < y else -1
             if s < 0 or self.starts[s] == self.starts[s + 1]:
                 continue
-            base, pointers, successors, codes, book = self.open[s]
+            base, pointers, successors, codes, scale, weights, weight_scale, sums = self.open[s]
             local = context[x:y] - base
             there = np.flatnonzero((local >= 0) & (local < pointers.n - 1))
             local = local[there]
             new = np.concatenate([[True], local[1:] != local[:-1]])[: len(local)]
             each, of_each = local[new], np.cumsum(new) - 1
             first, last = pointers.access(each).astype(np.int64)[of_each], pointers.access(each + 1).astype(np.int64)[of_each]
-            size[x + there] = last - first
             on = np.flatnonzero(last > first)
-            v = local[on].astype(np.uint64) * np.uint64(self.bound) + successor[x + there[on]].astype(np.uint64)
+            begin[x + there[on]] = self.starts[s] + first[on]
+            weight[x + there[on]] = valued(weights[local[on]], weight_scale)
+            v = local[on].astype(np.uint64) * np.uint64(self.keys.bound) + successor[x + there[on]].astype(np.uint64)
             at = successors.find(v, first[on], last[on])
             hit = at >= 0
             where = x + there[on[hit]]
             rank[where] = self.starts[s] + at[hit]
-            count[where] = book[codes[at[hit]]]
-        if len(self.cut_contexts):
-            at = np.minimum(np.searchsorted(self.cut_contexts, context), len(self.cut_contexts) - 1)
-            size = np.where(self.cut_contexts[at] == context, self.cut_sizes[at], size)
-        return rank, count, size
+            # the shard's own sum is in the code: for a context that other shards share, the sum over all of them takes its place
+            shared = np.where(at_edge[where], sums[(local[on[hit]] > 0).astype(np.int64)] / self.edge_sums[edge[where]] if len(self.edges) else 1.0, 1.0)
+            probability[where] = valued(codes[at[hit]], scale) * shared
+        e = edge[at_edge]
+        begin[at_edge], weight[at_edge] = self.edge_firsts[e], DISCOUNT * self.edge_sizes[e] / self.edge_sums[e]
+        return rank, probability, weight, begin
 
 
-def build_level(rows: DataFrame, cuts: np.ndarray, bound: int, path: str) -> Level:
+def build_level(rows: DataFrame, keys: Keys, cuts: np.ndarray, path: str) -> Level:
 
     def build(t: pa.Table) -> pa.Table:
         s = t.column("s")[0].as_py()
-        keys = np.concatenate([np.cumsum(unplaned(x)) for x in t.column("k").to_pylist()])
-        keys, c = summed(keys, np.concatenate([unplaned(x) for x in t.column("c").to_pylist()]))
-        context = keys // bound
+        found, c = summed(np.concatenate([keys.unpacked(x) for x in t.column("k").to_pylist()]), np.concatenate([unplaned(x) for x in t.column("c").to_pylist()]))
+        context, successor = keys.parts(found)
         base, last = int(context[0]), int(context[-1])
-        sizes = np.bincount(context - base, minlength=last - base + 1)
-        pointers = EliasFano.encode(np.concatenate([[0], np.cumsum(sizes)]), len(keys) + 1)
-        successors = EliasFano.encode((keys - base * bound).astype(np.uint64), (last - base + 1) * bound)
-        codes, book = count_codes(c)
+        context -= base
+        sizes, sums = np.bincount(context, minlength=last - base + 1), np.bincount(context, c, last - base + 1)
+        pointers = EliasFano.encode(np.concatenate([[0], np.cumsum(sizes)]), len(found) + 1)
+        successors = EliasFano.encode(context.astype(np.uint64) * np.uint64(keys.bound) + successor.astype(np.uint64), (last - base + 1) * keys.bound)
+        codes, scale = quantised((c - DISCOUNT) / sums[context])
+        full = sizes > 0
+        weights = np.zeros(len(sizes), np.uint16)
+        weights[full], weight_scale = quantised(DISCOUNT * sizes[full] / sums[full])
+        ends = {"of_first": int(sizes[0]), "sum_first": int(sums[0]), "of_last": int(sizes[-1]), "sum_last": int(sums[-1])}
         files = {f"{k}.{x}": v for k, ef in (("pointers", pointers), ("successors", successors)) for x, v in ef.arrays().items()}
-        put_file(f"{path}-{s}", files | {"codes": codes, "book": book, "base": np.array([base], np.int64)})
-        return pa.table({k: pa.array([v], pa.int64()) for k, v in (("s", s), ("n", len(keys)), ("first", base), ("of_first", int(sizes[0])), ("last", last), ("of_last", int(sizes[-1])))})
+        files |= {"codes": codes, "scale": scale, "weights": weights, "weight_scale": weight_scale, "base": np.array([base], np.int64), "sums": sums[[0, -1]]}
+        put_file(f"{path}-{s}", files)
+        return pa.table({k: pa.array([v], pa.int64()) for k, v in ({"s": s, "n": len(found), "first": base, "last": last, "most": int(sizes.max())} | ends).items()})
 
-    made = {r.s: r for r in rows.groupBy("s").applyInArrow(build, "s long, n long, first long, of_first long, last long, of_last long").collect()}  # a row for each shard
+    made = {r.s: r for r in rows.groupBy("s").applyInArrow(build, "s long, n long, first long, last long, most long, of_first long, sum_first long, of_last long, sum_last long").collect()}  # a row for each shard
     starts = np.cumsum([0, *(made[s].n if s in made else 0 for s in range(len(cuts) + 1))])
-    ends: dict[int, list[int]] = {}
-    for r in made.values():
-        for context, n in {r.first: r.of_first, r.last: r.of_last}.items():
-            ends.setdefault(context, []).append(n)
-    several = sorted(c for c, n in ends.items() if len(n) > 1)
-    return Level(path, cuts, starts, bound, np.array(several, np.int64), np.array([sum(ends[c]) for c in several], np.int64))
+    held: dict[int, list[int]] = {}  # of each context at an end of a shard: first rank, successors, occurrences
+    for s in sorted(made):
+        r = made[s]
+        for context, first, n, total in {r.first: (r.first, starts[s], r.of_first, r.sum_first), r.last: (r.last, starts[s + 1] - r.of_last, r.of_last, r.sum_last)}.values():
+            x = held.setdefault(context, [int(first), 0, 0])
+            x[1], x[2] = x[1] + n, x[2] + total
+    edges = sorted({r.first for r in made.values()})
+    most = max([r.most for r in made.values()] + [held[x][1] for x in edges], default=0)
+    return Level(path, keys, cuts, starts, np.array(edges, np.int64), *(np.array([held[x][i] for x in edges], np.int64) for i in range(3)), most)
 
 
 class Model:
     """vocabulary, levels and totals. Two ids follow the words': the start's, and that of all words too rare for contexts."""
 
-    def __init__(self, vocabulary: Vocabulary, total: int, texts: int, min_word: int):
-        self.vocabulary, self.total, self.texts, self.min_word = vocabulary, total, texts, min_word
-        self.start, self.rare, self.bound = vocabulary.size, vocabulary.size + 1, vocabulary.size + 2
+    def __init__(self, vocabulary: Vocabulary, total: int, min_word: int):
+        self.vocabulary, self.total, self.min_word = vocabulary, total, min_word
+        self.start, self.rare = vocabulary.size, vocabulary.size + 1
+        self.pairs = Keys(vocabulary.size + 2, vocabulary.size + 2)
+        self.triples = Keys(0, 1)
         self.bigrams: Level | None = None
         self.trigrams: Level | None = None
         self.wide = np.dtype(np.int32 if vocabulary.size < 1 << 31 else np.int64)
-        if self.bound > 3_000_000_000:
-            raise ValueError("too many words for keys of 63 bits: set min_word")
+
+    def with_bigrams(self, level: Level) -> None:
+        """Trigrams are numbered by these bigrams. One successor more than a word has stands for bigrams that are not there."""
+        self.bigrams, self.triples = level, Keys(int(level.starts[-1]), level.most + 1)
 
     def inner(self, ids: np.ndarray) -> np.ndarray:
         """Ids within n-grams."""
@@ -520,12 +589,13 @@ class Model:
 
     def bigram_keys(self, ids: np.ndarray, ends: np.ndarray, take=slice(None)) -> np.ndarray:
         ids = self.inner(ids)
-        return (before(ids, ends, self.start) * self.bound + ids)[take]
+        return self.pairs.of(before(ids, ends, self.start)[take], ids[take])
 
-    def found_bigrams(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rank or -1, count, size of the context) of bigram keys."""
+    @staticmethod
+    def found(level: Level, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Level.find for keys in any order."""
         distinct, back = np.unique(keys, return_inverse=True)
-        return tuple(x[back] for x in self.bigrams.find(distinct // self.bound, distinct % self.bound))
+        return tuple(x[back] for x in level.find(*level.keys.parts(distinct)))
 
     def trigram_keys(self, ids: np.ndarray, ends: np.ndarray, take=None) -> np.ndarray:
         """Keys of the trigrams of all tokens (or those at take) but each text's first."""
@@ -533,37 +603,28 @@ class Model:
         first = np.zeros(len(ids), bool)
         first[np.concatenate([[0], ends[:-1]])[: len(ends)]] = True
         at = np.flatnonzero(~first) if take is None else take[~first[take]]
-        rank = self.found_bigrams(keys[at - 1])[0]
-        return rank * self.bound + keys[at] % self.bound
+        if take is None:
+            rank, _, _, begin = self.found(self.bigrams, keys)
+            return self.triples.of(rank[at - 1], rank[at] - begin[at])
+        rank, _, _, begin = self.found(self.bigrams, np.concatenate([keys[at - 1], keys[at]]))
+        return self.triples.of(rank[: len(at)], rank[len(at) :] - begin[len(at) :])
 
     def logs(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(occurrences, base log10, log10 by the model) of each token."""
         c = self.vocabulary.counts(ids)
         base = np.log10(c + DELTA) - np.log10(self.total + DELTA * (self.vocabulary.size + 1))
-        p = 10**base
-        keys = self.bigram_keys(ids, ends)
-        rank, count, size = self.found_bigrams(keys)
-        start = np.concatenate([[0], ends[:-1]])[: len(ends)]
-        own = before(c, ends, self.texts).astype(float)
-        rare = keys % self.bound == self.rare
-        if self.min_word > 1:
-            own = np.where(keys // self.bound == self.rare, 0, own)
-        p = self.mixed(p, np.where(rare, 0, count), own, size)
+        inner = self.inner(ids)
+        context = before(inner, ends, self.start)
+        rank, own, weight, begin = self.found(self.bigrams, self.pairs.of(context, inner))
+        rare, unknown = inner == self.rare, context == self.rare
+        p = np.minimum(np.where(rare | unknown, 0, own) + np.where(unknown, 1, weight) * 10**base, 1.0)
         above = np.concatenate([[-1], rank[:-1]])[: len(rank)]
-        above[start] = -1
+        above[np.concatenate([[0], ends[:-1]])[: len(ends)]] = -1
         on = np.flatnonzero(above >= 0)
-        distinct, back = np.unique(above[on] * self.bound + keys[on] % self.bound, return_inverse=True)
-        _, many, size = self.trigrams.find(distinct // self.bound, distinct % self.bound)
-        p[on] = self.mixed(p[on], np.where(rare[on], 0, many[back]), count[on - 1], size[back])
+        _, own, weight, _ = self.found(self.trigrams, self.triples.of(above[on], np.where(rank[on] >= 0, rank[on] - begin[on], self.bigrams.most)))
+        p[on] = np.minimum(np.where(rare[on], 0, own) + weight * p[on], 1.0)
         return c, base, np.log10(p)
 
-    @staticmethod
-    def mixed(lower: np.ndarray, count: np.ndarray, own: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Interpolation of an n-gram's count in its context's with the estimate of the shorter context."""
-        known = (own > 0) & (size > 0)
-        whole = np.where(known, own, 1.0)
-        return np.where(known, np.minimum(np.maximum(count - DISCOUNT, 0) / whole + np.minimum(DISCOUNT * size / whole, 1.0) * lower, 1.0), lower)
-
 
 def train(docs: DataFrame, min_word: int = MIN_WORD) -> Model:
     """Count docs(text) and write the levels into the shared folder."""
@@ -576,22 +637,20 @@ def trained(docs: DataFrame, min_word: int = MIN_WORD) -> tuple[Model, DataFrame
     bounded_batches(spark, BATCH_ROWS, BATCH_MB)
     path = fresh_path(spark, "lm")
     own = docs.where(~F.col("held_out"))
-    size, texts_n = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(0, (-(-size // WORD_BYTES) - 1).bit_length())
     vocabulary, total = build_vocabulary(count_words(own, bits), bits, path)
-    model = Model(vocabulary, total, texts_n, min_word)
+    model = Model(vocabulary, total, min_word)
     numbers = stored(numbered(docs, vocabulary), "ids")
     own = numbers.where(~F.col("held_out"))
 
-    def level(keys_of, name):
+    def level(keys, keys_of, name):
         let_go(spark)
-        cuts = ranges(own, keys_of, total, model.wide)
-        return build_level(counted(own, keys_of, cuts, model.wide), cuts, model.bound, f"{path}/{name}")
+        cuts = ranges(own, keys, keys_of, total, model.wide)
+        return build_level(counted(own, keys, keys_of, cuts, model.wide), keys, cuts, f"{path}/{name}")
 
-    model.bigrams = level(model.bigram_keys, "bigrams")
-    if int(model.bigrams.starts[-1]) * model.bound >= 1 << 62:
-        raise ValueError("too many bigrams for keys of 63 bits: set min_word")
-    model.trigrams = level(model.trigram_keys, "trigrams")
+    model.with_bigrams(level(model.pairs, model.bigram_keys, "bigrams"))
+    model.trigrams = level(model.triples, model.trigram_keys, "trigrams")
     return model, numbers
 
 

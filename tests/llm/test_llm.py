@@ -540,10 +540,11 @@ def test_language_model(docs):
     assert none.where("n_known > 0").count() == 0 and none.count() == rows.count()
 
 
-@pytest.mark.parametrize("shard", [ngram_lm.SHARD, 40])
-def test_language_model_is_the_trigram_model(spark, monkeypatch, shard):
-    """Scores against an interpolated model over plain counters; with small shards, contexts are cut."""
+@pytest.mark.parametrize("shard, one_number", [(ngram_lm.SHARD, ngram_lm.ONE_NUMBER), (40, ngram_lm.ONE_NUMBER), (40, 1)])
+def test_language_model_is_the_trigram_model(spark, monkeypatch, shard, one_number):
+    """Scores against an interpolated model over plain counters; with small shards, contexts are cut; n-grams as one number and as two."""
     monkeypatch.setattr(ngram_lm, "SHARD", shard)
+    monkeypatch.setattr(ngram_lm, "ONE_NUMBER", one_number)
     rng = random.Random(13)
     rows = [(i, " ".join(f"w{int(400 * rng.random() ** 4)}" for _ in range(rng.randint(0, 60)))) for i in range(120)] + [(500 + i, "w0 w1 W2") for i in range(200)] + [(900, None)]
     docs = ngram_lm.folded(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -563,29 +564,56 @@ def test_language_model_is_the_trigram_model(spark, monkeypatch, shard):
     pair = lambda a, w: max(two[a, w] - 0.75, 0) / heads[a] + 0.75 * after[a] / heads[a] * one(w) if heads[a] else one(w)
     prob = lambda a, b, w: max(three[a, b, w] - 0.75, 0) / two[a, b] + 0.75 * after2[a, b] / two[a, b] * pair(b, w) if after2[a, b] else pair(b, w)
     model, numbers = ngram_lm.trained(docs)
-    assert shard > 100 or len(model.bigrams.cut_contexts) > 3 and len(model.trigrams.cuts) > 20
+    assert shard > 100 or len(model.bigrams.edges) > 3 and len(model.trigrams.cuts) > 20
+    assert model.triples.two == model.pairs.two == (one_number == 1)
     for r in ngram_lm.scored(numbers, model).collect():
         t = tokens[r.doc_id]
         expected = [math.log10(pair(*t[:2])), *(math.log10(prob(*x)) for x in zip(t, t[1:], t[2:]))]
-        assert abs(r.score - sum(expected)) < 0.01 * len(expected), (r, expected)
+        assert abs(r.score - sum(expected)) < 0.0005 * len(expected), (r, expected)
     none = docs.limit(0)
     assert ngram_lm.score(none, model).count() == 0
 
 
-def test_elias_fano_levels_give_back_all_counts(spark, monkeypatch):
-    """Every n-gram is found at its own rank, with its count and the number of its context's successors, over many shards."""
+@pytest.mark.parametrize("one_number", [ngram_lm.ONE_NUMBER, 1])
+def test_elias_fano_levels_give_back_all_probabilities(spark, monkeypatch, one_number):
+    """Every n-gram is found at its own rank, with its discounted probability, its context's weight and first rank, over many shards."""
     monkeypatch.setattr(ngram_lm, "SHARD", 500)
+    monkeypatch.setattr(ngram_lm, "ONE_NUMBER", one_number)
     rng = random.Random(14)
     rows = [(i, " ".join(f"w{int(300 * rng.random() ** 3)}" for _ in range(50))) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
     model, numbers = ngram_lm.trained(docs)
     _, ids, ends = ngram_lm.joined([pa.RecordBatch.from_pylist([{"ids": r.ids} for r in numbers.collect()])], 0, model.wide)
+    assert model.bigrams.most == max(collections.Counter(x[0] for x in {*zip(*(v.tolist() for v in model.pairs.parts(model.bigram_keys(ids, ends))))}).values())
     for level, keys in ((model.bigrams, model.bigram_keys(ids, ends)), (model.trigrams, model.trigram_keys(ids, ends))):
         distinct, c = np.unique(keys, return_counts=True)
-        contexts = collections.Counter((distinct // model.bound).tolist())
-        rank, count, size = level.find(distinct // model.bound, distinct % model.bound)
-        assert (rank == np.arange(len(distinct))).all() and (np.abs(count - c) <= 0.03 * c * (c > 127)).all()
-        assert size.tolist() == [contexts[x] for x in (distinct // model.bound).tolist()] and len(level.cuts) > 5
+        context, successor = level.keys.parts(distinct)
+        assert (level.keys.unpacked(level.keys.packed(distinct)) == distinct).all() and successor.max() < level.keys.bound
+        _, of, size = np.unique(context, return_inverse=True, return_counts=True)
+        own, first = np.bincount(of, c), np.searchsorted(context, context)
+        rank, probability, weight, begin = level.find(context, successor)
+        assert (rank == np.arange(len(distinct))).all() and (begin == first).all() and len(level.cuts) > 5
+        assert np.abs(probability / ((c - 0.75) / own[of]) - 1).max() < 0.0005 and np.abs(weight / (0.75 * size / own)[of] - 1).max() < 0.0005
+        # a successor that no context has: the context's weight all the same, wherever its shards begin
+        each = np.unique(context)
+        rank, probability, weight, begin = level.find(each, np.full(len(each), level.keys.bound - 1))
+        missing = rank < 0
+        assert missing.any() and not probability[missing].any() and np.abs(weight / (0.75 * size / own) - 1).max() < 0.0005
+        assert begin.tolist() == np.searchsorted(context, each).tolist()
+    trigrams = len(np.unique(model.trigram_keys(ids, ends)))
+    words = [t.split() + ["."] for _, t in rows]
+    assert trigrams == len({x for t in words for x in zip(["^", *t], t, t[1:])})
+
+
+def test_cuts_follow_the_rows_that_arrive(spark, monkeypatch):
+    """An n-gram that every chunk sends counts as often in the cuts, so no shard takes many times the rows of the others."""
+    monkeypatch.setattr(ngram_lm, "SHARD", 300)
+    monkeypatch.setattr(ngram_lm, "CHUNK", 100)
+    docs = spark.createDataFrame([(i, " ".join(f"a{j}" for j in range(40)) + f" b{i}") for i in range(200)], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model, numbers = ngram_lm.trained(docs)
+    sent = ngram_lm.counted(numbers, model.pairs, model.bigram_keys, model.bigrams.cuts, model.wide)
+    rows = [sum(len(model.pairs.unpacked(r.k)) for r in v) for v in (lambda t: [[r for r in t if r.s == s] for s in {r.s for r in t}])(sent.collect())]
+    assert len(rows) > 5 and max(rows) < 5 * sum(rows) / len(rows)
 
 
 def sim(t, k=3):
