@@ -76,10 +76,11 @@ class JsonClient(G.Client):
         raise RuntimeError(f"the model answered with status {status}")
 
 
-def answered(questions: DataFrame, hits: DataFrame, retrieval_flags: DataFrame | None, client: Callable[[], G.Client], limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+def answered(questions: DataFrame, hits: DataFrame, retrieval_flags: DataFrame | None, client: Callable[[], G.Client], limits: Limits = Limits(), ask: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, flags) for questions(query_id, text) and hits(query_id, rank, source_type, chunk_id, text, rrf_score, sparse_rank, vector_rank).
 
-    Only questions that no rule stops before reach the model.
+    Only questions that no rule stops before reach the model. ask, if given, answers prompts(query_id, messages) in
+    place of the client: with requests.ask, whose replies are stored, answers and flags ask the model once between them.
     """
     room = limits.context()
     top = hits.where(F.col("rank") <= limits.top_k)
@@ -96,7 +97,8 @@ def answered(questions: DataFrame, hits: DataFrame, retrieval_flags: DataFrame |
     asked = questions.join(before, "query_id").join(own, "query_id", "left").join(counts, "query_id", "left").fillna(0, ["used_tokens", "hit_count"])
     asked = asked.withColumn("before", F.coalesce("before", F.when(F.col("chunks").isNull(), "NO_CONTEXT_CHUNKS"))).withColumn("query_key", F.col("query_id").cast("string"))
     block = F.trim(F.array_join(F.transform("chunks", lambda x: x["piece"]), "\n"))
-    replies = G.generate(asked.where("before is null").select("query_id", prompts(F.col("text"), block).alias("messages")), client).withColumnRenamed("query_id", "query_key").withColumnRenamed("answer", "raw")
+    wanted = asked.where("before is null").select("query_id", prompts(F.col("text"), block).alias("messages"))
+    replies = (ask(wanted) if ask else G.generate(wanted, client)).select("query_id", "answer", "error").withColumnRenamed("query_id", "query_key").withColumnRenamed("answer", "raw")
     all_ = asked.join(replies, "query_key", "left").withColumn("j", F.from_json(G.json_object(F.coalesce("raw", F.lit(""))), REPLY))
     j = F.col("j")
     valid = j.isNotNull() & j["answer"].isNotNull() & j["should_abstain"].isNotNull()
@@ -113,9 +115,9 @@ def answered(questions: DataFrame, hits: DataFrame, retrieval_flags: DataFrame |
     return answers, flags
 
 
-def chat(questions: DataFrame, search: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sources: list[str] | None, client: Callable[[], G.Client], limits: Limits = Limits(), override: Limits | None = None, mode: str = "hybrid") -> tuple[DataFrame, DataFrame]:
+def chat(questions: DataFrame, search: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sources: list[str] | None, client: Callable[[], G.Client], limits: Limits = Limits(), override: Limits | None = None, mode: str = "hybrid", ask: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, flags): search gives (hits, flags) of the questions; hits of other sources than those wanted are left out."""
     hits, found = search(questions)
     wanted = hits if sources is None else hits.where(F.col("source_type").isin(*sources))
-    answers, flags = answered(questions, wanted, found, client, limits.overridden(override, mode))
+    answers, flags = answered(questions, wanted, found, client, limits.overridden(override, mode), ask)
     return answers, flags.unionByName(found.select(F.lit("retrieval").alias("stage"), "code", "severity", F.lit("{}").alias("context")))

@@ -17,6 +17,7 @@ from ravelin.operators import extraction as E
 from ravelin.operators import extractor as X
 from ravelin.operators import faq as Q
 from ravelin.operators import generation as G
+from ravelin.operators import requests as M
 from ravelin.operators import retrieval as R
 from ravelin.operators import service as S
 from ravelin.operators import structure as D
@@ -841,3 +842,15 @@ def llm_json_extract(spark, sf_dir):
 @query(f"WITH {SCORED}, h AS (SELECT t.query_id, d.text FROM ({TOP}) t JOIN documents d ON d.doc_id = t.chunk_id WHERE t.rank = 1) SELECT item_id::VARCHAR AS query_id, coalesce(regexp_replace(left(split_part('[1] ' || h.text, chr(10), 1), 200), '\\A\\s+|\\s+\\z', '', 'g'), '{G.NO_CONTEXT}') AS answer, NULL::VARCHAR AS error FROM benchmark LEFT JOIN h ON h.query_id = item_id")
 def generated_answers(spark, sf_dir):
     return G.generate(_contexts(spark, sf_dir).select("query_id", G.messages(F.col("text"), F.col("ctx")).alias("messages")))
+
+
+@query(f"""WITH {SCORED}, h AS (SELECT t.query_id, string_agg('[' || t.rank::VARCHAR || '] ' || d.text, chr(10) || chr(10) ORDER BY t.rank) AS ctx, min(d.text) FILTER (t.rank = 1) AS top, string_agg(t.chunk_id::VARCHAR, ',' ORDER BY t.rank) AS ids FROM ({TOP}) t JOIN documents d ON d.doc_id = t.chunk_id WHERE t.rank <= 3 GROUP BY 1),
+m AS (SELECT item_id::VARCHAR AS query_id, coalesce(ids, '') AS context_ids, coalesce(regexp_replace(left(split_part('[1] ' || top, chr(10), 1), 200), '\\A\\s+|\\s+\\z', '', 'g'), '{G.NO_CONTEXT}') AS answer, '{G.SYSTEM_PROMPT}' || ' Context:' || chr(10) || coalesce(ctx, '{G.NO_CONTEXT}') || chr(10) || chr(10) || 'Question: ' || text AS said FROM benchmark LEFT JOIN h ON h.query_id = item_id)
+SELECT query_id, answer, NULL::VARCHAR AS error, len(regexp_extract_all(said, '[^\x20\x09-\x0D]+'))::BIGINT AS prompt_tokens, len(regexp_extract_all(answer, '[^\x20\x09-\x0D]+'))::BIGINT AS answer_tokens, context_ids FROM m""")
+def model_requests(spark, sf_dir):
+    """Answers with token counts and the ids of their contexts; equal prompts are asked once, replies stay in the shared folder."""
+    hits = _sparse(spark, sf_dir, 3).join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    own = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("h"))
+    asked = questions(spark, sf_dir).join(own, "query_id", "left").withColumn("h", F.coalesce("h", F.array().cast("array<struct<rank:int,chunk_id:bigint,text:string>>")))
+    prompts = asked.select("query_id", G.messages(F.col("text"), F.transform("h", lambda x: x["text"])).alias("messages"), F.transform("h", lambda x: x["chunk_id"]).alias("context_ids"))
+    return M.ask(prompts, M.Counting, f"{store_dir(spark)}/replies", "stand-in").withColumn("context_ids", F.array_join("context_ids", ","))
