@@ -28,7 +28,7 @@ def macro(metrics: DataFrame, k: int) -> DataFrame:
 def distractors(questions: DataFrame, ix: Index, relevant: DataFrame, n: int) -> DataFrame:
     """For each question with relevant chunks, the n best hits above 0 of an index of all other chunks."""
     asked = questions.join(relevant.select("query_id").distinct(), "query_id", "left_semi")
-    return ranked(remainder_scores(asked, ix, relevant).where(F.round("score", 12) > 0), n)
+    return ranked(remainder_scores(asked, ix, relevant, n), n)
 
 
 def context_grid(relevant: DataFrame, noise: DataFrame, levels: list[int]) -> DataFrame:

@@ -23,7 +23,7 @@ from ravelin.operators import service as S
 from ravelin.operators import structure as D
 from ravelin.operators import vector_index as L
 from ravelin.sources.segments import FileIndex, Segments
-from ravelin.sources.store import store_dir
+from ravelin.sources.store import store_dir, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -55,7 +55,8 @@ def relevant(spark, sf_dir) -> DataFrame:
     """Chunks that hold a question's passage: they share its second to seventh word, then hold it whole.
 
     The first word may begin inside a word of the chunk and the eighth may end in one, so neither is part
-    of the key. Only keys travel; texts are joined to what meets. Passages have eight words or more.
+    of the key. Only keys travel; texts are joined to what meets. Passages have eight words or more. The pairs
+    are stored, as plans read them several times.
     """
     q = questions(spark, sf_dir).select("query_id", F.col("text").alias("passage"))
     w = corpus(spark, sf_dir).select("chunk_id", F.transform(T.tokens(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
@@ -63,7 +64,7 @@ def relevant(spark, sf_dir) -> DataFrame:
     q = q.withColumn("key", F.xxhash64(F.transform(F.slice(T.tokens(F.col("passage")), 2, 6), lambda x: F.xxhash64(x))))
     keys = w.select("chunk_id", F.explode(F.array_distinct(F.transform("n", lambda i: F.xxhash64(F.slice("w", i, 6))))).alias("key"))
     met = keys.join(q, "key").select("query_id", "chunk_id", "passage").distinct()
-    return met.join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id").where(F.contains("text", "passage")).select("query_id", "chunk_id")
+    return written(met.join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id").where(F.contains("text", "passage")).select("query_id", "chunk_id"), "relevant")
 
 
 def bm25_index(spark, sf_dir, tokenize=T.tokens) -> R.Index:
@@ -334,18 +335,19 @@ def retrieval_macro_metrics(spark, sf_dir):
 NOISE = f"WITH {POST}, {ASKED}, {REL}, rq AS (SELECT DISTINCT query_id FROM rel), keep AS (SELECT rq.query_id, dl.doc_id, dl.dl FROM rq CROSS JOIN dl ANTI JOIN rel ON rel.query_id = rq.query_id AND rel.chunk_id = dl.doc_id), kst AS (SELECT query_id, count(*) AS n, avg(dl) AS avgdl FROM keep GROUP BY 1), kdf AS MATERIALIZED (SELECT query_id, term, count(*) AS df FROM keep JOIN p USING (doc_id) GROUP BY ALL), kraw AS MATERIALIZED (SELECT query_id, term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM kdf JOIN kst USING (query_id)), kmean AS (SELECT query_id, avg(r) AS mean_r FROM kraw GROUP BY 1), ks AS (SELECT q.item_id AS query_id, p.doc_id AS chunk_id, sum(qtf * CASE WHEN r >= 0 THEN r ELSE 0.25 * mean_r END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * keep.dl / avgdl))) AS score FROM q JOIN kraw ON kraw.query_id = q.item_id AND kraw.term = q.term JOIN p ON p.term = q.term JOIN keep ON keep.query_id = q.item_id AND keep.doc_id = p.doc_id JOIN kst ON kst.query_id = q.item_id JOIN kmean ON kmean.query_id = q.item_id GROUP BY ALL), n AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ks WHERE round(score, 12) > 0)"
 
 
-def _noise(spark, sf_dir, n=10):
-    return V.distractors(questions(spark, sf_dir), bm25_index(spark, sf_dir), relevant(spark, sf_dir), n)
+def _noise(spark, sf_dir, found, n=10):
+    return V.distractors(questions(spark, sf_dir), bm25_index(spark, sf_dir), found, n)
 
 
 @query(f"{NOISE} SELECT query_id, chunk_id, rank FROM n WHERE rank <= 10")
 def distractors_topn(spark, sf_dir):
-    return _noise(spark, sf_dir).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    return _noise(spark, sf_dir, relevant(spark, sf_dir)).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{NOISE}, lv AS (SELECT unnest([0, 2, 5]) AS level), g AS (SELECT query_id, level, chunk_id FROM rel, lv UNION ALL SELECT query_id, level, chunk_id FROM n, lv WHERE rank <= level) SELECT query_id, level, row_number() OVER (PARTITION BY query_id, level ORDER BY md5(concat_ws('|', query_id, level, chunk_id))) AS place, chunk_id FROM g")
 def distractor_context_grid(spark, sf_dir):
-    grid = V.context_grid(relevant(spark, sf_dir), _noise(spark, sf_dir), [0, 2, 5])
+    found = relevant(spark, sf_dir)
+    grid = V.context_grid(found, written(_noise(spark, sf_dir, found), "noise"), [0, 2, 5])
     return grid.select("query_id", "level", F.col("place").cast("long").alias("place"), "chunk_id")
 
 

@@ -185,7 +185,7 @@ class Segments:
 class FileIndex:
     """The BM25 index of a folder of Parquet files, in generations: a refresh reads the files that are new or have changed, and no other.
 
-    Every generation keeps postings, lengths and numbers of documents by file, so what a file has added can be
+    Every generation keeps the terms of chunks and the numbers of documents by file, so what a file has added can be
     taken off again. Document frequencies of all files, their number of rows and of words are sums
     that a refresh adds to and takes from. Rows of files that have gone are filtered out until generations are merged.
     """
@@ -235,12 +235,8 @@ class FileIndex:
                 raise ValueError("select must keep the column _path, which files must not have")
             plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  listings and scans spell local paths differently
             own = own.join(named.select(plain(F.col("path")).alias("_p"), "file"), plain(F.col("_path")) == F.col("_p")).drop("_path", "_p")
-            extra = [c for c in own.columns if c not in ("chunk_id", "pos", "text", "file")]
-            split = own.select("file", "chunk_id", "pos", *extra, self.tokenize(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-            split.select("file", "chunk_id", "dl").write.parquet(f"{folder}/sizes")
-            keys = ["file", "chunk_id", "pos", *extra, "dl"]
-            split.select(*keys, F.explode("tokens").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")).repartition("term").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
-            self._open(f"{folder}/postings").groupBy("file", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{folder}/terms")
+            R.counted(own, self.tokenize).write.parquet(f"{folder}/docs")
+            R.seen_terms(self._open(f"{folder}/docs"), "file").write.parquet(f"{folder}/terms")
             generations = [*generations, {"folder": folder, "stale": False}]
             parts.append(self._open(f"{folder}/terms").select("term", "df"))
         files = self.versions.fresh("files")
@@ -250,7 +246,7 @@ class FileIndex:
             for g in state["generations"]:
                 lost = gone.where(F.col("generation") == g["folder"]).select("file")
                 parts.append(self._open(f"{g['folder']}/terms").join(lost, "file", "left_semi").select("term", (-F.col("df")).alias("df")))
-                sizes = self._open(f"{g['folder']}/sizes").join(lost, "file", "left_semi").select("dl")
+                sizes = self._open(f"{g['folder']}/docs").join(lost, "file", "left_semi").select("dl")
                 dead_sizes = sizes if dead_sizes is None else dead_sizes.unionByName(sizes)
         if "df" in state:
             parts.append(self._open(state["df"]).select("term", "df"))
@@ -258,7 +254,7 @@ class FileIndex:
         for x in parts[1:]:
             total = total.unionByName(x)
         count = lambda d: d.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first() if d is not None else None
-        more, less = count(self._open(f"{folder}/sizes")) if new else None, count(dead_sizes)
+        more, less = count(self._open(f"{folder}/docs")) if new else None, count(dead_sizes)
         n = state["n"] + (more.n if more else 0) - (less.n if less else 0)
         words = state["words"] + (more.words if more else 0) - (less.words if less else 0)
         df = self.versions.fresh("df")
@@ -279,9 +275,8 @@ class FileIndex:
     def _merged(self, generations: list[dict], files: DataFrame, into: str) -> dict:
         """One generation of what is live in all; nothing is tokenised again. The files are written anew under it."""
         folder = self.versions.fresh("generation")
-        for what in ("sizes", "terms"):
+        for what in ("docs", "terms"):
             self._live(generations, what, files).write.parquet(f"{folder}/{what}")
-        self._live(generations, "postings", files).repartition("term").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
         files.withColumn("generation", F.lit(folder)).write.parquet(into)
         return {"folder": folder, "stale": False}
 
@@ -294,5 +289,4 @@ class FileIndex:
         stats = self.spark.range(1).select(F.lit(state["n"]).cast("long").alias("n"), F.lit(state["words"] / state["n"] if state["n"] else None).cast("double").alias("avgdl"), F.lit(state["mean_idf"]).cast("double").alias("mean_idf"))
         raw = R.raw_idf(F.lit(state["n"]), F.col("df"))
         idf = self._open(state["df"]).select("term", "df", F.when(raw >= 0, raw).otherwise(R.EPSILON * F.lit(state["mean_idf"])).alias("idf"))
-        live = lambda what: self._live(state["generations"], what, files).drop("file")
-        return R.Index(live("sizes"), live("postings"), idf, stats, self.tokenize)
+        return R.Index(self._live(state["generations"], "docs", files).drop("file"), idf, stats, self.tokenize)

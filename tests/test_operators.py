@@ -1,6 +1,7 @@
 """Literal inputs and outputs of the retrieval pipeline's operators, and the registered queries against DuckDB."""
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -153,3 +154,37 @@ def test_registered_against_duckdb(spark, name):
     df = registry.QUERIES[name](spark, SF)
     assert sorted(df.columns) == sorted(cols)
     assert norm(map(tuple, df.select(*cols).collect())) == norm(found.fetchall())
+
+
+def _shuffled(spark) -> int:
+    """Rows written to shuffles so far."""
+    none = spark._jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_bm25_shuffles_best_hits_not_all_pairs(spark):
+    rows = [(i, i, f"common word{i % 50} " + "common " * (i % 3)) for i in range(3000)]
+    ix = R.index(spark.createDataFrame(rows, "chunk_id long, pos long, text string"))
+    asked = spark.createDataFrame([(i, f"common word{i}") for i in range(40)], "query_id long, text string")
+    before = _shuffled(spark)
+    hits = R.bm25(asked, ix, 5).collect()
+    time.sleep(1)  # the listener follows
+    assert _shuffled(spark) - before < 40 * 3000 / 4
+    best = [i for i in range(0, 3000, 150)][:5]  # the shortest chunks with word0, the first of equals
+    assert sorted((r.rank, r.chunk_id) for r in hits if r.query_id == 0) == list(enumerate(best, 1))
+    assert len(hits) == 200
+    assert len(R.bm25_scores(asked.where("query_id < 2"), ix).collect()) == 6000
+
+
+def test_distractors_leave_out_each_querys_own_chunks(spark):
+    rows = [(i, i, "common " + "pad " * i + ("rare" if i < 4 else "other")) for i in range(40)]
+    ix = R.index(spark.createDataFrame(rows, "chunk_id long, pos long, text string"))
+    asked = spark.createDataFrame([(1, "rare"), (2, "rare")], "query_id long, text string")
+    own = spark.createDataFrame([(1, 0), (2, 1), (2, 2)], "query_id long, chunk_id long")
+    got = {(r.query_id, r.chunk_id): r.score for r in R.remainder_scores(asked, ix, own, 10).collect()}
+    assert set(got) == {(1, 1), (1, 2), (1, 3), (2, 0), (2, 3)}
+    for q, gone in ((1, {0}), (2, {1, 2})):
+        whole = R.index(spark.createDataFrame([r for r in rows if r[0] not in gone], "chunk_id long, pos long, text string"))
+        want = {(q, r.chunk_id): r.score for r in R.bm25_scores(asked.where(f"query_id = {q}"), whole).collect()}
+        assert want.keys() == {x for x in got if x[0] == q} and all(abs(want[x] - got[x]) < 1e-9 for x in want)
