@@ -9,7 +9,8 @@ compared with all codes instead, SCANNED of them at a time.
 
 Only distinct codes are searched and only distinct queries search; a code shared by many rows is one
 entry with a count and its k + 1 smallest ids, which is all that a result can need. A query carries k + 1
-codes at most, those of least distance, then least id.
+codes at most, those of least distance, then least id. Queries, their substring values and what they have met grow with
+the rows, so they are joined by sorting: Spark takes the values for as small as the queries and would gather them on the driver.
 
 Vectors become sign bits (bit j is 1 where component j is above 0, and not where it is no number). Null vectors, vectors of another
 length and null ids take no part. A query's own row is not among its results; other rows of the same
@@ -44,6 +45,10 @@ def masks(r: int, width: int) -> list[int]:
     return [sum(1 << b for b in c) for c in combinations(range(width), r)]
 
 
+def _by_sorting(df: DataFrame) -> DataFrame:
+    return df.hint("merge")
+
+
 def _substrings(code: str, parts: int) -> list:
     """Consecutive substrings, as equal in width as can be."""
     at = [BITS * j // parts for j in range(parts + 1)]
@@ -79,34 +84,34 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, subcodes: int | None
                 some = stored(active.orderBy("q").limit(SCANNED), "queries")
                 scan = distinct.crossJoin(F.broadcast(some)).where(apart <= F.col("limit")).select("q", "code", "n", "least", apart.alias("d"))  # SCANNED rows at most
                 found = nearest(scan)
-                best = stored(found if best is None else best.join(some, "q", "left_anti").unionByName(found), "nearest")
-                active = stored(active.join(some.select("q"), "q", "left_anti"), "queries")
+                best = stored(found if best is None else best.join(_by_sorting(some), "q", "left_anti").unionByName(found), "nearest")
+                active = stored(active.join(_by_sorting(some.select("q")), "q", "left_anti"), "queries")
             break
         own = F.array(*_substrings("q", subcodes))
-        near = F.array(*[F.array(*map(F.lit, masks(r, w))).cast("array<int>") for w in sorted(set(widths))])
+        near = F.array(*[F.split(F.lit(",".join(map(str, masks(r, w)))), ",").cast("array<int>") for w in sorted(set(widths))])  # one literal, not one for each mask
         which = F.array(*[F.lit(sorted(set(widths)).index(w)) for w in widths])
         probes = active.select("q", "limit", F.explode(F.slice(F.transform(own, lambda x, j: F.struct(j.alias("j"), x.alias("own"), F.get(near, F.get(which, j)).alias("near"))), of[0] + 1, len(of))).alias("p"))
         probes = probes.select("q", "limit", "p.j", F.explode(F.transform("p.near", lambda m: F.col("p.own").bitwiseXOR(m))).alias("sub"))
-        met = probes.join(index, ["j", "sub"]).where(apart <= F.col("limit")).select("q", "code", "n", "least", apart.alias("d")).distinct()
+        met = probes.join(_by_sorting(index), ["j", "sub"]).where(apart <= F.col("limit")).select("q", "code", "n", "least", apart.alias("d")).distinct()
         if best is not None:
-            met = best.join(active, "q", "left_semi").unionByName(met).distinct()
+            met = best.join(_by_sorting(active), "q", "left_semi").unionByName(met).distinct()
         found = stored(nearest(met), "nearest")
         upto = F.sum("n").over(Window.partitionBy("q").orderBy("d").rangeBetween(Window.unboundedPreceding, 0))
         state = found.withColumn("_n", upto).groupBy("q").agg(F.min(F.when(F.col("_n") >= enough, F.col("d"))).alias("kth"))
         covered = subcodes * r + of[-1]
-        best = found if best is None else stored(best.join(active, "q", "left_anti").unionByName(found), "nearest")
-        ahead = active.select("q").join(state, "q", "left")
+        best = found if best is None else stored(best.join(_by_sorting(active), "q", "left_anti").unionByName(found), "nearest")
+        ahead = active.select("q").join(_by_sorting(state), "q", "left")
         active = stored(ahead.where(F.col("kth").isNull() | (F.col("kth") > covered)).select("q", F.coalesce("kth", F.lit(BITS)).alias("limit")), "queries")
         if active.isEmpty():
             break
     best = best.drop("least")
     wanted = best.select("code").distinct()
     order = Window.partitionBy("code").orderBy("id")
-    ids = rows.join(wanted, "code").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    per_code = best.join(ids, "code").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "code", "ids"))).alias("found"))
+    ids = rows.join(_by_sorting(wanted), "code").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    per_code = best.join(_by_sorting(ids), "code").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "code", "ids"))).alias("found"))
     flat = F.slice(F.array_sort(F.flatten(F.transform("found", lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("id")))))), 1, k + 1)
     answer = per_code.select("q", flat.alias("top"))
-    mine = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(answer, "q")
+    mine = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(_by_sorting(answer), "q")
     others = F.slice(F.filter("top", lambda x: x["id"] != F.col("query_id")), 1, k)
     return mine.select("query_id", F.posexplode(others).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("id"), F.col("x.d").alias("distance"))
 

@@ -114,6 +114,20 @@ def test_top_k_ties_outliers_and_few_rows(spark):
         same(got, [(q, k + 1, i, d) for q in ids if q % 100 == 0 for k, (d, i) in enumerate(sorted(((code[q] ^ code[i]).bit_count(), i) for i in ids if i != q)[:10])], "query_id", "rank", "id", "distance")
 
 
+def test_top_k_gathers_nothing_that_grows_on_the_driver(spark):
+    v = np.random.default_rng(7).normal(size=(600, 64))
+    table = hamming_topk.codes(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>"))
+    runs = spark._jsparkSession.sharedState().statusStore()
+    before = runs.executionsList().size()
+    # only queries that scan are broadcast, a bounded number at a time, by another join
+    assert hamming_topk.search(table, table.where("id % 20 = 0"), subcodes=8).count() == 300
+    names = []
+    for i in range(before, runs.executionsList().size()):
+        nodes = runs.planGraph(runs.executionsList().apply(i).executionId()).allNodes()
+        names += [nodes.apply(j).name() for j in range(nodes.size())]
+    assert "SortMergeJoin" in names and not [x for x in names if x.startswith("BroadcastHashJoin")]
+
+
 def test_pii(docs):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
