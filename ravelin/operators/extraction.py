@@ -21,28 +21,38 @@ def lines(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
 
+def _marked_lines(pages: DataFrame) -> DataFrame:
+    """All lines (doc_id, page, line, text, final_page, kind, label, title, start, seq); start is true where a section begins, seq counts these.
+
+    Pages are shuffled by document once; all that follows is by document as well.
+    """
+    p = pages.select("doc_id", "page", F.when(F.col("page") == 1, F.coalesce("text", F.lit(""))).otherwise(F.col("text")).alias("text")).repartition("doc_id")
+    contents = F.coalesce(F.lower("text").contains("table of contents"), F.lit(False))
+    p = p.withColumns({"final_page": F.max("page").over(Window.partitionBy("doc_id")), "whole": (F.col("page") == 1) | contents})
+    rows = p.select("doc_id", "page", "final_page", "whole", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    t, whole = F.col("text"), F.col("whole")
+    usable = F.when((F.trim(t) != "") & ~t.rlike(NUMBER), F.trim(t))
+    ahead = Window.partitionBy("doc_id", "page").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    form = F.when(t.rlike(ROMAN), "part").when(t.rlike(PARAGRAPH), "paragraph").when(t.rlike(APPENDIX), "appendix")
+    kind = F.when(whole, F.when(F.col("line") == 0, F.when(F.col("page") == 1, "preamble").otherwise("toc"))).when(F.col("page") > 1, form)
+    rows = rows.withColumns({"next": F.coalesce(F.last(usable, ignorenulls=True).over(ahead), F.lit("")), "kind": kind})
+    k = F.col("kind")
+    label = F.when(k == "preamble", "Preamble").when(k == "toc", "Table of Contents").when(k == "part", F.concat(F.regexp_extract(t, ROMAN, 1), F.lit("."))).when(k == "paragraph", F.concat(F.lit("§"), F.regexp_extract(t, PARAGRAPH, 1))).when(k == "appendix", F.concat(F.lit("Appendix "), F.regexp_extract(t, APPENDIX, 1)))
+    own = F.trim(F.regexp_extract(t, APPENDIX, 2))
+    title = F.when(whole, "").when((k == "appendix") & (own != ""), own).otherwise(F.col("next"))
+    first = Window.partitionBy("doc_id", "kind", "label").orderBy("page", "line")
+    order = Window.partitionBy("doc_id").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"label": label, "title": title}).withColumn("start", F.col("kind").isNotNull() & (F.row_number().over(first) == 1))
+    return rows.withColumn("seq", F.sum(F.col("start").cast("int")).over(order).cast("int")).drop("whole", "next")
+
+
 def markers(pages: DataFrame) -> DataFrame:
-    """(doc_id, seq, kind, label, title, page, line): preamble, table of contents, parts, paragraphs and appendices.
+    """(doc_id, page, line, kind, label, title, seq): preamble, table of contents, parts, paragraphs and appendices.
 
     The first of each kind and label in a document counts. A title is the next line of the same page
     that is neither blank nor a page number.
     """
-    contents = F.lower("text").contains("table of contents")
-    whole = pages.where((F.col("page") == 1) | contents).select("doc_id", "page", F.lit(0).alias("line"), F.when(F.col("page") == 1, "preamble").otherwise("toc").alias("kind"), F.when(F.col("page") == 1, "Preamble").otherwise("Table of Contents").alias("label"), F.lit("").alias("title"))
-    rows = lines(pages.where((F.col("page") > 1) & ~contents))
-    usable = F.when((F.trim("text") != "") & ~F.col("text").rlike(NUMBER), F.trim("text"))
-    ahead = Window.partitionBy("doc_id", "page").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("next", F.coalesce(F.first(usable, ignorenulls=True).over(ahead), F.lit("")))
-    t = F.col("text")
-    kind = F.when(t.rlike(ROMAN), "part").when(t.rlike(PARAGRAPH), "paragraph").when(t.rlike(APPENDIX), "appendix")
-    rows = rows.withColumn("kind", kind).where("kind is not null")
-    label = F.when(F.col("kind") == "part", F.concat(F.regexp_extract(t, ROMAN, 1), F.lit("."))).when(F.col("kind") == "paragraph", F.concat(F.lit("§"), F.regexp_extract(t, PARAGRAPH, 1))).otherwise(F.concat(F.lit("Appendix "), F.regexp_extract(t, APPENDIX, 1)))
-    own = F.trim(F.regexp_extract(t, APPENDIX, 2))
-    title = F.when((F.col("kind") == "appendix") & (own != ""), own).otherwise(F.col("next"))
-    found = whole.unionByName(rows.select("doc_id", "page", "line", "kind", label.alias("label"), title.alias("title")))
-    first = Window.partitionBy("doc_id", "kind", "label").orderBy("page", "line")
-    order = Window.partitionBy("doc_id").orderBy("page", "line")
-    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("seq", F.row_number().over(order))
+    return _marked_lines(pages).where("start").select("doc_id", "page", "line", "kind", "label", "title", "seq")
 
 
 def section_id(kind: Column, label: Column) -> Column:
@@ -66,14 +76,11 @@ def parents(marked: DataFrame) -> DataFrame:
 def sections(pages: DataFrame) -> DataFrame:
     """One row for each marker, with all lines from its own to the next marker's (exclusive)."""
     order = Window.partitionBy("doc_id").orderBy("seq")
-    marked = parents(markers(pages)).withColumns({"next_page": F.lead("page").over(order), "next_line": F.lead("line").over(order)})
-    rows = lines(pages)
-    starts = marked.select("doc_id", "page", "line", "seq")
-    owned = rows.join(starts, ["doc_id", "page", "line"], "left").withColumn("seq", F.last("seq", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0)))
-    body = owned.where("seq is not null").groupBy("doc_id", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    final = pages.groupBy("doc_id").agg(F.max("page").alias("final_page"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda x: x["text"]), "\n")
+    head = F.min(F.when(F.col("start"), F.struct("page", "line", "kind", "label", "title", "final_page")))
+    made = _marked_lines(pages).where("seq > 0").groupBy("doc_id", "seq").agg(body.alias("text"), head.alias("h")).select("doc_id", "seq", "text", "h.*")
+    made = parents(made).withColumns({"next_page": F.lead("page").over(order), "next_line": F.lead("line").over(order)})
     end = F.when(F.col("next_page").isNull(), F.col("final_page")).when((F.col("next_page") == F.col("page")) | (F.col("next_line") > 0), F.col("next_page")).otherwise(F.col("next_page") - 1)
-    made = marked.join(body, ["doc_id", "seq"], "left").join(final, "doc_id")
     return made.select("doc_id", "seq", "section_id", "label", "title", "kind", F.col("page").alias("start_page"), end.alias("end_page"), tidy(F.coalesce("text", F.lit(""))).alias("text"), "parent_section_id")
 
 

@@ -29,10 +29,13 @@ def extract(pages: DataFrame, tables: DataFrame) -> DataFrame:
     put = E.assign_tables(places.join(made.select("doc_id", "table_seq"), ["doc_id", "table_seq"], "left_semi"), sections)
     one = F.struct("table_seq", F.struct("table_id", "page", "headers", "rows").alias("t"))
     of = put.join(made, ["doc_id", "table_seq"]).groupBy("doc_id", "section_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]).alias("tables"))  # a section's tables
-    whole = sections.join(of, ["doc_id", "section_id"], "left")
     none = F.array().cast(of.schema["tables"].dataType)
-    fields = F.struct("section_id", "label", "title", "kind", "parent_section_id", "start_page", "end_page", "text", F.coalesce("tables", none).alias("tables"))
-    listed = whole.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", fields.alias("s")))), lambda x: x["s"]).alias("sections"))  # a document's sections
+    of = of.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("section_id", "tables"))).alias("of"))  # a document's tables
+    fields = F.struct("section_id", "label", "title", "kind", "parent_section_id", "start_page", "end_page", "text")
+    listed = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", fields.alias("s")))).alias("listed"))  # a document's sections, whose texts are shuffled by document alone
+    names = [f.name for f in sections.select(fields.alias("s")).schema["s"].dataType.fields]
+    whole = lambda x: F.struct(*[x["s"][c].alias(c) for c in names], F.coalesce(F.element_at("of", x["s"]["section_id"]), none).alias("tables"))
+    listed = listed.join(of, "doc_id", "left").select("doc_id", F.transform("listed", whole).alias("sections"))
     return own.groupBy("doc_id").agg(F.max("page").alias("total_pages")).join(listed, "doc_id", "left").select("doc_id", "total_pages", F.coalesce("sections", F.array().cast(listed.schema["sections"].dataType)).alias("sections"))
 
 

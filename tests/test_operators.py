@@ -188,3 +188,15 @@ def test_distractors_leave_out_each_querys_own_chunks(spark):
         whole = R.index(spark.createDataFrame([r for r in rows if r[0] not in gone], "chunk_id long, pos long, text string"))
         want = {(q, r.chunk_id): r.score for r in R.bm25_scores(asked.where(f"query_id = {q}"), whole).collect()}
         assert want.keys() == {x for x in got if x[0] == q} and all(abs(want[x] - got[x]) < 1e-9 for x in want)
+
+
+def test_sections_shuffle_pages_not_lines(spark):
+    filler = "\n".join(f"words {i}" for i in range(300))
+    rows = [(d, p, f"x\n§ {p}\nTitle\n{filler}") for d in range(10) for p in range(1, 4)] + [(99, 1, None), (99, 2, "a\nI.\nb")]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
+    before = _shuffled(spark)
+    got = {(r.doc_id, r.section_id): (r.start_page, r.end_page, len(r.text.split("\n")), r.title) for r in E.sections(pages).collect()}
+    time.sleep(1)  # the listener follows
+    assert _shuffled(spark) - before < 10 * 3 * 300 / 4
+    assert got[(0, "preamble")] == (1, 2, 304, "") and got[(0, "par-2")] == (2, 3, 303, "Title") and got[(0, "par-3")] == (3, 3, 302, "Title")
+    assert got[(99, "part-I")] == (2, 2, 2, "b") and len(got) == 32
