@@ -174,9 +174,10 @@ def search(queries: DataFrame, ix: Lists, k: int = 5, probes: int = PROBES) -> t
     def met(asked: DataFrame) -> DataFrame:
         """asked(query_id, list, d, r, v) against the blocks of their lists, many queries at a time."""
         salted = asked.withColumn("_n", F.floor((F.row_number().over(Window.partitionBy("list").orderBy("query_id")) - 1) / QUERY_BLOCK))
+        # joined by sorting: Spark takes packs for as small as the queries and would gather all of them, with their vectors, on the driver
         packs = salted.groupBy("list", "_n").agg(F.collect_list(F.struct("query_id", "d", "r", "v")).alias("x"))  # QUERY_BLOCK at most
         packs = packs.select("list", F.col("x.query_id").alias("q"), F.col("x.d").alias("d"), F.col("x.r").alias("r"), F.aggregate("x.v", F.lit(b""), lambda a, b: F.concat(a, b)).alias("qm"))
-        both = ix.blocks.join(packs, "list").select("q", "d", "r", "qm", "low", "high", "c", "p", "vm")
+        both = ix.blocks.join(packs.hint("merge"), "list").select("q", "d", "r", "qm", "low", "high", "c", "p", "vm")
         return both.mapInArrow(compare, f"query_id {q_kind}, chunk_id {c_kind}, pos long, score double, compared long")
 
     spark = queries.sparkSession

@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from ravelin.operators import retrieval as R
 from ravelin.operators import vector_index as L
 
@@ -55,3 +57,18 @@ def test_training():
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     c = L.trained(x, 6, rounds=12)
     assert np.allclose((c * c).sum(axis=1), 1) and (x @ c.T).max(axis=1).mean() > 0.9
+
+
+def test_search_gathers_no_queries_on_the_driver(spark):
+    rows = spark.createDataFrame([(i, i, [float((i * 7 + j * 3) % 11 - 5) for j in range(8)]) for i in range(200)], "chunk_id long, pos long, embedding array<double>")
+    asked = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    ix = L.build(rows)
+    runs = spark._jsparkSession.sharedState().statusStore()
+    before = runs.executionsList().size()
+    assert L.search(asked, ix, 3)[0].count() == 30
+    names = []
+    for i in range(before, runs.executionsList().size()):
+        nodes = runs.planGraph(runs.executionsList().apply(i).executionId()).allNodes()
+        texts = [(nodes.apply(j).name(), nodes.apply(j).desc()) for j in range(nodes.size())]
+        names += [n for n, d in texts if n.endswith("Join") and "list" in d]
+    assert "SortMergeJoin" in names and "BroadcastHashJoin" not in names
