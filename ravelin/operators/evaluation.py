@@ -2,12 +2,68 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.operators.generation import generate, messages
-from ravelin.operators.retrieval import Index, ranked, remainder_scores
+from ravelin.operators.retrieval import Index, _cuts, ranked, remainder_scores
+from ravelin.sources.store import written
+
+#: Words of a key of passages, bytes of texts that are hashed at once, and the base of the hashes, an odd number.
+KEY_WORDS, KEY_BYTES, BASE = 6, 1 << 20, 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... in 64 bits."""
+    return np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+
+
+def keys(rows: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, at, key): hashes of the bytes of all six words in a row of rows(id_col, text), white space between them included; at counts from 0. Words lie between ASCII white space."""
+
+    def run(batches):
+        space = np.zeros(256, bool)
+        space[[9, 10, 11, 12, 13, 32]] = True
+        up, down = (_powers(x, KEY_BYTES) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        for batch in batches:
+            texts = pa.concat_arrays([batch.column(1).cast(pa.large_binary()).fill_null(b"")])
+            ends = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))).astype(np.int64)
+            for a, b in _cuts(np.diff(ends), len(texts), KEY_BYTES):
+                raw = np.frombuffer(b"".join(texts.slice(a, b - a).to_pylist()), np.uint8)
+                if len(raw) >= len(up):  # one text of more bytes
+                    up, down = (_powers(x, len(raw)) for x in (BASE, pow(BASE, -1, 1 << 64)))
+                begins = np.zeros(len(raw) + 1, bool)
+                begins[ends[a : b + 1] - ends[a]] = True
+                blank = space[raw]
+                starts = np.flatnonzero(~blank & (np.append(True, blank)[:-1] | begins[:-1]))
+                stops = np.flatnonzero(~blank & (np.append(blank, True)[1:] | begins[1:])) + 1
+                of = np.searchsorted(ends[a : b + 1] - ends[a], starts, "right") - 1
+                at = np.arange(len(of)) - np.searchsorted(of, of)
+                on = np.flatnonzero(of[: len(of) - KEY_WORDS + 1] == of[KEY_WORDS - 1 :]) if len(of) >= KEY_WORDS else np.zeros(0, np.int64)
+                sums = np.append(np.uint64(0), np.cumsum((raw + np.uint64(1)) * up[: len(raw)]))
+                key = (sums[stops[on + KEY_WORDS - 1]] - sums[starts[on]]) * down[starts[on]]  # the same wherever the words lie
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + of[on])), pa.array(at[on]), pa.array(key.view(np.int64))], [id_col, "at", "key"])
+
+    return rows.select(id_col, "text").mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, at long, key long")
+
+
+def holding(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): the chunks(chunk_id, text) that hold the text of passages(query_id, text).
+
+    A chunk that holds a passage shares its second to seventh word; the first may begin inside a word of the chunk and the
+    last may end in one. Only keys travel; texts are joined to what meets. Every chunk is searched for passages
+    of fewer than eight words. The pairs are stored, as plans read them several times.
+    """
+    asked = keys(passages, "query_id").where("at in (1, 2)").groupBy("query_id").agg(F.max(F.when(F.col("at") == 1, F.col("key"))).alias("key"), F.max("at").alias("last"))
+    asked = written(asked.where("last = 2").select("query_id", "key"), "passages")
+    met = written(keys(chunks, "chunk_id").join(asked, "key").select("query_id", "chunk_id").distinct(), "met")
+    own, text = passages.select("query_id", F.col("text").alias("passage")), chunks.select("chunk_id", "text")
+    few = own.join(asked, "query_id", "left_anti")
+    return written(text.join(met, "chunk_id").join(own, "query_id").unionByName(few.crossJoin(text)).where(F.contains("text", "passage")).select("query_id", "chunk_id"), "relevant")
 
 
 def per_query(questions: DataFrame, hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

@@ -52,19 +52,8 @@ def questions(spark, sf_dir) -> DataFrame:
 
 
 def relevant(spark, sf_dir) -> DataFrame:
-    """Chunks that hold a question's passage: they share its second to seventh word, then hold it whole.
-
-    The first word may begin inside a word of the chunk and the eighth may end in one, so neither is part
-    of the key. Only keys travel; texts are joined to what meets. Passages have eight words or more. The pairs
-    are stored, as plans read them several times.
-    """
-    q = questions(spark, sf_dir).select("query_id", F.col("text").alias("passage"))
-    w = corpus(spark, sf_dir).select("chunk_id", F.transform(T.tokens(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
-    w = w.where(F.size("w") > 5).select("chunk_id", "w", F.sequence(F.lit(1), F.size("w") - 5).alias("n"))
-    q = q.withColumn("key", F.xxhash64(F.transform(F.slice(T.tokens(F.col("passage")), 2, 6), lambda x: F.xxhash64(x))))
-    keys = w.select("chunk_id", F.explode(F.array_distinct(F.transform("n", lambda i: F.xxhash64(F.slice("w", i, 6))))).alias("key"))
-    met = keys.join(q, "key").select("query_id", "chunk_id", "passage").distinct()
-    return written(met.join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id").where(F.contains("text", "passage")).select("query_id", "chunk_id"), "relevant")
+    """Chunks that hold a question's passage."""
+    return V.holding(corpus(spark, sf_dir), questions(spark, sf_dir))
 
 
 def bm25_index(spark, sf_dir, tokenize=T.tokens) -> R.Index:

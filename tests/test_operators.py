@@ -200,3 +200,18 @@ def test_sections_shuffle_pages_not_lines(spark):
     assert _shuffled(spark) - before < 10 * 3 * 300 / 4
     assert got[(0, "preamble")] == (1, 2, 304, "") and got[(0, "par-2")] == (2, 3, 303, "Title") and got[(0, "par-3")] == (3, 3, 302, "Title")
     assert got[(99, "part-I")] == (2, 2, 2, "b") and len(got) == 32
+
+
+def test_passages_of_any_length_are_found(spark):
+    texts = ["xa b c d e f g hy", "a b\tc d e f g h", "a b c d e f g", "word " * 40_000 + "one two three four five six seven eight nine", "", None, "b c d e f g\u00a0h ä ö ü i j k l m n", "ä ö ü i j k l m"]
+    passages = ["a b c d e f g h", "b c", "", "two three four five six seven eight nine", "three four five six seven eight nine", "ä ö ü i j k l m", "absent", None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").repartition(2)
+    got = V.holding(chunks, spark.createDataFrame(list(enumerate(passages)), "query_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((q, c) for q, p in enumerate(passages) for c, t in enumerate(texts) if p is not None and t is not None and p in t)
+
+
+def test_keys_do_not_depend_on_the_place(spark, monkeypatch):
+    monkeypatch.setattr(V, "KEY_BYTES", 64)
+    rows = [(0, "a b c d e f g"), (1, "  a b c d e f"), (2, "x" * 100 + " a b c d e f"), (3, "a b c d e"), (4, ""), (5, "a b c d e f")]
+    got = {(r.id, r.at): r.key for r in V.keys(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id").collect()}
+    assert set(got) == {(0, 0), (0, 1), (1, 0), (2, 0), (2, 1), (5, 0)} and len({got[x] for x in [(0, 0), (1, 0), (2, 1), (5, 0)]}) == 1 and len(set(got.values())) == 3
