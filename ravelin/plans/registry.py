@@ -105,6 +105,11 @@ def _sparse(spark, sf_dir, k):
     return R.bm25(questions(spark, sf_dir), bm25_index(spark, sf_dir), k)
 
 
+def _texts(spark, sf_dir, k):
+    """The hits with their texts. Hits are stored, so that their size is known and texts are not shuffled to meet a few."""
+    return written(_sparse(spark, sf_dir, k), "hits").join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+
+
 @query(f"WITH {SCORED} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ({TOP}) WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
     return _sparse(spark, sf_dir, 5).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
@@ -798,7 +803,7 @@ def faq_service_flags(spark, sf_dir):
 
 
 def _contexts(spark, sf_dir):
-    hits = _sparse(spark, sf_dir, 3).join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    hits = _texts(spark, sf_dir, 3)
     own = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("ctx"))
     return questions(spark, sf_dir).join(own, "query_id", "left").withColumn("ctx", F.coalesce("ctx", F.array().cast("array<string>")))
 
@@ -816,7 +821,7 @@ b AS (SELECT query_id, 0::BIGINT AS i, 0::BIGINT AS used, false AS done, NULL::I
     (SELECT x.query_id, x.i, x.rank, x.w, x.h, b.used, b.done, {G.BUDGET - G.ANSWER - G.OVERHEAD} - b.used AS spare, x.h + len(x.w) <= {G.BUDGET - G.ANSWER - G.OVERHEAD} - b.used AS fits FROM b JOIN x ON x.query_id = b.query_id AND x.i = b.i + 1)))
 SELECT query_id, rank, tokens, text, truncated FROM b WHERE rank IS NOT NULL""")
 def context_budget(spark, sf_dir):
-    hits = _sparse(spark, sf_dir, 10).join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    hits = _texts(spark, sf_dir, 10)
     return G.budgeted(hits.select("query_id", "rank", G.preview(F.col("source_type"), F.col("chunk_id"), F.col("rank")).alias("head"), "text"))
 
 
@@ -840,7 +845,7 @@ m AS (SELECT item_id::VARCHAR AS query_id, coalesce(ids, '') AS context_ids, coa
 SELECT query_id, answer, NULL::VARCHAR AS error, len(regexp_extract_all(said, '[^\x20\x09-\x0D]+'))::BIGINT AS prompt_tokens, len(regexp_extract_all(answer, '[^\x20\x09-\x0D]+'))::BIGINT AS answer_tokens, context_ids FROM m""")
 def model_requests(spark, sf_dir):
     """Answers with token counts and the ids of their contexts; equal prompts are asked once, replies stay in the shared folder."""
-    hits = _sparse(spark, sf_dir, 3).join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    hits = _texts(spark, sf_dir, 3)
     own = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("h"))
     asked = questions(spark, sf_dir).join(own, "query_id", "left").withColumn("h", F.coalesce("h", F.array().cast("array<struct<rank:int,chunk_id:bigint,text:string>>")))
     prompts = asked.select("query_id", G.messages(F.col("text"), F.transform("h", lambda x: x["text"])).alias("messages"), F.transform("h", lambda x: x["chunk_id"]).alias("context_ids"))

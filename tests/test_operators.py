@@ -238,3 +238,12 @@ def test_words_are_counted_into_vectors_in_one_pass(spark):
             want[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 64] += 1
         assert r.embedding == want
     assert "array_remove" not in rows._jdf.queryExecution().toString()
+
+
+def test_texts_are_not_shuffled_to_meet_hits(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30000")  # bytes, less than the texts have
+    try:
+        assert "SortMergeJoin" not in registry._texts(spark, SF, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
