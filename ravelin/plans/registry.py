@@ -144,8 +144,10 @@ def chunks_by_source(spark, sf_dir):
 
 @query(f"WITH d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), t AS (SELECT id, unnest({WORDS.format(c='text')}) AS term FROM d) SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term")
 def bm25_combined_corpus(spark, sf_dir):
+    """Documents and questions as one corpus. Terms are stored once they are counted, as mean and weights both ask for them."""
     more = questions(spark, sf_dir).select((-1 - F.col("query_id")).alias("chunk_id"), (-1 - F.col("query_id")).alias("pos"), "text")
-    return R.index(corpus(spark, sf_dir).drop("source_type").unionByName(more)).df.select("term", "df")
+    docs = R.counted(corpus(spark, sf_dir).drop("source_type").unionByName(more))
+    return R.index(docs, docs=docs, seen=written(R.seen_terms(docs), "seen")).df.select("term", "df")
 
 
 # ---- dense and hybrid -----------------------------------------------------------------------------

@@ -247,3 +247,19 @@ def test_texts_are_not_shuffled_to_meet_hits(spark):
         assert "SortMergeJoin" not in registry._texts(spark, SF, 3)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_no_filter_works_terms_out_again(spark):
+    words = [f"w{(i * 7919) % 1500}" for i in range(4000)]
+    rows = spark.createDataFrame([(1, 1, " ".join(words)), (2, 2, "w1 w1 W2"), (3, 3, ""), (4, 4, None)], "chunk_id long, pos long, text string")
+    docs = R.counted(rows)
+    ix = R.index(rows, docs=docs)
+    plan = ix.df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "split(" in x]
+    # a filter of one's own works them out once a text, not once a word: the lambdas hold no split
+    kept = docs.where("size(terms) > 0")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "= sort_array(" not in plan and "lambdafunction(sort_array(" not in plan
+    assert {r.chunk_id: (r.dl, len(r.terms), sum(r.tfs)) for r in kept.collect()} == {1: (4000, 1500, 4000), 2: (3, 2, 3)}
+    df = {r.term: r.df for r in ix.df.collect()}
+    assert len(df) == 1500 and df["w1"] == df["w2"] == 2 and sum(df.values()) == 1502
