@@ -263,3 +263,21 @@ def test_no_filter_works_terms_out_again(spark):
     assert {r.chunk_id: (r.dl, len(r.terms), sum(r.tfs)) for r in kept.collect()} == {1: (4000, 1500, 4000), 2: (3, 2, 3)}
     df = {r.term: r.df for r in ix.df.collect()}
     assert len(df) == 1500 and df["w1"] == df["w2"] == 2 and sum(df.values()) == 1502
+
+
+#: Texts that are null or stand between Unicode blanks, a null language.
+ODD = [(1, "a ", "en", "s"), (2, "　b\nc ", "de", "s"), (3, None, "en", "s"), (4, "w", None, "s"), (45, "x y", "en", "t")]
+
+
+def odd_documents(spark, tmp_path, names):
+    """Rows of a query on ODD, and of its SQL."""
+    spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = registry.QUERIES[names](spark, str(tmp_path))
+    return sorted(map(tuple, got.collect()), key=str), sorted(db.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.SQL[names]})").fetchall(), key=str)
+
+
+def test_sections_of_odd_documents(spark, tmp_path):
+    got, want = odd_documents(spark, tmp_path, "sections")
+    assert len(got) == 9 * len(ODD) and got == want
